@@ -88,15 +88,17 @@ def drawn_slots(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS) ->
     at the target weights, conditioned on the sums over shards.  Counts are then numbered along each source;
     slot i takes block ``permutation(i mod n)``, so a block comes again only after all others have.
     """
+    # few rows are expanded to many: a fixed number of partitions keeps Spark from merging them before that
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = F.ceil(F.col("source_size") / block).cast("long")
     due = targets.filter("source_size > 0").withColumn("_n", n).withColumn("_due", F.least(F.col("_n") * REPEAT, F.floor(F.col("_n") * F.col("target") / F.col("source_size") + 0.5).cast("long")))
     due = due.withColumns({"_end": F.sum("_due").over(Window.orderBy(F.col("source").asc_nulls_last())), "_all": F.sum("_due").over(Window.partitionBy())}).filter("_due > 0")
     runs = due.select("source", "_n", "_all", (F.col("_end") - F.col("_due")).alias("_first"), "_end", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_due") - 1) / RUN))).alias("_run"))
-    spots = runs.repartition(F.col("source"), F.col("_run")).select("source", "_n", "_all", F.explode(F.sequence(F.col("_first") + F.col("_run") * RUN, F.least(F.col("_end"), F.col("_first") + (F.col("_run") + 1) * RUN) - 1)).alias("_spot"))
+    spots = runs.repartition(tasks, "source", "_run").select("source", "_n", "_all", F.explode(F.sequence(F.col("_first") + F.col("_run") * RUN, F.least(F.col("_end"), F.col("_first") + (F.col("_run") + 1) * RUN) - 1)).alias("_spot"))
     shard = F.floor(permuted(F.col("_spot"), F.col("_all"), F.lit("deal")) * shards / F.col("_all")).cast("int")
     counts = spots.groupBy("source", "_n", shard.alias("shard")).agg(F.count("*").alias("_count"))
     numbered = counts.withColumn("_from", F.sum("_count").over(Window.partitionBy("source").orderBy("shard")) - F.col("_count"))
-    parts = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_count") - 1) / RUN))).alias("_run")).repartition(F.col("source"), F.col("shard"), F.col("_run"))
+    parts = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_count") - 1) / RUN))).alias("_run")).repartition(tasks, "source", "shard", "_run")
     slots = parts.select("source", "shard", "_n", F.explode(F.sequence(F.col("_from") + F.col("_run") * RUN, F.col("_from") + F.least(F.col("_count"), (F.col("_run") + 1) * RUN) - 1)).alias("slot"))
     # the rank of a source's block by hash would need its blocks ordered in one task; arithmetic does not
     return slots.select("source", "shard", "slot", permuted(F.col("slot") % F.col("_n"), F.col("_n"), F.col("source")).alias("block"))
@@ -115,7 +117,8 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     placed = laid_out(base.filter("size > 0"))
     overlaps = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))).withColumn("_words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block))
     drawn = drawn_slots(targets, block).groupBy("source", "block").agg(F.count("*").alias("_draws"))
-    hit = overlaps.alias("o").join(drawn.alias("d"), F.col("o.source").eqNullSafe(F.col("d.source")) & (F.col("o.block") == F.col("d.block")), "left")
+    # sizes estimated before slots are expanded say nothing of the rows after: both sides are shuffled by block
+    hit = overlaps.alias("o").join(drawn.hint("merge").alias("d"), F.col("o.source").eqNullSafe(F.col("d.source")) & (F.col("o.block") == F.col("d.block")), "left")
     taken = hit.groupBy("o.source", "o.start", "o.doc_id", "o._key", "o.size").agg(F.coalesce(F.sum(F.col("_words") * F.col("_draws")), F.lit(0)).cast("long").alias("taken")).drop("start")
     full = taken.unionByName(base.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     # a row per source: small in practice, and joined by Spark's own size check
