@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, sharding, urls
+from . import mixing, secrets, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -10,6 +10,14 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.groups_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark, sf_dir):
+    return toxicity.score_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secrets(spark, sf_dir):
     return secrets.findings_digest(table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,8 @@ def op10_sharding(spark, sf_dir):
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_simhash": op3_simhash,
+    "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_urls": op8_urls,
     "op10_sharding": op10_sharding,
