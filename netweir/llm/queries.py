@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, sharding, simhash, toxicity, urls
+from . import html, mixing, secrets, sharding, simhash, toxicity, urls
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_simhash(spark, sf_dir):
     return simhash.groups_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark, sf_dir):
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.score_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +37,7 @@ def op10_sharding(spark, sf_dir):
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
+    "op4_html": op4_html,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_urls": op8_urls,
