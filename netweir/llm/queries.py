@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import html, mixing, secrets, sharding, simhash, toxicity, urls
+from . import ann, html, mixing, secrets, sharding, simhash, substrings, toxicity, urls
 from .common import table
 
 
+def op1_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,17 +34,45 @@ def op8_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), urls.rules_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_substrings(spark, sf_dir):
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_html": op4_html,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_urls": op8_urls,
+    "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_substrings": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id,
+                   list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+            FROM documents
+        ), w AS (
+            SELECT row, i, array_to_string(words[i:i + 34], ' ') AS phrase
+            FROM (SELECT row, words, unnest(range(1, len(words) - 33)) AS i FROM d)
+        ), hit AS (
+            SELECT row, i FROM w WHERE phrase IN (SELECT phrase FROM w GROUP BY phrase HAVING count(*) > 1)
+        ), gone AS (
+            SELECT DISTINCT row, unnest(range(i, i + 35)) AS at FROM hit
+        ), kept AS (
+            SELECT row, count(*) AS n_kept, string_agg(word, ' ' ORDER BY at) AS kept
+            FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM d) ANTI JOIN gone USING (row, at)
+            GROUP BY row
+        )
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (row)
+    """,
+}
