@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, durable, uniform
 
 BLOCK = 64
 SHARDS = 64
@@ -123,3 +123,16 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     full = taken.unionByName(base.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     # a row per source: small in practice, and joined by Spark's own size check
     return full.alias("f").join(targets.alias("t"), F.col("f.source").eqNullSafe(F.col("t.source"))).select("f.doc_id", "f._key", "f.size", "t.source_size", "t.target", "f.taken")
+
+
+def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``docs`` as the mix takes them: each row is repeated as often as its words are taken, on average.
+
+    A row whose words are taken 1.4 times comes once or twice, by a hash of its id and text; rows without words are
+    not taken.  Equal rows share their count.
+    """
+    plan = mix(docs.select("doc_id", "source", "text"), block).groupBy("doc_id", "_key").agg((F.sum("taken") / F.sum("size")).alias("_times"))
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    both = keyed.alias("d").join(plan.hint("shuffle_hash").alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._key") == F.col("p._key")))
+    times = F.floor(F.coalesce("_times", F.lit(0.0)) + uniform("d.doc_id", "d._key", seed=4)).cast("int")
+    return both.select("d.*", times.alias("_copies")).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html, mixing, secrets, sharding, simhash, substrings, toxicity, urls
+from . import ann, html, leaks, mixing, secrets, sharding, simhash, substrings, toxicity, urls
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_html(spark, sf_dir):
     return html.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op5_leaks(spark, sf_dir):
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity.score_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_html": op4_html,
+    "op5_leaks": op5_leaks,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
     "op8_urls": op8_urls,
@@ -57,7 +62,7 @@ ORACLE_SQL: dict[str, str] = {
     "op9_substrings": r"""
         WITH d AS (
             SELECT row_number() OVER () AS row, doc_id,
-                   list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
             FROM documents
         ), w AS (
             SELECT row, i, array_to_string(words[i:i + 34], ' ') AS phrase
@@ -65,10 +70,10 @@ ORACLE_SQL: dict[str, str] = {
         ), hit AS (
             SELECT row, i FROM w WHERE phrase IN (SELECT phrase FROM w GROUP BY phrase HAVING count(*) > 1)
         ), gone AS (
-            SELECT DISTINCT row, unnest(range(i, i + 35)) AS at FROM hit
+            SELECT DISTINCT row, unnest(range(i, i + 35)) AS place FROM hit
         ), kept AS (
-            SELECT row, count(*) AS n_kept, string_agg(word, ' ' ORDER BY at) AS kept
-            FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM d) ANTI JOIN gone USING (row, at)
+            SELECT row, count(*) AS n_kept, string_agg(word, ' ' ORDER BY place) AS kept
+            FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d) ANTI JOIN gone USING (row, place)
             GROUP BY row
         )
         SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed,
