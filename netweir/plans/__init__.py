@@ -1 +1,6 @@
-"""Reference operators: plans."""
+"""Queries by topic; importing this package registers them all."""
+
+from . import windows
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "windows"]
