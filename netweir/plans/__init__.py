@@ -1,6 +1,6 @@
 """Queries by topic; importing this package registers them all."""
 
-from . import windows
+from . import traffic, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "windows"]
+__all__ = ["ORACLES", "QUERIES", "traffic", "windows"]
