@@ -1,6 +1,6 @@
 """Queries by topic; importing this package registers them all."""
 
-from . import traffic, windows
+from . import lookups, traffic, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "traffic", "windows"]
+__all__ = ["ORACLES", "QUERIES", "lookups", "traffic", "windows"]
