@@ -48,7 +48,7 @@ class ToxicityModel:
         w = self.known.get(word)
         if w is None:
             w = sum(self.weights.get(x, 0.0) for x in terms_of(word))
-            if len(self.known) < 500_000:
+            if len(self.known) < 50_000:
                 self.known[word] = w
         return w
 
@@ -149,12 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     with its largest label.
     """
     marked = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", "text").filter(~held_out()).join(marked, "doc_id")
-    drawn = known.filter("text IS NOT NULL").select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("_h"))
-    # only hashes are ordered and made distinct; the texts drawn are then at most two samples
-    hashes = durable(drawn.groupBy("_h").agg(F.max("toxic").alias("toxic")))
-    least = {y: hashes.filter(F.col("toxic") == y).orderBy("_h").limit(sample).agg(F.max("_h")).first()[0] for y in (0, 1)}
-    picked = drawn.filter(" OR ".join(f"(toxic = {y} AND _h <= {h})" for y, h in least.items() if h is not None) or "false")
+    # only ids and hashes meet the labels; the texts drawn are then at most two samples
+    light = docs.filter(F.col("text").isNotNull() & ~held_out()).select("doc_id", F.xxhash64("text").alias("_h"))
+    hashes = durable(light.join(marked, "doc_id").groupBy("_h").agg(F.max("toxic").cast("int").alias("toxic")))
+    drawn = hashes.filter("toxic = 1").orderBy("_h").limit(sample).unionByName(hashes.filter("toxic = 0").orderBy("_h").limit(sample))
+    picked = docs.filter("text IS NOT NULL").withColumn("_h", F.xxhash64("text")).join(F.broadcast(drawn), "_h")
     rows = sorted(picked.groupBy("_h").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).collect(), key=lambda r: r["_h"])
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64))
 
