@@ -82,11 +82,11 @@ def jsd(p: list[Column], q: list[Column]) -> Column:
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """Wilson score interval of a share; (0, 0) without trials."""
+    """Wilson score interval of a share; (0, 1) without trials."""
     p, z2 = k / n, z * z
     mid = (p + z2 / (2 * n)) / (1 + z2 / n)
     half = z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
-    return F.when(n > 0, F.greatest(mid - half, F.lit(0.0))).otherwise(0.0), F.when(n > 0, F.least(mid + half, F.lit(1.0))).otherwise(0.0)
+    return F.when(n > 0, F.greatest(mid - half, F.lit(0.0))).otherwise(0.0), F.when(n > 0, F.least(mid + half, F.lit(1.0))).otherwise(1.0)
 
 
 def erfc(x: Column) -> Column:
