@@ -1,6 +1,6 @@
 """Queries by topic; importing this package registers them all."""
 
-from . import lookups, recursions, traffic, windows
+from . import detectors, lookups, recursions, traffic, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "lookups", "recursions", "traffic", "windows"]
+__all__ = ["ORACLES", "QUERIES", "detectors", "lookups", "recursions", "traffic", "windows"]
