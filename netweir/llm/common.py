@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,3 +52,12 @@ def string_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = col.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
     return data[off[0] : off[-1]], off - off[0]
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds few whole texts as Python objects; memory that
+    Arrow keeps for reuse goes back at the end of a task, as workers outlive their tasks."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small
 from .urls import parsed
 
 #: A subtree is template if it is on at least this many distinct pages of a host, and on this share of them.
@@ -224,7 +224,7 @@ def host_templates(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             hosts, trees, signs = [], [], []
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 page = parse(source or "")
@@ -255,7 +255,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType for f in joined.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = []
             for source, known in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 texts.append(main_text(parse(source or ""), set(known or ())))

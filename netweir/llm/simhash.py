@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, string_bytes
+from .common import durable, small, string_bytes
 from .components import star_components
 
 SEED = 42
@@ -77,7 +77,7 @@ def with_fingerprints(docs: DataFrame, k: int = 4, words: int = 1, text: str = "
     schema = docs.select(*names).schema.add("fingerprint", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             data, off = string_bytes(b.column(b.schema.get_field_index("_text")))
             raw, out = data.tobytes(), []
             for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small
 
 #: The fit sees at most this many distinct labelled texts of either label, drawn by a hash of the text.
 SAMPLE = 4_000
@@ -48,7 +48,7 @@ class ToxicityModel:
         w = self.known.get(word)
         if w is None:
             w = sum(self.weights.get(x, 0.0) for x in terms_of(word))
-            if len(self.known) < 50_000:
+            if len(self.known) < 20_000:
                 self.known[word] = w
         return w
 
@@ -175,7 +175,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         schema = schema.add(c, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             rows = [model.document(x or "") for x in b.column(len(names)).to_pylist()]
             score = np.array([r[0] for r in rows], dtype=np.float64)
             new = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())]
@@ -188,7 +188,7 @@ def offending(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> Data
     """doc_id, start, end (code points), sentence, score of every sentence that scores at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             ids, rows = [], []
             for i, t in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 for s, e, p in model.sentence_scores(t or ""):
