@@ -126,6 +126,6 @@ def multi_window(series: DataFrame, key: str = "dst", order: str = "w", value: s
         n = F.count("*").over(w)
         mx, my = F.avg(x).over(w), F.avg(y).over(w)
         sxy, sxx, syy = F.avg(x * y).over(w) - mx * my, F.avg(x * x).over(w) - mx * mx, F.avg(y * y).over(w) - my * my
-        slope = F.when((sxx > 1e-9) & (syy > 1e-9) & (sxy * sxy >= 0.5 * sxx * syy), sxy / sxx).otherwise(0.0)
+        slope = F.when((sxx > 1e-9) & (syy > 1e-9) & (F.round(sxy * sxy / (sxx * syy), 9) >= 0.5), sxy / sxx).otherwise(0.0)
         out = out.withColumns({f"sum_{size}": F.sum(value).over(w), f"mean_{size}": my, f"var_{size}": F.greatest(syy, F.lit(0.0)), f"slope_{size}": F.when(n >= 3, slope).otherwise(0.0)})
     return out.drop("_i")

@@ -167,7 +167,7 @@ def snapshot(spark, sf_dir):
     g = g.join(flow_shares(p, ["dst", "w"], ["src", "proto"]).select("dst", "w", F.col("max_flow_fraction").alias("max_flow")), ["dst", "w"])
     g = g.withColumns({"bytes_per_packet": F.col("bytes") / F.col("packets"), "syn_ack_ratio": F.col("syn") * 100.0 / F.greatest("ack", F.lit(1)), "rst_syn_ratio": F.col("rst") * 100.0 / F.greatest("syn", F.lit(1)), "per_flow": F.col("packets") / F.col("flows"), "duration": F.lit(0.0)})
     w = Window.partitionBy("dst")
-    return g.withColumns({f"z_{k}": 4 * (F.col(k) - F.avg(k).over(w)) / F.greatest(F.coalesce(F.stddev_pop(k).over(w), F.lit(0.0)), F.lit(0.25)) for k in Z})
+    return g.withColumns({f"z_{k}": F.round(4 * (F.col(k) - F.avg(k).over(w)) / F.greatest(F.coalesce(F.stddev_pop(k).over(w), F.lit(0.0)), F.lit(0.25)), 6) for k in Z})
 
 
 Z = ("packets", "bytes", "sources", "flows", "syn", "ack", "rst", "icmp")
@@ -191,7 +191,7 @@ g AS (SELECT dst, w, count(*) AS packets, sum(length) AS bytes, count(DISTINCT s
       100.0 * count(*) FILTER (proto = 6) / count(*) AS tcp, 100.0 * count(*) FILTER (proto = 17) / count(*) AS udp, 100.0 * count(*) FILTER (proto = 1) / count(*) AS icmp FROM p GROUP BY 1, 2),
 fl AS (SELECT dst, w, 100.0 * max(c) / sum(c) AS max_flow FROM (SELECT dst, w, src, proto, count(*) AS c FROM p GROUP BY ALL) GROUP BY 1, 2),
 x AS (SELECT *, bytes / packets AS bpp, syn * 100.0 / greatest(ack, 1) AS syn_ack_ratio, rst * 100.0 / greatest(syn, 1) AS rst_syn_ratio, packets / flows AS per_flow,
-      {", ".join(f"4 * ({k} - avg({k}) OVER (PARTITION BY dst)) / greatest(coalesce(stddev_pop({k}) OVER (PARTITION BY dst), 0), 0.25) AS z_{k}" for k in Z)} FROM g JOIN fl USING (dst, w)),
+      {", ".join(f"round(4 * ({k} - avg({k}) OVER (PARTITION BY dst)) / greatest(coalesce(stddev_pop({k}) OVER (PARTITION BY dst), 0), 0.25), 6) AS z_{k}" for k in Z)} FROM g JOIN fl USING (dst, w)),
 s AS (SELECT dst, w, {", ".join(f"round(least({v}, 1), 9) AS {k}" for k, v in POINTS.items())} FROM x),
 r AS (SELECT dst, w, kind, score, row_number() OVER (PARTITION BY dst, w ORDER BY score DESC, list_position({list(POINTS)}, kind)) AS r FROM (UNPIVOT s ON {", ".join(POINTS)} INTO NAME kind VALUE score)),
 q AS (SELECT dst, w, max(score) FILTER (r = 1) AS top, max(kind) FILTER (r = 1) AS kind, string_agg(kind, ',' ORDER BY r) FILTER (r <= 3) AS top3 FROM r GROUP BY 1, 2)

@@ -66,7 +66,7 @@ def modal_label(spark, sf_dir):
 @query(f"""
 WITH {PACKETS}, s AS (SELECT dst, CAST(ts AS DATE) AS w, count(*) AS n FROM packets GROUP BY 1, 2),
 i AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY w) AS i FROM s)
-SELECT dst, w, n, {", ".join(f"sum(n) OVER w{k} AS sum_{k}, round(avg(n) OVER w{k}, 6) AS mean_{k}, round(var_pop(n) OVER w{k}, 6) AS var_{k}, round(CASE WHEN count(*) OVER w{k} >= 3 AND coalesce(regr_r2(n, i) OVER w{k}, 0) >= 0.5 AND var_pop(n) OVER w{k} > 1e-9 THEN regr_slope(n, i) OVER w{k} ELSE 0 END, 6) AS slope_{k}" for k in (3, 10))}
+SELECT dst, w, n, {", ".join(f"sum(n) OVER w{k} AS sum_{k}, round(avg(n) OVER w{k}, 6) AS mean_{k}, round(var_pop(n) OVER w{k}, 6) AS var_{k}, round(CASE WHEN count(*) OVER w{k} >= 3 AND round(coalesce(regr_r2(n, i) OVER w{k}, 0), 9) >= 0.5 AND var_pop(n) OVER w{k} > 1e-9 THEN regr_slope(n, i) OVER w{k} ELSE 0 END, 6) AS slope_{k}" for k in (3, 10))}
 FROM i WINDOW w3 AS (PARTITION BY dst ORDER BY i ROWS 2 PRECEDING), w10 AS (PARTITION BY dst ORDER BY i ROWS 9 PRECEDING)
 """)
 def multi_window_stats(spark, sf_dir):
