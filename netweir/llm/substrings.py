@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, string_bytes
+from .common import small, string_bytes
 from .fmindex import FMIndex
 
 WINDOW = 35
@@ -23,10 +23,13 @@ WINDOW = 35
 GRAM = 6
 #: Words in one index; a shard's stretches are indexed in turns, each with all stretches of its anchors.
 INDEX_WORDS = 600_000
-#: Anchors with more distinct stretches than this are counted window by window instead.
+#: Anchors with more stretches than this, copies included, are counted window by window instead.
 STRETCHES = 8_192
+#: Anchors more common than this are chosen last, up to so many of the most common.  Any choice that only
+#: depends on a window's words is right; this one keeps what surrounds a common line from meeting at that line.
+COMMON, COMMON_KEPT = 256, 65_536
 #: Bytes of text that are worked on at once.
-SLICE = 2_000_000
+SLICE = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 
@@ -53,10 +56,12 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, words before every text): words end at ASCII white space and at the end of a text."""
+def word_hashes(data: np.ndarray, off: np.ndarray, powers: Powers, black: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words before every text): words are runs of ``black`` bytes, by default those that
+    are not ASCII white space, and end with their text."""
     n = len(data)
-    black = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if black is None:
+        black = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     begins, ends = black.copy(), black.copy()
@@ -69,7 +74,29 @@ def word_hashes(data: np.ndarray, off: np.ndarray, powers: Powers) -> tuple[np.n
     return _mixed((total[e] - total[s]) * down[s]), np.searchsorted(s, off)
 
 
-def stretches(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Common:
+    """A bounded set of anchors, with a bitmap that tells most others apart at once."""
+
+    def __init__(self, anchors: list[int]):
+        self.sorted = np.sort(np.array(anchors, dtype=np.int64).view(np.uint64))
+        self.bitmap = np.zeros(1 << 20, bool)
+        self.bitmap[self._low(self.sorted)] = True
+
+    @staticmethod
+    def _low(g: np.ndarray) -> np.ndarray:
+        return (g & np.uint64((1 << 20) - 1)).astype(np.int64)
+
+    def last(self, g: np.ndarray) -> np.ndarray:
+        """Hashes halved, the common ones put above all others."""
+        out = g >> np.uint64(1)
+        if len(self.sorted):
+            maybe = np.flatnonzero(self.bitmap[self._low(out)])
+            at = np.minimum(np.searchsorted(self.sorted, out[maybe]), len(self.sorted) - 1)
+            out[maybe[self.sorted[at] == out[maybe]]] |= np.uint64(1 << 63)
+        return out
+
+
+def stretches(h: np.ndarray, first: np.ndarray, window: int, gram: int, common: Common) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, start word in it, words, anchor, times the anchor is in it) of runs of windows with one anchor."""
     none = np.zeros(0, np.int64)
     n = len(h)
@@ -78,7 +105,7 @@ def stretches(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple
     g = h[: n - gram + 1].copy()
     for j in range(1, gram):
         g = g * np.uint64(BASE) + h[j : n - gram + 1 + j]
-    g = grams = _mixed(g)
+    g = grams = common.last(_mixed(g))
     span, size = window - gram + 1, 1
     while size * 2 <= span:
         g, size = np.minimum(g[:-size], g[size:]), size * 2
@@ -100,41 +127,45 @@ def stretches(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple
     return text[at], ok[at] - first[text[at]], words, anchor[at].view(np.int64), np.add.reduceat(same, begin, dtype=np.int64)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """key, anchor, start, words, times for every stretch of texts (key, text)."""
+def _anchored(batches: Iterator[pa.RecordBatch], window: int, gram: int, common: Common) -> Iterator[pa.RecordBatch]:
+    """key, anchor, start, words, times for every stretch of texts (id, text, key)."""
     powers = Powers()
     for b in batches:
         data, off = string_bytes(b.column(1))
-        keys = np.asarray(b.column(0))
+        keys = np.asarray(b.column(2))
         at = 0
         while at < len(keys):
             to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE, "right")) - 1)
             part, where = data[off[at] : off[to]], off[at : to + 1] - off[at]
             if len(part):
                 h, first = word_hashes(part, where, powers)
-                text, start, words, anchor, times = stretches(h, first, window, gram)
+                text, start, words, anchor, times = stretches(h, first, window, gram, common)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at + text]), pa.array(anchor), pa.array(start.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(times.astype(np.int32))], names=["key", "anchor", "start", "words", "times"])
             at = to
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, anchor, start, stretch for texts (key, text, marks); words of a stretch are joined by one space."""
-    for b in batches:
-        keys, marks = b.column(0).to_pylist(), b.column(2).to_pylist()
-        out: tuple[list, ...] = ([], [], [], [])
+    """key, anchor, hot, start, stretch for texts (.., text, key, marks); words of a stretch are joined by one space."""
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+
+    def rows(out: tuple[list, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["key", "anchor", "hot", "start", "stretch"])
+
+    for b in small(batches):
+        out: tuple[list, ...] = ([], [], [], [], [])
         size = 0
-        for key, text, own in zip(keys, b.column(1).to_pylist(), marks, strict=True):
+        for text, key, own in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             words = text.encode().split()
             for m in own:
                 s = m["start"]
                 body = b" ".join(words[s : s + m["words"]])
-                for col, x in zip(out, (key, m["anchor"], s, body), strict=True):
+                for col, x in zip(out, (key, m["anchor"], m["hot"], s, body), strict=True):
                     col.append(x)
                 size += len(body)
             if size > SLICE:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["key", "anchor", "start", "stretch"])
-                out, size = ([], [], [], []), 0
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["key", "anchor", "start", "stretch"])
+                yield rows(out)
+                out, size = ([], [], [], [], []), 0
+        yield rows(out)
 
 
 def covered(flags: np.ndarray, window: int) -> list[dict[str, int]]:
@@ -195,50 +226,53 @@ def _indexed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """key, begin, w1, w2 (the window's 128-bit hash) for every window of stretches (key, start, stretch)."""
+    """s1, s2, n, begin, w1, w2 (the window's 128-bit hash) for every window of stretches (s1, s2, n, stretch)."""
     for b in batches:
-        keys, begins, w1, w2 = [], [], [], []
-        for key, start, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        rows, begins, w1, w2 = [], [], [], []
+        for row, piece in enumerate(b.column(3).to_pylist()):
             words = piece.split(b" ")
             for i in range(len(words) - window + 1):
                 d = hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest()
-                keys.append(key)
-                begins.append(start + i)
+                rows.append(row)
+                begins.append(i)
                 w1.append(int.from_bytes(d[:8], "big", signed=True))
                 w2.append(int.from_bytes(d[8:], "big", signed=True))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins, pa.int32()), pa.array(w1, pa.int64()), pa.array(w2, pa.int64())], names=["key", "begin", "w1", "w2"])
+        take = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([*[b.column(i).take(take) for i in range(3)], pa.array(begins, pa.int32()), pa.array(w1, pa.int64()), pa.array(w2, pa.int64())], names=["s1", "s2", "n", "begin", "w1", "w2"])
 
 
-def repeated_intervals(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = STRETCHES) -> DataFrame:
-    """key, intervals (begin, end in words) for texts (key, text) with a window that occurs twice or more.
+def repeated_intervals(texts: DataFrame, scan: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = STRETCHES) -> DataFrame:
+    """key, intervals (begin, end in words) for texts (id, text, key) with a window that occurs twice or more.
 
-    Texts with one key are the same text.  Counting happens before and while stretches are shuffled, so copies and
-    common passages do not gather; an anchor with more than ``most`` distinct stretches is not indexed but its
-    windows are counted one by one, which is exact as well.
+    Texts with one key are the same text.  ``scan`` has the same rows before they were shuffled.  Counting happens before and while stretches are shuffled, so copies and
+    common passages do not gather; an anchor with more than ``most`` stretches is not indexed, but the windows of its
+    distinct stretches are counted one by one, which is exact as well.
     """
-    marks = texts.mapInArrow(lambda it: _anchored(it, window, gram), "key long, anchor long, start int, words int, times int")
-    twice = marks.groupBy("anchor").agg(F.sum("times").alias("_n")).filter("_n > 1").select("anchor")
-    lists = marks.join(twice.hint("merge"), "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("start", "words", "anchor")).alias("marks"))
-    cut = texts.join(lists.hint("merge"), "key").select("key", "text", "marks").mapInArrow(_cut, "key long, anchor long, start int, stretch binary")
-    distinct = cut.groupBy("anchor", "stretch").agg(F.count("*").cast("int").alias("n"))
-    hot = durable(distinct.groupBy("anchor").count().filter(F.col("count") > most).select("anchor"))
-    if hot.isEmpty():
-        cold, hot_cut = distinct, None
-    else:
-        cold, hot_cut = distinct.join(hot, "anchor", "left_anti"), cut.join(hot, "anchor", "left_semi")
-    found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda it: _indexed(it, window), "anchor long, stretch binary, intervals array<struct<begin:int,end:int>>")
+    shape = "key long, anchor long, start int, words int, times int"
+    first = scan.mapInArrow(lambda it: _anchored(it, window, gram, Common([])), shape).groupBy("anchor").count().filter(F.col("count") > COMMON)
+    common = Common([r[0] for r in first.orderBy(F.desc("count"), "anchor").limit(COMMON_KEPT).select("anchor").collect()])
+    marks = texts.mapInArrow(lambda it: _anchored(it, window, gram, common), shape)
+    w = Window.partitionBy("anchor")
+    twice = marks.withColumns({"total": F.sum("times").over(w), "pieces": F.count("*").over(w)}).filter("total > 1")
+    lists = twice.groupBy("key").agg(F.collect_set(F.struct("start", "words", "anchor", (F.col("pieces") > most).alias("hot"))).alias("marks"))
+    # all columns go through, so that every reader of ``texts`` shares one shuffle of them
+    cut = texts.join(lists.hint("shuffle_hash"), "key").select(*texts.columns, "marks").mapInArrow(_cut, "key long, anchor long, hot boolean, start int, stretch binary")
+    # hot is an aggregate, so that filters on it stay above the shuffle and both branches read one
+    distinct = cut.groupBy("anchor", "stretch").agg(F.count("*").cast("int").alias("n"), F.max("hot").alias("hot"))
     name = [F.xxhash64("stretch").alias("s1"), F.xxhash64(F.lit(1), "stretch").alias("s2")]
+    cold = distinct.filter("NOT hot").select("anchor", "stretch", "n").repartition("anchor").sortWithinPartitions("anchor")
+    found = cold.mapInArrow(lambda it: _indexed(it, window), "anchor long, stretch binary, intervals array<struct<begin:int,end:int>>").select(*name, "intervals")
+    each = distinct.filter("hot").select(*name, "n", "stretch").mapInArrow(lambda it: _windows(it, window), "s1 long, s2 long, n int, begin int, w1 long, w2 long")
+    again = each.groupBy("w1", "w2").agg(F.sum("n").alias("_n")).filter("_n > 1").select("w1", "w2")
+    counted = each.join(again, ["w1", "w2"], "left_semi").select("s1", "s2", F.array(F.struct("begin", (F.col("begin") + window).alias("end"))).alias("intervals"))
     spots = cut.select("key", "start", *name)
-    hits = spots.join(found.select(*name, "intervals").hint("merge"), ["s1", "s2"]).select("key", F.inline(F.transform("intervals", lambda x: F.struct((x["begin"] + F.col("start")).alias("begin"), (x["end"] + F.col("start")).alias("end")))))
-    if hot_cut is not None:
-        each = hot_cut.select("key", "start", "stretch").mapInArrow(lambda it: _windows(it, window), "key long, begin int, w1 long, w2 long")
-        again = each.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
-        hits = hits.unionByName(each.join(again.hint("merge"), ["w1", "w2"], "left_semi").select("key", "begin", (F.col("begin") + window).alias("end")))
+    shifted = F.transform("intervals", lambda x: F.struct((x["begin"] + F.col("start")).alias("begin"), (x["end"] + F.col("start")).alias("end")))
+    hits = spots.join(found.unionByName(counted), ["s1", "s2"]).select("key", F.inline(shifted))
     return hits.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("intervals"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         n_words, n_removed, texts = [], [], []
         for text, spans in zip(b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
             words = (text or "").encode().split()
@@ -264,8 +298,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, ident: str = "doc_id"
     base = docs.select(ident, "text", F.xxhash64(ident, "text").alias("key"))
     # both joins read this one shuffle of the texts
     placed = base.repartition("key")
-    spans = repeated_intervals(placed.select("key", "text").filter("text IS NOT NULL"), window, most=most)
-    joined = placed.join(spans.hint("merge"), "key", "left").select(ident, F.col("text").alias("_text"), F.col("intervals").alias("_spans"))
+    spans = repeated_intervals(placed, base, window, most=most)
+    joined = placed.join(spans.hint("shuffle_hash"), "key", "left").select(ident, F.col("text").alias("_text"), F.col("intervals").alias("_spans"))
     kind = docs.schema[ident].dataType.simpleString()
     out = joined.mapInArrow(lambda it: _kept(it, [ident]), f"{ident} {kind}, n_words long, n_removed long, kept string")
     return out if keep_text else out.select(ident, "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
