@@ -82,8 +82,8 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, pieces: int = 64, text: str
 
     size is the text's UTF-8 bytes plus 1 (null text: 1).  Records are range-partitioned by a hash of the
     text, so equal texts are neighbours; they stay in one shard unless one text alone outweighs a shard.
-    slot numbers a shard's records from 0 without gaps, in range order, then by key, id and the copy's
-    place.  Null ids sort first; an empty table gives an empty result; columns of ``df`` named like ours are
+    slot numbers a shard's records from 0 without gaps, in range order; a range with many rows is numbered by
+    several tasks, dealt by a hash of the record.  Null ids sort first; an empty table gives an empty result; columns of ``df`` named like ours are
     replaced.  The driver sees one total, a bounded sample and at most ``2 * shards * pieces`` range sums.
     """
     base = df.drop("size", "law", "shard", "slot").withColumns({"size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1, "_key": text_key(text)})
@@ -95,18 +95,22 @@ def shard_keyed(base: DataFrame, shards: int, pieces: int, ident: str) -> DataFr
     total = base.agg(F.sum("size")).first()[0] or 0
     splitters = sampled_splitters(base, "_key", "size", ident, total, shards * pieces)
     ranged = base.withColumn("_range", range_id(F.col("_key"), splitters))
-    stats = [(r[0], r[1]) for r in ranged.groupBy("_range").agg(F.sum("size")).collect()]
+    sums = [tuple(r) for r in ranged.groupBy("_range").agg(F.sum("size"), F.count("*")).collect()]
+    stats = [(r, b) for r, b, _ in sums]
+    # rows are numbered in tasks of about this many, whatever one key has
+    rows = max(1, sum(n for _, _, n in sums) // (shards * pieces))
+    tasks = {r: -(-n // rows) for r, _, n in sums}
     spark = base.sparkSession
     placed = spark.createDataFrame(place_ranges(stats, shards, pieces), "_range int, _n int, _piece int, shard int")
-    cut = spark.createDataFrame(sorted({x[:2] for x in place_ranges(stats, shards, pieces)}), "_range int, _n int")
+    cut = spark.createDataFrame(sorted({(r, n, tasks[r]) for r, n, _, _ in place_ranges(stats, shards, pieces)}), "_range int, _n int, _tasks int")
     single = F.col("_range") % 2 == 1
     # both small tables have at most a few thousand rows, by the number of splitters
-    pieced = ranged.join(F.broadcast(cut), "_range").withColumn("_piece", F.pmod(F.when(single, F.xxhash64(F.lit(7), ident, "_key")).otherwise(F.xxhash64(F.lit(7), "_key")), F.col("_n")).cast("int")).drop("_n")
-    filled = pieced.groupBy("_range", "_piece").count().join(F.broadcast(placed), ["_range", "_piece"])
-    offsets = filled.withColumn("_at", F.sum("count").over(Window.partitionBy("shard").orderBy("_range", "_piece")) - F.col("count")).select("_range", "_piece", "shard", "_at")
-    w = Window.partitionBy("_range", "_piece").orderBy("_key", ident)
-    numbered = pieced.withColumn("_row", F.row_number().over(w)).join(F.broadcast(offsets), ["_range", "_piece"])
-    return numbered.withColumns({"law": F.lit("bytes"), "slot": F.col("_at") + F.col("_row") - 1}).drop("_range", "_piece", "_row", "_at")
+    pieced = ranged.join(F.broadcast(cut), "_range").withColumn("_piece", F.pmod(F.when(single, F.xxhash64(F.lit(7), ident, "_key")).otherwise(F.xxhash64(F.lit(7), "_key")), F.col("_n")).cast("int")).withColumn("_task", F.pmod(F.xxhash64(F.lit(9), ident, "_key"), F.col("_tasks")).cast("int")).drop("_n", "_tasks")
+    filled = pieced.groupBy("_range", "_piece", "_task").count().join(F.broadcast(placed), ["_range", "_piece"])
+    offsets = filled.withColumn("_at", F.sum("count").over(Window.partitionBy("shard").orderBy("_range", "_piece", "_task")) - F.col("count")).select("_range", "_piece", "_task", "shard", "_at")
+    w = Window.partitionBy("_range", "_piece", "_task").orderBy("_key", ident)
+    numbered = pieced.withColumn("_row", F.row_number().over(w)).join(F.broadcast(offsets), ["_range", "_piece", "_task"])
+    return numbered.withColumns({"law": F.lit("bytes"), "slot": F.col("_at") + F.col("_row") - 1}).drop("_range", "_piece", "_task", "_row", "_at")
 
 
 def shard_digest(docs: DataFrame, shards: int = 16) -> DataFrame:
