@@ -131,7 +131,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     A row whose words are taken 1.4 times comes once or twice, by a hash of its id and text; rows without words are
     not taken.  Equal rows share their count.
     """
-    plan = mix(docs.select("doc_id", "source", "text"), block).groupBy("doc_id", "_key").agg((F.sum("taken") / F.sum("size")).alias("_times"))
+    plan = mix(docs.select("doc_id", "source", "text"), block).groupBy("doc_id", "_key").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_times"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     both = keyed.alias("d").join(plan.hint("shuffle_hash").alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._key") == F.col("p._key")))
     times = F.floor(F.coalesce("_times", F.lit(0.0)) + uniform("d.doc_id", "d._key", seed=4)).cast("int")
