@@ -47,33 +47,36 @@ def range_id(key: Column, splitters: list[int]) -> Column:
     return (below * 2 + F.when(F.get(F.expr(text(splitters)), below) == key, 1).otherwise(0)).cast("int")
 
 
-def place_ranges(stats: list[tuple[int, int]], shards: int, pieces: int) -> list[tuple[int, int, int, int]]:
-    """(range, pieces it is cut into, piece, shard) from the ranges' exact bytes.
+def cut_ranges(stats: list[tuple[int, int]], shards: int, pieces: int) -> dict[int, int]:
+    """How many units each range is cut into, from exact bytes.
 
     Ranges above two mean pieces are subdivided by key; one that is a single key stays whole up to a
-    shard's share and is cut by record beyond it.  Heavy units go to the least loaded shard, largest first,
-    and the light ones fill the shards in key order.
+    shard's share and is cut by record beyond it.
     """
     share = sum(b for _, b in stats) / shards
-    units = []
-    for rid, size in sorted(stats):
-        whole = rid % 2 and size <= share or size <= 2 * share / pieces
-        n = 1 if whole else math.ceil(size / (share / pieces))
-        units += [(rid, n, p, size / n) for p in range(n)]
-    load, out = [0.0] * shards, []
-    heavy = [u for u in units if u[3] > share / 16]
-    for u in sorted(heavy, key=lambda u: (-u[3], u[:3])):
-        s = min(range(shards), key=lambda i: (load[i], i))
-        load[s] += u[3]
-        out.append((*u[:3], s))
+    return {r: 1 if b <= (share if r % 2 else 2 * share / pieces) else math.ceil(b / (share / pieces)) for r, b in stats}
+
+
+def place_units(units: list[tuple[tuple, int]], shards: int) -> dict[tuple, int]:
+    """The shard of every unit ((range, piece), bytes).
+
+    Heavy units, and single keys that are more than a hundredth of a shard, go to the least loaded shard, largest first;
+    the others fill the shards in key order.
+    """
+    share = sum(b for _, b in units) / shards
+    heavy = {u for u, b in units if b > share / (128 if u[0] % 2 else 16)}
+    load, out = [0] * shards, {}
+    for u, b in sorted((u for u in units if u[0] in heavy), key=lambda u: (-u[1], u[0])):
+        out[u] = min(range(shards), key=lambda i: (load[i], i))
+        load[out[u]] += b
     # filled against running quotas, so that what one shard lacks does not pile up in the last
     room, filled, s = max(0.0, share - load[0]), 0.0, 0
-    for u in (u for u in units if u[3] <= share / 16):
-        while s < shards - 1 and filled + u[3] / 2 > room:
+    for u, b in sorted(u for u in units if u[0] not in heavy):
+        while s < shards - 1 and filled + b / 2 > room:
             s += 1
             room += max(0.0, share - load[s])
-        filled += u[3]
-        out.append((*u[:3], s))
+        filled += b
+        out[u] = s
     return out
 
 
@@ -96,20 +99,27 @@ def shard_keyed(base: DataFrame, shards: int, pieces: int, ident: str) -> DataFr
     splitters = sampled_splitters(base, "_key", "size", ident, total, shards * pieces)
     ranged = base.withColumn("_range", range_id(F.col("_key"), splitters))
     sums = [tuple(r) for r in ranged.groupBy("_range").agg(F.sum("size"), F.count("*")).collect()]
-    stats = [(r, b) for r, b, _ in sums]
+    cuts = cut_ranges([(r, b) for r, b, _ in sums], shards, pieces)
     # rows are numbered in tasks of about this many, whatever one key has
     rows = max(1, sum(n for _, _, n in sums) // (shards * pieces))
-    tasks = {r: -(-n // rows) for r, _, n in sums}
     spark = base.sparkSession
-    placed = spark.createDataFrame(place_ranges(stats, shards, pieces), "_range int, _n int, _piece int, shard int")
-    cut = spark.createDataFrame(sorted({(r, n, tasks[r]) for r, n, _, _ in place_ranges(stats, shards, pieces)}), "_range int, _n int, _tasks int")
-    single = F.col("_range") % 2 == 1
     # both small tables have at most a few thousand rows, by the number of splitters
-    pieced = ranged.join(F.broadcast(cut), "_range").withColumn("_piece", F.pmod(F.when(single, F.xxhash64(F.lit(7), ident, "_key")).otherwise(F.xxhash64(F.lit(7), "_key")), F.col("_n")).cast("int")).withColumn("_task", F.pmod(F.xxhash64(F.lit(9), ident, "_key"), F.col("_tasks")).cast("int")).drop("_n", "_tasks")
-    filled = pieced.groupBy("_range", "_piece", "_task").count().join(F.broadcast(placed), ["_range", "_piece"])
-    offsets = filled.withColumn("_at", F.sum("count").over(Window.partitionBy("shard").orderBy("_range", "_piece", "_task")) - F.col("count")).select("_range", "_piece", "_task", "shard", "_at")
-    w = Window.partitionBy("_range", "_piece", "_task").orderBy("_key", ident)
-    numbered = pieced.withColumn("_row", F.row_number().over(w)).join(F.broadcast(offsets), ["_range", "_piece", "_task"])
+    cut = spark.createDataFrame([(r, cuts[r], -(-n // (rows * cuts[r]))) for r, _, n in sums], "_range int, _n int, _tasks int")
+    by = lambda seed, own, n: F.pmod(F.when(own, F.xxhash64(F.lit(seed), ident, "_key")).otherwise(F.xxhash64(F.lit(seed), "_key")), F.col(n)).cast("int")
+    unit = ["_range", "_piece", "_task"]
+    dealt = ranged.join(F.broadcast(cut), "_range").withColumns({"_piece": by(7, F.col("_range") % 2 == 1, "_n"), "_task": by(9, F.lit(True), "_tasks")}).drop("_n", "_tasks")
+    counts = {tuple(r[:3]): (r[3], r[4]) for r in dealt.groupBy(*unit).agg(F.sum("size"), F.count("*")).collect()}
+    whole: dict[tuple, int] = {}
+    for (r, p, _), (b, _) in counts.items():
+        whole[r, p] = whole.get((r, p), 0) + b
+    placed, used, at = place_units(list(whole.items()), shards), [0] * shards, []
+    for key in sorted(counts):
+        s = placed[key[:2]]
+        at.append((*key, s, used[s]))
+        used[s] += counts[key][1]
+    offsets = spark.createDataFrame(at, "_range int, _piece int, _task int, shard int, _at long")
+    w = Window.partitionBy(*unit).orderBy("_key", ident)
+    numbered = dealt.withColumn("_row", F.row_number().over(w)).join(F.broadcast(offsets), unit)
     return numbered.withColumns({"law": F.lit("bytes"), "slot": F.col("_at") + F.col("_row") - 1}).drop("_range", "_piece", "_task", "_row", "_at")
 
 
