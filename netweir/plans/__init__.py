@@ -1,6 +1,6 @@
 """Queries by topic; importing this package registers them all."""
 
-from . import detectors, lookups, recursions, streaming, traffic, windows
+from . import detectors, lookups, operations, recursions, streaming, traffic, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "detectors", "lookups", "recursions", "streaming", "traffic", "windows"]
+__all__ = ["ORACLES", "QUERIES", "detectors", "lookups", "operations", "recursions", "streaming", "traffic", "windows"]
