@@ -101,3 +101,12 @@ def adaptive_sampling(windows: DataFrame, keys: list[str], ts: str, hot: Column,
     quick = F.coalesce(seconds - last <= after, F.lit(False))
     nth = F.row_number().over(Window.partitionBy(*keys, F.floor(seconds / slow)).orderBy(ts))
     return windows.withColumns({"_q": quick, "_n": nth}).filter(F.col("_q") | (F.col("_n") == 1)).drop("_q", "_n")
+
+
+def flushed(stream: DataFrame, path: str, checkpoint: str):
+    """Append each batch of a stream to a table by day, once: a batch that is written again replaces only its own files."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumns({"day": F.to_date("w"), "batch": F.lit(number)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -100,3 +100,12 @@ def test_state_machine_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     key = lambda r: (r["dst"], r["w"], r["state"], r["peak"])
     assert sorted(map(key, spark.table("states_out").collect())) == sorted(map(key, jobs.state_machine(df).collect()))
+
+
+def test_flushed_batches(spark, packet_files, tmp_path):
+    path, p, _ = packet_files
+    stream = jobs.events_stream(spark, path, p.schema.simpleString()[7:-1].replace(":", " "), files=2)
+    jobs.flushed(jobs.tumbling(stream, "1 hour"), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "t")).filter("dst >= 0")
+    assert 0 < rows.count() <= jobs.tumbling(p, "1 hour").count()
+    assert rows.groupBy("dst", "w").count().filter("count > 1").count() == 0
