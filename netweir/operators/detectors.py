@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from netweir.functions.traffic import cases, clamp
 
-from .recursions import ewma, tail_probability
+from .recursions import ewma, tail_counts, tail_probability
 
 SEED = 42
 
@@ -153,9 +153,10 @@ def subspace_scores(wide: DataFrame, features: list[str], k: int = 8, alpha: flo
     q = z.select("idx", "train", (whole - reduce(lambda a, b: a + b, [c * c for c in inside])).alias("q"))
     # rows at least as far out, ties counted through a hair's breadth
     eased = q.withColumn("q", F.when(F.col("train"), F.col("q")).otherwise(F.col("q") - 1e-12 * F.greatest(F.lit(1.0), F.col("q"))))
-    w = Window.partitionBy().orderBy(F.desc("q"))
-    ge = F.coalesce(F.sum(F.col("train").cast("int")).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    surprise = eased.withColumn("surprise", -F.log((ge + 1.0) / (n + 1.0))).filter("NOT train").withColumn("one", F.lit(1))
+    one = eased.withColumn("one", F.lit(1))
+    ranked = one.join(tail_counts(one, ["one"], "q", "train"), ["one", "q"])
+    ge = F.col("_n") - F.col("_upto") + F.col("_same")
+    surprise = ranked.withColumn("surprise", -F.log((ge + 1.0) / (n + 1.0))).filter("NOT train")
     return ewma(surprise, ["one"], "idx", F.col("surprise"), alpha, "score").select("idx", "score")
 
 
@@ -237,9 +238,9 @@ def nearest_hyperspheres(wide: DataFrame, features: list[str], sets: int = 100,
 
 def conformal(rows: DataFrame, score: str, calib: str, keys: list[str]) -> DataFrame:
     """p of each row: the share of calibration rows that score at least as high, counting itself."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, 0)
-    c = F.col(calib).cast("int")
-    return rows.withColumn("p", (1.0 + F.sum(c).over(w)) / (1.0 + F.sum(c).over(Window.partitionBy(*keys))))
+    at_least = F.col("_n") - F.col("_upto") + F.col("_same")
+    t = rows.join(tail_counts(rows, keys, score, calib), [*keys, score])
+    return t.withColumn("p", (1.0 + at_least) / (1.0 + F.col("_n"))).drop("_same", "_upto", "_n")
 
 
 def acat(ps: list[Column], weight: float = 0.5) -> Column:

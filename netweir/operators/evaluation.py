@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 from netweir.functions.traffic import erfc, wilson
 
-from .recursions import islands
+from .recursions import islands, running
 
 
 def auc(rows: DataFrame, keys: list[str], score: str, attack: str) -> DataFrame:
     """Area under the ROC curve by average ranks, from counts per distinct score: rows of one score are one."""
     c = rows.groupBy(*keys, score).agg(F.count("*").alias("n"), F.count_if(attack).alias("pos"))
-    below = F.sum("n").over(Window.partitionBy(*keys).orderBy(score)) - F.col("n")
-    ranked = c.withColumn("rank", below + (F.col("n") + 1) / 2)
+    ranked = running(c, keys, score, ["n"]).withColumn("rank", F.col("upto_n") - F.col("n") + (F.col("n") + 1) / 2)
     out = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("p")
     return out.select(*keys, F.when((F.col("p") > 0) & (neg > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * neg)).alias("auc"))

@@ -139,18 +139,38 @@ def row_split(rows: DataFrame, keys: list[str], order: str, shares: tuple[float,
     return rows.withColumn("part", F.when(i <= F.floor(n * shares[0] + 1e-9), "train").when(i <= F.floor(n * shares[1] + 1e-9), "calib").otherwise("test"))
 
 
-def tail_probability(rows: DataFrame, keys: list[str], value: str, train: str) -> DataFrame:
-    """left and right tail shares of each row's value among the training rows, at least 1 / (n + 1).
+def running(counts: DataFrame, keys: list[str], value: str, columns: list[str], parts: int = 64) -> DataFrame:
+    """``counts`` (a row per key and value) with ``upto_<column>``: each column summed over all values up to the row's.
 
-    Counts of training rows up to a value are one ordered window; rows of one value share theirs.
+    A key's values are cut at approximate quantiles, sums of parts are run along the parts, and values only within
+    theirs, so a key with any number of values is never ordered by one task.
     """
-    w = Window.partitionBy(*keys).orderBy(value)
-    t = F.col(train).cast("int")
-    upto = F.sum(t).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    n = F.sum(t).over(Window.partitionBy(*keys))
-    same = F.sum(t).over(Window.partitionBy(*keys, value))
-    floor = 1 / (n + 1)
-    return rows.withColumns({"left": F.greatest(upto / n, floor), "right": F.greatest((n - upto + same) / n, floor)})
+    key = keys or ["_every"]
+    rows = counts if keys else counts.withColumn("_every", F.lit(0))
+    edges = rows.groupBy(*key).agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(2000)).alias("_edges"))
+    cut = rows.join(edges, key).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    along = Window.partitionBy(*key).orderBy("_part")
+    before = cut.groupBy(*key, "_part").agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])
+    before = before.select(*key, "_part", *[(F.sum(f"_sum_{c}").over(along) - F.col(f"_sum_{c}")).alias(f"_before_{c}") for c in columns])
+    within = Window.partitionBy(*key, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumns({f"_local_{c}": F.sum(c).over(within) for c in columns})
+    out = local.join(before, [*key, "_part"]).withColumns({f"upto_{c}": F.col(f"_before_{c}") + F.col(f"_local_{c}") for c in columns})
+    return out.drop("_part", "_every", *[f"_{n}_{c}" for c in columns for n in ("before", "local")])
+
+
+def tail_counts(rows: DataFrame, keys: list[str], value: str, train: str) -> DataFrame:
+    """keys, value, _same (training rows of that value), _upto (up to it) and _n (all): a row per distinct value."""
+    c = rows.groupBy(*keys, value).agg(F.count_if(train).alias("_same"))
+    n = rows.groupBy(*keys).agg(F.count_if(train).alias("_n"))
+    return running(c, keys, value, ["_same"]).withColumnRenamed("upto__same", "_upto").join(n, keys)
+
+
+def tail_probability(rows: DataFrame, keys: list[str], value: str, train: str) -> DataFrame:
+    """left and right tail shares of each row's value among the training rows, at least 1 / (n + 1)."""
+    t = rows.join(tail_counts(rows, keys, value, train), [*keys, value])
+    floor = 1 / (F.col("_n") + 1)
+    share = lambda k: F.greatest(F.try_divide(k, F.col("_n")), floor)
+    return t.withColumns({"left": share(F.col("_upto")), "right": share(F.col("_n") - F.col("_upto") + F.col("_same"))}).drop("_same", "_upto", "_n")
 
 
 def adaptive_threshold(events: DataFrame, keys: list[str], order: str, duration: Column, start: float = 4.0, batch: int = 5) -> DataFrame:

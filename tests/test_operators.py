@@ -199,3 +199,14 @@ def test_sketches_are_close(spark, sf_dir):
 
 def test_clamp(spark):
     assert [one(spark, clamp(F.lit(x), 0.0, 1.0)) for x in (-1.0, 0.5, 7.0)] == [0.0, 0.5, 1.0]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_running_sums_in_parts(spark, parts):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(0, 40, 300), np.full(200, 7), rng.integers(0, 10_000, 300)])
+    rows = spark.createDataFrame([(int(k % 2), float(v)) for k, v in enumerate(x)], "k int, v double").groupBy("k", "v").agg(F.count("*").alias("n"))
+    for r in recursions.running(rows, ["k"], "v", ["n"], parts).collect():
+        assert r["upto_n"] == sum(1 for i, v in enumerate(x) if i % 2 == r["k"] and v <= r["v"])
+    every = recursions.running(rows.groupBy("v").agg(F.sum("n").alias("n")), [], "v", ["n"], parts)
+    assert max(r["upto_n"] for r in every.collect()) == len(x)
