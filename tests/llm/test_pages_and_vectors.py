@@ -30,6 +30,7 @@ def test_any_input(source):
 def test_raw_text_and_quotes():
     assert html.main_text(html.parse("<article><p title='a > b'>x</p><script>if (a < b) { '</p>' }</script>y</article>"), set()) == "x\n\ny"
     assert html.main_text(html.parse("<p>plain</p>"), set()) == "plain"
+    assert html.main_text(html.parse('<div class="page with-sidebar no-ads"><article>a</article><div class="site_notice">n</div></div>'), set()) == "a"
     assert html.main_text(html.parse("<main><p>m</p></main><p>out</p>"), set()) == "m"
 
 
