@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning: sentences are the instances, documents carry the labels.
 
-A sentence's probability is logistic in its words; a document's is the noisy-or of its sentences.  Weights are
-fitted to document labels through that noisy-or, so the sentences that explain a label stand out.
+A sentence's probability is logistic in its words; a document's is the noisy-or of its sentences and of a leak, the
+chance of a label without a sentence to explain it.  Sentences without a weighted word take no part, so long texts
+do not become toxic by their length.  Weights are fitted to document labels through the noisy-or, so the sentences that
+explain a label stand out.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 class ToxicityModel:
-    """Weights of terms and the intercept of a sentence."""
+    """Weights of terms, the intercept of a sentence, and the log odds of the leak."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, weights: dict[str, float], bias: float, leak: float):
+        self.weights, self.bias, self.leak = weights, bias, leak
         self.known: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
@@ -54,35 +56,27 @@ class ToxicityModel:
 
     def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
         low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower()[:1] for c in text)
-        logit = lambda s, e: self.bias + sum(map(self.weight, set(WORD.findall(low[s:e]))))
-        return [(s, e, float(1 / (1 + np.exp(-logit(s, e))))) for s, e in sentences(low)]
+        out = []
+        for s, e in sentences(low):
+            known = [x for w in sorted(set(WORD.findall(low[s:e]))) if (x := self.weight(w))]
+            out.append((s, e, float(1 / (1 + np.exp(-self.bias - sum(known)))) if known else 0.0))
+        return out
 
     def document(self, text: str) -> tuple[float, int, float]:
-        """Noisy-or of the sentences, their number, and the largest; a text without words is one empty sentence.
-
-        Sentences without a weighted word all have the intercept's probability and are only counted.
-        """
+        """Noisy-or of the leak and the sentences, their number, and the largest; a text without words has the leak."""
         low = text.lower()
-        base = -np.logaddexp(0, self.bias)  # log of 1 - p
-        n, log_clean, worst = 0, 0.0, self.bias
+        n, log_clean, worst = 0, -np.logaddexp(0, self.leak), -np.inf
         hit = {w: x for w in set(WORD.findall(low)) if (x := self.weight(w))}
         for m in SENTENCE.finditer(low):
-            if hit:
-                words = set(WORD.findall(m[0]))
-                found = words & hit.keys()
-                if found:
-                    z = self.bias + sum(hit[w] for w in sorted(found))
-                    log_clean -= np.logaddexp(0, z)
-                    worst = max(worst, z)
-                    n += 1
-                    continue
-                n += bool(words)
-                log_clean += base * bool(words)
-            elif WORD.search(m[0]):
-                log_clean += base
-                n += 1
-        if not n:
-            log_clean = base
+            if not hit:
+                n += bool(WORD.search(m[0]))
+                continue
+            words = set(WORD.findall(m[0]))
+            n += bool(words)
+            if found := words & hit.keys():
+                z = self.bias + sum(hit[w] for w in sorted(found))
+                log_clean -= np.logaddexp(0, z)
+                worst = max(worst, z)
         return float(-np.expm1(log_clean)), n, float(1 / (1 + np.exp(-worst)))
 
 
@@ -95,14 +89,14 @@ def telling(ones: int, zeros: int, in_ones: int, in_zeros: int) -> float:
     return g if in_ones * zeros > in_zeros * ones else -g
 
 
-def fit(texts: list[str], labels: np.ndarray, terms: int = TERMS, rounds: int = 400, l1: float = 1e-4, l2: float = 1e-4) -> ToxicityModel:
+def fit(texts: list[str], labels: np.ndarray, terms: int = TERMS, rounds: int = 400, l1: float = 0.1, l2: float = 1e-4) -> ToxicityModel:
     """Gradient descent (Adam, all documents at once) on the log loss of the noisy-or; weights start at 0.
 
-    Without both labels the model has no terms and the intercept of the share of label 1.
+    Without both labels the model has no terms and the leak is the share of label 1.
     """
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     if not len(labels) or labels.min() == labels.max():
-        return ToxicityModel({}, float(np.log(share / (1 - share))))
+        return ToxicityModel({}, 0.0, float(np.log(share / (1 - share))))
     seen: dict[str, list[int]] = {}
     for t, y in zip(texts, labels.tolist(), strict=True):
         for x in {x for w in set(WORD.findall(t.lower())) for x in terms_of(w)}:
@@ -110,36 +104,33 @@ def fit(texts: list[str], labels: np.ndarray, terms: int = TERMS, rounds: int =
     ones, zeros = int(labels.sum()), int((1 - labels).sum())
     ranked = sorted((-telling(ones, zeros, c[1], c[0]), w) for w, c in seen.items() if sum(c) >= LEAST_DOCUMENTS)[:terms]
     index = {w: i for i, (_, w) in enumerate(ranked)}
-    doc, word, bag_doc, counts = [], [], [], np.zeros(len(texts))
+    doc, word, bag_doc = [], [], []
     for d, t in enumerate(texts):
         low = t.lower()
-        spans = sentences(low)
-        counts[d] = max(1, len(spans))
-        for s, e in spans:
+        for s, e in sentences(low):
             ids = [index[x] for w in sorted(set(WORD.findall(low[s:e]))) for x in terms_of(w) if x in index]
             if ids:
                 word += ids
                 doc += [len(bag_doc)] * len(ids)
                 bag_doc.append(d)
     doc, word, bag_doc = np.array(doc, int), np.array(word, int), np.array(bag_doc, int)
-    plain = counts - np.bincount(bag_doc, minlength=len(texts))
     y = labels.astype(float)
-    w, b = np.zeros(len(index)), -4.0
-    m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
+    w, b, c = np.zeros(len(index)), -4.0, -4.0
+    m, v = np.zeros(len(index) + 2), np.zeros(len(index) + 2)
     for r in range(1, rounds + 1):
         z = b + np.bincount(doc, w[word], minlength=len(bag_doc))
-        log_clean = -np.bincount(bag_doc, np.logaddexp(0, z), minlength=len(texts)) - plain * np.logaddexp(0, b)
+        log_clean = -np.bincount(bag_doc, np.logaddexp(0, z), minlength=len(texts)) - np.logaddexp(0, c)
         clean = np.exp(log_clean)
         # d loss / d log_clean
         g = (1 - y) * -1.0 + y * clean / np.maximum(1 - clean, 1e-9)
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-c))
         gz = -g[bag_doc] * p
-        grad = np.append(np.bincount(word, gz[doc], minlength=len(index)) / len(y) + l2 * w, (gz.sum() - (g * plain).sum() * p0) / len(y))
+        grad = np.append(np.bincount(word, gz[doc], minlength=len(index)) / len(y) + l2 * w, [gz.sum() / len(y), -g.sum() * p0 / len(y)])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-        w = np.sign(w) * np.maximum(np.abs(w) - 0.1 * l1 / (np.sqrt(v[:-1] / (1 - 0.999**r)) + 1e-8), 0)
-    return ToxicityModel({t: float(w[i]) for t, i in index.items() if w[i]}, float(b))
+        w, b, c = w - step[:-2], b - step[-2], c - step[-1]
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.1 * l1 / len(y) / (np.sqrt(v[:-2] / (1 - 0.999**r)) + 1e-8), 0)
+    return ToxicityModel({t: float(w[i]) for t, i in index.items() if w[i]}, float(b), float(c))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
