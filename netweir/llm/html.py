@@ -32,8 +32,10 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt figcaption captio
 NEVER = frozenset("aside button canvas datalist dialog embed footer form head iframe input label map math menu nav noscript object option optgroup script search select style svg template textarea title audio video".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 #: Parts of class and id names, and roles, of what is not the article.
-NOISE = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended recommendations related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+NOISE = frozenset("ad ads adslot adunit adv advert adverts advertisement advertising adsense adbox alert alerts announcement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination paywall popup promo promoted promotion recommended recommendations related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toast toolbar topbar widget widgets".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: First parts of names that tell of a layout around the article.
+LAYOUT = frozenset("has no not with without".split())
 #: An open element of the right side's kinds ends when an element of the left side begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
@@ -66,7 +68,8 @@ def noisy(tag: str, raw: str) -> bool:
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
             for word in value.split():
-                if word in NOISE or any(part in NOISE for part in re.split(r"[-_]+", word)):
+                parts = re.split(r"[-_]+", word)
+                if parts[0] not in LAYOUT and (word in NOISE or any(part in NOISE for part in parts)):
                     return True
                 if word in ("header", "site-header", "page-header") and tag != "header":
                     return True
