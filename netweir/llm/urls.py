@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -124,7 +126,7 @@ def train(labelled: DataFrame, rows: int = TRAINING_ROWS, trees: int = 12, depth
     keyed = labelled.withColumns(suffix_keys(F.col("host"), F.col("path")))
     for k in ("_tld", "_lang"):
         t = keyed.groupBy(k).agg(((F.sum("blocked") + 5 * prior) / (F.count("*") + 5)).alias(f"f{k}_rate"), F.log1p(F.count("*").cast("double")).alias(f"f{k}_seen"))
-        stats[k] = durable(t.filter(f"f{k}_seen > {__import__('math').log1p(20)}"))
+        stats[k] = durable(t.filter(f"f{k}_seen > {math.log1p(20)}"))
     model = UrlModel(None, float(prior), stats)
     drawn = labelled.filter(uniform("url", seed=8) < min(1.0, 0.95 * rows / n)).limit(rows)
     names = [*lexical(F.col("url"), F.col("host"), F.col("path")), *SUFFIX_FEATURES]
