@@ -88,13 +88,14 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     collapse by their equal results.
     """
     chosen = versions.groupBy("blob").agg(F.min("path").alias("path"))
-    if ledger is not None:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("_seen"))
-        chosen = chosen.join(seen, "blob", "left")
-    else:
-        chosen = chosen.withColumn("_seen", F.array().cast("array<struct<kind:string,version:int>>"))
+    if ledger is None:
+        # a table without rows that planning does not see through: a literal would let the scan of texts move below the
+        # join, to versions of blobs that another version stands for
+        ledger = versions.sparkSession.range(1).filter("id > 0").select(F.col("id").cast("string").alias("blob"), F.lit("").alias("kind"), F.lit(0).alias("version"))
+    seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("_seen"))
+    chosen = chosen.join(seen, "blob", "left")
     have = lambda r: F.coalesce(F.array_contains("_seen", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))), F.lit(False))
-    todo = chosen.filter(~F.expr("true") if not rules else ~_all(have(r) for r in rules))
+    todo = chosen.filter(~_all(have(r) for r in rules))
     picked = versions.alias("v").join(todo.hint("shuffle_hash").alias("c"), (F.col("v.blob") == F.col("c.blob")) & F.col("v.path").eqNullSafe(F.col("c.path"))).select("v.blob", "v.text", "c._seen")
     none = F.array().cast(f"array<struct<{_fields()}>>")
     spans = F.concat(*[F.when(~have(r), spans_of(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)])
