@@ -29,7 +29,7 @@ SEGMENTS_256 = tuple((16 * i, 16, int(i < 9)) for i in range(16))
 DISTANCE_256 = 42
 #: A bucket with more fingerprints than this is compared in pairs of blocks, each a group of its own.
 BLOCK = 4096
-PAIRS = 2_000_000
+PAIRS = 500_000
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -93,7 +93,7 @@ def _filed(batches: Iterator[pa.RecordBatch], segments) -> Iterator[pa.RecordBat
 
     Two values one bit apart meet once: the one that has the bit looks under the value without it.
     """
-    for b in batches:
+    for b in small(batches, 1000):
         col = b.column(0)
         n = len(col)
         if not n:
@@ -175,7 +175,7 @@ def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
         fp = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(len(b), -1)
         held.append((key, np.asarray(b.column(3)), fp))
         rows += len(b)
-        if rows >= 200_000:
+        if rows >= 100_000:
             key, kind, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             change = np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1))
             if len(change):  # the last group may go on in the next batch
