@@ -22,11 +22,6 @@ SEED = 42
 #: (first bit, bits, radius): four differing bits over three segments leave one within its radius, as 2 + 2 + 1 > 4.
 SEGMENTS_64 = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 DISTANCE_64 = 4
-#: 256 bits for the pipeline: at a similarity of 0.8 about 15 % of the bits differ; nine segments of 16 bits
-#: looked up with radius 1 and seven without find 97 % of such pairs.
-SEGMENTS_256 = tuple((16 * i, 16, int(i < 9)) for i in range(16))
-#: Differing bits of 256 at a shingle similarity of 0.8: 39, with a standard deviation of 6.
-DISTANCE_256 = 42
 #: A bucket with more fingerprints than this is compared in pairs of blocks, each a group of its own.
 BLOCK = 4096
 PAIRS = 500_000
@@ -225,16 +220,17 @@ def groups_digest(docs: DataFrame) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, k: int = 5, words: int = 4, segments=SEGMENTS_256, distance: int = DISTANCE_256, ident: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 5, ident: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id, then the smallest hash.
 
-    Shingles of five words and fingerprints of 256 bits; the distance is what a similarity of 0.8 gives.  Texts
-    without a word are all alike and leave one row.
+    Two texts are near duplicates if their sets of shingles of five words have a similarity of at least 0.8, which is
+    computed exactly.  Texts without a word are all alike and leave one row.
     """
-    marked = durable(with_fingerprints(docs.select(ident, "text"), k, words, keep=[ident, "text"]).withColumn("_row", F.xxhash64(ident, "text")).select(ident, "_row", "fingerprint"))
-    roots = star_components(links(marked, segments, distance))
-    named = marked.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    chosen = named.groupBy("root").agg(F.min(F.struct(F.col(ident).isNull().alias("_null"), F.col(ident).alias("_id"), F.col("_row"))).alias("_best")).select("_best._id", "_best._row")
+    from .shingles import near_nodes, with_nodes
+
+    marked = durable(with_nodes(docs.select(ident, "text").withColumn("_row", F.xxhash64(ident, "text")), [ident, "_row"]))
+    named = marked.join(near_nodes(docs, k), "node", "left").withColumn("_alone", F.when(F.col("root").isNull(), F.col("node")))
+    chosen = named.groupBy("root", "_alone").agg(F.min(F.struct(F.col(ident).isNull().alias("_null"), F.col(ident).alias("_id"), F.col("_row"))).alias("_best")).select("_best._id", "_best._row")
     keyed = docs.withColumn("_row", F.xxhash64(ident, "text"))
     kept = keyed.alias("d").join(chosen.hint("shuffle_hash").alias("c"), (F.col("d._row") == F.col("c._row")) & F.col(f"d.{ident}").eqNullSafe(F.col("c._id")), "left_semi")
     return kept.dropDuplicates([ident, "_row"]).drop("_row")

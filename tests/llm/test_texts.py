@@ -107,6 +107,36 @@ def test_one_of_each(made):
     assert clean <= set(got)
 
 
+def shingle_set(text, k=5):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_one_of_each_is_exact(spark):
+    """Every pair of a similarity of 0.8 loses one side, and nothing else goes."""
+    rng = random.Random(11)
+    rows = []
+    for base in range(40):
+        near = [f"v{rng.randrange(5000)}" for _ in range(rng.choice([12, 40, 150]))]
+        rows.append(" ".join(near))
+        for _ in range(6):
+            other = list(near)
+            for _ in range(rng.randrange(1, 5)):
+                at = rng.randrange(len(other))
+                other[at : at + rng.randrange(2)] = ["x" + str(rng.randrange(9**9)) for _ in range(rng.randrange(3))]
+            rows.append(" ".join(other))
+    rows += ["same start " * 60 + " ".join(f"t{i}_{j}" for j in range(6)) for i in range(4)]  # like fingerprints, unlike sets
+    sets = [shingle_set(t) for t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) and group[a] != group[b]:
+                lo, hi = sorted((group[a], group[b]))
+                group = [lo if g == hi else g for g in group]
+    kept = simhash.one_of_each(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group))
+
+
 # ---- substrings
 
 
