@@ -30,6 +30,7 @@ BLOCK = 16
 RUNS = 64
 #: Items of one index; a longer benchmark is cut into several, each queried in turn.
 ITEMS = 20_000
+#: Shorter items have no index; they are found as exact runs of words.
 LEAST_WORDS = 4
 #: ASCII letters and digits and every byte of other scripts are word characters.
 BLACK = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -61,12 +62,13 @@ class Postings:
 
 
 class LeakIndex:
-    """Items of at least ``LEAST_WORDS`` words; shorter ones say too little to be found."""
+    """Items of at least ``LEAST_WORDS`` words, and beside the index the runs of words that shorter ones are."""
 
     def __init__(self, items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean_length: float):
         self.ids: list[int] = []
         self.words: list[list[int]] = []
         self.parts: list[int] = []
+        self.short: dict[int, list[tuple[int, list[int]]]] = {}
         powers = Powers()
         split = [(ident, *(self._words(x, powers) for x in question_and_answer(text.encode()))) for ident, text in items]
         for ident, q, a in sorted(split, key=lambda x: (len(x[1]) + len(x[2]), x[0])):
@@ -74,9 +76,12 @@ class LeakIndex:
                 self.ids.append(ident)
                 self.words.append(q + a)
                 self.parts.append(len(q))
+            elif q or a:
+                self.short.setdefault(len(q + a), []).append((ident, q + a))
         self.vocabulary = np.array(sorted({w for ws in self.words for w in ws}), dtype=np.uint64)
         number = {int(h): i for i, h in enumerate(self.vocabulary.tolist())}
         self.words = [[number[w] for w in ws] for ws in self.words]
+        self.shares: list[dict[int, float]] = []
         lists: dict[int, tuple[list[int], list[float]]] = {}
         for i, ws in enumerate(self.words):
             tf: dict[int, int] = {}
@@ -87,6 +92,7 @@ class LeakIndex:
                 n = df.get(int(self.vocabulary[w]), 1)
                 impact[w] = np.log(1 + (n_items - n + 0.5) / (n + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ws) / mean_length))
             own = sum(impact.values())
+            self.shares.append({w: float(x / own) for w, x in impact.items()})
             for w, x in impact.items():
                 items_of, impacts = lists.setdefault(w, ([], []))
                 items_of.append(i)
@@ -190,19 +196,58 @@ class LeakIndex:
         answer = len(words) - cut
         return in_order(words, passage) / len(words), q / cut if cut else 1.0, a / answer if answer else 1.0
 
+    def verified(self, item: int, passage: np.ndarray) -> tuple[float, float, float, int] | None:
+        """(score, overlaps, first word) of the best window of the passage that holds the item.
+
+        Windows are twice as long as the item and begin half of it apart, so words that lie scattered over a
+        longer passage are no match.
+        """
+        words = self.words[item]
+        size, step, n = 2 * len(words), max(1, len(words) // 2), len(passage)
+        own = np.concatenate(([0], np.cumsum(np.isin(passage, words))))
+        begin = np.arange(0, max(0, n - size) + step, step)
+        begin = begin[begin < n]
+        end = np.minimum(begin + size, n)
+        best = None
+        for w in np.flatnonzero(own[end] - own[begin] >= OVERLAP * len(words) - 1e-9).tolist():
+            window = passage[begin[w] : end[w]].tolist()
+            whole, question, answer = self.overlaps(item, window)
+            if whole >= OVERLAP and min(question, answer) >= PART_OVERLAP:
+                score = sum(self.shares[item].get(t, 0.0) for t in set(window))
+                if score >= THRESHOLD - 1e-12 and (best is None or (score, question, answer) > best[:3]):
+                    best = (score, question, answer, int(begin[w]))
+        return best
+
     def matches(self, numbers: np.ndarray, first: np.ndarray) -> dict[int, dict[int, tuple[float, float, float, int]]]:
-        """For each text with any, its verified items: (score, overlaps, first word of the passage), the best passage of each."""
+        """For each text with any, its verified items: (score, overlaps, first word of the window), the best window of each."""
         found: dict[int, dict[int, tuple[float, float, float, int]]] = {}
         for text, begin, end, terms in self.candidates(numbers, first):
-            for item, score in self.above(terms):
-                whole, question, answer = self.overlaps(item, numbers[begin:end].tolist())
-                if whole >= OVERLAP and min(question, answer) >= PART_OVERLAP:
+            for item, _ in self.above(terms):
+                if best := self.verified(item, numbers[begin:end]):
                     own = found.setdefault(text, {})
-                    new = (score, question, answer, begin - int(first[text]))
+                    new = (*best[:3], begin - int(first[text]) + best[3])
                     if self.ids[item] not in own or new[:3] > own[self.ids[item]][:3]:
                         own[self.ids[item]] = new
         return found
 
+    def all_matches(self, h: np.ndarray, first: np.ndarray) -> dict[int, dict[int, tuple[float, float, float, int]]]:
+        """``matches``, and the items under ``LEAST_WORDS`` words, found where all their words follow one another."""
+        found = self.matches(self.numbers(h), first) if self.ids else {}
+        for n, items in self.short.items():
+            if len(h) < n:
+                continue
+            heads = np.flatnonzero(np.isin(h[: len(h) - n + 1], np.array([w[0] for _, w in items], np.uint64)))
+            text = np.searchsorted(first, heads, "right") - 1
+            inside = heads + n <= first[text + 1]
+            heads, text = heads[inside], text[inside]
+            for ident, words in items:
+                hit = np.ones(len(heads), bool)
+                for d, w in enumerate(words):
+                    hit &= h[heads + d] == np.uint64(w)
+                for t, at in zip(text[hit].tolist(), heads[hit].tolist(), strict=True):
+                    found.setdefault(t, {}).setdefault(ident, (1.0, 1.0, 1.0, at - int(first[t])))
+        return found
+
 
 def in_order(words: list[int], passage: list[int]) -> int:
     """The length of the longest common subsequence, a bit for each word."""
@@ -246,7 +291,7 @@ def indexes(benchmark: DataFrame, ident: str = "item_id", text: str = "text", it
         held = own.select("text").mapInArrow(terms, "term long, df long, words long").filter("term IS NOT NULL").select("term").distinct()
         df = {r["term"] % 2**64: r["df"] for r in stats.join(held, "term").select("term", "df").collect()}
         out.append(LeakIndex([(r["item"], r["text"]) for r in own.collect()], df, n, mean))
-    return [x for x in out if x.ids]
+    return [x for x in out if x.ids or x.short]
 
 
 def _slices(col: pa.Array, powers: Powers) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -277,7 +322,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id") -> DataF
             for b in batches:
                 rows, found = [], []
                 for at, h, first in _slices(b.column(1), powers):
-                    for text, items in own.matches(own.numbers(h), first).items():
+                    for text, items in own.all_matches(h, first).items():
                         for item, m in sorted(items.items()):
                             rows.append(at + text)
                             found.append((item, *m))
@@ -301,7 +346,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in batches:
                 clean = np.ones(len(b), bool)
                 for at, h, first in _slices(b.column(b.schema.get_field_index("text")), powers):
-                    for text in own.matches(own.numbers(h), first):
+                    for text in own.all_matches(h, first):
                         clean[at + text] = False
                 yield b.filter(pa.array(clean))
 

@@ -224,6 +224,22 @@ def test_leaks(spark, made, bench):
     assert leaks.without_leaks(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_leaks_beside_a_long_item(spark):
+    """Words scattered over a passage as long as the longest item are no match; items of few words are runs."""
+    rng = random.Random(9)
+    filler = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    item = "the house was on the old road by the sea"
+    items = [(1, " ".join(f"z{i}" for i in range(3000))), (2, item), (3, "Blue whale?"), (4, "heron"), (5, " ")]
+    scattered = filler(2000)
+    for i, w in enumerate(item.split()):
+        scattered[150 * i + 100] = w
+    rows = [(1, " ".join(scattered)), (2, " ".join([*filler(1501), *item.split(), *filler(900)])), (3, "a blue, WHALE swam"), (4, "whale blue"), (5, "blue"), (6, "whale heron"), (7, items[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, bench).collect()} == {(2, 2), (3, 3), (6, 4), (7, 1)}
+    assert {r["doc_id"] for r in leaks.without_leaks(docs, bench).collect()} == {1, 4, 5}
+
+
 def test_leak_indexes_in_shards(spark, bench):
     docs = spark.createDataFrame([(1, ITEMS[0][1]), (2, ITEMS[1][1])], "doc_id long, text string")
     whole, cut = leaks.indexes(bench), leaks.indexes(bench, items=1)
