@@ -1,9 +1,11 @@
 """HTML extraction, URL filters and nearest neighbours."""
 
+import pickle
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netweir.llm import ann, html, urls
 
@@ -100,50 +102,88 @@ def test_trees_learn(spark):
 
 
 def exact(rows, k=5):
-    fine = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    dim = max({len(v) for _, v in fine}, key=lambda n: (sum(len(v) == n for _, v in fine), n), default=0)
-    fine = [(i, v) for i, v in fine if len(v) == dim]
+    """query -> (id, cosine) of the k nearest vectors of its length, in rows of (id, vector)."""
+    fine = [(i, ann.scaled(np.array([v], float))[0]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
     for i, q in fine:
         if i % 50 == 0:
-            near = sorted({(-round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 9), j) for j, v in fine if j != i})
-            out[i] = [(j, -s) for s, j in near[:k]]
-    return out
+            near = {}
+            for j, v in fine:
+                if j != i and len(v) == len(q):
+                    near[j] = max(near.get(j, -2), round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 9))
+            out.setdefault(i, []).extend((-s, j) for j, s in near.items())
+    best = {i: sorted({j: s for s, j in sorted(xs, reverse=True)}.items(), key=lambda x: (x[1], x[0]))[:k] for i, xs in out.items()}
+    return {i: [(j, -s) for j, s in xs] for i, xs in best.items() if xs}
 
 
-def test_small_tables_are_exact(spark):
+def found(df):
+    got = {}
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
+def recall(got, want):
+    return sum(len({j for j, _ in got[q]} & {j for j, _ in near}) for q, near in want.items()) / sum(map(len, want.values()))
+
+
+def test_awkward_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(0, 400)]
-    rows += [(1000 + i, rows[50][1]) for i in range(30)] + [(2000, None), (2050, [0.0] * 8), (2100, [float("nan")] * 8), (2150, [None] * 8), (2200, [1.0, 2.0]), (2250, []), (None, rows[0][1]), (-50, rows[3][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS v", "1 AS part")
+    rows += [(1000 + i, rows[50][1]) for i in range(60)]  # ties, queries among them
+    rows += [(2000, None), (2050, [0.0] * 8), (2100, [float("nan")] * 8), (2150, [None] * 8), (2200, [1.0, 2.0]), (2201, [2.0, 1.0]), (2300, [7.0]), (2250, []), (None, rows[0][1]), rows[100], rows[100], rows[3]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS v", "1 AS part", "2 AS h1", "3 AS ids")
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    want, got = exact(rows), {}
-    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    assert set(got) == set(want)
-    for q, near in want.items():
-        assert [j for j, _ in got[q]] == [j for j, _ in near]
-        assert [s for _, s in got[q]] == pytest.approx([s for _, s in near], abs=1e-8)
+    want, got = exact(rows), found(df)
+    assert set(got) == set(want) and recall(got, want) >= 0.9
+    scores = {(q, j): s for q, near in exact(rows, 10**6).items() for j, s in near}
+    for q, near in got.items():
+        assert len(near) == len(want[q]) and near == sorted(near, key=lambda x: (-round(x[1], 9), x[0]))
+        assert all(s == pytest.approx(scores[q, j], abs=1e-8) for j, s in near)
+    assert [j for j, _ in got[1000]] == [50, 1001, 1002, 1003, 1004] and got[2200] == [(2201, pytest.approx(0.8))]
     assert ann.nearest(df.limit(0)).count() == 0
     assert ann.nearest(df.filter("vec_id = 50")).count() == 0
     assert ann.nearest(df.filter("vec_id IN (50, 51, 52)")).count() == 2
+    same = found(spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [1.0, 0.1]), (52, [0.1, 2.0])], "vec_id long, embedding array<double>"))
+    assert [j for j, _ in same[50]] == [52, 51]
+
+
+def test_components_of_any_size(spark):
+    rows = [(50, [1e200, 1e200]), (51, [1e200, 0.0]), (52, [1e-200, 1e-200]), (53, [1.0, 1.0]), (54, [5e-324, 0.0]), (55, [-1.7e308, 1.7e308])]
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert [j for j, _ in got[50]] == [52, 53, 51, 54, 55]
+    assert [s for _, s in got[50]] == pytest.approx([1, 1, 0.5**0.5, 0.5**0.5, 0])
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_given_vectors(spark, sf):
+    """The partition is in use on tables of any size, and finds what brute force finds."""
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    levels, index = ann.build(ann.distinct_vectors(ann.usable(df), 5, 50))
+    router = pickle.loads(levels[0][0].first()["router"])
+    assert 2 <= router.probes < router.parts == index.select("part").distinct().count()
+    want = exact([tuple(r) for r in df.select("vec_id", "embedding").collect()])
+    assert recall(found(df), want) >= 0.95
 
 
-def test_parts_route_queries(spark, monkeypatch):
+@pytest.mark.parametrize("routers", [ann.ROUTERS, 0])
+def test_parts_of_parts(spark, monkeypatch, routers):
     monkeypatch.setattr(ann, "BLOCK", 200)
+    monkeypatch.setattr(ann, "LARGE", 900)
+    monkeypatch.setattr(ann, "PARTS", 4)
+    monkeypatch.setattr(ann, "ROUTERS", routers)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16)) * 3
     x = centres[rng.integers(0, 40, 9000)] + rng.normal(size=(9000, 16))
     rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    router, index = ann.build(df)
-    assert router.parts == 4 and router.probes < 4
-    filed = [r["n"] for r in index.groupBy("part").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()]
-    assert max(filed) < 2.5 * 9000 / 4
-    want, hits = exact(rows), 0
-    for r in ann.nearest(df).collect():
-        hits += r["vec_id"] in {j for j, _ in want[r["query_id"]]}
-    assert hits >= 0.9 * 5 * len(want)
+    levels, index = ann.build(ann.distinct_vectors(ann.usable(df), 5, 50), 2000)
+    sizes = [r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert len(levels) >= 2 and len(sizes) > 8 and max(sizes) <= 900 and sum(sizes) == 9000
+    assert all(r["part"].count("/") >= 1 for r in index.select("part").distinct().collect())
+    assert pickle.loads(levels[0][0].first()["router"]).probes < 4
+    assert recall(found(df), exact(rows)) >= 0.9
 
 
 def test_balance():
