@@ -2,6 +2,8 @@
 
 import pickle
 import random
+import time
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -22,7 +24,7 @@ def test_article():
     assert html.main_text(html.parse(PAGE), set()) == WANT
 
 
-@pytest.mark.parametrize("source", ["", "plain", "<", "<p", "<p>a", "</p></div>", "<script>x", "<!-- open", "<a <b>c", "<p>" * 3000, "<div>" * 400 + "x", "<title>t", "&#xD800;&bad;", "<p a='>'>q</p>"])
+@pytest.mark.parametrize("source", ["", "plain", "<", "<p", "<p>a", "</p></div>", "<script>x", "<!-- open", "<a <b>c", "<p>" * 3000, "<div>" * 400 + "x", "<title>t", "&#xD800;&bad;", "<p a='>'>q</p>", "<!-->x<!--->y", "</>", "</ x>y", "<!>", "<p/><p/ a", "<b><p>x</b>y"])
 def test_any_input(source):
     text = html.main_text(html.parse(source), set())
     assert isinstance(text, str)
@@ -34,6 +36,23 @@ def test_raw_text_and_quotes():
     assert html.main_text(html.parse("<p>plain</p>"), set()) == "plain"
     assert html.main_text(html.parse('<div class="page with-sidebar no-ads"><article>a</article><div class="site_notice">n</div></div>'), set()) == "a"
     assert html.main_text(html.parse("<main><p>m</p></main><p>out</p>"), set()) == "m"
+    assert html.main_text(html.parse("<main><h1>t</h1><p>by me</p><article>a</article><article>b</article></main>"), set()) == "t\n\na\n\nb"
+    assert html.main_text(html.parse("""<article><p title="it's>hello</p><p a=b">x</p></article>"""), set()) == "x"  # as HTML reads it: the value ends at the next quote
+    assert html.main_text(html.parse("""<article><p title="it's>hello</p><p>x</p></article>"""), set()) == "hello\n\nx"
+    assert html.main_text(html.parse("<p>a<!-->b<!-- c --!>d</p><p"), set()) == "abd"
+
+
+LONG = {"quotes": '<p a="', "names": "<a ", "depth": "<div>x", "open": "<b>", "ends": "<div></x>", "items": "<ul><li>", "comments": "<!--", "raw": "<script>", "attributes": '<div class="a" ', "blanks": "<a   ", "less": "<"}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_pages_take_linear_time(kind):
+    source = LONG[kind] * (1_000_000 // len(LONG[kind]))
+    source += "<p>end</p>" * (20_000 if kind == "open" else 1)
+    began = time.time()
+    page = html.parse(source)
+    html.subtrees(page), html.frames(page), html.main_text(page, {1})
+    assert time.time() - began < 5
 
 
 def test_site_templates(spark):
@@ -44,19 +63,71 @@ def test_site_templates(spark):
     bodies = {r[0]: r[2].split("<p>")[1].split("</p>")[0] for r in rows}
     rows += [(100 + i, "http://b.example/", page("the same words", "<div>x</div>")) for i in range(20)]
     rows += [(200, None, page("no host")), (201, "http://c.example", None), (202, "http://c.example", ""), rows[0]]
-    rows += [(300 + i, f"http://d.example/{i}", f"<article><div>Share this now</div><p>shared prose</p><p>{say()}</p></article>") for i in range(8)]
+    passage = " ".join(f"long{i}" for i in range(60))  # a passage that pages share is no notice
+    rows += [(300 + i, f"http://d.example/{i}", f"<article><div>Share this now</div><p>We changed our terms.</p><p>{passage}</p><p>{say()}</p></article>") for i in range(8)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r for r in html.main_texts(df.selectExpr("*", "1 AS text", "2 AS host")).collect()}
     assert all(got[i]["text"] == b for i, b in bodies.items())
     assert "the same words" in got[100]["text"]  # copies of one page make no template
     assert got[200]["text"] == "Top of the site\n\nno host\n\nBottom"
     assert got[201]["text"] == got[202]["text"] == "" and got[201]["n_chars"] == 0
-    assert all(got[300 + i]["text"].startswith("shared prose\n\n") for i in range(8))
+    assert all(got[300 + i]["text"].startswith(passage + "\n\n") for i in range(8))
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html.main_texts(df).count() == len(rows)
     assert html.main_texts(df.limit(0)).count() == 0
 
 
+def plain_pages(n, rng):
+    """Pages whose names tell nothing: (page, article) with a menu, a promotion and a credit line of ever other words."""
+    say = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    for _ in range(n):
+        title, body = say(4), [say(30) for _ in range(rng.randrange(1, 6))]
+        text = "".join(f"<p>{x}</p>" for x in body)
+        yield f'<body><div class="x{rng.randrange(9)}"><ul><li>{say(1)}</li><li>{say(1)}</li></ul></div><div class="q"><h1>{title}</h1>{text}<div>Read our letter</div></div><div class="r">{say(3)}</div><table><tr><td>{say(2)}</td></tr></table></body>', "\n\n".join([title, *body])
+
+
+def test_templates_alone(spark):
+    """Where no name tells, what recurs by its words or by its shape goes, and the article stays whole."""
+    rng = random.Random(4)
+    made = list(plain_pages(30, rng))
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string")
+    assert all(html.main_text(html.parse(p), set()) != text for p, text in made)
+    got = {r["page_id"]: r["text"] for r in html.main_texts(df).collect()}
+    assert [got[i] for i in range(30)] == [text for _, text in made]
+
+
+def test_given_pages_need_no_names(spark):
+    """With every name and class taken away, templates alone find the articles of the given pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<(/?)(article|nav|footer|aside|header|main)", "<$1div"), ' class="[^"]*"', ""))
+    want = {r["page_id"]: r["text"] for r in html.main_texts(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in html.main_texts(bare).collect()}
+    assert len(got) == 2500 and all(want.values())
+    assert sum(got[i] == t for i, t in want.items()) >= 2475
+
+
+def test_host_counts(spark):
+    """Templates of texts are what a count of pages by distinct articles says."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        host = rng.choice("abc")
+        rows.append((f"{host}.example", "".join(f"<div>{rng.choice(['menu', 'more', 'top', 'end', 'few'] + [str(rng.random())] * 3)}</div>" for _ in range(3)) + f"<p>{rng.randrange(40)}</p>"))
+    pages, trees = defaultdict(set), defaultdict(set)
+    for host, source in rows:
+        page = html.parse(source)
+        sign = html.main_text(page, set())
+        pages[host].add(sign)
+        for i, h in html.subtrees(page):
+            trees[host, h, page.elements[i].tag in html.PROSE].add(sign)
+    want = defaultdict(set)
+    for (host, h, prose), signs in trees.items():
+        if len(signs) >= max(html.LEAST_PAGES, len(pages[host]) * (html.PROSE_SHARE if prose else html.LEAST_SHARE)):
+            want[host].add(h)
+    got = html.host_templates(spark.createDataFrame(rows, "host string, html string")).collect()
+    assert {r["host"]: {h for h in r["templates"] if h >= 0} for r in got} == want
+
+
 def parts(url):
     if url is None or "://" not in url:
         return "", ""
