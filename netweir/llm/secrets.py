@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FINDING = "kind string, rank int, start long, end long"
+SPAN = "struct<kind:string,version:int,rank:int,start:bigint,end:bigint>"
 
 
 @dataclass(frozen=True)
@@ -38,34 +38,32 @@ RULES = (
 )
 
 
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """array<struct<kind, rank, start, end>> of one rule in code points, end exclusive.
+def no_spans() -> Column:
+    return F.array().cast(f"array<{SPAN}>")
 
-    The pieces between matches and the matches themselves alternate, so running sums of their lengths
-    are the positions.
-    """
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p).cast("long"))
-    lengths = F.transform(found, lambda m: F.length(m).cast("long"))
-    # the last piece has no match after it, and its null length is never used
-    if rule.group:
-        kept = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda m: F.length(m) >= rule.least)
-    else:
-        kept = F.transform(lengths, lambda n: n >= rule.least)
-    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), lengths.alias("n"), kept.alias("ok"))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<struct<{_fields()}>>").alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        end = start + m["n"]
-        span = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(m["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+def running_sums(xs: Column) -> Column:
+    """Sums of an array up to each of its numbers, by steps of 1, 2, 4, ..: n log n additions, whatever n."""
+    steps = F.when(F.size(xs) > 1, F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.size(xs) - 0.5)).cast("int")), lambda e: F.pow(F.lit(2), e).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, xs, lambda acc, d: F.transform(acc, lambda x, i: x + F.when(i >= d, F.get(acc, i - d)).otherwise(0)))
 
-    return F.aggregate(steps, begin, step, lambda acc: acc["out"])
 
+def spans_of(text: Column, rule: Rule, rank: int) -> Column:
+    """array<struct<kind, version, rank, start, end>> of one rule in code points, end exclusive.
 
-def _fields() -> str:
-    return "kind:string,rank:int,start:bigint,end:bigint"
+    The pieces between matches and the matches themselves alternate, so running sums of their lengths
+    are the positions.  A text is first asked for any match, and read again only if it has one.
+    """
+    # what a lambda names is computed once: pieces and matches are zipped before anything walks over them
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x).cast("long"))
+    found = lambda group: lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)))
+    zipped = F.arrays_zip(lengths(F.split(text, rule.pattern, -1)).alias("gap"), found(0).alias("n"), found(rule.group).alias("counted"))
+    # the last piece has no match after it
+    steps = F.transform(F.filter(zipped, lambda x: x["n"].isNotNull()), lambda x: F.struct((x["gap"] + x["n"]).alias("step"), x["n"], (x["counted"] >= rule.least).alias("ok")))
+    ends = lambda xs: F.arrays_zip(xs.alias("m"), running_sums(F.transform(xs, lambda x: x["step"])).alias("end"))
+    kept = lambda xs: F.filter(ends(xs), lambda x: x["m"]["ok"])
+    span = lambda x: F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), F.lit(rank).alias("rank"), (x["end"] - x["m"]["n"]).alias("start"), x["end"].alias("end"))
+    return F.when(text.rlike(rule.pattern), F.flatten(F.transform(F.array(steps), lambda xs: F.transform(kept(xs), span)))).otherwise(no_spans())
 
 
 def ledger_of(versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -97,9 +95,8 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     have = lambda r: F.coalesce(F.array_contains("_seen", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))), F.lit(False))
     todo = chosen.filter(~_all(have(r) for r in rules))
     picked = versions.alias("v").join(todo.hint("shuffle_hash").alias("c"), (F.col("v.blob") == F.col("c.blob")) & F.col("v.path").eqNullSafe(F.col("c.path"))).select("v.blob", "v.text", "c._seen")
-    none = F.array().cast(f"array<struct<{_fields()}>>")
-    spans = F.concat(*[F.when(~have(r), spans_of(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)])
-    found = picked.select("blob", F.array_sort(spans, lambda a, b: _order(a, b)).alias("spans"))
+    spans = F.concat(*[F.when(~have(r), spans_of(F.col("text"), r, k)).otherwise(no_spans()) for k, r in enumerate(rules)])
+    found = picked.select("blob", in_order(spans).alias("spans"))
     return found.filter(F.size("spans") > 0).dropDuplicates(["blob"])
 
 
@@ -110,26 +107,45 @@ def _all(xs) -> Column:
     return out
 
 
-def _order(a: Column, b: Column) -> Column:
-    by = lambda f: F.when(a[f] < b[f], -1).when(a[f] > b[f], 1)
-    return F.coalesce(by("start"), by("rank"), by("end"), F.lit(0))
+def in_order(spans: Column) -> Column:
+    """Spans by start, then by the place of their kind among the rules, then by end."""
+    keyed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"], x["rank"], x["end"].alias("to"), x.alias("span"))))
+    return F.transform(keyed, lambda x: x["span"])
+
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """The ledger and the findings after ``versions`` are scanned, from those before: one increment.
+
+    ``ledger`` has (blob, kind, version) and ``findings`` (blob, spans) of all increments so far, of all versions of
+    rules; only pairs that are new are scanned.  Findings of a blob are kept once, whatever paths hold it.
+    """
+    known = ledger_of(versions, rules)
+    new = scan_unseen(versions, ledger, rules)
+    if ledger is not None:
+        known = known.unionByName(ledger).distinct()
+    if findings is not None:
+        new = new.unionByName(findings).groupBy("blob").agg(in_order(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    return known, new
 
 
-def on_paths(versions: DataFrame, findings: DataFrame) -> DataFrame:
-    """path, blob, spans (null if none) for every version: findings joined back by content."""
-    return versions.select("path", "blob").join(findings, "blob", "left")
+def on_paths(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """path, blob, spans (null if none) for every version: findings of the rules' present versions joined back by content."""
+    now = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    present = findings.withColumn("spans", F.filter("spans", lambda x: F.array_contains(now, F.struct(x["kind"].alias("kind"), x["version"].alias("version"))))).filter(F.size("spans") > 0)
+    return versions.select("path", "blob").join(present, "blob", "left")
 
 
-def findings_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def findings_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
     """One row per document with counts, the base spans' hash and all spans as text.
 
     Null and empty texts have no spans; equal texts share one scan; equal rows each get a row; an empty table
-    gives an empty result.
+    gives an empty result.  With ``ledger`` and ``findings`` of earlier scans, only what they lack is scanned.
     """
     versions = addressed(docs, "doc_id")
-    spans = F.coalesce("spans", F.array().cast(f"array<struct<{_fields()}>>"))
+    spans = F.coalesce("spans", no_spans())
     text = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     names = [r.kind for r in rules if r.base]
     base = F.filter(spans, lambda s: s["kind"].isin(*names))
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return on_paths(versions, scan_unseen(versions, None, rules)).select(F.col("path").alias("doc_id"), *[count(k) for k in names], F.sha2(text(base), 256).alias("base_sha256"), text(spans).alias("spans"))
+    found = scan(versions, ledger, findings, rules)[1]
+    return on_paths(versions, found, rules).select(F.col("path").alias("doc_id"), *[count(k) for k in names], F.sha2(text(base), 256).alias("base_sha256"), text(spans).alias("spans"))
