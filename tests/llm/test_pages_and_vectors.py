@@ -172,6 +172,19 @@ def test_trees_learn(spark):
     assert np.mean([(r["p_block"] >= 0.5) == bool(r["blocked"]) for r in got]) > 0.97
 
 
+def test_suffixes_do_not_decide(spark):
+    """Verdicts of pages without a rule vary within a suffix, and no suffix statistic carries the trees."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rules = urls.rules_table(spark)
+    free = urls.judge(pages, rules).filter("rule IS NULL").groupBy(F.substring_index("host", ".", -1).alias("tld")).agg(F.countDistinct("p_block").alias("scores"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count("*").alias("n")).collect()
+    assert {r["tld"] for r in free} == {"net", "org"} and all(r["scores"] > 5 and 0 < r["blocked"] < r["n"] for r in free)
+    model = urls.train(urls.labelled_by_rules(pages, rules))
+    parts = model.importances()
+    assert sum(parts.values()) == pytest.approx(1) and sum(parts[k] for k in urls.SUFFIX_FEATURES) < 0.5
+    accuracy, area = urls.held_out(urls.labelled_by_rules(pages, rules))
+    assert accuracy > 0.6 and area > 0.6
+
+
 def exact(rows, k=5):
     """query -> (id, cosine) of the k nearest vectors of its length, in rows of (id, vector)."""
     fine = [(i, ann.scaled(np.array([v], float))[0]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
