@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, string_bytes
+from .common import durable, small, string_bytes
 from .fmindex import FMIndex
 
 WINDOW = 35
@@ -251,9 +251,10 @@ def repeated_intervals(texts: DataFrame, scan: DataFrame, window: int = WINDOW,
     shape = "key long, anchor long, start int, words int, times int"
     first = scan.mapInArrow(lambda it: _anchored(it, window, gram, Common([])), shape).groupBy("anchor").count().filter(F.col("count") > COMMON)
     common = Common([r[0] for r in first.orderBy(F.desc("count"), "anchor").limit(COMMON_KEPT).select("anchor").collect()])
-    marks = texts.mapInArrow(lambda it: _anchored(it, window, gram, common), shape)
-    w = Window.partitionBy("anchor")
-    twice = marks.withColumns({"total": F.sum("times").over(w), "pieces": F.count("*").over(w)}).filter("total > 1")
+    marks = durable(texts.mapInArrow(lambda it: _anchored(it, window, gram, common), shape))
+    # counts are summed before they are shuffled and joined back, so that a common anchor is no group of rows
+    counts = marks.groupBy("anchor").agg(F.sum("times").alias("total"), F.count("*").alias("pieces")).filter("total > 1").select("anchor", "pieces")
+    twice = marks.join(counts, "anchor")
     lists = twice.groupBy("key").agg(F.collect_set(F.struct("start", "words", "anchor", (F.col("pieces") > most).alias("hot"))).alias("marks"))
     # all columns go through, so that every reader of ``texts`` shares one shuffle of them
     cut = texts.join(lists.hint("shuffle_hash"), "key").select(*texts.columns, "marks").mapInArrow(_cut, "key long, anchor long, hot boolean, start int, stretch binary")
