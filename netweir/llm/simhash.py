@@ -22,7 +22,7 @@ SEED = 42
 #: (first bit, bits, radius): four differing bits over three segments leave one within its radius, as 2 + 2 + 1 > 4.
 SEGMENTS_64 = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 DISTANCE_64 = 4
-#: A bucket with more fingerprints than this is compared in pairs of blocks, each a group of its own.
+#: A bucket with more fingerprints than this, those that only look there included, is compared in pairs of blocks, each a group of its own.
 BLOCK = 4096
 PAIRS = 500_000
 
@@ -191,11 +191,17 @@ def links(fingerprints: DataFrame, segments=SEGMENTS_64, distance: int = DISTANC
     """
     fps = fingerprints.select("fingerprint").distinct()
     rows = fps.mapInArrow(lambda it: _filed(it, segments), "bucket long, kind byte, fingerprint binary")
-    hot = durable(rows.filter("kind = 0").groupBy("bucket").count().filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("_n")))
+    held = rows.groupBy("bucket").agg(F.count_if(F.col("kind") == 0).alias("_f"), F.count_if(F.col("kind") == 1).alias("_l"))
+    hot = durable(held.filter(F.col("_f") + F.col("_l") > block).select("bucket", F.ceil(F.col("_f") / block).cast("int").alias("_n"), F.ceil(F.col("_l") / block).cast("int").alias("_m")))
     few = hot.limit(10_001).count() <= 10_000
     spread = rows.join(F.broadcast(hot) if few else hot, "bucket", "left")
+    # filed blocks meet each other (i <= j) and every block of lookups (-1 - m, j); where nothing is filed, lookups go
     mine = F.pmod(F.xxhash64("fingerprint"), F.col("_n")).cast("int")
-    cells = F.when(F.col("_n").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j"))))
+    look = -1 - F.pmod(F.xxhash64("fingerprint"), F.col("_m")).cast("int")
+    each = lambda n, cell: F.transform(F.filter(F.sequence(F.lit(0), F.col(n)), lambda x: x < F.col(n)), cell)
+    at = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    filed = F.concat(each("_n", lambda x: at(F.least(x, mine), F.greatest(x, mine))), each("_m", lambda x: at(-1 - x, mine)))
+    cells = F.when(F.col("_n").isNull(), F.array(at(F.lit(0), F.lit(0)))).when(F.col("kind") == 0, filed).otherwise(each("_n", lambda x: at(look, x)))
     grouped = spread.select("bucket", F.inline(cells), "kind", "fingerprint").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "kind")
     return grouped.mapInArrow(lambda it: _linked(it, distance), "a binary, b binary")
 
