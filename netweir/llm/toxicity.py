@@ -9,11 +9,13 @@ explain a label stand out.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, small
@@ -80,73 +82,105 @@ class ToxicityModel:
         return float(-np.expm1(log_clean)), n, float(1 / (1 + np.exp(-worst)))
 
 
-def telling(ones: int, zeros: int, in_ones: int, in_zeros: int) -> float:
-    """The likelihood ratio statistic of a term, negative for terms of clean texts."""
-    total = in_ones + in_zeros
-    part = lambda k, n, p: (k * np.log(k / (n * p)) if k else 0.0) + ((n - k) * np.log((n - k) / (n * (1 - p))) if n > k else 0.0)
-    p = total / (ones + zeros)
-    g = 2 * (part(in_ones, ones, p) + part(in_zeros, zeros, p))
-    return g if in_ones * zeros > in_zeros * ones else -g
+def telling(ones: int, zeros: int) -> Column:
+    """The likelihood ratio statistic of a term by ``in_ones`` and ``in_zeros``, negative for terms of clean texts."""
+    k1, k0 = F.col("in_ones"), F.col("in_zeros")
+    p = (k1 + k0) / (ones + zeros)
+    half = lambda k, n: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0) + F.when(k < n, (n - k) * F.log((n - k) / (n * (1 - p)))).otherwise(0.0)
+    g = 2 * (half(k1, ones) + half(k0, zeros))
+    return F.when(k1 * zeros > k0 * ones, g).otherwise(-g)
 
 
-def fit(texts: list[str], labels: np.ndarray, terms: int = TERMS, rounds: int = 400, l1: float = 0.1, l2: float = 1e-4) -> ToxicityModel:
+@dataclass
+class Bags:
+    """Labelled documents as sentences of term numbers: ``term[i]`` is in sentence ``of[i]``; sentence j is in document ``doc[j]`` ``times[j]`` times."""
+
+    terms: list[str]
+    labels: np.ndarray
+    term: np.ndarray
+    of: np.ndarray
+    doc: np.ndarray
+    times: np.ndarray
+
+
+def bags(labelled: DataFrame, terms: int = TERMS) -> Bags:
+    """Counts and encodes ``labelled`` (text, toxic 0/1) in tasks; numbers of at most ``terms`` terms reach the driver."""
+    n, ones = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    none = np.zeros(0, np.int64)
+    if ones in (0, n):
+        return Bags([], np.repeat(int(ones > 0), n), none, none, none, none)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            found, labels = [], []
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = {x for w in set(WORD.findall(text.lower())) for x in terms_of(w)}
+                found += own
+                labels += [y] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(labels, pa.int32())], names=["term", "toxic"])
+
+    seen = labelled.select("text", "toxic").mapInArrow(count, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("in_ones"), F.sum(1 - F.col("toxic")).alias("in_zeros")).filter(F.col("in_ones") + F.col("in_zeros") >= LEAST_DOCUMENTS)
+    chosen = [r["term"] for r in seen.orderBy(telling(ones, n - ones).desc(), "term").limit(terms).select("term").collect()]
+    index = {w: i for i, w in enumerate(chosen)}
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            out = []
+            for text in b.column(0).to_pylist():
+                low, own = text.lower(), Counter()
+                for s, e in sentences(low):
+                    ids = tuple(sorted(index[x] for w in set(WORD.findall(low[s:e])) for x in terms_of(w) if x in index))
+                    own[ids] += bool(ids)
+                out.append([{"ids": list(ids), "n": k} for ids, k in sorted(own.items()) if k])
+            kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, kind)], names=["toxic", "_h", "sentences"])
+
+    rows = sorted(labelled.select("text", "toxic", "_h").mapInArrow(encode, "toxic int, _h long, sentences array<struct<ids:array<int>,n:int>>").collect(), key=lambda r: r["_h"])
+    each = [(d, x["ids"], x["n"]) for d, r in enumerate(rows) for x in r["sentences"]]
+    return Bags(chosen, np.array([r["toxic"] for r in rows], np.int64), np.array([i for _, ids, _ in each for i in ids], np.int64), np.repeat(np.arange(len(each)), [len(ids) for _, ids, _ in each]), np.array([d for d, _, _ in each], np.int64), np.array([k for _, _, k in each], np.int64))
+
+
+def fit(data: Bags, rounds: int = 400, l1: float = 0.1, l2: float = 1e-4) -> ToxicityModel:
     """Gradient descent (Adam, all documents at once) on the log loss of the noisy-or; weights start at 0.
 
     Without both labels the model has no terms and the leak is the share of label 1.
     """
-    share = (labels.sum() + 0.5) / (len(labels) + 1)
-    if not len(labels) or labels.min() == labels.max():
+    y = data.labels.astype(float)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    if not len(y) or y.min() == y.max():
         return ToxicityModel({}, 0.0, float(np.log(share / (1 - share))))
-    seen: dict[str, list[int]] = {}
-    for t, y in zip(texts, labels.tolist(), strict=True):
-        for x in {x for w in set(WORD.findall(t.lower())) for x in terms_of(w)}:
-            seen.setdefault(x, [0, 0])[y] += 1
-    ones, zeros = int(labels.sum()), int((1 - labels).sum())
-    ranked = sorted((-telling(ones, zeros, c[1], c[0]), w) for w, c in seen.items() if sum(c) >= LEAST_DOCUMENTS)[:terms]
-    index = {w: i for i, (_, w) in enumerate(ranked)}
-    doc, word, bag_doc = [], [], []
-    for d, t in enumerate(texts):
-        low = t.lower()
-        for s, e in sentences(low):
-            ids = [index[x] for w in sorted(set(WORD.findall(low[s:e]))) for x in terms_of(w) if x in index]
-            if ids:
-                word += ids
-                doc += [len(bag_doc)] * len(ids)
-                bag_doc.append(d)
-    doc, word, bag_doc = np.array(doc, int), np.array(word, int), np.array(bag_doc, int)
-    y = labels.astype(float)
-    w, b, c = np.zeros(len(index)), -4.0, -4.0
-    m, v = np.zeros(len(index) + 2), np.zeros(len(index) + 2)
+    n = len(data.terms)
+    w, b, c = np.zeros(n), -4.0, -4.0
+    m, v = np.zeros(n + 2), np.zeros(n + 2)
     for r in range(1, rounds + 1):
-        z = b + np.bincount(doc, w[word], minlength=len(bag_doc))
-        log_clean = -np.bincount(bag_doc, np.logaddexp(0, z), minlength=len(texts)) - np.logaddexp(0, c)
+        z = b + np.bincount(data.of, w[data.term], minlength=len(data.doc))
+        log_clean = -np.bincount(data.doc, data.times * np.logaddexp(0, z), minlength=len(y)) - np.logaddexp(0, c)
         clean = np.exp(log_clean)
         # d loss / d log_clean
         g = (1 - y) * -1.0 + y * clean / np.maximum(1 - clean, 1e-9)
         p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-c))
-        gz = -g[bag_doc] * p
-        grad = np.append(np.bincount(word, gz[doc], minlength=len(index)) / len(y) + l2 * w, [gz.sum() / len(y), -g.sum() * p0 / len(y)])
+        gz = -g[data.doc] * p * data.times
+        grad = np.append(np.bincount(data.term, gz[data.of], minlength=n) / len(y) + l2 * w, [gz.sum() / len(y), -g.sum() * p0 / len(y)])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
         w, b, c = w - step[:-2], b - step[-2], c - step[-1]
         w = np.sign(w) * np.maximum(np.abs(w) - 0.1 * l1 / len(y) / (np.sqrt(v[:-2] / (1 - 0.999**r)) + 1e-8), 0)
-    return ToxicityModel({t: float(w[i]) for t, i in index.items() if w[i]}, float(b), float(c))
+    return ToxicityModel({t: float(x) for t, x in zip(data.terms, w, strict=True) if x}, float(b), float(c))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> ToxicityModel:
     """Fit on labelled rows outside the held-out fold (crc32 of doc_id as text, mod 5, is 0).
 
     Up to ``sample`` distinct texts of each label are drawn by a hash of the text.  A document labelled twice counts
-    with its largest label.
+    with its largest label; labels other than 0 and 1 count as none.
     """
-    marked = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # only ids and hashes meet the labels; the texts drawn are then at most two samples
     light = docs.filter(F.col("text").isNotNull() & ~held_out()).select("doc_id", F.xxhash64("text").alias("_h"))
     hashes = durable(light.join(marked, "doc_id").groupBy("_h").agg(F.max("toxic").cast("int").alias("toxic")))
     drawn = hashes.filter("toxic = 1").orderBy("_h").limit(sample).unionByName(hashes.filter("toxic = 0").orderBy("_h").limit(sample))
-    picked = docs.filter("text IS NOT NULL").withColumn("_h", F.xxhash64("text")).join(F.broadcast(drawn), "_h")
-    rows = sorted(picked.groupBy("_h").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).collect(), key=lambda r: r["_h"])
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64))
+    picked = docs.filter("text IS NOT NULL").select("text", F.xxhash64("text").alias("_h")).join(F.broadcast(drawn), "_h")
+    return fit(bags(durable(picked.groupBy("_h").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))), terms))
 
 
 def held_out():
@@ -156,7 +190,7 @@ def held_out():
 def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with score, predicted, n_sentences and worst_sentence; columns of those names are replaced.
 
-    Whole texts are read; null and empty texts get the score of one empty sentence.  The model, at most ``TERMS``
+    Whole texts are read; null and empty texts have no sentence, so their score is the leak.  The model, at most ``TERMS``
     words, travels with the tasks.
     """
     ours = ("score", "predicted", "n_sentences", "worst_sentence")

@@ -79,6 +79,9 @@ def test_links_in_blocks(spark, block):
     df = spark.createDataFrame([(bytearray(x.to_bytes(8, "big")),) for x in fps], "fingerprint binary")
     from netweir.llm.components import star_components
 
+    if block == 3:  # values that only look somewhere, more than a block of them
+        assert simhash.links(df.limit(0).unionByName(spark.createDataFrame([(bytearray((1 << 70 | 1 << i).to_bytes(9, "big")[1:]),) for i in range(21)], "fingerprint binary")), block=block).count() >= 0
+
     roots = {bytes(r["node"]): bytes(r["root"]) for r in star_components(simhash.links(df, block=block)).collect()}
     want = classes([(i, x) for i, x in enumerate(fps)], 4)
     groups = defaultdict(set)
@@ -474,6 +477,26 @@ def test_offending_sentences(toxic):
     assert sum(any(b in r["sentence"] for b in ("scum", "moron", "trash")) for r in found) > 0.95 * len(found)
 
 
+def test_noisy_or_by_hand(spark, toxic):
+    """Scores are the noisy-or of the sentences' logistic scores and of the leak, and gradients fit them to the labels."""
+    model = toxicity.ToxicityModel({"bad": 2.0, "worst": 1.0, "wors*": 0.5}, -1.0, -3.0)
+    p = lambda z: 1 / (1 + np.exp(-z))
+    docs = spark.createDataFrame([(1, "a bad day. Nothing here! bad, WORST"), (2, ""), (3, None), (4, "fine words"), (5, "worse")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
+    assert got[1] == pytest.approx(1 - (1 - p(1.0)) * (1 - p(-1 + 2 + 1.5)) * (1 - p(-3.0)))
+    assert got[2] == got[3] == got[4] == pytest.approx(p(-3.0)) and got[5] == pytest.approx(1 - (1 - p(-0.5)) * (1 - p(-3.0)))
+    counted = toxicity.bags(spark.createDataFrame([("a bad day. a bad day. fine", 1, 1), ("fine. day", 0, 2)] * 4, "text string, toxic int, _h long"))
+    day = counted.terms.index("day")
+    assert sorted(counted.times.tolist()) == [1] * 12 + [2] * 4 and (counted.term == day).sum() == 8
+
+
+def test_odd_labels(spark, toxic):
+    docs, labels = toxic
+    odd = labels.unionByName(spark.createDataFrame([(1, 2), (2, -1), (999, 1), (None, 1)], "doc_id long, toxic int"))
+    rows = lambda m: sorted(m.weights.items())
+    assert rows(toxicity.train(docs, odd)) == rows(toxicity.train(docs, labels)) != []
+
+
 def test_toxicity_edges(spark, made, none, toxic):
     model = toxicity.train(*toxic)
     rows = toxicity.scored(made, model).collect()
