@@ -7,13 +7,20 @@ pseudorandom permutation of the source's block numbers, and blocks are joined by
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, durable, uniform
 
 BLOCK = 64
+#: Output shards, a power of two.
 SHARDS = 64
+#: Rows of a source that one task lays out.
+ROWS = 8192
+#: Draws of more slots are taken from the normal limit.
+EXACT = 1 << 20
 #: Runs of slots that one row stands for before it is expanded.
 RUN = 8192
 WEIGHTS = (5, 2, 1)
@@ -68,10 +75,13 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def laid_out(docs: DataFrame) -> DataFrame:
     """Rows with ``start``, the words of the source before the document, in a pseudorandom order.
 
-    A source is cut into buckets by a hash, bucket totals are summed along the source, and rows within a
-    bucket, so that no source is ordered by one task.
+    A source is cut by a hash into as many buckets as its rows need, bucket totals are summed along the source, and
+    rows within a bucket, so that no source is ordered by one task.
     """
-    b = docs.withColumns({"_h": F.xxhash64("doc_id", "_key"), "_b": F.pmod(F.xxhash64(F.lit(3), "doc_id", "_key"), F.lit(1024)).cast("int")})
+    # a row per source: Spark's own size check decides how it is joined
+    wide = docs.groupBy("source").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("_buckets"))
+    b = docs.alias("d").join(wide.alias("w"), F.col("d.source").eqNullSafe(F.col("w.source"))).select("d.*", "_buckets")
+    b = b.withColumns({"_h": F.xxhash64("doc_id", "_key"), "_b": F.pmod(F.xxhash64(F.lit(3), "doc_id", "_key"), F.col("_buckets")).cast("int")}).drop("_buckets")
     sums = b.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("source").orderBy("_b")) - F.col("_sum")).drop("_sum")
     inner = Window.partitionBy("source", "_b").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -80,23 +90,44 @@ def laid_out(docs: DataFrame) -> DataFrame:
     return joined.select("r.*", (F.col("_before") + F.col("_run")).alias("start")).drop("_h", "_b", "_run")
 
 
+def halved(n: Column, *salt: Column | str) -> Column:
+    """A binomial draw of ``n`` fair coins that ``salt`` decides: the bits of hashes are the coins; beyond ``EXACT``, the normal limit."""
+    full = F.floor(n / 64).cast("int")
+    coin = lambda i: F.xxhash64(i, *salt)
+    whole = F.aggregate(F.filter(F.sequence(F.lit(0), full), lambda i: i < full), F.lit(0).cast("long"), lambda acc, i: acc + F.bit_count(coin(i)))
+    rest = F.bit_count(F.when(n % 64 > 0, F.call_function("shiftrightunsigned", coin(F.lit(-1)), (F.lit(64) - n % 64).cast("int"))).otherwise(F.lit(0).cast("long")))
+    bell = F.sqrt(-2 * F.log(1 - uniform(*salt, seed=1))) * F.cos(2 * math.pi * uniform(*salt, seed=2))
+    wide = F.greatest(F.lit(0), F.least(n, F.round(n / 2 + bell * F.sqrt(n) / 2))).cast("long")
+    return F.when(n <= EXACT, whole + rest).otherwise(wide)
+
+
+def shard_counts(due: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``due`` (source, _n, _due) as (source, _n, shard, _count): multinomial counts of each source over the shards.
+
+    Each source's due slots are split in two by a binomial draw, and again down to single shards: given the sums of
+    the sources, shards draw their counts at the target weights, and sources meet their targets to a slot.
+    """
+    if shards & shards - 1:
+        raise ValueError("shards must be a power of two")
+    out = due.select("source", "_n", F.lit(0).alias("shard"), F.col("_due").alias("_count"))
+    for level in range(shards.bit_length() - 1):
+        low = out.withColumn("_low", halved(F.col("_count"), F.lit(level), "shard", "source"))
+        side = lambda bit, n: F.struct((F.col("shard") * 2 + bit).alias("shard"), n.alias("_count"))
+        out = low.select("source", "_n", F.inline(F.array(side(0, F.col("_low")), side(1, F.col("_count") - F.col("_low"))))).filter("_count > 0")
+    return out
+
+
 def drawn_slots(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """source, shard, slot, block: the whole plan, a row for each block that an output shard takes.
 
-    A source of n blocks is due ``round(n * target / size)`` slots.  All due slots, of all sources, are dealt
-    over the shards by one pseudorandom permutation: each shard's counts by source are a multinomial draw
-    at the target weights, conditioned on the sums over shards.  Counts are then numbered along each source;
-    slot i takes block ``permutation(i mod n)``, so a block comes again only after all others have.
+    A source of n blocks is due ``round(n * target / size)`` slots.  The shards' multinomial counts of a source are
+    numbered along it; slot i takes block ``permutation(i mod n)``, so a block comes again only after all others have.
     """
     # few rows are expanded to many: a fixed number of partitions keeps Spark from merging them before that
     tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = F.ceil(F.col("source_size") / block).cast("long")
-    due = targets.filter("source_size > 0").withColumn("_n", n).withColumn("_due", F.least(F.col("_n") * REPEAT, F.floor(F.col("_n") * F.col("target") / F.col("source_size") + 0.5).cast("long")))
-    due = due.withColumns({"_end": F.sum("_due").over(Window.orderBy(F.col("source").asc_nulls_last())), "_all": F.sum("_due").over(Window.partitionBy())}).filter("_due > 0")
-    runs = due.select("source", "_n", "_all", (F.col("_end") - F.col("_due")).alias("_first"), "_end", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_due") - 1) / RUN))).alias("_run"))
-    spots = runs.repartition(tasks, "source", "_run").select("source", "_n", "_all", F.explode(F.sequence(F.col("_first") + F.col("_run") * RUN, F.least(F.col("_end"), F.col("_first") + (F.col("_run") + 1) * RUN) - 1)).alias("_spot"))
-    shard = F.floor(permuted(F.col("_spot"), F.col("_all"), F.lit("deal")) * shards / F.col("_all")).cast("int")
-    counts = spots.groupBy("source", "_n", shard.alias("shard")).agg(F.count("*").alias("_count"))
+    due = targets.filter("source_size > 0").withColumn("_n", n).withColumn("_due", F.least(F.col("_n") * REPEAT, F.floor(F.col("_n") * F.col("target") / F.col("source_size") + 0.5).cast("long"))).filter("_due > 0")
+    counts = durable(shard_counts(due, shards))
     numbered = counts.withColumn("_from", F.sum("_count").over(Window.partitionBy("source").orderBy("shard")) - F.col("_count"))
     parts = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_count") - 1) / RUN))).alias("_run")).repartition(tasks, "source", "shard", "_run")
     slots = parts.select("source", "shard", "_n", F.explode(F.sequence(F.col("_from") + F.col("_run") * RUN, F.col("_from") + F.least(F.col("_count"), (F.col("_run") + 1) * RUN) - 1)).alias("slot"))
@@ -104,6 +135,15 @@ def drawn_slots(targets: DataFrame, block: int = BLOCK, shards: int = SHARDS) ->
     return slots.select("source", "shard", "slot", permuted(F.col("slot") % F.col("_n"), F.col("_n"), F.col("source")).alias("block"))
 
 
+def _planned(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents with sizes, targets of sources, documents laid out, and how often each block of a source is drawn."""
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    base = durable(docs.select("doc_id", "source", F.xxhash64("text").alias("_key"), words.alias("size")))
+    targets = durable(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    drawn = drawn_slots(targets, block).groupBy("source", "block").agg(F.count("*").alias("_draws"))
+    return base, targets, laid_out(base.filter("size > 0")), drawn
+
+
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, _key, size, source_size, target, taken for every document.
 
@@ -111,12 +151,8 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     document in all blocks drawn, repeats included, so it never exceeds three times the size; size 0 takes 0.
     Equal rows are laid out one after the other and counted each.  An empty table gives an empty result.
     """
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    base = durable(docs.select("doc_id", "source", F.xxhash64("text").alias("_key"), words.alias("size")))
-    targets = durable(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    placed = laid_out(base.filter("size > 0"))
+    base, targets, placed, drawn = _planned(docs, block)
     overlaps = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))).withColumn("_words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block))
-    drawn = drawn_slots(targets, block).groupBy("source", "block").agg(F.count("*").alias("_draws"))
     # sizes estimated before slots are expanded say nothing of the rows after: both sides are shuffled by block
     hit = overlaps.alias("o").join(drawn.hint("merge").alias("d"), F.col("o.source").eqNullSafe(F.col("d.source")) & (F.col("o.block") == F.col("d.block")), "left")
     taken = hit.groupBy("o.source", "o.start", "o.doc_id", "o._key", "o.size").agg(F.coalesce(F.sum(F.col("_words") * F.col("_draws")), F.lit(0)).cast("long").alias("taken")).drop("start")
@@ -126,13 +162,15 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs`` as the mix takes them: each row is repeated as often as its words are taken, on average.
+    """``docs`` as the mix takes them: whole, once for each time that the block a document begins in is drawn.
 
-    A row whose words are taken 1.4 times comes once or twice, by a hash of its id and text; rows without words are
-    not taken.  Equal rows share their count.
+    Rows without words begin in no block and are not taken.  Equal rows share their draws.  Columns of any name are kept.
     """
-    plan = mix(docs.select("doc_id", "source", "text"), block).groupBy("doc_id", "_key").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_times"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    both = keyed.alias("d").join(plan.hint("shuffle_hash").alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._key") == F.col("p._key")))
-    times = F.floor(F.coalesce("_times", F.lit(0.0)) + uniform("d.doc_id", "d._key", seed=4)).cast("int")
-    return both.select("d.*", times.alias("_copies")).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    _, _, placed, drawn = _planned(docs.select("doc_id", "source", "text"), block)
+    begins = placed.withColumn("block", F.floor(F.col("start") / block))
+    hit = begins.alias("o").join(drawn.hint("merge").alias("d"), F.col("o.source").eqNullSafe(F.col("d.source")) & (F.col("o.block") == F.col("d.block")), "left")
+    plan = hit.groupBy("o.doc_id", "o._key").agg((F.coalesce(F.sum("_draws"), F.lit(0)) / F.count("*")).alias("_times")).filter("_times > 0").select(F.struct("doc_id", "_key", "_times").alias("_plan"))
+    row = F.struct(*docs.columns).alias("_doc")
+    both = docs.select(row, F.xxhash64("text").alias("_at")).join(plan.hint("shuffle_hash"), F.col("_doc.doc_id").eqNullSafe(F.col("_plan.doc_id")) & (F.col("_at") == F.col("_plan._key")))
+    copies = F.floor(F.col("_plan._times") + uniform("_plan.doc_id", "_plan._key", seed=4)).cast("int")
+    return both.withColumn("_copies", copies).filter("_copies > 0").select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")

@@ -329,10 +329,42 @@ def test_permutation(spark, n):
     assert n < 97 or got != sorted(got)
 
 
-def test_mixed_documents(made):
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000, 3 * mixing.EXACT])
+def test_binomial_draws(spark, n):
+    got = np.array([r[0] for r in spark.range(2000).select(mixing.halved(F.lit(n).cast("long"), F.col("id"))).collect()])
+    assert got.min() >= 0 and got.max() <= n
+    assert abs(got.mean() - n / 2) <= 5 * (n / 4 / 2000) ** 0.5 and (n < 2 or 0.85 < got.var() / (n / 4) < 1.15)
+
+
+def test_shards_draw_their_counts(spark):
+    due = spark.createDataFrame([("a", 100, 6400), ("b", 100, 64), (None, 7, 7), ("c", 5, 1)], "source string, _n long, _due long")
+    counts = defaultdict(dict)
+    for r in mixing.shard_counts(due).collect():
+        counts[r["source"]][r["shard"]] = r["_count"]
+    assert {s: sum(c.values()) for s, c in counts.items()} == {"a": 6400, "b": 64, None: 7, "c": 1}
+    a = np.array([counts["a"].get(i, 0) for i in range(64)])
+    assert 40 < a.var() < 190 and set(range(64)) >= set(counts["b"])  # multinomial, not even
+
+
+def test_mixed_documents(spark, made):
     out = mixing.mixed(made)
     assert out.columns == made.columns
     assert {r["doc_id"] for r in out.collect()} <= {d for d, _ in texts(made)}
+    rng = random.Random(7)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(1, 200))), rng.choice("aaaabbc"), "k", 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key string, _copies int")
+    size, taken, times = Counter(), Counter(), Counter()
+    for r in rows:
+        size[r[2]] += len(r[1].split())
+    got = mixing.mixed(docs).collect()
+    for r in got:
+        taken[r["source"]] += len(r["text"].split())
+        times[r["doc_id"]] += 1
+        assert (r["_key"], r["_copies"]) == ("k", 1)
+    assert max(times.values()) <= 3
+    for s, t in targets(size).items():
+        assert abs(taken[s] - t) < 0.05 * t
+    assert len(got) == sum(times.values()) and sorted(map(tuple, mixing.mixed(docs.repartition(5)).collect())) == sorted(map(tuple, got))
 
 
 # ---- sharding
