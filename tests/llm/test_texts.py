@@ -141,6 +141,21 @@ def test_one_of_each_is_exact(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group))
 
 
+def test_parities_exclude_no_similar_pair():
+    from netweir.llm import shingles
+
+    rng = np.random.default_rng(3)
+    excluded = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.4], rng.integers(0, 2**63, rng.integers(0, 60), dtype=np.uint64)]))
+        shared = len(np.intersect1d(a, b))
+        apart = shingles.surely_apart(shingles.parities(a), shingles.parities(b), len(a), len(b))
+        assert not (apart and 9 * shared >= 4 * (len(a) + len(b)))
+        excluded += apart
+    assert excluded > 150
+
+
 # ---- substrings
 
 
