@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts the same runs.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a row group of the tables that cut lineage.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,8 @@ def durable(df: DataFrame) -> DataFrame:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = own.get() if own.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # small row groups, so that tasks that write or read wide rows hold little of them
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
