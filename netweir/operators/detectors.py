@@ -7,6 +7,7 @@ bounded samples that trees are grown on, come to the driver.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from netweir.functions.traffic import cases, clamp
 
-from .recursions import ewma, tail_counts, tail_probability
+from .recursions import ewma, streamed, tail_counts, tail_probability
 
 SEED = 42
 
@@ -45,31 +46,28 @@ def drifting_peaks(matrix: DataFrame, q: float = 0.98, depth: int = 64) -> DataF
     """idx, score: peaks over threshold of residuals from the mean of the last ``depth`` windows.
 
     In the test stream only windows without an alarm enter that mean, which no window frame expresses: each feature
-    is one ordered pass.
+    of a victim, if the matrix names one, is one ordered pass that holds ``depth`` values.
     """
-    w = Window.partitionBy("feature").orderBy("idx")
+    own = ["feature", "victim"] if "victim" in matrix.columns else ["feature"]
+    w = Window.partitionBy(*own).orderBy("idx")
     t = matrix.filter("train").withColumn("res", F.col("x") - F.coalesce(F.avg("x").over(w.rowsBetween(-depth, -1)), F.col("x")))
     cut = t.groupBy("feature").agg(F.percentile("res", F.lit(q)).alias("cut"), F.stddev_pop("res").alias("sd"))
     over = t.join(cut, "feature").withColumn("over", F.when(F.col("res") > F.col("cut"), F.col("res") - F.col("cut")))
     fit = over.groupBy("feature").agg(F.first("cut").alias("cut"), tail_scale(F.col("over"), F.count("over"), F.first("sd")).alias("scale"))
-    recent = matrix.filter("train").withColumn("_r", F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("idx")))).filter(F.col("_r") <= depth).drop("_r")
-
-    def run(pdf):
-        pdf = pdf.sort_values("idx", kind="stable")
-        cut_, scale = pdf["cut"].iloc[0], pdf["scale"].iloc[0]
-        held = list(pdf.loc[pdf["train"], "x"])
-        test = pdf.loc[~pdf["train"]]
-        scores = np.zeros(len(test))
-        for i, x in enumerate(test["x"]):
-            excess = x - (sum(held) / len(held) if held else x) - cut_
-            if excess > 0:
-                scores[i] = excess / scale
-            else:
-                held = [*held[1 - depth :], x] if depth > 1 else [x]
-        return test[["idx"]].assign(score=scores)
-
-    joined = recent.unionByName(matrix.filter("NOT train")).join(fit, "feature")
-    return joined.groupBy("feature").applyInPandas(run, "idx long, score double").groupBy("idx").agg(F.max("score").alias("score"))
+    recent = matrix.filter("train").withColumn("_r", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("idx")))).filter(F.col("_r") <= depth).drop("_r")
+
+    def step(state: tuple, train: bool, x: float, cut_: float, scale: float) -> tuple:
+        held, total = state
+        excess = x - (total / len(held) if held else x) - cut_
+        score = max(excess, 0.0) / scale
+        if train or excess <= 0:  # an exceedance is not learned from
+            total += x - (held.popleft() if len(held) >= depth else 0.0)
+            held.append(x)
+        return (held, total), (score,)
+
+    joined = recent.unionByName(matrix.filter("NOT train")).join(fit, "feature").select(*own, (~F.col("train")).alias("_after"), "idx", "train", "x", "cut", "scale")
+    scored = streamed(joined, own, ["_after", "idx"], lambda: (deque(), 0.0), step, ["_after", "idx"], "score double")
+    return scored.filter("_after").groupBy("idx").agg(F.max("score").alias("score"))
 
 
 def tail_scores(matrix: DataFrame, kind: str = "ecod") -> DataFrame:
@@ -134,7 +132,7 @@ def standardized(wide: DataFrame, features: list[str]) -> tuple[DataFrame, int]:
 
 
 def subspace_scores(wide: DataFrame, features: list[str], k: int = 8, alpha: float = 0.5) -> DataFrame:
-    """idx, score: the energy left outside the training rows' first components, as rank surprise, smoothed.
+    """idx, score: the energy left outside the training rows' first components, as rank surprise, smoothed along each victim.
 
     The components come from sums of products of features, as many as features squared; with too few training
     rows for them the score is peaks over threshold.
@@ -150,14 +148,13 @@ def subspace_scores(wide: DataFrame, features: list[str], k: int = 8, alpha: flo
     axes = np.linalg.eigh(gram)[1][:, ::-1][:, : min(k, len(features))].T
     whole = reduce(lambda a, b: a + b, [F.col(f) * F.col(f) for f in features])
     inside = [reduce(lambda a, b: a + b, [F.col(f) * float(w) for f, w in zip(features, axis, strict=True)]) for axis in axes]
-    q = z.select("idx", "train", (whole - reduce(lambda a, b: a + b, [c * c for c in inside])).alias("q"))
+    q = z.select("idx", "victim", "train", (whole - reduce(lambda a, b: a + b, [c * c for c in inside])).alias("q"))
     # rows at least as far out, ties counted through a hair's breadth
     eased = q.withColumn("q", F.when(F.col("train"), F.col("q")).otherwise(F.col("q") - 1e-12 * F.greatest(F.lit(1.0), F.col("q"))))
-    one = eased.withColumn("one", F.lit(1))
-    ranked = one.join(tail_counts(one, ["one"], "q", "train"), ["one", "q"])
+    ranked = eased.join(tail_counts(eased, [], "q", "train"), "q")
     ge = F.col("_n") - F.col("_upto") + F.col("_same")
     surprise = ranked.withColumn("surprise", -F.log((ge + 1.0) / (n + 1.0))).filter("NOT train")
-    return ewma(surprise, ["one"], "idx", F.col("surprise"), alpha, "score").select("idx", "score")
+    return ewma(surprise, ["victim"], "idx", F.col("surprise"), alpha, "score").select("idx", "score")
 
 
 def _scored(wide: DataFrame, features: list[str], score) -> DataFrame:

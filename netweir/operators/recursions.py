@@ -1,38 +1,65 @@
-"""Ordered recursions over an entity's windows: moving baselines, cumulative sums, islands, splits.
+"""Ordered recursions over an entity's windows or packets: moving baselines, cumulative sums, islands, splits.
 
-Where a recursion has a closed form, window functions compute it; the rest are folds over an entity's
-ordered windows, whose number is bounded by time and not by traffic.
+Where a recursion has a closed form, window functions compute it.  The rest are folds: rows are dealt by entity,
+ordered within each task, and stream past a small state, so time is linear and memory does not grow with an entity.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WARM = 10
 
 
-def fold(rows: DataFrame, keys: list[str], order: str, value: Column, begin: Column, step, outputs: list[str], out: str) -> DataFrame:
-    """``keys``, ``order`` and a row per window of what ``step(state, x)`` leaves in ``outputs``.
+def streamed(rows: DataFrame, keys: list[str], order: list[str], begin: Callable[[], object], step: Callable, keep: list[str], outputs: str) -> DataFrame:
+    """``keep`` and ``outputs`` (a schema) for every row of ``rows``, in one pass over the rows of each of ``keys`` by ``order``.
 
-    ``step`` returns the next state; its fields named in ``outputs`` are kept for every window.
+    ``begin()`` is the state before a key's first row; ``step(state, *others)`` gets the other columns of a row and
+    returns the next state and the outputs.  A state outlives Arrow batches, and only one is held at a time.
     """
-    kind = rows.select(F.col(order)).schema[0].dataType.simpleString()
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.cast("double").alias("x"))))
-    empty = F.array().cast(f"array<struct<{order}:{kind},{','.join(f'{n}:double' for n in outputs)}>>")
-
-    def each(acc: Column, item: Column) -> Column:
-        state = step(acc["s"], item["x"])
-        kept = F.struct(item["o"].alias(order), *[state[n].cast("double").alias(n) for n in outputs])
-        return F.struct(state.alias("s"), F.concat(acc["out"], F.array(kept)).alias("out"))
-
-    folded = rows.groupBy(*keys).agg(F.aggregate(items, F.struct(begin.alias("s"), empty.alias("out")), each, lambda a: a["out"]).alias(out))
-    return folded.select(*keys, F.inline(out))
+    others = [c for c in rows.columns if c not in keys and c not in order]
+    names = [*keys, *order, *others]
+    ordered = rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = rows.select(*keep).schema
+    added = [part.rsplit(" ", 1) for part in outputs.split(", ")]
+    for name, kind in added:
+        schema = schema.add(name, kind)
+    kinds = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64()}
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for b in batches:
+            if not len(b):
+                continue
+            key = list(zip(*(b.column(i).to_pylist() for i in range(width)), strict=True))
+            out = []
+            for k, x in zip(key, zip(*(b.column(names.index(c)).to_pylist() for c in others), strict=True), strict=True):
+                if k != last or state is None:
+                    last, state = k, begin()
+                state, left = step(state, *x)
+                out.append(left)
+            new = [pa.array(x, kinds[kind]) for x, (_, kind) in zip(zip(*out, strict=True), added, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(names.index(c)) for c in keep], *new], names=[*keep, *[n for n, _ in added]])
+
+    return ordered.mapInArrow(run, schema)
+
+
+def fold(rows: DataFrame, keys: list[str], order: str, value: Column, begin: tuple, step: Callable, outputs: list[str]) -> DataFrame:
+    """``keys``, ``order`` and the doubles ``outputs`` that ``step(state, x)`` leaves for every row, rows of one order by value.
+
+    A null value leaves the state as it is and has null outputs.
+    """
+    width = len(outputs)
 
+    def guarded(state: tuple, x: float | None) -> tuple:
+        return (state, (None,) * width) if x is None else step(state, x)
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return streamed(rows.select(*keys, order, value.cast("double").alias("_x"), value.cast("double").alias("_by")), keys, [order, "_by"], lambda: begin, guarded, [*keys, order], ", ".join(f"{n} double" for n in outputs))
 
 
 def ewma_baseline(rows: DataFrame, keys: list[str], order: str, value: str, alpha: float) -> DataFrame:
@@ -41,21 +68,13 @@ def ewma_baseline(rows: DataFrame, keys: list[str], order: str, value: str, alph
     The first value sets the mean; then m += alpha d and v = (1 - alpha)(v + alpha d d).  z is 0 before ``WARM`` values,
     its deviation at least 2 % of a mean over 50 and else 1, and it stops at 100 either way.
     """
-    begin = F.struct(*[F.lit(0.0).alias(n) for n in ("m", "v", "k", "mean", "var", "n")])
-
-    def step(s: Column, x: Column) -> Column:
-        d = x - s["m"]
-        first = s["k"] == 0
-        return F.struct(
-            F.when(first, x).otherwise(s["m"] + alpha * d).alias("m"),
-            F.when(first, 0.0).otherwise((1 - alpha) * (s["v"] + alpha * d * d)).alias("v"),
-            (s["k"] + 1).alias("k"),
-            s["m"].alias("mean"),
-            s["v"].alias("var"),
-            s["k"].alias("n"),
-        )
-
-    states = fold(rows, keys, order, F.col(value), begin, step, ["mean", "var", "n"], "_b")
+
+    def step(state: tuple, x: float) -> tuple:
+        m, v, k = state
+        d = x - m
+        return ((m + alpha * d, (1 - alpha) * (v + alpha * d * d), k + 1) if k else (x, 0.0, 1)), (m, v, float(k))
+
+    states = fold(rows, keys, order, F.col(value), (0.0, 0.0, 0), step, ["mean", "var", "n"])
     out = rows.select(*keys, order, value).join(states, [*keys, order])
     floor = F.when(F.col("mean") > 50, 0.02 * F.col("mean")).otherwise(1.0)
     z = (F.col(value) - F.col("mean")) / F.greatest(F.sqrt("var"), floor)
@@ -72,19 +91,23 @@ def cusum(rows: DataFrame, keys: list[str], order: str, deviation: Column, slack
 
 def cusum_decayed(rows: DataFrame, keys: list[str], order: str, deviation: Column, k: float, h: float, decay: float = 0.99) -> DataFrame:
     """s_high, s_low and alarm with decay; both sums start again after an alarm."""
-    begin = F.struct(*[F.lit(0.0).alias(n) for n in ("hi", "lo", "s_high", "s_low", "alarm")])
 
-    def step(s: Column, x: Column) -> Column:
-        hi, lo = F.greatest(F.lit(0.0), decay * s["hi"] + x - k), F.greatest(F.lit(0.0), decay * s["lo"] - x - k)
-        hit = F.greatest(hi, lo) > h
-        return F.struct(F.when(hit, 0.0).otherwise(hi).alias("hi"), F.when(hit, 0.0).otherwise(lo).alias("lo"), hi.alias("s_high"), lo.alias("s_low"), hit.cast("double").alias("alarm"))
+    def step(state: tuple, x: float) -> tuple:
+        hi, lo = max(0.0, decay * state[0] + x - k), max(0.0, decay * state[1] - x - k)
+        hit = max(hi, lo) > h
+        return ((0.0, 0.0) if hit else (hi, lo)), (hi, lo, float(hit))
 
-    return fold(rows, keys, order, deviation, begin, step, ["s_high", "s_low", "alarm"], "_c")
+    return fold(rows, keys, order, deviation, (0.0, 0.0), step, ["s_high", "s_low", "alarm"])
 
 
 def ewma(rows: DataFrame, keys: list[str], order: str, value: Column, alpha: float = 0.5, name: str = "ewma") -> DataFrame:
     """alpha x + (1 - alpha) previous, from 0."""
-    return fold(rows, keys, order, value, F.struct(F.lit(0.0).alias(name)), lambda s, x: F.struct((alpha * x + (1 - alpha) * s[name]).alias(name)), [name], "_e")
+
+    def step(e: float, x: float) -> tuple:
+        e = alpha * x + (1 - alpha) * e
+        return e, (e,)
+
+    return fold(rows, keys, order, value, 0.0, step, [name])
 
 
 def innovations(rows: DataFrame, keys: list[str], order: str, value: str, train: Column, rate: float = 0.01) -> DataFrame:
@@ -92,9 +115,12 @@ def innovations(rows: DataFrame, keys: list[str], order: str, value: str, train:
 
     The first window has none.  The deviation is at least 2 % of the training level over 50 and else 1.
     """
-    begin = F.struct(F.lit(None).cast("double").alias("z"), F.lit(None).cast("double").alias("gamma"))
-    step = lambda s, x: F.struct(F.coalesce(rate * x + (1 - rate) * s["z"], x).alias("z"), F.abs(x - s["z"]).alias("gamma"))
-    g = rows.withColumn("_t", train).join(fold(rows, keys, order, F.col(value), begin, step, ["gamma"], "_i"), [*keys, order])
+
+    def step(state: tuple, x: float) -> tuple:
+        (z,) = state
+        return ((x,), (None,)) if z is None else ((rate * x + (1 - rate) * z,), (abs(x - z),))
+
+    g = rows.withColumn("_t", train).join(fold(rows, keys, order, F.col(value), (None,), step, ["gamma"]), [*keys, order])
     w = Window.partitionBy(*keys)
     level = F.avg(F.when(F.col("_t"), F.abs(value))).over(w)
     sd = F.greatest(F.coalesce(F.stddev_samp(F.when(F.col("_t"), F.col("gamma"))).over(w), F.lit(0.0)), F.when(level > 50, 0.02 * level).otherwise(1.0))
@@ -161,8 +187,10 @@ def running(counts: DataFrame, keys: list[str], value: str, columns: list[str],
 def tail_counts(rows: DataFrame, keys: list[str], value: str, train: str) -> DataFrame:
     """keys, value, _same (training rows of that value), _upto (up to it) and _n (all): a row per distinct value."""
     c = rows.groupBy(*keys, value).agg(F.count_if(train).alias("_same"))
-    n = rows.groupBy(*keys).agg(F.count_if(train).alias("_n"))
-    return running(c, keys, value, ["_same"]).withColumnRenamed("upto__same", "_upto").join(n, keys)
+    upto = running(c, keys, value, ["_same"]).withColumnRenamed("upto__same", "_upto")
+    if not keys:
+        return upto.withColumn("_n", F.lit(rows.filter(train).count()))
+    return upto.join(rows.groupBy(*keys).agg(F.count_if(train).alias("_n")), keys)
 
 
 def tail_probability(rows: DataFrame, keys: list[str], value: str, train: str) -> DataFrame:
@@ -176,42 +204,48 @@ def tail_probability(rows: DataFrame, keys: list[str], value: str, train: str) -
 def adaptive_threshold(events: DataFrame, keys: list[str], order: str, duration: Column, start: float = 4.0, batch: int = 5) -> DataFrame:
     """theta after each attack event: every ``batch`` events, up a quarter if more were short (under 10 s) than long
     (30 s and more), down a quarter if fewer, within 4 and 10."""
-    begin = F.struct(F.lit(start).alias("theta"), F.lit(0.0).alias("fp"), F.lit(0.0).alias("tp"), F.lit(0.0).alias("n"))
 
-    def step(s: Column, x: Column) -> Column:
-        n = s["n"] + 1
-        fp, tp = s["fp"] + (x < 10).cast("double"), s["tp"] + (x >= 30).cast("double")
-        due = n % batch == 0
-        moved = F.least(F.greatest(s["theta"] + F.when(fp > tp, 0.25).when(fp < tp, -0.25).otherwise(0.0), F.lit(4.0)), F.lit(10.0))
-        return F.struct(F.when(due, moved).otherwise(s["theta"]).alias("theta"), F.when(due, 0.0).otherwise(fp).alias("fp"), F.when(due, 0.0).otherwise(tp).alias("tp"), n.alias("n"))
+    def step(state: tuple, x: float) -> tuple:
+        theta, fp, tp, n = state
+        fp, tp, n = fp + (x < 10), tp + (x >= 30), n + 1
+        if n % batch == 0:
+            theta, fp, tp = min(max(theta + 0.25 * ((fp > tp) - (fp < tp)), 4.0), 10.0), 0, 0
+        return (theta, fp, tp, n), (theta,)
 
-    return fold(events, keys, order, duration, begin, step, ["theta"], "_a")
+    return fold(events, keys, order, duration, (start, 0, 0, 0), step, ["theta"])
 
 
 def score_walk(events: DataFrame, keys: list[str], order: str, change: Column, low: float = 0.0, high: float = 1000.0, start: float = 500.0) -> DataFrame:
     """A score that starts at ``start``, adds each change and is clamped after each."""
-    return fold(events, keys, order, change, F.struct(F.lit(start).alias("score")), lambda s, x: F.struct(F.least(F.greatest(s["score"] + x, F.lit(low)), F.lit(high)).alias("score")), ["score"], "_w")
+
+    def step(score: float, x: float) -> tuple:
+        score = min(max(score + x, low), high)
+        return score, (score,)
+
+    return fold(events, keys, order, change, start, step, ["score"])
 
 
 def spikes(rows: DataFrame, keys: list[str], order: str, value: Column, least: float = 1.0, times: float = 3.0) -> DataFrame:
     """baseline before each window (.9 old + .1 new) and spike: the value is ``times`` it, and it is over ``least``."""
-    begin = F.struct(*[F.lit(0.0).alias(n) for n in ("b", "baseline", "spike")])
-    step = lambda s, x: F.struct((0.9 * s["b"] + 0.1 * x).alias("b"), s["b"].alias("baseline"), ((s["b"] > least) & (x >= times * s["b"])).cast("double").alias("spike"))
-    return fold(rows, keys, order, value, begin, step, ["baseline", "spike"], "_s")
+
+    def step(b: float, x: float) -> tuple:
+        return 0.9 * b + 0.1 * x, (b, float(b > least and x >= times * b))
+
+    return fold(rows, keys, order, value, 0.0, step, ["baseline", "spike"])
 
 
 def token_bucket(rows: DataFrame, keys: list[str], rate: float, burst: float) -> DataFrame:
     """admitted per packet of a (t seconds, cost) stream: tokens refill with time up to ``burst`` and are only taken
     by packets that fit."""
-    item = F.struct("t", "event_id", "cost")
-    begin = F.struct(F.lit(burst).alias("tokens"), F.lit(None).cast("double").alias("t"), F.array().cast("array<struct<event_id:bigint,admitted:boolean>>").alias("out"))
 
-    def step(s: Column, p: Column) -> Column:
-        have = F.least(F.lit(burst), s["tokens"] + rate * (p["t"] - F.coalesce(s["t"], p["t"])))
-        ok = have >= p["cost"]
-        return F.struct(F.when(ok, have - p["cost"]).otherwise(have).alias("tokens"), p["t"].alias("t"), F.concat(s["out"], F.array(F.struct(p["event_id"].alias("event_id"), ok.alias("admitted")))).alias("out"))
+    def step(state: tuple, t: float, cost: float) -> tuple:
+        tokens, before = state
+        have = min(burst, tokens + rate * (t - (t if before is None else before)))
+        ok = have >= cost
+        return (have - cost if ok else have, t), (ok,)
 
-    return rows.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(item)), begin, step, lambda s: s["out"]).alias("_o")).select(*keys, F.inline("_o"))
+    packets = rows.select(*keys, "t", "event_id", F.col("t").alias("_t"), "cost")
+    return streamed(packets, keys, ["t", "event_id"], lambda: (burst, None), step, [*keys, "event_id"], "admitted boolean")
 
 
 def update_allowed(detected: Column, attack: Column, frozen: Column, regime: str) -> Column:

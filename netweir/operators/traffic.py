@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from netweir.functions.traffic import cases
 
+from .recursions import streamed
+
 
 def deltas(counters: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """``delta`` of a cumulative counter per key: 0 for the first row, after a reset and from a zero."""
@@ -44,20 +46,16 @@ def history(rollups: DataFrame, bucket: str = "6 hours") -> DataFrame:
 def anchored_history(rollups: DataFrame, seconds: int) -> DataFrame:
     """Buckets that begin at a row rather than at the clock: each starts at the first row past the one before.
 
-    One series is one ordered fold, and the series has a row per roll-up.
+    One series is one ordered pass with a number for its state, over a row per roll-up.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_timestamp("ts").alias("s"), F.col("rx_pps").alias("x"), F.col("dropped_pps").alias("d"))))
-    begin = F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("d"), F.array().cast("array<struct<start:bigint,n:bigint,x:bigint,d:bigint>>").alias("out"))
-    done = lambda a: F.concat(a["out"], F.array(F.struct(a["start"], a["n"], a["x"], a["d"])))
-
-    def step(a: Column, r: Column) -> Column:
-        new = (a["start"] < 0) | (r["s"] >= a["start"] + seconds)
-        first = F.struct(r["s"].alias("start"), F.lit(1).cast("long").alias("n"), r["x"].alias("x"), r["d"].alias("d"), F.when(a["start"] < 0, a["out"]).otherwise(done(a)).alias("out"))
-        more = F.struct(a["start"].alias("start"), (a["n"] + 1).alias("n"), (a["x"] + r["x"]).alias("x"), (a["d"] + r["d"]).alias("d"), a["out"].alias("out"))
-        return F.when(new, first).otherwise(more)
-
-    folded = rollups.agg(F.aggregate(rows, begin, step, lambda a: F.when(a["start"] < 0, a["out"]).otherwise(done(a))).alias("b"))
-    return folded.select(F.inline("b")).select(F.timestamp_seconds("start").alias("bucket"), F.floor(F.col("x") / F.col("n")).alias("rx_pps"), F.col("d").alias("dropped"), F.col("n").alias("rows"))
+    rows = rollups.select(F.lit(0).alias("series"), F.unix_timestamp("ts").alias("s"), "rx_pps", "dropped_pps", F.unix_timestamp("ts").alias("_s"))
+
+    def step(start: int, x: int, d: int, s: int) -> tuple:
+        start = s if start < 0 or s >= start + seconds else start
+        return start, (start,)
+
+    marked = streamed(rows, ["series"], ["s"], lambda: -1, step, ["rx_pps", "dropped_pps"], "start long")
+    return marked.groupBy("start").agg(F.floor(F.sum("rx_pps") / F.count("*")).alias("rx_pps"), F.sum("dropped_pps").alias("dropped"), F.count("*").alias("rows")).select(F.timestamp_seconds("start").alias("bucket"), "rx_pps", "dropped", "rows")
 
 
 def attack_stats(attacks: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from netweir.functions.traffic import flagged, ratio
 
+from .recursions import fold
+
 SYN, ACK, FIN, RST = 0x02, 0x10, 0x01, 0x04
 #: EWMA step of the burst factor.
 BURST_ALPHA = 0.033
@@ -22,11 +24,18 @@ def entropy_of(packets: DataFrame, keys: list[str], value: str, name: str) -> Da
 def flow_shares(packets: DataFrame, keys: list[str], flow: list[str], top: int = 10) -> DataFrame:
     """Largest flow's share, the top flows' share (percent) and how many flows exceed 5 %."""
     counts = packets.groupBy(*keys, *flow).agg(F.count("*").alias("_c"))
-    ranked = counts.withColumns({"_r": F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_c"), *flow)), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
-    return ranked.groupBy(*keys).agg(
-        (F.max("_c") * 100.0 / F.max("_n")).alias("max_flow_fraction"),
-        (F.sum(F.when(F.col("_r") <= top, F.col("_c")).otherwise(0)) * 100.0 / F.max("_n")).alias("topk_flow_share"),
-        F.count_if(F.col("_c") > 0.05 * F.col("_n")).alias("heavy_hitter_count"),
+    # a window under attack has most flows: its flows are ranked in parts, and then the parts' first; fewer than 20 flows exceed 5 %
+    most = max(top, 20)
+    part = F.pmod(F.xxhash64(*flow), F.lit(32)).alias("_part")
+    first = counts.select(*keys, "_c", part).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.desc("_c")))).filter(F.col("_r") <= most)
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    best = first.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("_c"), asc=False), 1, most).alias("_best"))
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    return totals.join(best, keys).select(
+        *keys,
+        (F.get("_best", F.lit(0)) * 100.0 / F.col("_n")).alias("max_flow_fraction"),
+        (add(F.slice("_best", 1, top)) * 100.0 / F.col("_n")).alias("topk_flow_share"),
+        F.size(F.filter("_best", lambda c: c > 0.05 * F.col("_n"))).cast("long").alias("heavy_hitter_count"),
     )
 
 
@@ -36,18 +45,6 @@ def new_sources(packets: DataFrame, keys: list[str], window: str) -> DataFrame:
     return first.groupBy("dst", window).agg(F.count("*").alias("new_srcip_rate"))
 
 
-def burst_factor(value: Column, order: Column, alpha: float = BURST_ALPHA) -> Column:
-    """Per group, array<struct<w, burst>>: 100 x over its EWMA including x; a mean under 1 is seeded with x."""
-    steps = F.array_sort(F.collect_list(F.struct(order.alias("w"), value.cast("double").alias("x"))))
-    begin = F.struct(F.lit(0.0).alias("m"), F.array().cast("array<struct<w:date,burst:double>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        m = F.when(acc["m"] < 1, s["x"]).otherwise(acc["m"] + alpha * (s["x"] - acc["m"]))
-        return F.struct(m.alias("m"), F.concat(acc["out"], F.array(F.struct(s["w"].alias("w"), F.when(m > 0, 100 * s["x"] / m).otherwise(0.0).alias("burst")))).alias("out"))
-
-    return F.aggregate(steps, begin, step, lambda acc: acc["out"])
-
-
 def window_features(packets: DataFrame, window: Column | None = None) -> DataFrame:
     """A row per (dst, w) with the packet, flag, protocol, diversity, concentration and size features.
 
@@ -99,15 +96,22 @@ def window_features(packets: DataFrame, window: Column | None = None) -> DataFra
     return out.withColumns({"avg_packets_per_flow": ratio(F.col("packets"), F.col("flows")), "dst_port_density": F.col("unique_dst_ports") * 1000.0 / F.col("packets"), "new_srcip_rate": F.coalesce("new_srcip_rate", F.lit(0).cast("long"))})
 
 
-def burst_factors(packets: DataFrame, window: Column | None = None) -> DataFrame:
+def burst_factors(packets: DataFrame, window: Column | None = None, alpha: float = BURST_ALPHA) -> DataFrame:
     """dst, w, burst for every day between a destination's first and last; empty days are steps of 0.
 
+    The factor is 100 x over its moving mean including x; a mean under 1 is seeded with x.
+
     A destination's days are one ordered fold; their number is the calendar's, not the packets'.
     """
     days = packets.groupBy("dst", (window if window is not None else F.to_date("ts")).alias("w")).agg(F.count("*").alias("n"))
     spans = days.groupBy("dst").agg(F.explode(F.sequence(F.min("w"), F.max("w"))).alias("w"))
     dense = spans.join(days, ["dst", "w"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return dense.groupBy("dst").agg(burst_factor(F.col("n"), F.col("w")).alias("b")).select("dst", F.inline("b"))
+
+    def step(m: float, x: float) -> tuple:
+        m = x if m < 1 else m + alpha * (x - m)
+        return m, (100 * x / m if m > 0 else 0.0,)
+
+    return fold(dense, ["dst"], "w", F.col("n"), 0.0, step, ["burst"])
 
 
 def modal_label(packets: DataFrame, window: Column | None = None) -> DataFrame:

@@ -20,11 +20,7 @@ def matrix(spark, sf_dir):
     return tables.vectors(spark, sf_dir).withColumn("train", (F.col("idx") % 2 == 0) & ~F.col("attack"))
 
 
-def tested(spark, sf_dir):
-    return matrix(spark, sf_dir).filter("train OR idx % 2 = 1")
-
-
-M = VECTORS + ", m AS (SELECT *, idx % 2 = 0 AND NOT attack AS train FROM vectors WHERE idx % 2 = 1 OR NOT attack), long AS (UNPIVOT m ON f0, f1, f2, f3, f4, f5, f6, f7 INTO NAME feature VALUE x)"
+M = VECTORS + ", m AS (SELECT *, idx % 2 = 0 AND NOT attack AS train FROM vectors), long AS (UNPIVOT m ON f0, f1, f2, f3, f4, f5, f6, f7 INTO NAME feature VALUE x)"
 POT = f"""{M}, cut AS (SELECT feature, quantile_cont(x, 0.98) AS cut, stddev_pop(x) AS sd FROM long WHERE train GROUP BY feature),
 fit AS (SELECT feature, cut, CASE WHEN count(o) > 2 THEN greatest(0.5 * avg(o) * (avg(o) ** 2 / (var_pop(o) + 1e-8) + 1), 0.01) ELSE greatest(max(sd), 0.1) END AS scale
         FROM (SELECT long.feature, cut, sd, CASE WHEN x > cut THEN x - cut END AS o FROM long JOIN cut USING (feature) WHERE train) GROUP BY feature, cut),
@@ -37,22 +33,22 @@ u AS (SELECT idx, -ln(l) AS ul, -ln(r) AS ur, CASE WHEN sk > 0 THEN -ln(r) WHEN
 
 @query(f"WITH {POT} SELECT idx, round(score, 6) + 0.0 AS score FROM pot")
 def pot_scores(spark, sf_dir):
-    return op.peaks_over_threshold(op.long_form(tested(spark, sf_dir), FEATURES)).select("idx", (F.round("score", 6) + 0.0).alias("score"))
+    return op.peaks_over_threshold(op.long_form(matrix(spark, sf_dir), FEATURES)).select("idx", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query()
 def dspot_scores(spark, sf_dir):
-    return op.drifting_peaks(op.long_form(tested(spark, sf_dir), FEATURES)).select("idx", r6("score"))
+    return op.drifting_peaks(op.long_form(matrix(spark, sf_dir), FEATURES, ("idx", "victim", "train"))).select("idx", r6("score"))
 
 
 @query(f"WITH {TAILS} SELECT idx, round(sum(greatest(ul, ur, us)), 6) AS score FROM u GROUP BY idx")
 def ecod_scores(spark, sf_dir):
-    return op.tail_scores(op.long_form(tested(spark, sf_dir), FEATURES)).select("idx", r6("score"))
+    return op.tail_scores(op.long_form(matrix(spark, sf_dir), FEATURES)).select("idx", r6("score"))
 
 
 @query(f"WITH {TAILS} SELECT idx, round(sum(greatest(us, (ul + ur) / 2)), 6) AS score FROM u GROUP BY idx")
 def copod_scores(spark, sf_dir):
-    return op.tail_scores(op.long_form(tested(spark, sf_dir), FEATURES), "copod").select("idx", r6("score"))
+    return op.tail_scores(op.long_form(matrix(spark, sf_dir), FEATURES), "copod").select("idx", r6("score"))
 
 
 @query(f"""
@@ -62,28 +58,28 @@ d AS (SELECT feature, bin, -log2(count(*) / (n * width) + 0.1) AS s FROM b WHERE
 SELECT idx, round(sum(CASE WHEN x < lo - 0.5 * width OR x > lo + 10.5 * width THEN worst ELSE coalesce(s, -log2(0.1)) END), 6) AS score FROM b JOIN w USING (feature) LEFT JOIN d USING (feature, bin) WHERE NOT train GROUP BY idx
 """)
 def hbos_scores(spark, sf_dir):
-    return op.histogram_scores(op.long_form(tested(spark, sf_dir), FEATURES)).select("idx", r6("score"))
+    return op.histogram_scores(op.long_form(matrix(spark, sf_dir), FEATURES)).select("idx", r6("score"))
 
 
 @query()
 def loda_scores(spark, sf_dir):
-    return op.loda_scores(tested(spark, sf_dir), FEATURES).select("idx", r6("score"))
+    return op.loda_scores(matrix(spark, sf_dir), FEATURES).select("idx", r6("score"))
 
 
 @query()
 def iforest_scores(spark, sf_dir):
-    return op.isolation_forest(tested(spark, sf_dir), FEATURES).select("idx", r6("score"))
+    return op.isolation_forest(matrix(spark, sf_dir), FEATURES).select("idx", r6("score"))
 
 
 @query()
 def inne_scores(spark, sf_dir):
-    return op.nearest_hyperspheres(tested(spark, sf_dir), FEATURES).select("idx", r6("score"))
+    return op.nearest_hyperspheres(matrix(spark, sf_dir), FEATURES).select("idx", r6("score"))
 
 
 @query()
 def subspace_scores(spark, sf_dir):
     """Smoothed residual energy outside the first four components."""
-    return op.subspace_scores(tested(spark, sf_dir), FEATURES, k=4).select("idx", r6("score"))
+    return op.subspace_scores(matrix(spark, sf_dir), FEATURES, k=4).select("idx", r6("score"))
 
 
 @query(f"""
@@ -129,7 +125,7 @@ p AS (SELECT a.idx, a.feature, (1.0::DOUBLE + (SELECT count(*) FROM s b WHERE b.
 
 
 def pvalues(spark, sf_dir):
-    s = op.long_form(tested(spark, sf_dir), FEATURES[:4]).select("idx", "train", "feature", F.abs("x").alias("s"))
+    s = op.long_form(matrix(spark, sf_dir), FEATURES[:4]).select("idx", "train", "feature", F.abs("x").alias("s"))
     return op.conformal(s, "s", "train", ["feature"]).filter("NOT train").select("idx", "feature", "p")
 
 

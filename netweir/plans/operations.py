@@ -9,7 +9,7 @@ from netweir.operators import traffic as op
 from netweir.operators.detectors import long_form, peaks_over_threshold
 from netweir.sources import tables
 
-from .detectors import FEATURES, POT, tested
+from .detectors import FEATURES, POT, matrix
 from .lookups import values
 from .recursions import SERIES, SLOTS, ewma_sql, series, tiers
 from .registry import query, r6
@@ -158,17 +158,19 @@ SELECT label, w, round(m, 6) AS mean, frozen > 0 AS frozen FROM f
 """)
 def baseline_freeze(spark, sf_dir):
     """A mean that freezes for fifteen windows once two in a row are over three times it, and then recovers."""
-    begin = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0.0).alias("jumps"), F.lit(0.0).alias("frozen"))
 
-    def step(s, x):
-        first, held, jump = s["mean"].isNull(), s["frozen"] > 0, x > 3 * s["mean"]
-        return F.struct(
-            F.when(first, x).when(held, s["mean"]).otherwise(s["mean"] + 0.3 * (x - s["mean"])).alias("mean"),
-            F.when(~first & ~held & jump, s["jumps"] + 1).otherwise(0.0).alias("jumps"),
-            F.when(first, 0.0).when(held, s["frozen"] - 1).when(jump & (s["jumps"] + 1 >= 2), 15.0).otherwise(0.0).alias("frozen"),
-        )
-
-    out = recursions.fold(series(spark, sf_dir), ["label"], "w", F.col("bytes"), begin, step, ["mean", "frozen"], "_f")
+    def step(state: tuple, x: float) -> tuple:
+        mean, jumps, frozen = state
+        if mean is None:
+            mean = x
+        elif frozen:
+            jumps, frozen = 0, frozen - 1
+        else:
+            jumps = jumps + 1 if x > 3 * mean else 0
+            mean, frozen = mean + 0.3 * (x - mean), 15 if jumps >= 2 else 0
+        return (mean, jumps, frozen), (mean, float(frozen))
+
+    out = recursions.fold(series(spark, sf_dir), ["label"], "w", F.col("bytes"), (None, 0, 0), step, ["mean", "frozen"])
     return out.select("label", "w", r6("mean"), (F.col("frozen") > 0).alias("frozen"))
 
 
@@ -198,14 +200,14 @@ def cusum_calibration(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {POT}, o AS (SELECT idx, score, row_number() OVER (ORDER BY idx) AS i FROM pot), e AS (SELECT idx, i, 0.5 * score AS s FROM o WHERE i = 1 UNION ALL SELECT o.idx, o.i, 0.5 * o.score + 0.5 * e.s FROM e JOIN o ON o.i = e.i + 1),
+WITH RECURSIVE {POT}, o AS (SELECT idx, victim, score, row_number() OVER (PARTITION BY victim ORDER BY idx) AS i FROM pot JOIN vectors USING (idx)), e AS (SELECT idx, victim, i, 0.5 * score AS s FROM o WHERE i = 1 UNION ALL SELECT o.idx, o.victim, o.i, 0.5 * o.score + 0.5 * e.s FROM e JOIN o ON o.victim = e.victim AND o.i = e.i + 1),
 j AS (SELECT 'raw' AS arm, idx, round(score, 9) AS s FROM pot UNION ALL SELECT 'smoothed', idx, round(s, 9) FROM e), c AS (SELECT arm, s, count(*) AS n, count(*) FILTER (attack) AS pos FROM j JOIN vectors USING (idx) GROUP BY 1, 2), k AS (SELECT *, sum(n) OVER (PARTITION BY arm ORDER BY s) - n + (n + 1) / 2 AS rank FROM c)
 SELECT arm, round((sum(rank * pos) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * (sum(n) - sum(pos))), 6) AS auc FROM k GROUP BY arm
 """)
 def ewma_ablation(spark, sf_dir):
-    """A detector's AUC with its scores as they are and smoothed."""
-    raw = peaks_over_threshold(long_form(tested(spark, sf_dir), FEATURES)).withColumn("one", F.lit(1))
-    smooth = recursions.ewma(raw, ["one"], "idx", F.col("score"), 0.5, "score")
+    """A detector's AUC with its scores as they are and smoothed along each victim's windows."""
+    raw = peaks_over_threshold(long_form(matrix(spark, sf_dir), FEATURES)).join(tables.vectors(spark, sf_dir).select("idx", "victim"), "idx")
+    smooth = recursions.ewma(raw, ["victim"], "idx", F.col("score"), 0.5, "score")
     both = raw.select("idx", "score", F.lit("raw").alias("arm")).unionByName(smooth.select("idx", "score", F.lit("smoothed").alias("arm")))
     judged = both.join(tables.vectors(spark, sf_dir).select("idx", "attack"), "idx").withColumn("score", F.round("score", 9))
     return evaluation.auc(judged, ["arm"], "score", "attack").select("arm", r6("auc"))

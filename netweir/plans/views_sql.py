@@ -37,4 +37,4 @@ flows AS (
            l_quantity AS packets, l_extendedprice AS bytes, l_returnflag AS proto, l_linestatus AS state
     FROM lineitem
 )"""
-VECTORS = "vectors AS (SELECT vec_id AS idx, label >= 8 AS attack, " + ", ".join(f"CAST(embedding[{j + 1}] AS DOUBLE) AS f{j}" for j in range(8)) + " FROM embeddings)"
+VECTORS = "vectors AS (SELECT vec_id AS idx, label >= 8 AS attack, vec_id % 13 AS victim, " + ", ".join(f"CAST(embedding[{j + 1}] AS DOUBLE) AS f{j}" for j in range(8)) + " FROM embeddings)"

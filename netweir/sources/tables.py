@@ -79,9 +79,9 @@ def rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detector windows made of ``embeddings``: idx orders them, the first labels are benign."""
+    """Detector windows made of ``embeddings``: idx orders them, the first labels are benign, thirteen victims take turns."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("idx"), (F.col("label") >= 8).alias("attack"), *[F.get("embedding", F.lit(j)).cast("double").alias(f"f{j}") for j in range(8)])
+    return e.select(F.col("vec_id").alias("idx"), (F.col("label") >= 8).alias("attack"), (F.col("vec_id") % 13).alias("victim"), *[F.get("embedding", F.lit(j)).cast("double").alias(f"f{j}") for j in range(8)])
 
 
 def named(cols: dict[str, Column]) -> list[Column]:

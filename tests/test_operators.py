@@ -1,6 +1,7 @@
 """Golden vectors and properties that SQL twins do not show."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from netweir.functions.traffic import clamp, erfc, ip_number, ip_text, wilson
 from netweir.operators import detectors, evaluation, filters, lookups, recursions, sketches
 from netweir.plans.detectors import FEATURES
-from netweir.plans.detectors import tested as windows
+from netweir.plans.detectors import matrix as windows
 from netweir.sources import tables
 
 
@@ -131,22 +132,34 @@ def test_dspot_matches_a_loop(spark, sf_dir, matrix):
     train, test = matrix
     want = np.zeros(len(test))
     for f in FEATURES:
-        v = train[f].to_numpy()
-        res = np.array([v[i] - (v[max(0, i - 64) : i].mean() if i else v[i]) for i in range(len(v))])
+        parts = {k: v[f].to_numpy() for k, v in train.groupby("victim")}
+        res = np.concatenate([[v[i] - (v[max(0, i - 64) : i].mean() if i else v[i]) for i in range(len(v))] for v in parts.values()])
         cut = np.percentile(res, 98)
         over = res[res > cut] - cut
         scale = max(0.5 * over.mean() * (over.mean() ** 2 / (over.var() + 1e-8) + 1), 0.01) if len(over) > 2 else max(res.std(), 0.1)
-        held, out = list(v[-64:]), []
-        for x in test[f]:
-            e = x - np.mean(held) - cut
+        held, out = {k: list(v[-64:]) for k, v in parts.items()}, []
+        for victim, x in zip(test["victim"], test[f], strict=True):
+            e = x - np.mean(held[victim]) - cut
             out.append(max(0.0, e / scale))
             if e <= 0:
-                held = [*held, x][-64:]
+                held[victim] = [*held[victim], x][-64:]
         want = np.maximum(want, out)
-    got = scores(detectors.drifting_peaks(detectors.long_form(windows(spark, sf_dir), FEATURES)))
+    got = scores(detectors.drifting_peaks(detectors.long_form(windows(spark, sf_dir), FEATURES, ("idx", "victim", "train"))))
     assert np.allclose(got, want, atol=1e-9)
 
 
+def test_a_million_windows_of_one_entity(spark):
+    """Folds take linear time and keep only their state."""
+    began = time.time()
+    rows = spark.range(1_000_000).select(F.lit("one").alias("k"), "id", (F.col("id") % 100).alias("v"))
+    r = recursions.ewma_baseline(rows, ["k"], "id", "v", 0.1).agg(F.count("*").alias("n"), F.max("n").alias("last")).first()
+    assert (r["n"], r["last"]) == (1_000_000, 999_999)
+    packets = rows.select("k", F.col("id").alias("event_id"), (F.col("id") / 10).alias("t"), F.lit(1.0).alias("cost"))
+    admitted = recursions.token_bucket(packets, ["k"], 5.0, 10.0).filter("admitted").count()
+    assert abs(admitted - 500_000) < 20
+    assert time.time() - began < 60
+
+
 def test_loda_matches_numpy(spark, sf_dir, matrix):
     train, test = (m[FEATURES].to_numpy() for m in matrix)
     want = []
@@ -168,10 +181,10 @@ def test_subspace_matches_numpy(spark, sf_dir, matrix):
     v = np.linalg.svd(a, full_matrices=False)[2][:4]
     qa, qb = ((x**2).sum(axis=1) - ((x @ v.T) ** 2).sum(axis=1) for x in (a, b))
     surprise = [-np.log(((qa >= q - 1e-9).sum() + 1) / (len(a) + 1)) for q in qb]
-    want, cur = [], 0.0
-    for s in surprise:
-        cur = 0.5 * s + 0.5 * cur
-        want.append(cur)
+    want, cur = [], dict.fromkeys(range(13), 0.0)
+    for s, victim in zip(surprise, matrix[1]["victim"], strict=True):
+        cur[victim] = 0.5 * s + 0.5 * cur[victim]
+        want.append(cur[victim])
     assert np.allclose(scores(detectors.subspace_scores(windows(spark, sf_dir), FEATURES, k=4)), want, atol=1e-6)
 
 
