@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ BLOCK = 16
 RUNS = 64
 #: Items of one index; a longer benchmark is cut into several, each queried in turn.
 ITEMS = 20_000
+#: Indexes that travel together, so that texts are read once for all of them.
+TOGETHER = 8
 #: Shorter items have no index; they are found as exact runs of words.
 LEAST_WORDS = 4
 #: ASCII letters and digits and every byte of other scripts are word characters.
@@ -306,26 +309,33 @@ def _slices(col: pa.Array, powers: Powers) -> Iterator[tuple[int, np.ndarray, np
         at = to
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id") -> DataFrame:
+def _passes(docs: DataFrame, benchmark: DataFrame, items: int) -> Iterator[Broadcast]:
+    """Broadcasts of up to ``TOGETHER`` indexes of ``items`` items each."""
+    every = indexes(benchmark, items=items)
+    for at in range(0, len(every), TOGETHER):
+        yield docs.sparkSession.sparkContext.broadcast(every[at : at + TOGETHER])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", items: int = ITEMS) -> DataFrame:
     """``ident``, item_id, score, question_overlap, answer_overlap, first_word of every verified match of every row.
 
-    Each text is read whole and once for each index, by one task, so nothing is shuffled.  Null and empty texts match nothing;
-    equal rows each get rows; without items or documents the result is empty.
+    Each text is read whole, by one task and once for ``TOGETHER * items`` items, so nothing is shuffled.  Null and empty
+    texts match nothing; equal rows each get rows; without items or documents the result is empty.
     """
     kind = docs.schema[ident].dataType.simpleString()
     out = None
-    for index in indexes(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for sent in _passes(docs, benchmark, items):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            powers, own = Powers(), sent.value
+            powers = Powers()
             for b in batches:
                 rows, found = [], []
                 for at, h, first in _slices(b.column(1), powers):
-                    for text, items in own.all_matches(h, first).items():
-                        for item, m in sorted(items.items()):
-                            rows.append(at + text)
-                            found.append((item, *m))
+                    for index in sent.value:
+                        for text, items in index.all_matches(h, first).items():
+                            for item, m in sorted(items.items()):
+                                rows.append(at + text)
+                                found.append((item, *m))
                 cols = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()), strict=True)]], names=[ident, "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
@@ -336,18 +346,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id") -> DataF
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
     """``docs`` without the rows that hold a verified test item."""
-    for index in indexes(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for sent in _passes(docs, benchmark, items):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            powers, own = Powers(), sent.value
+            powers = Powers()
             for b in batches:
                 clean = np.ones(len(b), bool)
                 for at, h, first in _slices(b.column(b.schema.get_field_index("text")), powers):
-                    for text in own.all_matches(h, first):
-                        clean[at + text] = False
+                    for index in sent.value:
+                        for text in index.all_matches(h, first):
+                            clean[at + text] = False
                 yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -259,11 +259,51 @@ def test_leaks_beside_a_long_item(spark):
     assert {r["doc_id"] for r in leaks.without_leaks(docs, bench).collect()} == {1, 4, 5}
 
 
-def test_leak_indexes_in_shards(spark, bench):
-    docs = spark.createDataFrame([(1, ITEMS[0][1]), (2, ITEMS[1][1])], "doc_id long, text string")
-    whole, cut = leaks.indexes(bench), leaks.indexes(bench, items=1)
-    assert len(whole) == 1 and sorted(i for x in cut for i in x.ids) == whole[0].ids or sorted(whole[0].ids) == [1, 2]
-    assert docs.count() == 2
+def test_leaks_against_every_item(spark, monkeypatch):
+    """One index, several in one pass and several passes find what scoring every item against every passage finds."""
+    rng = random.Random(12)
+    word = lambda: f"u{rng.randrange(300)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 40))) + "? " + " ".join(word() for _ in range(rng.randrange(0, 8)))) for i in range(40)]
+    rows = []
+    for d in range(80):
+        w = [word() for _ in range(rng.randrange(120))]
+        for _ in range(rng.randrange(3)):
+            own = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(6)):
+                own[rng.randrange(len(own))] = word()
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = own
+        rows.append((d, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = leaks.indexes(bench)
+    assert len(whole) == 1
+
+    def every(terms, threshold=leaks.THRESHOLD):
+        full = np.zeros(len(whole[0].ids))
+        for t in terms:
+            full[whole[0].postings[t].items] += whole[0].postings[t].impacts
+        return [(int(i), float(full[i])) for i in np.flatnonzero(full >= threshold - 1e-12)]
+
+    whole[0].above = every
+    whole[0].runs = np.full_like(whole[0].runs, 1.0)  # no passage is left out by bounds of runs
+    want = set()
+    for d, t in rows:
+        if t:
+            raw = t.encode()
+            h, first = leaks.hashed(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), leaks.Powers())
+            want |= {(d, i) for i in whole[0].all_matches(h, first).get(0, {})}
+    assert len(want) > 30
+    got = lambda **k: {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, bench, **k).collect()}
+    assert got() == want
+    assert len(leaks.indexes(bench, items=10)) == 4
+    spread = got(items=10)
+    monkeypatch.setattr(leaks, "TOGETHER", 2)
+    assert spread == got(items=10)
+    # a passage is as long as the longest item of its index asks, so only matches across its edges may differ
+    assert len(spread ^ want) <= 0.1 * len(want)
+    left = {r["doc_id"] for r in leaks.without_leaks(docs, bench, items=10).select("doc_id").collect()}
+    assert left == {d for d, _ in rows} - {d for d, _ in spread}
 
 
 def test_block_max_wand_is_exact(spark, sf_dir):
