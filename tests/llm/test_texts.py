@@ -116,8 +116,13 @@ def shingle_set(text, k=5):
     return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def test_one_of_each_is_exact(spark):
+@pytest.mark.parametrize("block", [2000, 3])
+def test_one_of_each_is_exact(spark, monkeypatch, block):
     """Every pair of a similarity of 0.8 loses one side, and nothing else goes."""
+    from netweir.llm import shingles
+
+    cut = shingles.open_pairs
+    monkeypatch.setattr(shingles, "open_pairs", lambda rows, sets: cut(rows, sets, block))
     rng = random.Random(11)
     rows = []
     for base in range(40):
