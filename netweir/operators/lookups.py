@@ -59,10 +59,15 @@ def list_verdict(rows: DataFrame, white: DataFrame, black: DataFrame, prefixes:
 
 
 def indicator_threat(values: DataFrame, feeds: DataFrame, value: str = "value") -> DataFrame:
-    """value, matches, threat: feeds that list the value, whatever its case."""
-    hits = values.withColumn("_k", F.lower(value)).join(feeds.withColumn("_k", F.lower("indicator")).select("_k", "feed").distinct(), "_k", "left")
+    """value, matches, threat: feeds that list the value, whatever its case.
+
+    Three feeds make a threat critical; below that it is high if a feed calls it critical, and medium else.
+    """
+    f = feeds.groupBy(F.lower("indicator").alias("_k"), "feed").agg(F.bool_or(F.col("severity") == "critical").alias("_worst"))
+    hits = values.withColumn("_k", F.lower(value)).join(f, "_k", "left")
     n = F.count("feed")
-    return hits.groupBy(value).agg(n.alias("matches"), cases((n >= 3, "critical"), (n == 2, "high"), (n == 1, "medium"), otherwise="none").alias("threat"))
+    threat = cases((n >= 3, "critical"), ((n > 0) & F.bool_or("_worst"), "high"), (n > 0, "medium"), otherwise="none")
+    return hits.groupBy(value).agg(n.alias("matches"), threat.alias("threat"))
 
 
 def indicator_type(value: Column) -> Column:

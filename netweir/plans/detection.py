@@ -7,10 +7,10 @@ from netweir.sources import tables
 
 from .recursions import SERIES
 from .registry import query, r6
-from .views_sql import ATTACKS, PACKETS
+from .views_sql import ATTACKS, PACKETS, ROLLUPS
 
-#: Windows of four groups of hosts by twelve hours.
-WINDOWS = f"""{PACKETS}, p AS (SELECT *, dst % 4 AS host, time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') AS w FROM packets),
+#: Windows of four groups of hosts by twelve hours; on the 20th and 21st a flood sends every UDP packet nine times.
+WINDOWS = f"""{PACKETS}, p AS (SELECT *, dst % 4 AS host, time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') AS w, unnest(range(CASE WHEN proto = 17 AND day(ts) IN (20, 21) THEN 9 ELSE 1 END)) FROM packets),
 fl AS (SELECT host, w, max(k) AS top FROM (SELECT host, w, count(*) AS k FROM p GROUP BY host, w, src, proto) GROUP BY 1, 2),
 f AS (SELECT host, w, count(*) AS packets, sum(length) AS bytes, count(*) FILTER (flags & 2 = 2) AS syn, count(*) FILTER (flags & 16 = 16) AS ack, count(*) FILTER (proto = 6) / count(*) AS tcp_share, count(*) FILTER (proto = 17) / count(*) AS udp_share,
     count(*) FILTER (proto = 1) / count(*) AS icmp_share, count(*) FILTER (proto NOT IN (1, 6, 17)) / count(*) AS other_share, sum(length) / count(*) AS bytes_per_packet, count(DISTINCT src) AS sources, count(DISTINCT dst_port) AS ports,
@@ -19,6 +19,8 @@ f AS (SELECT host, w, count(*) AS packets, sum(length) AS bytes, count(*) FILTER
 
 def windows(spark, sf_dir):
     p = tables.packets(spark, sf_dir).withColumns({"host": F.col("dst") % 4, "w": F.window("ts", "12 hours")["start"]})
+    flood = (F.col("proto") == 17) & F.dayofmonth("ts").isin(20, 21)
+    p = p.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(flood, 9).otherwise(1))))
     top = p.groupBy("host", "w", "src", "proto").agg(F.count("*").alias("k")).groupBy("host", "w").agg(F.max("k").alias("top"))
     n = F.count("*")
     share = lambda c: F.count_if(c) / n
@@ -69,16 +71,16 @@ def routed_detection(spark, sf_dir):
     return op.combined(op.routed(windows(spark, sf_dir), ["host"], "w"), ["host"], "w").withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH RECURSIVE {ROUTED} SELECT host, w, CASE WHEN packets < 8 THEN 0 ELSE round(score, 6) END AS score, CASE WHEN packets < 8 THEN 0 ELSE triggered END AS triggered, packets < 8 AS skipped FROM d JOIN f USING (host, w)")
+@query(f"WITH RECURSIVE {ROUTED} SELECT host, w, CASE WHEN packets < 40 THEN 0 ELSE round(score, 6) END AS score, CASE WHEN packets < 40 THEN 0 ELSE triggered END AS triggered, packets < 40 AS skipped FROM d JOIN f USING (host, w)")
 def low_traffic_skipped(spark, sf_dir):
     """Quiet windows teach the baselines and decide nothing."""
     f = windows(spark, sf_dir)
     d = op.combined(op.routed(f, ["host"], "w"), ["host"], "w").join(f.select("host", "w", "packets"), ["host", "w"])
-    return op.quiet_skipped(d, F.col("packets"), 8).select("host", "w", r6("score"), "triggered", "skipped")
+    return op.quiet_skipped(d, F.col("packets"), 40).select("host", "w", r6("score"), "triggered", "skipped")
 
 
 @query(f"""
-WITH RECURSIVE {SERIES}, x AS (SELECT label, w, i, n * 10.0::DOUBLE AS rate, bytes % 7 * 10.0::DOUBLE AS syn, sources * 10.0::DOUBLE AS flow FROM series),
+WITH RECURSIVE {SERIES}, x AS (SELECT label, w, i, n * CASE WHEN i % 90 IN (50, 51, 52) THEN 40 ELSE 1 END * 10.0::DOUBLE AS rate, bytes % 7 * 10.0::DOUBLE AS syn, CASE WHEN i % 70 = 60 THEN sources * 20 ELSE sources END * 10.0::DOUBLE AS flow FROM series),
 c AS (SELECT label, greatest(floor(list_sort(list(rate))[29] * 3), 60) AS rate_cut, greatest(floor(list_sort(list(syn))[29] * 3), 50) AS syn_cut FROM x WHERE i <= 30 GROUP BY label),
 e AS (SELECT label, i, rate AS a, syn AS b, flow AS c FROM x WHERE i = 1 UNION ALL SELECT x.label, x.i, 0.3 * rate + 0.7 * a, 0.3 * syn + 0.7 * b, 0.3 * flow + 0.7 * c FROM e JOIN x ON x.label = e.label AND x.i = e.i + 1),
 hits AS (SELECT x.label, w, i, rate, a, CASE WHEN i < 30 THEN rate > 120 ELSE (a > 100 AND rate > 1.5 * a) OR rate > rate_cut END AS rate_spike, CASE WHEN i < 30 THEN syn > 200 ELSE syn > syn_cut OR (b > 10 AND syn > b * 1.5 * 1.5) END AS syn_spike,
@@ -87,10 +89,11 @@ k AS (SELECT *, i >= 30 AND (rate_spike OR syn_spike OR flow_spike) AS hit, max(
 SELECT label, w, rate, round(a, 6) AS average, rate_spike, syn_spike, flow_spike, i - clear AS streak, i - clear >= 2 AS confirmed FROM k
 """)
 def fast_detection(spark, sf_dir):
-    """Spikes of short windows; hours stand for tenths of a second, the finest windows that the table fills."""
+    """Spikes of short windows; hours stand for tenths of a second, the finest windows that the table fills, with pulses
+    of three windows and bursts of flows planted."""
     from .recursions import series
 
-    s = series(spark, sf_dir).select("label", "w", F.col("n").alias("packets"), (F.col("bytes") % 7).alias("syn"), F.col("sources").alias("new_flows"))
+    s = series(spark, sf_dir).select("label", "w", (F.col("n") * F.when((F.col("i") % 90).isin(50, 51, 52), 40).otherwise(1)).alias("packets"), (F.col("bytes") % 7).alias("syn"), F.when(F.col("i") % 70 == 60, F.col("sources") * 20).otherwise(F.col("sources")).alias("new_flows"))
     return op.fast_spikes(s, ["label"], "w", least_rate=60.0, least_syn=100.0).withColumn("average", F.round("average", 6))
 
 
@@ -125,3 +128,54 @@ def security_events(spark, sf_dir):
     seen = F.struct(F.col("started_at").alias("at"), F.lit("attack_detected").alias("event"), F.concat("attack_type", F.lit(" attack targeting "), F.col("target").cast("string")).alias("details"))
     done = F.struct(F.col("ended_at").alias("at"), F.lit("attack_mitigated").alias("event"), F.concat(F.lit("Mitigated after "), F.timestamp_diff("SECOND", "started_at", "ended_at").cast("string"), F.lit("s")).alias("details"))
     return ended(spark, sf_dir).select("attack_id", "severity", F.inline(F.array(seen, done))).filter("at IS NOT NULL").select("at", "event", "attack_id", "severity", "details")
+
+
+TOTALS = """t AS (SELECT count(*) AS samples, max(rx_pps) AS peak_pps, max(rx_bps) AS peak_bps, avg(rx_pps) AS avg_pps, avg(rx_bps) AS avg_bps, count(*) FILTER (anomaly_active) AS down, sum(dropped_pps) AS dropped, sum(drops_signature) AS signature FROM rollups),
+a AS (SELECT count(*) AS total, count(*) FILTER (is_mitigated) AS mitigated, count(*) FILTER (is_active) AS active, coalesce(avg(mitigation_ms) FILTER (mitigation_ms <> 0), 0) AS mean_ms FROM attacks)"""
+
+
+def totals(spark, sf_dir):
+    """One row of traffic totals and one of attack totals."""
+    t = tables.rollups(spark, sf_dir).agg(
+        F.count("*").alias("samples"), F.max("rx_pps").alias("peak_pps"), F.max("rx_bps").alias("peak_bps"), F.avg("rx_pps").alias("avg_pps"), F.avg("rx_bps").alias("avg_bps"),
+        F.count_if("anomaly_active").alias("down"), F.sum("dropped_pps").alias("dropped"), F.sum("drops_signature").alias("signature"),
+    )
+    ms = F.avg(F.when(F.col("mitigation_ms") != 0, F.col("mitigation_ms")))
+    a = tables.attacks(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if("is_mitigated").alias("mitigated"), F.count_if("is_active").alias("active"), F.coalesce(ms, F.lit(0.0)).alias("mean_ms"))
+    return t, a
+
+
+def metrics(row, **columns):
+    """metric, value of a one-row table."""
+    return row.select(*[F.round(c.cast("double"), 6).alias(n) for n, c in columns.items()]).unpivot([], list(columns), "metric", "value")
+
+
+@query(f"WITH {ROLLUPS}, {ATTACKS}, {TOTALS} SELECT metric, round(CAST(value AS DOUBLE), 6) AS value FROM (UNPIVOT (SELECT CAST(peak_pps AS DOUBLE) AS peak_pps, CAST(peak_bps AS DOUBLE) AS peak_bps, avg_pps, avg_bps, CAST(samples AS DOUBLE) AS samples, CAST(dropped AS DOUBLE) AS dropped, CAST(signature AS DOUBLE) AS signature_drops FROM t) ON COLUMNS(*) INTO NAME metric VALUE value)")
+def traffic_report(spark, sf_dir):
+    """Peaks, means and drops of a traffic report."""
+    t, _ = totals(spark, sf_dir)
+    same = ("peak_pps", "peak_bps", "avg_pps", "avg_bps", "samples", "dropped")
+    return metrics(t, **{c: F.col(c) for c in same}, signature_drops=F.col("signature"))
+
+
+@query(f"""WITH {ROLLUPS}, {ATTACKS}, {TOTALS}, x AS (SELECT round(100.0 * (samples - down) / greatest(samples, 1), 3) AS availability, CAST(samples - down AS DOUBLE) AS up_samples, CAST(down AS DOUBLE) AS down_samples, round(mean_ms, 2) AS mean_mitigation_ms,
+    round(100.0 * mitigated / greatest(total, 1), 2) AS effectiveness, 99.9::DOUBLE AS target, CAST(100.0 * (samples - down) / greatest(samples, 1) >= 99.9 AS DOUBLE) AS compliant FROM t, a)
+SELECT metric, round(CAST(value AS DOUBLE), 6) AS value FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS DOUBLE) FROM x) ON COLUMNS(*) INTO NAME metric VALUE value)""")
+def sla_report(spark, sf_dir):
+    """Availability and mitigation of a service report."""
+    t, a = totals(spark, sf_dir)
+    up = 100.0 * (F.col("samples") - F.col("down")) / F.greatest("samples", F.lit(1))
+    traffic = metrics(t, availability=F.round(up, 3), up_samples=F.col("samples") - F.col("down"), down_samples=F.col("down"), target=F.lit(99.9), compliant=up >= 99.9)
+    return traffic.unionByName(metrics(a, mean_mitigation_ms=F.round("mean_ms", 2), effectiveness=F.round(100.0 * F.col("mitigated") / F.greatest("total", F.lit(1)), 2)))
+
+
+@query(f"""
+WITH {ROLLUPS}, {ATTACKS}, {TOTALS} SELECT 'drops' AS section, 'signature' AS metric, CAST(signature AS BIGINT) AS value FROM t UNION ALL SELECT 'drops', 'other', CAST(dropped - signature AS BIGINT) FROM t
+UNION ALL SELECT 'type', attack_type, count(*) FROM attacks GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM attacks GROUP BY 2
+""")
+def security_report(spark, sf_dir):
+    """Drops by reason, attacks by type and by severity."""
+    t, _ = totals(spark, sf_dir)
+    drops = t.select(F.col("signature"), (F.col("dropped") - F.col("signature")).alias("other")).unpivot([], ["signature", "other"], "metric", "value").select(F.lit("drops").alias("section"), "metric", "value")
+    g = tables.attacks(spark, sf_dir).groupingSets([["attack_type"], ["severity"]], "attack_type", "severity").agg(F.count("*").alias("value"), F.grouping("attack_type").alias("by"))
+    return drops.unionByName(g.select(F.when(F.col("by") == 0, "type").otherwise("severity").alias("section"), F.when(F.col("by") == 0, F.col("attack_type")).otherwise(F.col("severity")).alias("metric"), "value"))

@@ -13,7 +13,7 @@ from .views_sql import ATTACKS, PACKETS
 POLICIES = ((1, 10, 6, 0, "RATE_LIMIT"), (2, 20, 0, 7, "DROP"), (3, 5, 17, 3, "DROP"), (4, 30, 47, 0, "DROP"))
 PREFIXES = ((8, 10 << 24, "ten"), (16, (10 << 24) + (3 << 16), "ten-three"), (24, (10 << 24) + (3 << 16) + (7 << 8), "office"), (12, (172 << 24) + (16 << 16), "private"))
 RANGES = ((10 << 24, (10 << 24) + 200000, "AA"), ((10 << 24) + 200001, (10 << 24) + 262143, "BB"), ((10 << 24) + 300000, (11 << 24) + 5, "CC"))
-FEEDS = (("alpha", "HTTPS://THTHER.example.org"), ("beta", "https://thther.example.org"), ("gamma", "https://thther.example.org"), ("alpha", "http://x.invalid"), ("beta", "http://therha.example.com"))
+FEEDS = (("alpha", "HTTPS://THTHER.example.org", "low"), ("beta", "https://thther.example.org", "low"), ("gamma", "https://thther.example.org", "medium"), ("alpha", "http://x.invalid", "critical"), ("beta", "http://therha.example.com", "critical"), ("gamma", "HTTP://therha.example.com", "low"))
 ENTRIES = ((1, 5, "black", None), (2, 5, "white", None), (3, 9, "white", "2024-01-10 00:00:00"), (4, 11, "black", "2024-02-01 00:00:00"), (5, 30, "white", None), (6, 30, "black", "2020-01-01 00:00:00"))
 SCHEDULE = (("2024-01-02 03:00:00", "2024-01-02 09:30:00", "dns"), ("2024-01-05 00:00:00", "2024-01-07 12:00:00", "syn"), ("2024-01-06 00:00:00", "2024-01-06 06:00:00", "ntp"))
 
@@ -150,12 +150,12 @@ def list_verdict(spark, sf_dir):
 
 
 @query(f"""
-WITH v AS (SELECT DISTINCT regexp_extract(url, '^([^/]*//[^/]*)', 1) AS value FROM pages), f AS (SELECT DISTINCT feed, lower(indicator) AS k FROM {values(FEEDS, "t(feed, indicator)")})
-SELECT value, count(feed) AS matches, CASE WHEN count(feed) >= 3 THEN 'critical' WHEN count(feed) = 2 THEN 'high' WHEN count(feed) = 1 THEN 'medium' ELSE 'none' END AS threat FROM v LEFT JOIN f ON k = lower(value) GROUP BY value
+WITH v AS (SELECT DISTINCT regexp_extract(url, '^([^/]*//[^/]*)', 1) AS value FROM pages), f AS (SELECT feed, lower(indicator) AS k, bool_or(severity = 'critical') AS worst FROM {values(FEEDS, "t(feed, indicator, severity)")} GROUP BY 1, 2)
+SELECT value, count(feed) AS matches, CASE WHEN count(feed) >= 3 THEN 'critical' WHEN bool_or(worst) THEN 'high' WHEN count(feed) > 0 THEN 'medium' ELSE 'none' END AS threat FROM v LEFT JOIN f ON k = lower(value) GROUP BY value
 """)
 def indicator_check(spark, sf_dir):
     v = tables.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^([^/]*//[^/]*)", 1).alias("value")).distinct()
-    return lookups.indicator_threat(v, spark.createDataFrame(FEEDS, "feed string, indicator string"))
+    return lookups.indicator_threat(v, spark.createDataFrame(FEEDS, "feed string, indicator string, severity string"))
 
 
 @query(r"""

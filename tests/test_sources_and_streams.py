@@ -27,6 +27,20 @@ def test_capture(spark, tmp_path):
         (100.5, "10.0.0.1", 6, 1234, 80, 0x12, None, False), (101.5, "10.0.0.3", 1, 0, 0, 0, 8, False), (102.5, "10.0.0.3", 17, 53, 9, 0, None, True)]
 
 
+def test_capture_kinds(spark):
+    udp = struct.pack(">HHHH", 53, 9, 8, 0)
+    plain = frame((10, 0, 0, 1), (10, 0, 0, 2), 17, udp)
+    tagged = plain[:12] + b"\x88\xa8\0\7\x81\0\0\x08" + plain[12:]
+    ends = b"\xfd" + b"\0" * 14 + b"\1" + b"\xfd" + b"\0" * 14 + b"\2"
+    six = lambda kind, body: b"\0" * 12 + b"\x86\xdd" + struct.pack(">IHBB", 6 << 28, len(body), kind, 9) + ends + body
+    hop, piece, later = bytes([17]) + b"\0" * 7, struct.pack(">BBHI", 17, 0, 1, 5), struct.pack(">BBHI", 17, 0, 8, 5)
+    packets = [tagged, six(0, hop + udp), six(44, piece + udp), six(44, later + udp), six(58, b"\x80\0\0\0"), six(0, b"\6"), b"\0" * 12 + b"\x08\x06" + b"\0" * 40, plain[:20]]
+    body = b"".join(struct.pack("<IIII", i, 0, len(p), len(p)) + p for i, p in enumerate(packets))
+    contents = spark.createDataFrame([(b"\xd4\xc3\xb2\xa1" + b"\0" * 20 + body, "x"), (None, "y"), (b"", "z")], "content binary, src string")
+    rows = sorted((r["ts"], r["src"], r["dst_port"], r["proto"], r["ttl"], r["fragment"], r["icmp_type"]) for r in readers.packets_of(contents).collect())
+    assert rows == [(0.0, "10.0.0.1", 9, 17, 64, False, None), (1.0, "fd00::1", 9, 17, 9, False, None), (2.0, "fd00::1", 9, 17, 9, True, None), (3.0, "fd00::1", 0, 17, 9, True, None), (4.0, "fd00::1", 0, 58, 9, False, 128), (5.0, "fd00::1", 0, 0, 9, False, None)]
+
+
 def test_netflow(spark, tmp_path):
     row = ["0"] * 85
     row[1:7] = "2020", "3", "4", "5", "6", "7"
