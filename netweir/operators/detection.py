@@ -111,3 +111,56 @@ def fast_spikes(samples: DataFrame, keys: list[str], order: str, least_rate: flo
 
     rows = s.join(cuts, keys, "left").select(*keys, order, "rate", "syn", "flow", "_rate_cut", "_syn_cut")
     return streamed(rows, keys, [order], lambda: (0, 0.0, 0.0, 0.0, 0), step, [*keys, order, "rate"], "average double, rate_spike boolean, syn_spike boolean, flow_spike boolean, streak long, confirmed boolean")
+
+
+def attack_levels(windows: DataFrame, keys: list[str], order: str, least_peak: float = 1000.0, persist: int = 1, cool: int = 30, steps: int = 30) -> DataFrame:
+    """keys, order, active, level, cooling and peak of each closed window (value, detected, level), a window its unit of time.
+
+    An attack opens after ``persist`` detections in a row and stays while windows are detected or traffic is half its peak.
+    Traffic under 30 % of a peak over ``least_peak`` in the third low window, or a window that is neither, begins ``cool`` windows
+    of cooling (three times as many from the third attack within 300 windows), in which nothing reopens it.  A higher level
+    counts at once; a lower one takes one level off after ``steps`` windows, half as many without detection, a quarter of
+    ``cool`` (two at least) while cooling.
+    """
+    fade = max(cool // 4, 2)
+
+    def lowered(level: int, cycles: int, after: int) -> tuple[int, int]:
+        return (level - 1, 0) if cycles + 1 >= after and level > 1 else (level, cycles + 1)
+
+    def step(state: tuple, value: float, detected: bool, worst: int, t: int) -> tuple:
+        active, level, left, cycles, low, peak, streak, recent, since = state
+        if since is None or t - since > 300:
+            recent, since = 0, t
+        cooling, high, dropped = active and left > 0, False, False
+        if active and not cooling:
+            if value > peak:
+                peak, low = value, 0
+            if peak > least_peak:
+                high = value >= 0.5 * peak
+                low = 0 if high else low + 1
+                dropped = value < 0.3 * peak and low >= 3
+                left = cool if dropped else left
+        streak = streak + 1 if detected else 0
+        holds = (detected or high) and not cooling and not dropped
+        if holds and not active and streak >= persist:
+            active, level, left, cycles, low, peak, recent = True, worst, 0, 0, 0, value, recent + 1
+        elif holds and active:
+            left = 0
+            if detected and worst > level:
+                level, cycles = worst, 0
+            elif detected and worst == level:
+                cycles += 1
+            else:
+                level, cycles = lowered(level, cycles, steps if detected else steps // 2)
+        elif active and left <= 0:
+            left = cool * 3 if recent >= 3 else cool
+            level, cycles = (level - 1, 0) if level > 1 else (level, cycles)
+        elif active:
+            left -= 1
+            level, cycles = lowered(level, cycles, fade)
+            if left <= 0:
+                active, level = False, 0
+        return (active, level, left, cycles, low, peak, streak, recent, since), (active, level, left, peak)
+
+    rows = windows.select(*keys, order, F.col("value").cast("double").alias("value"), "detected", F.col("level").alias("_worst"), F.row_number().over(Window.partitionBy(*keys).orderBy(order)).alias("_t"))
+    return streamed(rows, keys, [order], lambda: (False, 0, 0, 0, 0, 0.0, 0, 0, None), step, [*keys, order], "active boolean, level long, cooling long, peak double")

@@ -179,3 +179,27 @@ def security_report(spark, sf_dir):
     drops = t.select(F.col("signature"), (F.col("dropped") - F.col("signature")).alias("other")).unpivot([], ["signature", "other"], "metric", "value").select(F.lit("drops").alias("section"), "metric", "value")
     g = tables.attacks(spark, sf_dir).groupingSets([["attack_type"], ["severity"]], "attack_type", "severity").agg(F.count("*").alias("value"), F.grouping("attack_type").alias("by"))
     return drops.unionByName(g.select(F.when(F.col("by") == 0, "type").otherwise("severity").alias("section"), F.when(F.col("by") == 0, F.col("attack_type")).otherwise(F.col("severity")).alias("metric"), "value"))
+
+
+@query(f"""
+WITH RECURSIVE {SERIES}, x AS (SELECT label, w, i, n * CASE WHEN i % 90 BETWEEN 40 AND 75 THEN 40.0::DOUBLE ELSE 1.0::DOUBLE END AS v, i % 90 BETWEEN 40 AND 70 AND i % 4 <> 0 AS det, 1 + CASE WHEN i % 90 < 45 THEN 3 ELSE i % 2 END AS worst FROM series),
+m AS (SELECT label, 0::BIGINT AS i, false AS act, 0::BIGINT AS lvl, 0::BIGINT AS cool, 0::BIGINT AS cyc, 0::BIGINT AS low, 0.0::DOUBLE AS peak, 0::BIGINT AS streak, 0::BIGINT AS recent, CAST(NULL AS BIGINT) AS since FROM (SELECT DISTINCT label FROM x)
+UNION ALL SELECT label, i, CASE WHEN opens THEN true WHEN ends THEN false ELSE act END, CASE WHEN opens THEN worst WHEN ends THEN 0 WHEN stays AND det AND worst > lvl THEN worst WHEN lowers THEN lvl - 1 ELSE lvl END,
+    CASE WHEN opens OR stays THEN 0 WHEN begins THEN CASE WHEN rec >= 3 THEN 90 ELSE 30 END WHEN ticks THEN cool1 - 1 ELSE cool1 END, CASE WHEN opens OR lowers OR (stays AND det AND worst > lvl) THEN 0 WHEN stays OR ticks THEN cyc + 1 ELSE cyc END,
+    CASE WHEN opens THEN 0 ELSE low2 END, CASE WHEN opens THEN v ELSE peak1 END, streak1, rec + CAST(opens AS INT), since1
+FROM (SELECT *, lvl > 1 AND (begins OR (ticks AND cyc + 1 >= 7) OR (stays AND det AND worst < lvl AND cyc + 1 >= 30) OR (stays AND NOT det AND cyc + 1 >= 15)) AS lowers, ticks AND cool1 - 1 <= 0 AS ends
+FROM (SELECT *, holds AND NOT act AND streak1 >= 1 AS opens, holds AND act AS stays, NOT holds AND act AND cool1 <= 0 AS begins, NOT holds AND act AND cool1 > 0 AS ticks
+FROM (SELECT *, (det OR high) AND NOT (act AND cool > 0) AND NOT dropped AS holds, CASE WHEN dropped THEN 30 ELSE cool END AS cool1
+FROM (SELECT *, big AND v < 0.3 * peak1 AND low2 >= 3 AS dropped FROM (SELECT *, CASE WHEN NOT big THEN low1 WHEN high THEN 0 ELSE low1 + 1 END AS low2
+FROM (SELECT *, track AND peak1 > 10 AS big, track AND peak1 > 10 AND v >= 0.5 * peak1 AS high FROM (SELECT *, CASE WHEN track AND v > peak THEN v ELSE peak END AS peak1, CASE WHEN track AND v > peak THEN 0 ELSE low END AS low1
+FROM (SELECT m.* EXCLUDE (i), x.i, v, det, worst, act AND cool <= 0 AS track, CASE WHEN since IS NULL OR x.i - since > 300 THEN 0 ELSE recent END AS rec, CASE WHEN since IS NULL OR x.i - since > 300 THEN x.i ELSE since END AS since1,
+    CASE WHEN det THEN streak + 1 ELSE 0 END AS streak1 FROM m JOIN x ON x.label = m.label AND x.i = m.i + 1)))))))))
+SELECT label, w, act AS active, lvl AS level, cool AS cooling, peak FROM m JOIN x USING (label, i)
+""")
+def attack_levels(spark, sf_dir):
+    """Levels, drops and cooling of attacks planted as floods of 36 windows that are half of the time detected."""
+    from .recursions import series
+
+    at = F.col("i") % 90
+    s = series(spark, sf_dir).select("label", "w", (F.col("n") * F.when(at.between(40, 75), 40.0).otherwise(1.0)).alias("value"), (at.between(40, 70) & (F.col("i") % 4 != 0)).alias("detected"), (F.lit(1) + F.when(at < 45, 3).otherwise(F.col("i") % 2)).cast("long").alias("level"))
+    return op.attack_levels(s, ["label"], "w", least_peak=10.0)
