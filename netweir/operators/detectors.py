@@ -177,10 +177,8 @@ def harmonic(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def isolation_forest(wide: DataFrame, features: list[str], trees: int = 100, size: int = 256, pool: int = 20_000, seed: int = SEED) -> DataFrame:
-    """idx, score in 0..1: how few random cuts set a row apart; trees grow on samples of a bounded pool."""
-    z, _ = standardized(wide, features)
-    x, rng = bounded_sample(z, features, pool), np.random.default_rng(seed)
+def grown(x: np.ndarray, trees: int, size: int, rng: np.random.Generator) -> list:
+    """Isolation trees on samples of ``x``: a leaf is its depth, a node (column, cut, below, above)."""
     size = min(size, len(x))
     limit = int(np.ceil(np.log2(max(size, 2))))
 
@@ -193,19 +191,61 @@ def isolation_forest(wide: DataFrame, features: list[str], trees: int = 100, siz
         left = rows[:, f] < cut
         return f, cut, grow(rows[left], depth + 1), grow(rows[~left], depth + 1)
 
-    forest = [grow(x[rng.choice(len(x), size, replace=False)], 0) for _ in range(trees)] if size else []
+    return [grow(x[rng.choice(len(x), size, replace=False)], 0) for _ in range(trees)] if size else []
 
-    def path(node, rows: np.ndarray) -> np.ndarray:
-        if not isinstance(node, tuple):
-            return np.full(len(rows), float(node))
-        f, cut, low, high = node
-        left = rows[:, f] < cut
-        out = np.empty(len(rows))
-        out[left], out[~left] = path(low, rows[left]), path(high, rows[~left])
-        return out
 
-    norm = harmonic(size) or 1.0
-    return _scored(z, features, lambda rows: 2 ** (-np.mean([path(t, rows) for t in forest], axis=0) / norm) if forest else np.full(len(rows), 0.5))
+def walked(node, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Depth of each row's leaf, the sum of its distances from the cuts on the way, and their number."""
+    if not isinstance(node, tuple):
+        return np.full(len(rows), float(node)), np.zeros(len(rows)), np.zeros(len(rows))
+    f, cut, low, high = node
+    left = rows[:, f] < cut
+    depth, far, cuts = (np.empty(len(rows)) for _ in range(3))
+    for side, below in ((left, low), (~left, high)):
+        depth[side], far[side], cuts[side] = walked(below, rows[side])
+    return depth, far + np.abs(rows[:, f] - cut), cuts + 1
+
+
+def isolation_forest(wide: DataFrame, features: list[str], trees: int = 100, size: int = 256, pool: int = 20_000, seed: int = SEED) -> DataFrame:
+    """idx, score in 0..1: how few random cuts set a row apart; trees grow on samples of a bounded pool."""
+    z, _ = standardized(wide, features)
+    x = bounded_sample(z, features, pool)
+    forest = grown(x, trees, size, np.random.default_rng(seed))
+    norm = harmonic(min(size, len(x))) or 1.0
+    return _scored(z, features, lambda rows: 2 ** (-np.mean([walked(t, rows)[0] for t in forest], axis=0) / norm) if forest else np.full(len(rows), 0.5))
+
+
+def deep_isolation_forest(wide: DataFrame, features: list[str], nets: int = 50, trees: int = 6, size: int = 256, hidden: int = 64, width: int = 20, pool: int = 20_000, seed: int = SEED) -> DataFrame:
+    """idx, score of 0 and more: isolation in what random networks make of a row.
+
+    Each of ``nets`` untrained networks (tanh, two layers) gives a representation, whose scale is fixed on the pool, so a row's
+    score never depends on the rows scored with it.  The score is 2^(-mean depth / expected depth), times the mean distance from
+    the cuts on a row's paths.  Without training rows every score is 0.5.
+    """
+    z, _ = standardized(wide, features)
+    x, rng = bounded_sample(z, features, pool), np.random.default_rng(seed)
+    parts = []
+    for _ in range(nets if len(x) else 0):
+        first, second = rng.normal(0, len(features) ** -0.5, (len(features), hidden)), rng.normal(0, hidden**-0.5, (hidden, width))
+        made = np.tanh(x @ first) @ second
+        mean, sd = made.mean(axis=0), made.std(axis=0)
+        sd[sd == 0] = 1.0
+        parts.append((first, second, mean, sd, grown((made - mean) / sd, trees, size, rng)))
+    norm = harmonic(min(size, len(x))) or 1.0
+
+    def score(rows: np.ndarray) -> np.ndarray:
+        if not parts:
+            return np.full(len(rows), 0.5)
+        depth, far = np.zeros(len(rows)), np.zeros(len(rows))
+        for first, second, mean, sd, forest in parts:
+            made = (np.tanh(rows @ first) @ second - mean) / sd
+            for tree in forest:
+                d, f, n = walked(tree, made)
+                depth, far = depth + d, far + f / np.maximum(n, 1)
+        n = len(parts) * trees
+        return 2 ** (-depth / n / norm) * far / n
+
+    return _scored(z, features, score)
 
 
 def nearest_hyperspheres(wide: DataFrame, features: list[str], sets: int = 100, size: int = 16, pool: int = 20_000, seed: int = SEED) -> DataFrame:

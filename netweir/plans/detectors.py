@@ -71,6 +71,11 @@ def iforest_scores(spark, sf_dir):
     return op.isolation_forest(matrix(spark, sf_dir), FEATURES).select("idx", r6("score"))
 
 
+@query()
+def deep_forest_scores(spark, sf_dir):
+    return op.deep_isolation_forest(matrix(spark, sf_dir), FEATURES).select("idx", r6("score"))
+
+
 @query()
 def inne_scores(spark, sf_dir):
     return op.nearest_hyperspheres(matrix(spark, sf_dir), FEATURES).select("idx", r6("score"))

@@ -188,7 +188,34 @@ def test_subspace_matches_numpy(spark, sf_dir, matrix):
     assert np.allclose(scores(detectors.subspace_scores(windows(spark, sf_dir), FEATURES, k=4)), want, atol=1e-6)
 
 
-@pytest.mark.parametrize("detector", [detectors.isolation_forest, detectors.nearest_hyperspheres])
+def test_isolation_trees():
+    """Depths and distances of grown trees equal a walk of one row at a time; constant data is one leaf."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(90, 3)), 1)
+    for tree in detectors.grown(x, 4, 64, rng):
+        depth, far, cuts = detectors.walked(tree, x)
+        for i, row in enumerate(x):
+            node, steps = tree, []
+            while isinstance(node, tuple):
+                f, cut, low, high = node
+                steps.append(abs(row[f] - cut))
+                node = low if row[f] < cut else high
+            assert depth[i] == node and cuts[i] == len(steps) and far[i] == pytest.approx(sum(steps))
+    assert detectors.grown(np.ones((5, 2)), 1, 64, rng) == [detectors.harmonic(5)]
+    assert detectors.grown(np.empty((0, 2)), 3, 64, rng) == []
+
+
+def test_deep_forest_rows_stand_alone(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i < 200, *map(float, v)) for i, v in enumerate(rng.normal(size=(260, 4)))]
+    kind = "idx long, train boolean, a double, b double, c double, d double"
+    scores = lambda r: {q["idx"]: q["score"] for q in detectors.deep_isolation_forest(spark.createDataFrame(r, kind), list("abcd")).collect()}
+    every, some = scores(rows), scores(rows[:220])
+    assert len(every) == 60 and all(some[i] == pytest.approx(every[i]) for i in range(200, 220))
+    assert set(scores([r for r in rows if not r[1]]).values()) == {0.5}
+
+
+@pytest.mark.parametrize("detector", [detectors.isolation_forest, detectors.deep_isolation_forest, detectors.nearest_hyperspheres])
 def test_trees_and_spheres_find_outliers(spark, detector):
     rng = np.random.default_rng(3)
     inner, outer = rng.normal(size=(400, 4)), rng.normal(size=(20, 4)) + 6
