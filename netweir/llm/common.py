@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, *by: str) -> DataFrame:
     """Cut the lineage with a table of Parquet files in the cluster's shared folder, which takes far less room than a
     checkpoint of rows.
 
@@ -34,7 +34,7 @@ def durable(df: DataFrame) -> DataFrame:
         folder = own.get() if own.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
     # small row groups, so that tasks that write or read wide rows hold little of them
-    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html, leaks, mixing, secrets, sharding, simhash, substrings, toxicity, urls
+from . import ann, html, infill, leaks, lines, mixing, ranking, secrets, sharding, simhash, substrings, toxicity, urls
 from .common import table
 
 
@@ -46,6 +46,18 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark, sf_dir):
+    return infill.infill_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_lines(spark, sf_dir):
+    return lines.lines_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_ranking(spark, sf_dir):
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
@@ -57,6 +69,9 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
+    "op11_infill": op11_infill,
+    "op12_lines": op12_lines,
+    "op13_ranking": op13_ranking,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_substrings": r"""
@@ -80,4 +95,31 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (row)
     """,
+    "op11_infill": r"""
+        WITH h AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
+        g AS (SELECT *, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM h),
+        f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+              CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+        p AS (SELECT *, substring(text, 1, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1) AS s FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+    """,
+    "op12_lines": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT row, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM d),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT hit), '')) AS kept_sha256
+        FROM (SELECT *, key IN (SELECT key FROM f) AS hit FROM k) GROUP BY row, doc_id
+    """,
+    "op13_ranking": r"""
+        WITH t AS (SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS row, * FROM documents)),
+        p AS (SELECT *, CAST(sum(tf) OVER (PARTITION BY row) AS BIGINT) AS n FROM (SELECT row, doc_id, term, count(*) AS tf FROM t GROUP BY ALL)),
+        g AS (SELECT count(DISTINCT row) AS nd, count(*) AS nt FROM t),
+        w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term),
+        q AS (SELECT item_id, item, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS item, * FROM benchmark)),
+        s AS (SELECT item, item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term), g GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, row) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+    """,
 }
