@@ -1,10 +1,10 @@
 """Ranked lexical search over a tiered index.
 
 Postings of a term are laid in three tiers by impact, the highest first, and the index keeps for each term the most
-that a posting below a tier can add (its residual bound).  A search reads the first tier for all items.  The exact
-scores of each item's best documents give a threshold; terms whose residual bounds together stay under it cannot bring
-a new document, and an item for which that holds of all its terms is proven.  The others fall through: only their
-remaining terms are read in the next tier.  Last, documents that can still reach the threshold are scored exactly.
+that a posting below a tier can add (its residual bound).  The first tier of an item's heaviest terms finds candidates,
+and the exact scores of the best give a threshold.  Terms whose residual bounds together stay under it cannot bring
+a new document, and an item for which that holds of all its terms is proven.  The others fall through, tier by tier:
+only their remaining terms are read below.  Last, documents that can still reach the threshold are scored exactly.
 """
 
 from __future__ import annotations
@@ -29,16 +29,20 @@ STEP = 4_096
 #: Terms that are looked for while texts are read; beyond that the index takes all terms.
 VOCABULARY = 500_000
 TOP = 20
+#: Terms of an item that find its first candidates, and how many of them for each place are scored exactly.
+HEAVY, SEEDS = 12, 10
 #: Bytes that are in no term become spaces, A-Z become a-z.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c) in string.digits + string.ascii_lowercase else 0x20 for c in range(256))
 
 
 @dataclass
 class Index:
-    """postings: tier, row, doc, term, s (the impact without the term's weight); terms: term, df, w, and the residual
-    bounds r0 and r1 of postings below the first and below the second tier; documents and terms counted in all."""
+    """postings: tier, row, term, s (the impact without the term's weight); docs: row, doc; terms: term, df, w, the
+    highest s and the residual bounds r0 and r1 of postings below the first and below the second tier; documents and
+    terms counted in all."""
 
     postings: DataFrame
+    docs: DataFrame
     terms: DataFrame
     n_docs: int
     n_terms: int
@@ -85,8 +89,8 @@ def build(docs: DataFrame, ident: str = "doc_id", wanted: frozenset[bytes] | Non
     raw = term_counts(docs, ident, wanted)
     totals = raw.filter("term IS NULL AND n > 0").agg(F.count("*").alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
     m, s = impact(totals["d"], totals["t"])
-    scored = raw.filter("term IS NOT NULL").withColumn("_m", m).select("row", "doc", "term", s.alias("s"))
-    df = durable(scored.groupBy("term").agg(F.count("*").alias("df")))
+    scored = raw.filter("term IS NOT NULL").withColumn("_m", m).select("row", "term", s.alias("s"))
+    df = durable(scored.groupBy("term").agg(F.count("*").alias("df"), F.max("s").alias("top")))
     long = df.filter(F.col("df") > first).select("term")
     steps = scored.join(long, "term").groupBy("term", F.expr(f"s div {STEP}").alias("step")).agg(F.count("*").alias("n"), F.max("s").alias("most"))
     # at most a million / STEP rows of a term
@@ -97,69 +101,76 @@ def build(docs: DataFrame, ident: str = "doc_id", wanted: frozenset[bytes] | Non
     cuts = durable(tiers.groupBy("term").agg(below(0).alias("r0"), below(1).alias("r1"), least(0).alias("_c0"), least(1).alias("_c1")))
     placed = scored.join(cuts.select("term", "_c0", "_c1"), "term", "left").withColumn("_step", F.expr(f"s div {STEP}"))
     tier = F.when(F.col("_c0").isNull() | (F.col("_step") >= F.col("_c0")), 0).when(F.col("_step") >= F.col("_c1"), 1).otherwise(2)
-    postings = durable(placed.select("row", "doc", "term", "s", tier.alias("tier")), "tier")
-    terms = df.join(cuts.select("term", "r0", "r1"), "term", "left").select("term", "df", weight(totals["d"], F.col("df")).alias("w"), F.coalesce("r0", F.lit(0)).alias("r0"), F.coalesce("r1", F.lit(0)).alias("r1"))
-    return Index(postings, terms, totals["d"], totals["t"])
+    postings = durable(placed.select("row", "term", "s", tier.alias("tier")), "tier")
+    terms = df.join(cuts.select("term", "r0", "r1"), "term", "left").select("term", "df", "top", weight(totals["d"], F.col("df")).alias("w"), F.coalesce("r0", F.lit(0)).alias("r0"), F.coalesce("r1", F.lit(0)).alias("r1"))
+    return Index(postings, raw.filter("term IS NULL").select("row", "doc"), terms, totals["d"], totals["t"])
 
 
-def _best(scores: DataFrame, by: str, top: int) -> DataFrame:
-    order = Window.partitionBy("item").orderBy(F.desc(by), F.asc_nulls_last("doc"), "row")
+def _best(scores: DataFrame, by: str, top: int, *ties: Column | str) -> DataFrame:
+    order = Window.partitionBy("item").orderBy(F.desc(by), *ties)
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def _threshold(best: DataFrame, by: str, top: int) -> DataFrame:
-    """item, theta: the score at place ``top``; items with fewer documents have no row."""
-    return best.filter(F.col("rank") == top).select("item", F.col(by).alias("theta"))
+def _hits(postings: DataFrame, state: DataFrame) -> DataFrame:
+    """item, row and what each posting of a term adds, for the tiers that the term is read in."""
+    asked = state.filter("read >= 0").select("item", "term", "weight", "bound", "read")
+    return postings.join(asked, "term").filter(F.col("tier") <= F.col("read")).select("item", "row", (F.col("weight") * F.col("s")).alias("add"), "bound")
 
 
 def _completed(pairs: DataFrame, state: DataFrame, postings: DataFrame) -> DataFrame:
-    """``pairs`` (item, row, doc, part) with the exact score: what tiers that were not read add, looked up by row and term."""
-    open_terms = state.filter("bound > 0").select("item", "term", "weight", "read")
-    asked = pairs.select("item", "row").join(open_terms, "item")
-    more = asked.alias("a").join(postings.filter("tier > 0").alias("p"), (F.col("a.term") == F.col("p.term")) & (F.col("a.row") == F.col("p.row")) & (F.col("p.tier") > F.col("a.read")))
-    sums = more.groupBy("a.item", "a.row").agg(F.sum(F.col("weight") * F.col("s")).alias("_more"))
+    """``pairs`` (item, row, part) with the exact score: what tiers that were not read add, looked up by row and term."""
+    left = state.filter("bound > 0").select("item", "term", "weight", "read")
+    asked = pairs.select("item", "row").join(left, "item")
+    more = asked.join(postings, ["term", "row"]).filter(F.col("tier") > F.col("read"))
+    sums = more.groupBy("item", "row").agg(F.sum(F.col("weight") * F.col("s")).alias("_more"))
     return pairs.join(sums, ["item", "row"], "left").withColumn("score", F.col("part") + F.coalesce("_more", F.lit(0))).drop("_more")
 
 
-def _open(state: DataFrame, theta: DataFrame, read: int) -> DataFrame:
-    """Terms that the next tier must be read for: the least bounds whose sum stays under the threshold may stay unread.
+def _bounded(state: DataFrame) -> DataFrame:
+    """The most that a posting of each term can add below the tiers it is read in (-1: none is read)."""
+    s = F.when(F.col("read") < 0, F.col("top")).when(F.col("read") == 0, F.col("r0")).when(F.col("read") == 1, F.col("r1")).otherwise(0)
+    return state.withColumn("bound", F.col("weight") * s)
 
-    Terms that were left unread before stay so: they come first in the order.
+
+def _fallen(state: DataFrame, tier: int) -> DataFrame:
+    """``state`` after each item's terms that need ``tier`` are marked as read in it.
+
+    An item's terms with the least bounds, as many as stay under its threshold in sum, may stay as they are: a document
+    that is met in none of the tiers read cannot come in.  Without a threshold every term is read.  Terms that stayed
+    in an earlier turn come first, and still do.
     """
     order = Window.partitionBy("item").orderBy("read", "bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    known = state.join(theta, "item", "left").withColumn("_sum", F.sum("bound").over(order))
-    return known.filter((F.col("bound") > 0) & (F.col("read") == read) & (F.coalesce("theta", F.lit(-1)) <= F.col("_sum"))).select("item", "term")
+    needed = (F.col("read") == tier - 1) & (F.col("bound") > 0) & (F.coalesce("theta", F.lit(-1)) <= F.sum("bound").over(order))
+    return _bounded(state.withColumn("_needed", needed).withColumn("read", F.when(F.col("_needed"), tier).otherwise(F.col("read"))).drop("_needed"))
 
 
-def search(index: Index, items: DataFrame, ident: str = "item_id", top: int = TOP) -> DataFrame:
-    """item_id, rank, doc_id, score and tiers (how many the item's terms were read in) of each item's best documents.
+def search(index: Index, items: DataFrame, ident: str = "item_id", top: int = TOP, heavy: int = HEAVY) -> DataFrame:
+    """item_id, rank, doc_id, score and tiers (how many an item's terms were read in) of each item's best documents.
 
     Scores are sums over an item's terms with repeats; equal scores rank by ascending id, null ids last.  Items
     without terms that any document holds have no rows; a row of ``items`` is an item, so equal rows rank each.
     """
     asked = term_counts(items, ident).filter("term IS NOT NULL").select(F.col("row").alias("item"), F.col("doc").alias("_name"), "term", "tf")
-    state = durable(asked.join(index.terms.filter("w > 0"), "term").select("item", "_name", "term", (F.col("w") * F.col("tf")).alias("weight"), "r0", "r1").withColumns({"read": F.lit(0), "bound": F.col("weight") * F.col("r0")}))
-    hits = lambda tier, chosen: index.postings.filter(F.col("tier") == tier).join(chosen.select("item", "term", "weight"), "term").select("item", "row", "doc", "term", (F.col("weight") * F.col("s")).alias("add"))
-    parts = lambda found: found.groupBy("item", "row", "doc").agg(F.sum("add").alias("part"))
-
-    found = durable(hits(0, state))
-    best = durable(_best(parts(found), "part", top).drop("rank"))
-    theta = durable(_threshold(_best(_completed(best, state, index.postings), "score", top), "score", top))
-    for tier in (1, 2):
-        more = durable(_open(state, theta, tier - 1))
-        chosen = state.join(more, ["item", "term"], "left_semi")
-        found = found.unionByName(new := durable(hits(tier, chosen)))
-        after = F.col("weight") * F.col("r1") if tier == 1 else F.lit(0).cast("long")
-        state = durable(state.join(more.withColumn("_more", F.lit(True)), ["item", "term"], "left").select("item", "_name", "term", "weight", "r0", "r1", F.when(F.col("_more"), tier).otherwise(F.col("read")).alias("read"), F.when(F.col("_more"), after).otherwise(F.col("bound")).alias("bound")))
-        if tier == 1:
-            fallen = parts(found.join(new.select("item").distinct(), "item", "left_semi"))
-            theta = durable(theta.unionByName(_threshold(_best(fallen, "part", top), "part", top)).groupBy("item").agg(F.max("theta").alias("theta")))
+    known = asked.join(index.terms.filter("w > 0"), "term").select("item", "_name", "term", (F.col("w") * F.col("tf")).alias("weight"), "top", "r0", "r1")
+    # the heaviest terms find the first candidates
+    nth = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("weight"), "term"))
+    state = durable(_bounded(known.withColumn("read", F.when(nth <= heavy, 0).otherwise(-1))))
+    first = durable(_best(_hits(index.postings.filter("tier = 0"), state).groupBy("item", "row").agg(F.sum("add").alias("part")), "part", top * SEEDS, "row").drop("rank"))
+    # the exact score at place ``top`` of any so many documents is a threshold
+    scores = _best(_completed(first, state, index.postings), "score", top)
+    theta = scores.filter(F.col("rank") == top).select("item", F.col("score").alias("theta"))
+    state = state.join(theta, "item", "left")
+    for tier in (0, 1, 2):
+        state = _fallen(state, tier)
+    state = durable(state)
     # a term that was met adds what it adds, any other at most its bound
-    slack = state.groupBy("item", "_name").agg(F.sum("bound").alias("_slack"), F.max("read").alias("_read"))
-    known = found.join(state.select("item", "term", "bound"), ["item", "term"]).groupBy("item", "row", "doc").agg(F.sum("add").alias("part"), F.sum(F.col("add") - F.col("bound")).alias("_over"))
-    able = known.join(slack, "item").join(theta, "item", "left").filter(F.col("_over") + F.col("_slack") >= F.coalesce("theta", F.lit(0)))
-    exact = _completed(durable(able.select("item", "_name", "row", "doc", "part", "_read")), state, index.postings).filter("score > 0")
-    return _best(exact, "score", top).select(F.col("_name").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("doc").alias("doc_id"), "score", (F.col("_read") + 1).alias("tiers"))
+    slack = state.groupBy("item", "_name").agg(F.sum("bound").alias("_slack"), F.max("read").alias("_read"), F.max("theta").alias("theta"))
+    found = _hits(index.postings, state).groupBy("item", "row").agg(F.sum("add").alias("part"), F.sum(F.col("add") - F.col("bound")).alias("_over"))
+    able = found.join(slack, "item").filter(F.col("_over") + F.col("_slack") >= F.coalesce("theta", F.lit(0)))
+    exact = _completed(durable(able.select("item", "_name", "row", "part", "_read")), state, index.postings).filter("score > 0")
+    named = exact.join(index.docs, "row")
+    best = _best(named, "score", top, F.asc_nulls_last("doc"), "row")
+    return best.select(F.col("_name").alias("item_id"), F.col("rank").cast("int").alias("rank"), F.col("doc").alias("doc_id"), "score", (F.col("_read") + 1).alias("tiers"))
 
 
 def wanted_terms(items: DataFrame, ident: str = "item_id", most: int = VOCABULARY) -> frozenset[bytes] | None:
