@@ -246,9 +246,3 @@ def token_bucket(rows: DataFrame, keys: list[str], rate: float, burst: float) ->
 
     packets = rows.select(*keys, "t", "event_id", F.col("t").alias("_t"), "cost")
     return streamed(packets, keys, ["t", "event_id"], lambda: (burst, None), step, [*keys, "event_id"], "admitted boolean")
-
-
-def update_allowed(detected: Column, attack: Column, frozen: Column, regime: str) -> Column:
-    """Whether a window may update the baseline under a regime."""
-    rules = {"frozen": F.lit(False), "conjunction": ~(detected & attack) & ~frozen, "production": ~detected & ~frozen, "attack_skip": ~attack & ~frozen}
-    return rules[regime]

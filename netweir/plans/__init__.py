@@ -1,6 +1,6 @@
 """Queries by topic; importing this package registers them all."""
 
-from . import detection, detectors, files, lookups, operations, recursions, streaming, traffic, windows
+from . import detection, detectors, files, lookups, operations, recursions, regimes, streaming, traffic, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "detection", "detectors", "files", "lookups", "operations", "recursions", "streaming", "traffic", "windows"]
+__all__ = ["ORACLES", "QUERIES", "detection", "detectors", "files", "lookups", "operations", "recursions", "regimes", "streaming", "traffic", "windows"]

@@ -213,12 +213,3 @@ def cardinality_anomaly(spark, sf_dir):
     s = series(spark, sf_dir).withColumns({"prev": F.lag("sources").over(w), "base": F.percentile("sources", F.lit(0.5)).over(w.rowsBetween(-16, -1))})
     hit = F.when(F.col("base") > 0, F.col("sources") / F.col("base") >= 3).when(F.col("prev") > 0, F.col("sources") / F.col("prev") >= 3)
     return s.select("label", "i", "sources", F.coalesce(hit, F.lit(False)).alias("anomalous"))
-
-
-@query("""
-SELECT d, a, f, NOT (d AND a) AND NOT f AS conjunction, NOT d AND NOT f AS production, NOT a AND NOT f AS attack_skip, false AS frozen
-FROM (VALUES (true), (false)) x(d), (VALUES (true), (false)) y(a), (VALUES (true), (false)) z(f)
-""")
-def update_regimes(spark, sf_dir):
-    rows = spark.createDataFrame([(d, a, f) for d in (True, False) for a in (True, False) for f in (True, False)], "d boolean, a boolean, f boolean")
-    return rows.withColumns({r: op.update_allowed(F.col("d"), F.col("a"), F.col("f"), r) for r in ("conjunction", "production", "attack_skip", "frozen")})
