@@ -1,8 +1,9 @@
 """Fill-in-the-middle transformation with relational units.
 
-A text is tiled by units (code points, words or lines).  Units travel in blocks: blocks are exploded with their
-places, a window sums their lengths, cut requests are joined to blocks by the ordinal of a unit, the units of just
-those blocks are exploded and summed, and the offsets of a document are gathered in one row, which cuts its text.
+A text is tiled by units (code points, words or lines).  Matches are blocks of units: they are exploded with their
+places, and a window sums their lengths; the units of just those blocks that a cut falls in are exploded and summed
+as well, both are joined by the block of the unit's ordinal, and the offsets of a document are gathered in one row,
+which cuts its text.
 """
 
 from __future__ import annotations
@@ -41,22 +42,22 @@ def offsets(rows: DataFrame, unit: str, block: int = BLOCK) -> DataFrame:
     # a cut after k units lies in the block that holds unit k - 1
     of = lambda k: F.greatest(F.lit(0), F.floor((F.col(k) - 1) / block)).cast("int")
     asked = rows.withColumns({"_a": of("_first"), "_b": of("_last")})
-    pieces = asked.select("_k", "_l", "_a", "_b", F.posexplode(F.regexp_extract_all("_text", F.lit(f"(?:{UNITS[unit]}){{1,{block}}}+"), F.lit(0))).alias("_block", "_piece"))
-    # only blocks that a cut falls in take their text along
+    pieces = asked.select("_k", "_l", "_first", "_last", "_a", "_b", F.posexplode(F.regexp_extract_all("_text", F.lit(f"(?:{UNITS[unit]}){{1,{block}}}+"), F.lit(0))).alias("_block", "_piece"))
     hit = F.col("_block").isin(F.col("_a"), F.col("_b"))
-    lengths = pieces.select("_k", "_l", "_block", F.length("_piece").cast("long").alias("_chars"), F.when(hit, F.col("_piece")).alias("_piece"))
+    lengths = pieces.select("_k", "_l", "_block", F.length("_piece").cast("long").alias("_chars"), hit.alias("_hit"))
     # equal rows share a key, so a block counts once for each of them
     order = Window.partitionBy("_k", "_l").orderBy("_block")
     copies = F.count("*").over(order.rangeBetween(0, 0))
     before = F.expr("_sum div _copies") - F.col("_chars")
-    summed = lengths.withColumns({"_sum": F.sum("_chars").over(order), "_copies": copies}).filter("_piece IS NOT NULL")
-    starts = summed.select("_k", "_l", "_block", before.alias("_start"), "_piece").dropDuplicates(["_k", "_l", "_block"])
-    request = lambda which, k, b: F.struct(F.lit(which).alias("_which"), F.col(b).alias("_block"), (F.col(k) - F.col(b) * F.lit(block).cast("long")).alias("_rest"))
-    requests = asked.select("_k", "_l", F.inline(F.array(request(0, "_first", "_a"), request(1, "_last", "_b")))).distinct()
-    found = requests.join(starts, ["_k", "_l", "_block"])
-    units = found.select("_k", "_l", "_which", "_start", "_rest", F.posexplode(F.regexp_extract_all("_piece", F.lit(UNITS[unit]), F.lit(0))).alias("_at", "_unit"))
-    inside = F.sum(F.when(F.col("_at") < F.col("_rest"), F.length("_unit")).otherwise(0))
-    ends = units.groupBy("_k", "_l", "_which").agg((F.first("_start") + inside).alias("_end"))
+    summed = lengths.withColumns({"_sum": F.sum("_chars").over(order), "_copies": copies}).filter("_hit")
+    starts = summed.select("_k", "_l", "_block", before.alias("_start")).dropDuplicates(["_k", "_l", "_block"])
+    # the requests, each with the units of its block; sums begin before rows are shuffled, so no text travels
+    request = lambda which, k, b: F.struct(F.lit(which).alias("_which"), F.col(b).alias("_of"), (F.col(k) - F.col(b) * F.lit(block).cast("long")).alias("_rest"))
+    requests = pieces.filter(hit).select("_k", "_l", "_block", "_piece", F.inline(F.array(request(0, "_first", "_a"), request(1, "_last", "_b")))).filter("_of = _block")
+    units = requests.select("_k", "_l", "_block", "_which", "_rest", F.posexplode(F.regexp_extract_all("_piece", F.lit(UNITS[unit]), F.lit(0))).alias("_at", "_unit"))
+    inside = F.sum(F.when(F.col("_at") < F.col("_rest"), F.length("_unit")).otherwise(0)).alias("_units")
+    cuts = units.groupBy("_k", "_l", "_block", "_which").agg(inside, F.count_if(F.col("_at") == 0).alias("_copies"))
+    ends = cuts.join(starts, ["_k", "_l", "_block"]).select("_k", "_l", "_which", (F.col("_start") + F.expr("_units div _copies")).alias("_end"))
     one = lambda which: F.max(F.when(F.col("_which") == which, F.col("_end")))
     return ends.groupBy("_k", "_l").agg(one(0).alias("_from"), one(1).alias("_to"))
 

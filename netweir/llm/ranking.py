@@ -31,6 +31,9 @@ VOCABULARY = 500_000
 TOP = 20
 #: Terms of an item that find its first candidates, and how many of them for each place are scored exactly.
 HEAVY, SEEDS = 12, 10
+#: Bounds of terms left unread reach at most this share of the threshold, so that documents met in one or two light
+#: terms fall short of it without a look at the rest.
+SHARE = 0.7
 #: Bytes that are in no term become spaces, A-Z become a-z.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c) in string.digits + string.ascii_lowercase else 0x20 for c in range(256))
 
@@ -140,7 +143,7 @@ def _fallen(state: DataFrame, tier: int) -> DataFrame:
     in an earlier turn come first, and still do.
     """
     order = Window.partitionBy("item").orderBy("read", "bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    needed = (F.col("read") == tier - 1) & (F.col("bound") > 0) & (F.coalesce("theta", F.lit(-1)) <= F.sum("bound").over(order))
+    needed = (F.col("read") == tier - 1) & (F.col("bound") > 0) & (F.coalesce("theta", F.lit(-1)) * SHARE <= F.sum("bound").over(order))
     return _bounded(state.withColumn("_needed", needed).withColumn("read", F.when(F.col("_needed"), tier).otherwise(F.col("read"))).drop("_needed"))
 
 
