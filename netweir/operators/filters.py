@@ -55,18 +55,6 @@ def all_conditions(rows: DataFrame, conditions: list[tuple[str, str, object]]) -
     return reduce(lambda a, b: a & b, tests) if tests else F.lit(False)
 
 
-def first_policy(packets: DataFrame, policies: DataFrame, fields: list[str], ident: str = "event_id") -> DataFrame:
-    """Each packet's action by the first live policy, by priority, that matches; ALLOW without one.
-
-    A policy's zero matches anything.  Packets are reduced to the distinct combinations of the fields first, so
-    policies meet combinations and not packets, and each combination keeps its best match by a partial minimum.
-    """
-    combos = packets.select(*fields).distinct()
-    match = reduce(lambda a, b: a & b, [(F.col(f"p.{f}") == 0) | (F.col(f"p.{f}") == F.col(f"c.{f}")) for f in fields])
-    hit = combos.alias("c").join(policies.alias("p"), match).groupBy(*[F.col(f"c.{f}").alias(f) for f in fields]).agg(F.min_by("p.action", F.struct("p.priority", "p.policy_id")).alias("action"), F.min(F.struct("p.priority", "p.policy_id"))["policy_id"].alias("policy_id"))
-    return packets.select(ident, *fields).join(hit, fields, "left").withColumn("action", F.coalesce("action", F.lit("ALLOW")))
-
-
 #: UDP source ports that amplify.
 AMPLIFIERS = (17, 19, 53, 69, 111, 123, 137, 161, 389, 520, 1900, 3283, 3702, 5060, 5353, 5683, 10001, 11211, 20800, 27015, 30718, 37810)
 #: Packet sizes of attack tools.
@@ -97,29 +85,6 @@ def scan_sources(packets: DataFrame, least: int, epoch: str = "1 day") -> DataFr
     return packets.groupBy(F.window("ts", epoch)["start"].alias("epoch"), "src").agg(F.count_distinct("dst_port").alias("ports")).filter(F.col("ports") >= least)
 
 
-def verdicts(packets: DataFrame, white: DataFrame, black: DataFrame, reputation: DataFrame, ident: str = "event_id", rate: int = 6) -> DataFrame:
-    """``ident``, drop_reason (null: passed) and its category: ordered stages, of which the first that drops wins.
-
-    Protocol, whitelist (ends the check), blacklist, signature, reputation and a per-source daily rate.  Lists are
-    joined by key, and Spark broadcasts those that are small enough.
-    """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("src", F.to_date("ts")).orderBy("ts", ident)
-    p = packets.withColumns({"_sig": signature(), "_nth": F.row_number().over(w)})
-    j = p.join(white.select("src", F.lit(True).alias("_white")), "src", "left").join(black.select("src", F.lit(True).alias("_black")), "src", "left").join(reputation.select("src", "score"), "src", "left")
-    reason = cases(
-        (~F.col("proto").isin(1, 6, 17, 47), "protocol"),
-        (F.coalesce("_white", F.lit(False)), None),
-        (F.coalesce("_black", F.lit(False)), "blacklist"),
-        (F.col("_sig").isNotNull() & (F.col("_sig") != "gre"), "signature"),
-        (F.coalesce("score", F.lit(100.0)) < 20, "reputation"),
-        (F.col("_nth") > rate, "rate_limit"),
-    )
-    category = cases((F.col("drop_reason").isin("blacklist", "reputation"), "source"), (F.col("drop_reason").isin("signature", "protocol"), "content"), (F.col("drop_reason") == "rate_limit", "volume"), otherwise="passed")
-    return j.select(ident, reason.alias("drop_reason")).withColumn("category", category)
-
-
 def active_features(train: DataFrame, features: list[str], spread: float = 1e-9, nonzero: float = 0.001) -> list[str]:
     """Features, sorted, that vary and are not almost always zero, by one aggregation; missing ones are inert."""
     have = [f for f in features if f in train.columns]

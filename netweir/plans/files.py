@@ -1,23 +1,15 @@
 """Sources and sinks as queries: a given table is written in a format, read back through its reader and compared with SQL."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from netweir.functions.traffic import ip_text
 from netweir.sources import readers, sinks, tables
+from netweir.sources.lineage import folder
 
 from .registry import query
 from .views_sql import FLOWS, PACKETS, ROLLUPS
 
 
-def folder(spark) -> str:
-    """A new folder in the shared place that the cluster names, or in the warehouse where it names none."""
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = spark.conf.get("spark.checkpoint.dir", "") or (own.get() if own.isDefined() else spark.conf.get("spark.sql.warehouse.dir"))
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def digits(c, n: int):
     """``n`` bytes of a number as hexadecimal digits, most significant first."""
     return F.lpad(F.hex(c.cast("long")), 2 * n, "0")

@@ -44,16 +44,6 @@ def policy_conditions(spark, sf_dir):
     return p.filter(filters.all_conditions(p, rules)).select("event_id", "label", "length", "proto")
 
 
-@query(f"""
-WITH {PACKETS}, pol AS (SELECT * FROM {values(POLICIES, "t(policy_id, priority, proto, dst_port, action)")}),
-m AS (SELECT event_id, policy_id, action, row_number() OVER (PARTITION BY event_id ORDER BY priority, policy_id) AS r FROM packets p JOIN pol ON (pol.proto = 0 OR pol.proto = p.proto) AND (pol.dst_port = 0 OR pol.dst_port = p.dst_port))
-SELECT event_id, p.proto, p.dst_port, policy_id, coalesce(action, 'ALLOW') AS action FROM packets p LEFT JOIN (SELECT * FROM m WHERE r = 1) USING (event_id)
-""")
-def policy_lookup(spark, sf_dir):
-    pol = spark.createDataFrame(POLICIES, "policy_id int, priority int, proto int, dst_port long, action string")
-    return filters.first_policy(tables.packets(spark, sf_dir), pol, ["proto", "dst_port"])
-
-
 SIGNATURE = f"""CASE WHEN proto = 17 AND src_port IN {filters.AMPLIFIERS} AND length >= 100 THEN 'amplification' WHEN proto = 6 AND flags = 0 THEN 'null_scan'
     WHEN proto = 6 AND flags & 41 = 41 THEN 'xmas_scan' WHEN proto = 6 AND flags & 3 = 3 THEN 'syn_fin' WHEN proto = 6 AND flags & 6 = 6 THEN 'syn_rst' WHEN ttl < 5 THEN 'low_ttl'
     WHEN proto = 6 AND flags & 18 = 2 AND length <= 60 THEN 'syn_scan' WHEN proto = 6 AND flags = 1 THEN 'fin_scan' WHEN proto = 17 AND length <= 28 THEN 'udp_scan'
@@ -70,19 +60,6 @@ def scan_tracker(spark, sf_dir):
     return filters.scan_sources(tables.packets(spark, sf_dir), 2)
 
 
-@query(f"""
-WITH {PACKETS}, rep AS (SELECT src, 100 - 100.0 * count(*) FILTER (attack) / count(*) AS score FROM packets GROUP BY src),
-n AS (SELECT p.*, {SIGNATURE} AS sig, row_number() OVER (PARTITION BY p.src, CAST(ts AS DATE) ORDER BY ts, event_id) AS nth FROM packets p),
-v AS (SELECT event_id, CASE WHEN src % 50 = 1 THEN NULL WHEN src % 10 = 3 THEN 'blacklist' WHEN sig <> 'gre' THEN 'signature' WHEN score < 20 THEN 'reputation' WHEN nth > 1 THEN 'rate_limit' END AS drop_reason FROM n JOIN rep USING (src))
-SELECT *, CASE WHEN drop_reason IN ('blacklist', 'reputation') THEN 'source' WHEN drop_reason IN ('signature', 'protocol') THEN 'content' WHEN drop_reason = 'rate_limit' THEN 'volume' ELSE 'passed' END AS category FROM v
-""")
-def verdict_cascade(spark, sf_dir):
-    p = tables.packets(spark, sf_dir)
-    sources = p.select("src").distinct()
-    rep = p.groupBy("src").agg((100 - 100.0 * F.count_if("attack") / F.count("*")).alias("score"))
-    return filters.verdicts(p, sources.filter("src % 50 = 1"), sources.filter("src % 10 = 3"), rep, rate=1)
-
-
 @query(f"""
 WITH {PACKETS}, l AS (SELECT *, lag(length) OVER w AS prev, lag(src_port) OVER w AS prev_port FROM packets WHERE proto = 6 WINDOW w AS (PARTITION BY src, dst ORDER BY ts, event_id))
 SELECT src, dst, count(*) AS segments, count(*) FILTER (length = prev) AS same_length, count(*) FILTER (abs(src_port - prev_port) > 30000) AS port_jumps, count(*) FILTER (length < 100) AS tiny,
