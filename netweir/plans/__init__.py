@@ -1,6 +1,6 @@
 """Queries by topic; importing this package registers them all."""
 
-from . import admission, detection, detectors, files, lookups, operations, recursions, regimes, streaming, traffic, windows
+from . import admission, detection, detectors, files, lifecycle, lookups, operations, recursions, regimes, streaming, traffic, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "admission", "detection", "detectors", "files", "lookups", "operations", "recursions", "regimes", "streaming", "traffic", "windows"]
+__all__ = ["ORACLES", "QUERIES", "admission", "detection", "detectors", "files", "lifecycle", "lookups", "operations", "recursions", "regimes", "streaming", "traffic", "windows"]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from netweir.functions.traffic import ip_text
-from netweir.sources import readers, sinks, tables
+from netweir.sources import captures, readers, sinks, tables
 from netweir.sources.lineage import folder
 
 from .registry import query
@@ -15,12 +15,6 @@ def digits(c, n: int):
     return F.lpad(F.hex(c.cast("long")), 2 * n, "0")
 
 
-def reversed_digits(c):
-    """Four bytes, least significant first."""
-    d = digits(c, 4)
-    return F.concat(*[F.substring(d, i, 2) for i in (7, 5, 3, 1)])
-
-
 def frames(spark, sf_dir):
     """event_id and the hexadecimal digits of a captured frame of every packet: a third with a VLAN tag, a fifth IPv6."""
     p = tables.packets(spark, sf_dir)
@@ -33,20 +27,29 @@ def frames(spark, sf_dir):
     return p.select("event_id", "length", frame.alias("frame"))
 
 
-@query(f"""
-WITH {PACKETS} SELECT CAST(event_id AS DOUBLE) AS ts, event_id % 5 = 0 AS six, CASE WHEN proto IN (6, 17) THEN CAST(src_port AS INTEGER) ELSE 0 END AS src_port, CASE WHEN proto IN (6, 17) THEN CAST(dst_port % 65536 AS INTEGER) ELSE 0 END AS dst_port,
+FRAMES_SQL = f"""WITH {PACKETS} SELECT CAST(event_id AS DOUBLE) AS ts, event_id % 5 = 0 AS six, CASE WHEN proto IN (6, 17) THEN CAST(src_port AS INTEGER) ELSE 0 END AS src_port, CASE WHEN proto IN (6, 17) THEN CAST(dst_port % 65536 AS INTEGER) ELSE 0 END AS dst_port,
     CAST(CASE WHEN proto = 1 AND event_id % 5 = 0 THEN 58 ELSE proto END AS INTEGER) AS proto, CAST(length AS INTEGER) AS length, flags, ttl, fragment AND event_id % 5 <> 0 AS fragment, icmp_type,
-    CASE WHEN event_id % 5 = 0 THEN NULL ELSE '10.0.0.' || src END AS src FROM packets
-""")
-def capture_scan(spark, sf_dir):
-    """Captures of a thousand packets each, made of the packets, and the packets read out of them."""
-    record = F.concat(reversed_digits(F.col("event_id")), F.lit("00000000"), reversed_digits(F.length("frame") / 2), reversed_digits(F.col("length")), F.col("frame"))
-    parts = frames(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 1000)).agg(F.concat_ws("", F.collect_list(record)).alias("body"))
-    read = readers.packets_of(parts.select(F.unhex(F.concat(F.lit("d4c3b2a1" + "00" * 20), "body")).alias("content")))
-    six = F.contains("src", F.lit(":"))
+    CASE WHEN event_id % 5 = 0 THEN NULL ELSE '10.0.0.' || src END AS src FROM packets"""
+
+
+def recaptured(spark, sf_dir, form: str):
+    """The packets' frames written to two capture files, read again in ranges of 64 KB."""
+    rows = frames(spark, sf_dir).select(F.col("event_id").cast("double").alias("ts"), F.col("length").cast("int").alias("length"), F.unhex("frame").alias("frame"))
+    captures.write_captures(rows.repartitionByRange(2, "ts").sortWithinPartitions("ts"), path := folder(spark), form)
+    read, six = captures.captures(spark, path, 1 << 16), F.contains("src", F.lit(":"))
     return read.select("ts", six.alias("six"), "src_port", "dst_port", "proto", "length", "flags", "ttl", "fragment", "icmp_type", F.when(~six, F.col("src")).alias("src"))
 
 
+@query(FRAMES_SQL)
+def capture_scan(spark, sf_dir):
+    return recaptured(spark, sf_dir, "classic")
+
+
+@query(FRAMES_SQL)
+def capture_block_scan(spark, sf_dir):
+    return recaptured(spark, sf_dir, "blocks")
+
+
 @query(f"WITH {FLOWS} SELECT CAST(ts AS TIMESTAMP) AS ts, '10.0.' || (src % 250) || '.1' AS src, CAST(packets AS BIGINT) AS in_packets, CASE proto WHEN 'A' THEN 6 WHEN 'N' THEN 17 ELSE 1 END AS proto_number, CAST(state = 'O' AS INTEGER) AS is_attack, count(*) AS n FROM flows GROUP BY ALL")
 def flow_scan(spark, sf_dir):
     """Flow records written in the positional format, with a header and short lines, and read again."""

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import struct
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,66 +15,39 @@ FLOW_WIDTH = 85
 PROTOCOLS = {"TCP": 6, "UDP": 17, "ICMP": 1, "ICMP6": 58}
 
 
-def _packets(data: bytes) -> Iterator[tuple]:
-    """IPv4 and IPv6 packets of a capture file with Ethernet frames, whatever their VLAN tags.
+def decoded(frame: bytes) -> tuple | None:
+    """src, dst, src_port, dst_port, proto, flags, ttl, fragment and icmp_type of an Ethernet frame, whatever its VLAN tags.
 
-    What is cut off or of another kind is passed over.  Extension headers of IPv6 are skipped up to the transport.
+    None for what is cut off or not IP.  Extension headers of IPv6 are skipped up to the transport.
     """
-    order = {b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">", b"\x4d\x3c\xb2\xa1": "<", b"\xa1\xb2\x3c\x4d": ">"}.get(data[:4])
-    if not order:
-        return
-    unit = 1e-9 if data[:4] in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1e-6
-    at = 24
-    while at + 16 <= len(data):
-        sec, frac, held, size = struct.unpack_from(order + "IIII", data, at)
-        frame = data[at + 16 : at + 16 + held]
-        at += 16 + held
-        kind = 12
-        while frame[kind : kind + 2] in (b"\x81\x00", b"\x88\xa8"):
-            kind += 4
-        ip = frame[kind + 2 :]
-        if frame[kind : kind + 2] == b"\x08\x00" and len(ip) >= 20 and ip[0] >> 4 == 4:
-            part = struct.unpack_from(">H", ip, 6)[0]
-            proto, ttl, fragment, first, rest = ip[9], ip[8], bool(part & 0x3FFF), not part & 0x1FFF, ip[(ip[0] & 15) * 4 :]
-            ends = [".".join(map(str, ip[i : i + 4])) for i in (12, 16)]
-        elif frame[kind : kind + 2] == b"\x86\xdd" and len(ip) >= 40 and ip[0] >> 4 == 6:
-            proto, ttl, fragment, first, rest = ip[6], ip[7], False, True, ip[40:]
-            while proto in (0, 43, 44, 60) and len(rest) >= 8:
-                if proto == 44:
-                    part = struct.unpack_from(">H", rest, 2)[0]
-                    fragment, first = bool(part & 0xFFF9), not part & 0xFFF8
-                proto, rest = rest[0], rest[8 if proto == 44 else 8 + rest[1] * 8 :]
-                if not first:
-                    break
-            ends = [str(ipaddress.IPv6Address(ip[i : i + 16])) for i in (8, 24)]
-        else:
-            continue
-        sport = dport = flags = 0
-        icmp = None
-        if proto in (6, 17) and len(rest) >= 4 and first:
-            sport, dport = struct.unpack_from(">HH", rest)
-            flags = rest[13] if proto == 6 and len(rest) > 13 else 0
-        elif proto in (1, 58) and rest and first:
-            icmp = rest[0]
-        yield (sec + frac * unit, *ends, sport, dport, proto, size, flags, ttl, fragment, icmp)
-
-
-def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of capture files, one task per file."""
-    return packets_of(spark.read.format("binaryFile").load(path).select("content"))
-
-
-def packets_of(contents: DataFrame) -> DataFrame:
-    """Packets of the captures in column ``content``, each a whole file's bytes; a null holds none."""
-    names = [c.split()[0] for c in PACKET.split(", ")]
-
-    def run(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in files:
-            for content in pdf["content"]:
-                out = pd.DataFrame(_packets(bytes(content or b"")), columns=names)
-                yield out.astype({"icmp_type": "Int32"})
-
-    return contents.select("content").mapInPandas(run, PACKET)
+    kind = 12
+    while frame[kind : kind + 2] in (b"\x81\x00", b"\x88\xa8"):
+        kind += 4
+    ip = frame[kind + 2 :]
+    if frame[kind : kind + 2] == b"\x08\x00" and len(ip) >= 20 and ip[0] >> 4 == 4:
+        part = struct.unpack_from(">H", ip, 6)[0]
+        proto, ttl, fragment, first, rest = ip[9], ip[8], bool(part & 0x3FFF), not part & 0x1FFF, ip[(ip[0] & 15) * 4 :]
+        ends = [".".join(map(str, ip[i : i + 4])) for i in (12, 16)]
+    elif frame[kind : kind + 2] == b"\x86\xdd" and len(ip) >= 40 and ip[0] >> 4 == 6:
+        proto, ttl, fragment, first, rest = ip[6], ip[7], False, True, ip[40:]
+        while proto in (0, 43, 44, 60) and len(rest) >= 8:
+            if proto == 44:
+                part = struct.unpack_from(">H", rest, 2)[0]
+                fragment, first = bool(part & 0xFFF9), not part & 0xFFF8
+            proto, rest = rest[0], rest[8 if proto == 44 else 8 + rest[1] * 8 :]
+            if not first:
+                break
+        ends = [str(ipaddress.IPv6Address(ip[i : i + 16])) for i in (8, 24)]
+    else:
+        return None
+    sport = dport = flags = 0
+    icmp = None
+    if proto in (6, 17) and len(rest) >= 4 and first:
+        sport, dport = struct.unpack_from(">HH", rest)
+        flags = rest[13] if proto == 6 and len(rest) > 13 else 0
+    elif proto in (1, 58) and rest and first:
+        icmp = rest[0]
+    return (*ends, sport, dport, proto, flags, ttl, fragment, icmp)
 
 
 def netflow(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from netweir.sources import readers, sinks, tables
+from netweir.sources import captures, readers, sinks, tables
 from netweir.streaming import jobs
 
 
@@ -22,7 +22,7 @@ def test_capture(spark, tmp_path):
     body = b"".join(struct.pack("<IIII", 100 + i, 500000, len(p), len(p)) + p for i, p in enumerate(packets))
     (tmp_path / "a.pcap").write_bytes(b"\xd4\xc3\xb2\xa1" + b"\0" * 20 + body + b"\1\2\3")
     (tmp_path / "b.pcap").write_bytes(b"no capture")
-    rows = readers.captures(spark, str(tmp_path)).orderBy("ts").collect()
+    rows = captures.captures(spark, str(tmp_path)).orderBy("ts").collect()
     assert [(r["ts"], r["src"], r["proto"], r["src_port"], r["dst_port"], r["flags"], r["icmp_type"], r["fragment"]) for r in rows] == [
         (100.5, "10.0.0.1", 6, 1234, 80, 0x12, None, False), (101.5, "10.0.0.3", 1, 0, 0, 0, 8, False), (102.5, "10.0.0.3", 17, 53, 9, 0, None, True)]
 
@@ -37,7 +37,7 @@ def test_capture_kinds(spark):
     packets = [tagged, six(0, hop + udp), six(44, piece + udp), six(44, later + udp), six(58, b"\x80\0\0\0"), six(0, b"\6"), b"\0" * 12 + b"\x08\x06" + b"\0" * 40, plain[:20]]
     body = b"".join(struct.pack("<IIII", i, 0, len(p), len(p)) + p for i, p in enumerate(packets))
     contents = spark.createDataFrame([(b"\xd4\xc3\xb2\xa1" + b"\0" * 20 + body, "x"), (None, "y"), (b"", "z")], "content binary, src string")
-    rows = sorted((r["ts"], r["src"], r["dst_port"], r["proto"], r["ttl"], r["fragment"], r["icmp_type"]) for r in readers.packets_of(contents).collect())
+    rows = sorted((r["ts"], r["src"], r["dst_port"], r["proto"], r["ttl"], r["fragment"], r["icmp_type"]) for r in captures.packets_of(contents).collect())
     assert rows == [(0.0, "10.0.0.1", 9, 17, 64, False, None), (1.0, "fd00::1", 9, 17, 9, False, None), (2.0, "fd00::1", 9, 17, 9, True, None), (3.0, "fd00::1", 0, 17, 9, True, None), (4.0, "fd00::1", 0, 58, 9, False, 128), (5.0, "fd00::1", 0, 0, 9, False, None)]
 
 
@@ -123,3 +123,45 @@ def test_flushed_batches(spark, packet_files, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "t")).filter("dst >= 0")
     assert 0 < rows.count() <= jobs.tumbling(p, "1 hour").count()
     assert rows.groupBy("dst", "w").count().filter("count > 1").count() == 0
+
+
+def blocks(packets, order="<", unit=None):
+    body = lambda kind, raw: struct.pack(order + "II", kind, 12 + len(raw)) + raw + struct.pack(order + "I", 12 + len(raw))
+    options = b"" if unit is None else struct.pack(order + "HHB3xHH", 9, 1, unit, 0, 0)
+    out = body(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1)) + body(1, struct.pack(order + "HHI", 1, 0, 0) + options)
+    for ticks, p in packets:
+        out += body(6, struct.pack(order + "IIIII", 0, ticks >> 32, ticks & 0xFFFFFFFF, len(p), len(p)) + p + b"\0" * (-len(p) % 4))
+    return out + body(5, b"\0" * 12)
+
+
+@pytest.mark.parametrize("size", [37, 100, 1000, 1 << 20])
+@pytest.mark.parametrize("form", ["classic", "big", "nano", "blocks", "blocks_big"])
+def test_capture_ranges(size, form, tmp_path):
+    rng = __import__("random").Random(3)
+    udp = struct.pack(">HHHH", 53, 9, 8, 0)
+    frames = [frame((10, 0, i % 200, 1), (10, 0, 0, 2), 17, udp + rng.randbytes(rng.randrange(0, 90))) for i in range(120)]
+    if form.startswith("blocks"):
+        raw = blocks([(1_000_000_000 + i * 1000, f) for i, f in enumerate(frames)], ">" if form.endswith("big") else "<", 9)
+    else:
+        order = ">" if form == "big" else "<"
+        magic = {"classic": b"\xd4\xc3\xb2\xa1", "big": b"\xa1\xb2\xc3\xd4", "nano": b"\x4d\x3c\xb2\xa1"}[form]
+        raw = magic + struct.pack(order + "HHiIII", 2, 4, 0, 0, 65535, 1) + b"".join(struct.pack(order + "IIII", 1 + i // 50, i * 1000, len(f), len(f)) + f for i, f in enumerate(frames)) + b"cut"
+    path = tmp_path / "one"
+    path.write_bytes(raw)
+    got = []
+    for begin in range(0, len(raw), size):
+        with open(path, "rb") as f:
+            got += [x[2] for x in captures.records(captures.Window(f, len(raw)), begin, min(begin + size, len(raw)))]
+    assert got == frames
+
+
+def test_one_capture_in_many_tasks(spark, tmp_path):
+    udp = struct.pack(">HHHH", 53, 9, 8, 0)
+    rows = [(float(i), 42, bytearray(frame((10, 0, i % 200, 1), (10, 0, 0, 2), 17, udp))) for i in range(500)]
+    df = spark.createDataFrame(rows, "ts double, length int, frame binary").coalesce(1)
+    for form in ("classic", "blocks"):
+        captures.write_captures(df, str(tmp_path / form), form)
+        assert len(list((tmp_path / form).iterdir())) == 1
+        read = captures.captures(spark, str(tmp_path / form), 2048)
+        assert read.rdd.getNumPartitions() > 10
+        assert sorted(r["ts"] for r in read.collect()) == [float(i) for i in range(500)]
