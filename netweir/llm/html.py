@@ -67,6 +67,8 @@ class Element:
     start: int
     names: str = ""
     end: int = -1
+    #: whether only a word of its class or id says that it is to be dropped
+    named: bool = False
 
 
 @dataclass(slots=True)
@@ -80,20 +82,19 @@ class Page:
     places: list[int] = field(default_factory=list)
 
 
-def noisy(tag: str, raw: str) -> bool:
-    """Whether attributes say that an element is not part of an article or not shown."""
+def noisy(tag: str, raw: str) -> str:
+    """How attributes say that an element is not part of an article or not shown: by a ``role``, a ``name`` or not at all."""
+    said = ""
     for m in ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
             for word in value.split():
                 parts = re.split(r"[-_]+", word)
-                if parts[0] not in LAYOUT and (word in NOISE or any(part in NOISE for part in parts)):
-                    return True
-                if word in ("header", "site-header", "page-header") and tag != "header":
-                    return True
+                if parts[0] not in LAYOUT and (word in NOISE or any(part in NOISE for part in parts)) or word in ("header", "site-header", "page-header") and tag != "header":
+                    said = "name"
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "role"
+    return said
 
 
 def parse(source: str) -> Page:
@@ -160,13 +161,15 @@ def parse(source: str) -> Page:
             close(owners[-1])
         if tag in ENDS and (d := deepest(ENDS[tag])) > deepest(SCOPE[tag]):
             close(d)
-        drop = tag in NEVER or tag == "header" and not articles or tag not in ("html", "body") and bool(m[3].strip()) and noisy(tag, m[3])
+        never = tag in NEVER or tag == "header" and not articles
+        said = "" if never or tag in ("html", "body") or not m[3].strip() else noisy(tag, m[3])
+        drop = never or bool(said)
         if tag in BLOCK or drop:
             flush()
             owners.append(len(stack))
         tokens.append("<" + tag)
         names = " ".join(x.strip("\"'") for x in NAME.findall(m[3])) if m[3] else ""
-        elements.append(Element(tag, stack[-1], drop, len(tokens) - 1, "".join(c for c in names if not c.isdigit())))
+        elements.append(Element(tag, stack[-1], drop, len(tokens) - 1, "".join(c for c in names if not c.isdigit()), named=said == "name"))
         depths.setdefault(tag, []).append(len(stack))
         stack.append(len(elements) - 1)
         articles += tag in ("article", "main")
@@ -212,13 +215,17 @@ def subtrees(page: Page) -> list[tuple[int, int]]:
 def shapes(page: Page) -> list[int]:
     """For each element the hash of its tag, class and id without digits, its place among siblings of those names, and
     the same of all that hold it; prose has no place, and elements within a line have the shape of what holds them."""
-    out, seen = [0], {}
+    out, seen, kinds = [0], {}, {}
     for e in page.elements[1:]:
         shape = above = out[e.parent]
         if e.tag in BLOCK or e.drop:
-            key = (e.parent, e.tag, e.names)
+            kind = e.tag, e.names
+            key = e.parent, kind
             place = seen[key] = 0 if e.tag in PROSE else min(seen.get(key, 0) + 1, PLACES)
-            shape = -1 - xxhash.xxh64_intdigest(f"{above} {e.tag} {e.names} {place}") // 2
+            if kind not in kinds:
+                kinds[kind] = xxhash.xxh64_intdigest(f"{e.tag} {e.names}")
+            # a polynomial of the names from the page down, below zero, where no subtree's hash is
+            shape = -1 - ((1 - above) * BASE + kinds[kind] * (place + 1)) % MODULUS
         out.append(shape)
     return out
 
@@ -268,20 +275,42 @@ def surroundings(pages: int, seen: list[dict]) -> list[int]:
     return out
 
 
+def lasting(page: Page, bad: list[bool]) -> list[bool]:
+    """For each element whether its names drop it, after ``bad`` ones are gone."""
+    elements = page.elements
+    gone, under = list(bad), [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        gone[i] |= gone[e.parent]
+        under[i] = under[e.parent] or e.named
+    text, left = [0] * (len(page.tokens) + 1), 0
+    for at, (owner, words) in zip(page.places, page.blocks, strict=True):
+        if not gone[owner]:
+            text[at + 1] = len(words)
+            left += 0 if under[owner] else len(words)
+    text = list(accumulate(text))
+    if left >= MINOR_SHARE * text[-1]:
+        return [e.named for e in elements]
+    return [e.named and text[e.end] - text[e.start] < MAIN_SHARE * text[-1] for e in elements]
+
+
 def main_text(page: Page, template: frozenset[int] | set[int], lists: bool = True) -> str:
     """Blocks of the article that no template subtree and, with ``lists``, no dropped one holds, two line ends between them.
 
-    The article is all outermost article elements, with a first heading beside them in a main element; without one,
+    Templates go first.  The names of a class or id decide last, and never over the page's text itself: where they would
+    leave less than ``MINOR_SHARE`` of it, elements that hold ``MAIN_SHARE`` or more stay.  The article is all outermost article elements, with a first heading beside them in a main element; without one,
     all outermost main elements; without either, the page.
     """
     elements = page.elements
     n = len(elements)
-    bad = [lists and e.drop for e in elements]
+    bad = [lists and e.drop and not e.named for e in elements]
     if template:
         for i, h in subtrees(page):
             bad[i] |= h in template
         for i, shape in enumerate(shapes(page)):
             bad[i] |= i > 0 and shape in template and (elements[i].tag in BLOCK or elements[i].drop)
+    if lists and any(e.named for e in elements):
+        named = lasting(page, bad)
+        bad = [b or x for b, x in zip(bad, named, strict=True)]
     inside = {"article": [False] * n, "main": [False] * n}
     for i, e in enumerate(elements[1:], 1):
         bad[i] |= bad[e.parent]
@@ -340,8 +369,8 @@ def host_templates(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row of ``pages`` (page_id, url, html).
 
-    Null or empty html gives an empty text; pages without a host, and hosts with few pages, have no templates: the
-    lists of names alone decide there.  Equal rows each get a row; an empty table gives an empty result.
+    Null or empty html gives an empty text; pages without a host, and hosts with few pages, have no templates: what is
+    never prose and lists of names decide there alone.  Equal rows each get a row; an empty table gives an empty result.
     """
     hosted = parsed(pages.select("page_id", "url", "html")).drop("path")
     templates = durable(host_templates(hosted))

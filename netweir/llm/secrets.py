@@ -56,10 +56,12 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
     """
     # what a lambda names is computed once: pieces and matches are zipped before anything walks over them
     lengths = lambda xs: F.transform(xs, lambda x: F.length(x).cast("long"))
-    found = lambda group: lengths(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)))
-    zipped = F.arrays_zip(lengths(F.split(text, rule.pattern, -1)).alias("gap"), found(0).alias("n"), found(rule.group).alias("counted"))
+    # what counts of a match is found in the match alone
+    counted = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group)) if rule.group else F.length(m)
+    found = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), lambda m: F.struct(F.length(m).cast("long").alias("n"), (counted(m) >= rule.least).alias("ok")))
+    zipped = F.arrays_zip(lengths(F.split(text, rule.pattern, -1)).alias("gap"), found.alias("m"))
     # the last piece has no match after it
-    steps = F.transform(F.filter(zipped, lambda x: x["n"].isNotNull()), lambda x: F.struct((x["gap"] + x["n"]).alias("step"), x["n"], (x["counted"] >= rule.least).alias("ok")))
+    steps = F.transform(F.filter(zipped, lambda x: x["m"].isNotNull()), lambda x: F.struct((x["gap"] + x["m"]["n"]).alias("step"), x["m"]["n"].alias("n"), x["m"]["ok"].alias("ok")))
     ends = lambda xs: F.arrays_zip(xs.alias("m"), running_sums(F.transform(xs, lambda x: x["step"])).alias("end"))
     kept = lambda xs: F.filter(ends(xs), lambda x: x["m"]["ok"])
     span = lambda x: F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), F.lit(rank).alias("rank"), (x["end"] - x["m"]["n"]).alias("start"), x["end"].alias("end"))

@@ -86,11 +86,14 @@ def shard_by_bytes(df: DataFrame, shards: int = 16, pieces: int = 64, text: str
     size is the text's UTF-8 bytes plus 1 (null text: 1).  Records are range-partitioned by a hash of the
     text, so equal texts are neighbours; they stay in one shard unless one text alone outweighs a shard.
     slot numbers a shard's records from 0 without gaps, in range order; a range with many rows is numbered by
-    several tasks, dealt by a hash of the record.  Null ids sort first; an empty table gives an empty result; columns of ``df`` named like ours are
-    replaced.  The driver sees one total, a bounded sample and at most ``2 * shards * pieces`` range sums.
+    several tasks, dealt by a hash of the record.  Null ids sort first; an empty table gives an empty result; columns of ``df`` named
+    size, law, shard or slot are replaced, and those of any other name kept, as a row travels as one value.  The driver
+    sees one total, a bounded sample and at most ``2 * shards * pieces`` range sums.
     """
-    base = df.drop("size", "law", "shard", "slot").withColumns({"size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1, "_key": text_key(text)})
-    return shard_keyed(base, shards, pieces, ident).drop("_key")
+    ours = ("size", "law", "shard", "slot")
+    row = F.struct(*[c for c in df.columns if c not in ours]).alias("_doc")
+    base = df.select(row, F.col(ident).alias("_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"), text_key(text).alias("_key"))
+    return shard_keyed(base, shards, pieces, "_id").select("_doc.*", *ours)
 
 
 def shard_keyed(base: DataFrame, shards: int, pieces: int, ident: str) -> DataFrame:

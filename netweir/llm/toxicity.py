@@ -187,7 +187,7 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """``docs`` with score, predicted, n_sentences and worst_sentence; columns of those names are replaced.
 
     Whole texts are read; null and empty texts have no sentence, so their score is the leak.  The model, at most ``TERMS``
@@ -206,7 +206,7 @@ def scored(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             new = [pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], *new], names=[*names, *ours])
 
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def offending(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
@@ -234,5 +234,6 @@ def score_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents predicted toxic."""
-    return scored(docs, train(docs, labels)).filter("predicted = 0").select(*docs.columns)
+    """``docs`` without the documents predicted toxic.  A row travels as one value, so columns of any name are kept."""
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"))
+    return scored(rows, train(docs, labels), "_doc.text").filter("predicted = 0").select("_doc.*")

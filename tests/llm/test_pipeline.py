@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from netweir.llm import queries
 
@@ -42,3 +43,15 @@ def test_oracle(spark, sf_dir, name):
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, sf_dir).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Helper columns of the operators do not meet those of a user."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = ["score", "predicted", "n_sentences", "worst_sentence", "_key", "_row", "_range", "_at", "_piece", "_task", "_text", "_doc", "_id", "_h", "node", "root", "_alone", "_best", "block", "start", "_draws", "taken"]
+    marked = docs.select("*", *[F.concat(F.lit(n + ":"), F.col("doc_id").cast("string")).alias(n) for n in own])
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, marked, sf_dir)
+        row = out.first()
+        assert all(row[n] == f"{n}:{row['doc_id']}" for n in own)
+        assert set(marked.columns) <= set(out.columns)
