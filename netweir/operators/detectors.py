@@ -350,11 +350,3 @@ def ramps(rows: DataFrame, rate: float, cycles: int, columns: list[str]) -> Data
     """Each row ``cycles`` times, its volumes grown by ``rate`` a step."""
     factor = F.pow(F.lit(1 + rate), F.col("step"))
     return rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1)))).withColumns({c: F.col(c) * factor for c in columns})
-
-
-def scaled(rows: DataFrame, kinds: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row once for each kind of attack, volumes multiplied by the kind's factor; ``kinds`` is a small table of
-    definitions, carried in the plan."""
-    defs = [tuple(r) for r in kinds.select("kind", "factor").collect()]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(f)).alias("factor")) for k, f in defs]))
-    return rows.withColumn("_k", each).withColumns({c: F.col(c) * F.col("_k.factor") for c in columns} | {"kind": F.col("_k.kind")}).drop("_k")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -60,39 +60,25 @@ def mcnemar(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     return g.withColumn("p", F.when(n == 0, 1.0).otherwise(F.greatest(erfc(F.sqrt(x / 2)), F.lit(5e-324))))
 
 
+#: Shares of up to k draws, k from 0, of a Poisson distribution of mean 1.
+POISSON = [float(x) for x in np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(8)])]
+
+
 def cluster_bootstrap(clusters: DataFrame, ident: str, hits: str, n: str, draws: int = 500, seed: int = 7) -> DataFrame:
     """Percent rate with its 95 % interval, clusters drawn with replacement.
 
-    Each cluster is drawn a Poisson number of times in each replicate, decided by a hash: the bootstrap without a
-    fixed number of draws, which needs no order or gathering of clusters.
+    Each cluster is drawn a Poisson number of times in each replicate, decided by an MD5 value: the bootstrap without a
+    fixed number of draws, which needs no order or gathering of clusters, and which any engine repeats.
     """
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), ident, "draw"), 11).cast("double") / float(1 << 53)
-    steps, total, p = [], 0.0, np.exp(-1.0)
-    for k in range(8):
-        total += p
-        steps.append(float(total))
-        p /= k + 1
-    times = F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s < u))
+    text = F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string"), F.col("draw").cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    times = F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda s: s < u))
     reps = clusters.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_t", times)
     rates = reps.groupBy("draw").agg((100.0 * F.sum(F.col("_t") * F.col(hits)) / F.greatest(F.sum(F.col("_t") * F.col(n)), F.lit(1))).alias("rate"))
     point = clusters.agg((100.0 * F.sum(hits) / F.sum(n)).alias("rate")).first()[0]
     return rates.agg(F.lit(point).alias("rate"), F.percentile("rate", F.lit(0.025)).alias("low"), F.percentile("rate", F.lit(0.975)).alias("high"))
 
 
-def wilcoxon(differences: list[float]) -> float:
-    """Exact two-sided signed-rank p-value of up to 16 paired differences; zeros are dropped, ties share ranks."""
-    d = np.array([x for x in differences if x])
-    if not len(d):
-        return 1.0
-    if len(d) > 16:
-        raise ValueError("the exact test is for at most 16 pairs")
-    a = np.abs(d)
-    ranks = np.array([(a < x).sum() + ((a == x).sum() + 1) / 2 for x in a])
-    up = ranks[d > 0].sum()
-    sums = np.array([np.dot(signs, ranks) for signs in product((0, 1), repeat=len(d))])
-    return float(min(1.0, 2 * min((sums <= up + 1e-9).mean(), (sums >= up - 1e-9).mean())))
-
-
 def holm(tests: DataFrame, name: str, p: str) -> DataFrame:
     """Bonferroni and Holm adjusted p-values: the running maximum of p times the tests left."""
     w = Window.partitionBy().orderBy(p, name)

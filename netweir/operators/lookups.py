@@ -98,11 +98,3 @@ def by_schedule(rows: DataFrame, schedule: DataFrame, ts: str = "ts", bucket: in
 def slots(ts: Column) -> dict[str, Column]:
     """Hour of day, and hour of week with Monday's first hour as 0."""
     return {"hour_slot": F.hour(ts), "week_slot": F.weekday(ts) * 24 + F.hour(ts)}
-
-
-def exactly_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """The inner join, or an error if a left row has no match or several: checked before the join is returned."""
-    n = left.select(*keys).join(right.groupBy(*keys).count(), keys, "left").filter("count IS NULL OR count <> 1").limit(1).count()
-    if n:
-        raise ValueError(f"not exactly one match by {keys}")
-    return left.join(right, keys)

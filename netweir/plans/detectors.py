@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from netweir.functions.traffic import jsd
 from netweir.operators import detectors as op
 from netweir.operators import evaluation as ev
+from netweir.operators import synthesis
 from netweir.operators.windows import flow_shares
 from netweir.sources import tables
 
@@ -269,7 +270,12 @@ def mcnemar_counts(spark, sf_dir):
     return ev.mcnemar(tables.vectors(spark, sf_dir), F.col("f0") > 0.1, F.col("f1") > 0.1).select("b", "c")
 
 
-@query()
+@query(f"""
+WITH {PACKETS}, g AS (SELECT dst, count(*) FILTER (attack) AS hits, count(*) AS n FROM packets GROUP BY 1),
+d AS (SELECT draw, hits, n, CAST('0x' || md5('7:' || dst || ':' || draw)[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS u FROM g, (SELECT unnest(range(1, 501)) AS draw)),
+r AS (SELECT draw, 100.0 * sum(t * hits) / greatest(sum(t * n), 1) AS rate FROM (SELECT *, {" + ".join(f"CAST(u > {x!r}::DOUBLE AS INT)" for x in ev.POISSON)} AS t FROM d) GROUP BY draw)
+SELECT round((SELECT 100.0 * sum(hits) / sum(n) FROM g), 6) AS rate, round(quantile_cont(rate, 0.025), 6) AS low, round(quantile_cont(rate, 0.975), 6) AS high FROM r
+""")
 def cluster_bootstrap(spark, sf_dir):
     g = tables.packets(spark, sf_dir).groupBy("dst").agg(F.count_if("attack").alias("hits"), F.count("*").alias("n"))
     return ev.cluster_bootstrap(g, "dst", "hits", "n").select(*map(r6, ("rate", "low", "high")))
@@ -307,13 +313,39 @@ def slow_ramps(spark, sf_dir):
     return op.ramps(b, 0.05, 12, ["n", "bytes"]).select("label", "w", F.col("step").cast("long").alias("step"), r6("n"), F.round("bytes", 4).alias("bytes"))
 
 
+#: Benign windows of every victim with the features that attacks change; an hour stands for a second.
+BENIGN = f"""{PACKETS}, bw AS (SELECT dst, date_trunc('hour', ts) AS w, CAST(count(*) AS DOUBLE) AS packets_per_sec, CAST(sum(length) AS DOUBLE) AS bytes_per_sec, CAST(count(DISTINCT src) AS DOUBLE) AS flows_per_sec, CAST(avg(ttl) AS DOUBLE) AS flow_duration_avg, CAST(count(DISTINCT src % 8) AS DOUBLE) AS unique_dst_ips, CAST(count(DISTINCT dst_port) AS DOUBLE) AS unique_dst_ports,
+    count(*) FILTER (proto = 6) / count(*) AS tcp_ratio, count(*) FILTER (proto = 17) / count(*) AS udp_ratio, count(*) FILTER (src < 100) / count(*) AS dir_ratio FROM packets GROUP BY 1, 2 HAVING NOT bool_or(attack))"""
+
+
+def benign_windows(spark, sf_dir):
+    one = lambda c: F.count_if(c) / F.count("*")
+    d = lambda c: c.cast("double")
+    g = tables.packets(spark, sf_dir).groupBy("dst", F.date_trunc("hour", "ts").alias("w")).agg(F.bool_or("attack").alias("hit"), d(F.count("*")).alias("packets_per_sec"), d(F.sum("length")).alias("bytes_per_sec"), d(F.count_distinct("src")).alias("flows_per_sec"), F.avg("ttl").alias("flow_duration_avg"), d(F.count_distinct(F.col("src") % 8)).alias("unique_dst_ips"), d(F.count_distinct("dst_port")).alias("unique_dst_ports"), one(F.col("proto") == 6).alias("tcp_ratio"), one(F.col("proto") == 17).alias("udp_ratio"), one(F.col("src") < 100).alias("dir_ratio"))
+    return g.filter("NOT hit").drop("hit")
+
+
 @query(f"""
-WITH {SERIES}, b AS (SELECT label, w, CAST(n AS DOUBLE) AS n FROM series WHERE i <= 10)
-SELECT label, w, kind, n * factor AS n FROM b, (VALUES ('syn_flood', 50.0::DOUBLE), ('udp_flood', 20.0), ('slowloris', 1.5)) k(kind, factor)
+WITH {BENIGN}, k(kind, p, b, f, dur, ips, ports, tcp, udp, dir, dirx) AS (VALUES ('syn_flood', 8, 4, 1, 0.1, 6, 1, 0.94, 0.04, 0.85, 1), ('udp_flood', 9, 7, 1, 1, 1, 1, 0.08, 0.90, 0.92, 1), ('dns_amplification', 2.5, 9, 0.3, 1, 1, 1, 0.04, 0.96, NULL, 1), ('ntp_amplification', 3, 12, 0.2, 1, 1, 1, 0.02, 0.98, NULL, 1),
+    ('slowloris', 1.1, 1.05, 4, 18, 1, 1, NULL, NULL, NULL, 0.9), ('fragment_flood', 4, 1.5, 0.8, 1, 1, 1, NULL, NULL, 0.88, 1), ('pulse_attack', 22, 18, 12, 1, 1, 1, NULL, NULL, NULL, 1), ('carpet_bomb', 1.2, 1, 40, 1, 3, 80, NULL, NULL, NULL, 1)),
+x AS (SELECT dst, w, kind, packets_per_sec * p::DOUBLE AS packets_per_sec, bytes_per_sec * b::DOUBLE AS bytes_per_sec, flows_per_sec * f::DOUBLE AS flows_per_sec, flow_duration_avg * dur::DOUBLE AS flow_duration_avg, unique_dst_ips * ips::DOUBLE AS unique_dst_ips, unique_dst_ports * ports::DOUBLE AS unique_dst_ports, coalesce(tcp::DOUBLE, tcp_ratio) AS tcp_ratio, coalesce(udp::DOUBLE, udp_ratio) AS udp_ratio, coalesce(dir::DOUBLE, dir_ratio * dirx::DOUBLE) AS dir_ratio FROM bw, k)
+SELECT dst, w, kind, {", ".join(f"round({c}, 6) AS {c}" for c in ("packets_per_sec", "bytes_per_sec", "flows_per_sec", "flow_duration_avg", "unique_dst_ips", "unique_dst_ports", "tcp_ratio", "udp_ratio", "dir_ratio"))}, round(unique_dst_ports * 1000 / (packets_per_sec + 1e-10), 6) AS dst_port_density FROM x
 """)
 def synthesized_attacks(spark, sf_dir):
-    b = series(spark, sf_dir).filter("i <= 10").select("label", "w", F.col("n").cast("double").alias("n"))
-    return op.scaled(b, spark.createDataFrame([("syn_flood", 50.0), ("udp_flood", 20.0), ("slowloris", 1.5)], "kind string, factor double"), ["n"])
+    """Every benign window as each of eight attacks."""
+    out = synthesis.synthesized(benign_windows(spark, sf_dir))
+    return out.select("dst", "w", "kind", *map(r6, (*synthesis.FEATURES, "dst_port_density")))
+
+
+@query(f"""
+WITH {BENIGN}, x AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY w) AS i FROM bw), r AS (SELECT dst, w, rate, CAST(step AS INTEGER) AS step, packets_per_sec * pow(1 + rate, step) AS packets_per_sec, flows_per_sec * pow(1 + rate, step) AS flows_per_sec, unique_dst_ports FROM x, (VALUES (0.05::DOUBLE, 60), (0.2, 25)) k(rate, cycles), LATERAL (SELECT unnest(range(cycles)) AS step) WHERE i = 1)
+SELECT dst, w, rate, step, round(packets_per_sec, 4) AS packets_per_sec, round(flows_per_sec, 4) AS flows_per_sec, round(unique_dst_ports * 1000 / (packets_per_sec + 1e-10), 4) AS dst_port_density FROM r
+""")
+def ramped_attacks(spark, sf_dir):
+    """The first benign window of every victim grown by a twentieth for sixty steps and by a fifth for twenty-five."""
+    first = benign_windows(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("dst").orderBy("w"))).filter("i = 1").drop("i")
+    both = [synthesis.ramped(first, rate, cycles).withColumn("rate", F.lit(rate)) for rate, cycles in ((0.05, 60), (0.2, 25))]
+    return both[0].unionByName(both[1]).select("dst", "w", "rate", "step", *[F.round(c, 4).alias(c) for c in ("packets_per_sec", "flows_per_sec", "dst_port_density")])
 
 
 @query(f"""

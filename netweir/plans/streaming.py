@@ -129,22 +129,55 @@ def distinct_exact(spark, sf_dir):
     return tables.packets(spark, sf_dir).groupBy("label").agg(F.count_distinct("src").alias("exact"))
 
 
-@query()
+@query(f"WITH {PACKETS} SELECT label, count(DISTINCT src) AS exact, true AS within FROM packets GROUP BY 1")
 def distinct_sketched(spark, sf_dir):
-    """Daily sketches merged to one estimate a label."""
+    """Daily sketches merged to one estimate a label, within four standard errors of the exact count."""
     p = tables.packets(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    return sketches.merged_distinct(sketches.distinct_sketches(p, ["label", "day"], "src"), ["label"])
+    merged = sketches.merged_distinct(sketches.distinct_sketches(p, ["label", "day"], "src"), ["label"])
+    exact = p.groupBy("label").agg(F.count_distinct("src").alias("exact"))
+    return merged.join(exact, "label").select("label", "exact", (F.abs(F.col("distinct") - F.col("exact")) <= 1 + 4 * sketches.standard_error() * F.col("exact")).alias("within"))
 
 
-@query()
+@query("SELECT 10 AS items, true AS exact, true AS heaviest")
 def frequent_sources(spark, sf_dir):
-    return sketches.frequent(tables.packets(spark, sf_dir), "src", 10)
+    """The ten most frequent sources: estimates are the true counts, and no other source has more than the least of them."""
+    p = tables.packets(spark, sf_dir)
+    counts = p.groupBy("src").agg(F.count("*").alias("n"))
+    found = sketches.frequent(p, "src", 10)
+    others = counts.join(found, "src", "left_anti").agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    return found.join(counts, "src").agg(F.count("*").cast("int").alias("items"), F.bool_and(F.col("estimate") == F.col("n")).alias("exact"), F.min("estimate").alias("least")).join(F.broadcast(others)).select("items", "exact", (F.col("least") >= F.col("most")).alias("heaviest"))
 
 
-@query()
+@query(f"WITH {PACKETS} SELECT label, src, count(*) AS exact, true AS covered FROM packets GROUP BY ALL")
 def count_min_estimates(spark, sf_dir):
+    """Estimates of a sketch, which are never under the exact counts."""
     p = tables.packets(spark, sf_dir)
-    return sketches.estimated(sketches.count_min(p, ["label"], "src"), p.select("label", "src").distinct(), ["label"], "src")
+    exact = p.groupBy("label", "src").agg(F.count("*").alias("exact"))
+    return sketches.estimated(sketches.count_min(p, ["label"], "src"), exact.select("label", "src"), ["label"], "src").join(exact, ["label", "src"]).select("label", "src", "exact", (F.col("estimate") >= F.col("exact")).alias("covered"))
+
+
+@query(f"""
+WITH {PACKETS}, e AS (SELECT CAST(epoch(ts) AS BIGINT) // 86400 AS day, src FROM packets), b AS (SELECT d.day, e.src FROM (SELECT DISTINCT day FROM e) d JOIN e ON e.day IN (d.day, d.day - 1)), c AS (SELECT day, src, count(*) AS n FROM b GROUP BY ALL)
+SELECT day, CAST(sum(n) AS BIGINT) AS total, count(*) AS sources, count(*) FILTER (n >= 0.008 * t) AS heavy, 0 AS missed, true AS never_under, true AS distinct_within, true AS within FROM (SELECT *, sum(n) OVER (PARTITION BY day) AS t FROM c) GROUP BY day
+""")
+def rotating_sketches(spark, sf_dir):
+    """Sketches of a day and the day before: counts, heavy sources and distinct sources, held against what is exact.
+
+    within says that, over all days, no larger share of estimates than e^-depth is over by more than e / width of the total.
+    """
+    depth, width, share = 4, 256, 0.008
+    p = tables.packets(spark, sf_dir).select(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).alias("day"), "src")
+    cells = sketches.rotated(sketches.count_min(p, ["day"], "src", depth, width), "day")
+    exact = p.select(F.explode(F.array(F.col("day"), F.col("day") + 1)).alias("day"), "src").groupBy("day", "src").agg(F.count("*").alias("n")).join(p.select("day").distinct(), "day", "left_semi")
+    heavy = sketches.heavy_hitters(cells, exact.select("day", "src"), ["day"], "src", share, depth, width).select("day", "src", F.lit(True).alias("found"))
+    totals = exact.groupBy("day").agg(F.sum("n").alias("total"))
+    all_ = sketches.estimated(cells, exact.select("day", "src"), ["day"], "src", depth, width).join(exact, ["day", "src"]).join(totals, "day").join(heavy, ["day", "src"], "left")
+    true_heavy = F.col("n") >= share * F.col("total")
+    over = F.count_if(F.col("estimate") > F.col("n") + sketches.excess(width) * F.col("total"))
+    days = all_.groupBy("day", "total").agg(F.count("*").alias("sources"), F.count_if(true_heavy).alias("heavy"), F.count_if(true_heavy & F.col("found").isNull()).cast("int").alias("missed"), F.bool_and(F.col("estimate") >= F.col("n")).alias("never_under"), over.alias("over"))
+    seen = sketches.rotated_distinct(sketches.distinct_sketches(p, ["day"], "src"), "day")
+    joined = days.join(seen, "day").withColumn("within", F.sum("over").over(Window.partitionBy()) <= 0.0183 * F.sum("sources").over(Window.partitionBy()))
+    return joined.select("day", "total", "sources", "heavy", "missed", "never_under", (F.abs(F.col("distinct") - F.col("sources")) <= 1 + 4 * sketches.standard_error() * F.col("sources")).alias("distinct_within"), "within")
 
 
 @query(f"WITH {PACKETS} SELECT label || ':' || CAST(count(*) AS VARCHAR) AS line FROM packets WHERE event_id % 7 = 0 GROUP BY label")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netweir.functions.traffic import clamp, erfc, ip_number, ip_text, wilson
-from netweir.operators import detectors, evaluation, filters, lookups, recursions, sketches
+from netweir.operators import detectors, evaluation, filters, lookups, paired, recursions, sketches, synthesis
 from netweir.plans.detectors import FEATURES
 from netweir.plans.detectors import matrix as windows
 from netweir.sources import tables
@@ -65,11 +65,23 @@ def test_address_round_trip(spark):
     assert one(spark, ip_text(F.lit(3232235777))) == "192.168.1.1"
 
 
-def test_wilcoxon_exact():
-    assert evaluation.wilcoxon([1, 2, 3, 4, 5, 6]) == pytest.approx(2 / 64)
-    assert evaluation.wilcoxon([0, 0]) == 1.0
-    with pytest.raises(ValueError):
-        evaluation.wilcoxon(range(1, 20))
+def test_wilcoxon(spark):
+    from itertools import product
+
+    def brute(d):
+        d = [x for x in d if x]
+        ranks = [sum(abs(y) < abs(x) for y in d) + (sum(abs(y) == abs(x) for y in d) + 1) / 2 for x in d]
+        up = sum(r for r, x in zip(ranks, d, strict=True) if x > 0)
+        sums = [sum(r for r, s in zip(ranks, signs, strict=True) if s) for signs in product((0, 1), repeat=len(d))]
+        return min(1.0, 2 * min(sum(s <= up for s in sums), sum(s >= up for s in sums)) / len(sums))
+
+    tests = {"a": [1, 2, 3, 4, 5, 6], "b": [0, 0], "c": [1, -1, 2, 2, -3, 0, 5, 5, 5], "d": [0.5], "e": [-1, -1, -1, 2, 2, 4, -8, 1, 3, 3]}
+    rows = spark.createDataFrame([(k, float(x)) for k, d in tests.items() for x in d] + [("c", None)], "k string, d double")
+    got = {r["k"]: (r["n"], r["p"]) for r in paired.wilcoxon(rows, ["k"], "d").collect()}
+    assert got == {k: (sum(map(bool, d)), pytest.approx(brute(d))) for k, d in tests.items()}
+    many = spark.createDataFrame([("x", float(i if i % 3 else -i)) for i in range(1, 151)] + [("y", float(i if i % 3 else -i)) for i in range(1, 401)], "k string, d double")
+    p = {r["k"]: r["p"] for r in paired.wilcoxon(many, ["k"], "d").collect()}
+    assert 0 < p["y"] < p["x"] < 0.01
 
 
 def test_mcnemar(spark):
@@ -87,12 +99,38 @@ def test_bootstrap_covers_the_rate(spark):
     assert evaluation.cluster_bootstrap(rows, "c", "hits", "n").first() == r
 
 
-def test_exactly_one(spark):
-    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
-    assert lookups.exactly_one(a, b, ["k"]).count() == 2
+def test_matched_once(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, v string")
+    assert sorted(map(tuple, paired.matched_once(a, b, ["k"]).collect())) == [(1, "x"), (2, "y")]
     for bad in (b.filter("k = 1"), b.unionByName(b)):
-        with pytest.raises(ValueError):
-            lookups.exactly_one(a, bad, ["k"])
+        out = paired.matched_once(a, bad, ["k"])
+        with pytest.raises(Exception, match="not exactly one match"):
+            out.collect()
+
+
+def test_ledger(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
+    recorded = paired.ledger({"t": rows})
+    assert paired.proven(rows, {"t": rows.orderBy("v").repartition(3)}, recorded).count() == 2
+    for changed in (rows.withColumn("v", F.coalesce("v", F.lit("~"))), rows.filter("k = 1"), rows.unionByName(rows.limit(1))):
+        with pytest.raises(Exception, match="inputs differ from the ledger: t"):
+            paired.proven(rows, {"t": changed}, recorded).collect()
+
+
+def test_paired_bootstrap(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(a), int(rng.binomial(a, 0.6)), 50) for i, a in enumerate(rng.binomial(50, 0.3, 40))]
+    r = paired.paired_bootstrap(spark.createDataFrame(rows, "c int, a int, b int, n int"), "c", "a", "b", "n", 300).first()
+    assert r["low"] < r["reduction"] < r["high"] and 30 < r["reduction"] < 50 and r["p"] == pytest.approx(1 / 300)
+    same = paired.paired_bootstrap(spark.createDataFrame([(i, 5, 5, 9) for i in range(9)], "c int, a int, b int, n int"), "c", "a", "b", "n", 50).first()
+    assert (same["low"], same["high"], same["p"]) == (0.0, 0.0, 1.0), "arms that share draws and hits do not differ in any replicate"
+
+
+def test_synthesized(spark):
+    row = spark.createDataFrame([("v", *[2.0] * 9)], "k string, " + ", ".join(f"{f} double" for f in synthesis.FEATURES))
+    out = {r["kind"]: r for r in synthesis.synthesized(row).collect()}
+    assert len(out) == 8 and out["syn_flood"]["tcp_ratio"] == 0.94 and out["slowloris"]["flow_duration_avg"] == 36.0
+    assert out["carpet_bomb"]["dst_port_density"] == pytest.approx(2 * 80 * 1000 / 2.4)
 
 
 def test_policy_conditions_on_missing_fields(spark):
