@@ -25,10 +25,10 @@ def longest_prefix(rows: DataFrame, prefixes: DataFrame, ip: str = "ip", ident:
 def in_ranges(rows: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     """Each row with the range (first, last, tag) that holds its address, null if none; ranges do not overlap.
 
-    An as-of join: addresses and range starts are ordered together, within the first octet, and each address takes
-    the last start before it.  A range over several octets is first cut at them.
+    An as-of join: addresses and range starts are ordered together, within the first 16 bits, and each address takes
+    the last start before it.  A range over several of these is first cut at them.
     """
-    size = 2**24
+    size = 2**16
     octets = F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size))
     cut = ranges.withColumn("_o", F.explode(octets)).select("_o", F.greatest("first", F.col("_o") * size).alias("_at"), F.least("last", (F.col("_o") + 1) * size - 1).alias("_end"), "tag", F.lit(None).cast("long").alias(ip))
     asked = rows.select(ip).distinct().select(F.floor(F.col(ip) / size).alias("_o"), F.col(ip).alias("_at"), F.lit(None).cast("long").alias("_end"), F.lit(None).cast("string").alias("tag"), ip)

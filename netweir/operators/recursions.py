@@ -28,7 +28,7 @@ def streamed(rows: DataFrame, keys: list[str], order: list[str], begin: Callable
     added = [part.rsplit(" ", 1) for part in outputs.split(", ")]
     for name, kind in added:
         schema = schema.add(name, kind)
-    kinds = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64()}
+    kinds = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "string": pa.string()}
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

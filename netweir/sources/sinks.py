@@ -47,3 +47,30 @@ def snapshot_baselines(baselines: DataFrame, keys: list[str], path: str) -> None
 def restored_baselines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     t = spark.read.parquet(path)
     return t.select(*[c for c in t.columns if c != "state"], F.from_json("state", schema).alias("s")).select(*[c for c in t.columns if c != "state"], "s.*")
+
+
+def literal(column: str, kind: str) -> Column:
+    """A value as SQL writes it: quotes are doubled, a missing one is NULL."""
+    c = F.col(column)
+    if kind == "boolean":
+        out = F.when(c, "TRUE").when(~c, "FALSE")
+    elif kind in ("string", "date", "timestamp", "timestamp_ntz"):
+        out = F.concat(F.lit("'"), F.replace(c.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+    else:
+        out = c.cast("string")
+    return F.coalesce(out, F.lit("NULL"))
+
+
+def statements(rows: DataFrame, table: str, batch: Column, order: list[str]) -> DataFrame:
+    """statement: an INSERT of all rows of a ``batch`` into ``table``, in order.  A batch is a group, so it must be bounded."""
+    kinds = dict(rows.dtypes)
+    values = F.concat(F.lit("("), F.concat_ws(", ", *[literal(c, kinds[c]) for c in rows.columns]), F.lit(")"))
+    head = F.lit(f"INSERT INTO {table} ({', '.join(rows.columns)}) VALUES ")
+    each = rows.select(batch.alias("_batch"), F.struct(*order, values.alias("_values")).alias("_row"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("_row")), lambda r: r["_values"]), ", ")
+    return each.groupBy("_batch").agg(F.concat(head, body, F.lit(";")).alias("statement")).drop("_batch")
+
+
+def export_sql(rows: DataFrame, table: str, path: str, batch: Column, order: list[str]) -> None:
+    """A folder of text files of statements, for a database to load."""
+    statements(rows, table, batch, order).write.text(path)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from netweir.operators.recursions import streamed
+
 
 def events_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
     """Parquet files of a folder as they arrive, a few per batch."""
@@ -67,18 +69,27 @@ def _walk(rows: pd.DataFrame, state: tuple[str, int, float]) -> tuple[pd.DataFra
 
 
 def state_machine(windows: DataFrame) -> DataFrame:
-    """State and peak of every window (dst, w, value, hot) in a batch: a destination's windows are one ordered fold."""
-    return windows.groupBy("dst").applyInPandas(lambda pdf: _walk(pdf, ("normal", 0, 0.0))[0], STATES)
+    """State and peak of every window (dst, w, value, hot) in a batch: a destination's windows stream past its state."""
+
+    def step(state: tuple[str, int, float], value: float, hot: bool) -> tuple:
+        state = _advance(*state, value, hot)
+        return state, (state[0], state[2])
+
+    return streamed(windows.select("dst", "w", "value", "hot"), ["dst"], ["w"], lambda: ("normal", 0, 0.0), step, ["dst", "w"], "state string, peak double")
 
 
 def state_machine_stream(windows: DataFrame) -> DataFrame:
-    """The same over a stream of closed windows; a destination's state outlives batches and restarts."""
+    """The same over a stream of closed windows; a destination's state outlives batches and restarts, and goes when it is
+    normal again, so idle destinations hold none."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         current = tuple(state.get) if state.exists else ("normal", 0, 0.0)
         rows = pd.concat(list(batches))
         out, current = _walk(rows, current)
-        state.update(current)
+        if current != ("normal", 0, 0.0):
+            state.update(current)
+        elif state.exists:
+            state.remove()
         yield out
 
     return windows.groupBy("dst").applyInPandasWithState(step, STATES, "state string, streak int, peak double", "append", GroupStateTimeout.NoTimeout)

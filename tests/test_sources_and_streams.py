@@ -165,3 +165,27 @@ def test_one_capture_in_many_tasks(spark, tmp_path):
         read = captures.captures(spark, str(tmp_path / form), 2048)
         assert read.rdd.getNumPartitions() > 10
         assert sorted(r["ts"] for r in read.collect()) == [float(i) for i in range(500)]
+
+
+def test_statements_load(spark):
+    """What is exported as SQL is what a database holds after loading it."""
+    import duckdb
+
+    rows = spark.createDataFrame([(1, "it's", None, True), (2, None, 2.5, False), (3, "", -1.0, None)], "k long, s string, x double, b boolean")
+    con = duckdb.connect()
+    con.sql("CREATE TABLE t (k BIGINT, s VARCHAR, x DOUBLE, b BOOLEAN)")
+    out = sinks.statements(rows, "t", F.floor(F.col("k") / 2), ["k"]).collect()
+    assert len(out) == 2
+    for r in out:
+        con.sql(r["statement"])
+    assert con.sql("SELECT * FROM t ORDER BY k").fetchall() == [tuple(r) for r in rows.orderBy("k").collect()]
+
+
+def test_segments(spark):
+    from netweir.operators import segments
+
+    top = (1 << 32) - 10
+    rows = [(1, 0, 40, top, 0, 8000), (2, 0, 40, 20, 0, 8000), (3, 0, 40, 20, 0, 8000), (4, 0, 40, 3_000_000_000, 0, 0), (5, 16, 40, 3_000_000_040, 500, 50), (6, 16, 40, 3_000_000_080, 500, 50), (7, 16, 40, 3_000_000_120, 900_000, 50)]
+    df = spark.createDataFrame([("f", *r) for r in rows], "k string, t long, flags int, length int, seq long, ack long, win int")
+    out = segments.abuses(df, ["k"], ["t"], segments.Limits(0, 0, 0, 0, 1, 0))
+    assert [r["abuses"] for r in out.orderBy("t").collect()] == ["", "", "same_seq,same_window", "seq_jump,zero_window", "", "same_ack,same_window", "ack_jump,same_window,tiny_window"]
