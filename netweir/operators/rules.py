@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netweir.sources.lineage import written
+
 #: A rule's fields, most telling first.  Columns that a table lacks match anything, as null does.
 PREFIXES = {"src": 32, "dst": 32}
 PORTS = ("dst_port", "src_port")
@@ -22,8 +24,8 @@ KEYED = 2
 #: Ranges of ports that span at most SPAN buckets of 2^BUCKET ports can be keys.
 BUCKET, SPAN = 8, 4
 TCP = 6
-#: Rules that may be held by every task, and shapes, each of which is a join.
-MOST_RULES, MOST_SHAPES = 200_000, 128
+#: Shapes, each of which is a join.
+MOST_SHAPES = 128
 
 
 def live(rules: DataFrame, now: Column) -> DataFrame:
@@ -98,8 +100,8 @@ def first_match(packets: DataFrame, rules: DataFrame, default: str = "ALLOW") ->
 
     ``rules`` has rule_id, priority, action and any of: proto; src, dst with src_len, dst_len (prefixes of addresses);
     <field>_lo and <field>_hi of dst_port, src_port, length and ttl; flags_mask and flags_value (for TCP alone).
-    A field that is null matches anything.  A job runs while the plan is built: it counts rules and lists shapes.
-    Up to MOST_RULES keys are held by tasks; more are joined like any table.
+    A field that is null matches anything.  While the plan is built the rules by key are written as a table and their
+    shapes listed; Spark holds a shape's rules in every task or joins them like any table, by their size.
     """
     filed = _filed(rules)
     fields = list(filed)
@@ -112,25 +114,24 @@ def first_match(packets: DataFrame, rules: DataFrame, default: str = "ALLOW") ->
     for f in fields:
         table = table.withColumn(f"_{f}", F.explode(f"_{f}"))
     keyed = table.groupBy(*[F.col(f"_{f}.{part}").alias(f"_{f}_{part}") for f in fields for part in ("shape", "key")]).agg(F.array_sort(F.collect_set("_rule")).alias("_rules"))
-    kept = keyed.limit(MOST_RULES + 1).collect()
-    if len(kept) <= MOST_RULES:
-        keyed = packets.sparkSession.createDataFrame(kept, keyed.schema)
-        shapes = sorted({tuple(r[f"_{f}_shape"] for f in fields) for r in kept})
-    else:
-        shapes = sorted(tuple(r) for r in keyed.select(*[f"_{f}_shape" for f in fields]).distinct().limit(MOST_SHAPES + 1).collect())
+    # read once for each shape
+    keyed = written(keyed)
+    shapes = sorted(tuple(r) for r in keyed.select(*[f"_{f}_shape" for f in fields]).distinct().limit(MOST_SHAPES + 1).collect())
     if len(shapes) > MOST_SHAPES:
         raise ValueError(f"rules have more than {MOST_SHAPES} shapes")
-    own = packets.columns
+    own = [F.col(c) for c in packets.columns]
+    # the same for all shapes: the first of a key's rules that holds, as (priority, rule_id, action)
+    hits = F.transform(F.filter("_rules", lambda r: _holds(r, set(rest))), lambda r: F.struct(r["priority"].alias("priority"), r["rule_id"].alias("rule_id"), r["action"].alias("action")))
+    best = F.least("_best", F.get(hits, F.lit(0))).alias("_best")
     out = packets.withColumn("_best", F.lit(None).cast("struct<priority:long,rule_id:long,action:string>"))
     for shape in shapes:
-        parts = keyed.filter(reduce(lambda a, b: a & b, [F.col(f"_{f}_shape") == s for f, s in zip(fields, shape, strict=True)], F.lit(True)))
-        used = [(f, s) for f, s in zip(fields, shape, strict=True) if s]
+        parts = keyed.filter(" AND ".join(f"_{f}_shape = {n}" for f, n in zip(fields, shape, strict=True)) or "true")
+        used = [(f, n) for f, n in zip(fields, shape, strict=True) if n]
         if used:
-            side = parts.select(*[F.col(f"_{f}_key") for f, _ in used], "_rules")
-            out = out.join(side, reduce(lambda a, b: a & b, [_key(f, s) == F.col(f"_{f}_key") for f, s in used]), "left")
+            side = parts.select(*[f"_{f}_key" for f, _ in used], "_rules")
+            out = out.join(side, reduce(lambda a, b: a & b, [_key(f, n) == F.col(f"_{f}_key") for f, n in used]), "left")
         else:
             # rules that set nothing but wide ranges have one key: their array is a constant
             out = out.withColumn("_rules", F.from_json(F.lit(parts.select(F.to_json("_rules")).first()[0]), parts.schema["_rules"].dataType))
-        hits = F.transform(F.filter("_rules", lambda r: _holds(r, set(rest))), lambda r: F.struct(r["priority"].alias("priority"), r["rule_id"].alias("rule_id"), r["action"].alias("action")))
-        out = out.select(*own, F.least("_best", F.get(hits, F.lit(0))).alias("_best"))
+        out = out.select(*own, best)
     return out.select(*own, F.col("_best.rule_id").alias("rule_id"), F.coalesce("_best.action", F.lit(default)).alias("action"))
