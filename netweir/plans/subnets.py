@@ -57,7 +57,7 @@ def subnet_evaluation(spark, sf_dir):
 
 @query(f"""
 WITH {TRAFFIC}, s AS (SELECT 'victim' AS role, count(*) AS subnets, sum(tp) AS k, sum(attacks) AS n, sum(tp_fixed) AS kf FROM roles WHERE role = 'victim' UNION ALL SELECT 'uninvolved', count(*), sum(fp), sum(benign), sum(fp_fixed) FROM roles WHERE role = 'uninvolved'), p AS (SELECT *, k / n AS q FROM s)
-SELECT role, subnets, CAST(coalesce(k, 0) AS BIGINT) AS k, CAST(coalesce(n, 0) AS BIGINT) AS n, round(100.0 * q, 6) AS rate, round(100.0 * greatest((q + 3.8416 / (2 * n) - 1.96 * sqrt(q * (1 - q) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 0), 6) + 0.0 AS low, round(100.0 * least((q + 3.8416 / (2 * n) + 1.96 * sqrt(q * (1 - q) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 1), 6) AS high, round(100.0 * kf / n, 6) AS rate_fixed FROM p
+SELECT role, subnets, CAST(coalesce(k, 0) AS BIGINT) AS k, CAST(coalesce(n, 0) AS BIGINT) AS n, round(100.0 * q, 6) AS rate, round(CASE WHEN n > 0 THEN 100.0 END * greatest((q + 3.8416 / (2 * n) - 1.96 * sqrt(q * (1 - q) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 0), 6) + 0.0 AS low, round(CASE WHEN n > 0 THEN 100.0 END * least((q + 3.8416 / (2 * n) + 1.96 * sqrt(q * (1 - q) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 1), 6) AS high, round(100.0 * kf / n, 6) AS rate_fixed FROM p
 """)
 def subnet_summary(spark, sf_dir):
     """Detection over victim subnets and false alarms over uninvolved ones."""
