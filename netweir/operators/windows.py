@@ -133,3 +133,18 @@ def multi_window(series: DataFrame, key: str = "dst", order: str = "w", value: s
         slope = F.when((sxx > 1e-9) & (syy > 1e-9) & (F.round(sxy * sxy / (sxx * syy), 9) >= 0.5), sxy / sxx).otherwise(0.0)
         out = out.withColumns({f"sum_{size}": F.sum(value).over(w), f"mean_{size}": my, f"var_{size}": F.greatest(syy, F.lit(0.0)), f"slope_{size}": F.when(n >= 3, slope).otherwise(0.0)})
     return out.drop("_i")
+
+
+def sliding_rates(packets: DataFrame, keys: list[str], ms: str, size: str = "length", width: int = 100, slots: int = 10, warm: int = 1) -> DataFrame:
+    """keys, slot, packets and bytes of every slot of ``width`` milliseconds with traffic, the rates of the ``slots`` up to it, and its spike.
+
+    pps and bps are sums over the slots that end with this one, so idle slots count as none without being rows.  spike is the
+    slot's packets over the mean slot of the ``slots`` before it, null where fewer than ``warm`` packets came in those.
+    """
+    s = packets.groupBy(*keys, F.floor(F.col(ms) / width).alias("slot")).agg(F.count("*").alias("packets"), F.sum(size).alias("bytes"))
+    along = Window.partitionBy(*keys).orderBy("slot")
+    now, before = along.rangeBetween(1 - slots, 0), along.rangeBetween(-slots, -1)
+    past = F.coalesce(F.sum("packets").over(before), F.lit(0))
+    seconds = width * slots / 1000
+    out = s.withColumns({"pps": F.sum("packets").over(now) / seconds, "bps": 8 * F.sum("bytes").over(now) / seconds, "_past": past})
+    return out.withColumn("spike", F.when(F.col("_past") >= warm, F.col("packets") * slots / F.col("_past"))).drop("_past")

@@ -94,3 +94,15 @@ def flow_windows(spark, sf_dir):
     f = tables.flows(spark, sf_dir)
     g = f.groupBy("dst", F.to_date("ts").alias("w")).agg(F.sum("packets").alias("packets"), F.round(F.sum("bytes"), 2).alias("bytes"), F.count_distinct("src").alias("sources"), F.count_if(F.col("proto") == "A").alias("n_a"), F.round(F.sum(F.when(F.col("state") == "O", F.col("packets"))) / F.sum("packets"), 6).alias("dir_ratio"))
     return g.filter("packets >= 50")
+
+
+@query(f"""
+WITH {PACKETS}, m AS (SELECT label, (event_id * 37) % 60000 AS ms, length FROM packets), s AS (SELECT label, ms // 100 AS slot, count(*) AS packets, sum(length) AS bytes FROM m GROUP BY ALL),
+w AS (SELECT *, sum(packets) OVER n AS pps, sum(bytes) OVER n AS bps, coalesce(sum(packets) OVER b, 0) AS past FROM s WINDOW n AS (PARTITION BY label ORDER BY slot RANGE BETWEEN 9 PRECEDING AND CURRENT ROW), b AS (PARTITION BY label ORDER BY slot RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING))
+SELECT label, CAST(slot AS BIGINT) AS slot, packets, CAST(bytes AS BIGINT) AS bytes, CAST(pps AS DOUBLE) AS pps, CAST(8 * bps AS DOUBLE) AS bps, round(CASE WHEN past >= 5 THEN packets * 10 / past END, 6) AS spike, coalesce(past >= 5 AND packets * 10 / past >= 3, false) AS alarm FROM w
+""")
+def sub_second_rates(spark, sf_dir):
+    """Rates of the last ten tenths of a second and how far each tenth exceeds them, packets laid along one minute."""
+    p = tables.packets(spark, sf_dir).select("label", ((F.col("event_id") * 37) % 60000).alias("ms"), "length")
+    out = op.sliding_rates(p, ["label"], "ms", warm=5)
+    return out.select("label", "slot", "packets", "bytes", "pps", "bps", F.round("spike", 6).alias("spike"), F.coalesce(F.col("spike") >= 3, F.lit(False)).alias("alarm"))
