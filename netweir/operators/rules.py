@@ -24,6 +24,8 @@ KEYED = 2
 #: Ranges of ports that span at most SPAN buckets of 2^BUCKET ports can be keys.
 BUCKET, SPAN = 8, 4
 TCP = 6
+#: A key's rules are tried in runs of this many, then twice as many, and so on.
+RUN = 8
 #: Shapes, each of which is a join.
 MOST_SHAPES = 128
 
@@ -81,10 +83,6 @@ def _key(field: str, shape: int) -> Column:
 def _holds(rule: Column, names: set[str]) -> Column:
     """Whether all of a rule holds for a packet; a field the packet lacks holds for no rule that sets it."""
     tests = []
-    for f, bits in PREFIXES.items():
-        if f in names:
-            size = F.pow(F.lit(2), bits - rule[f"{f}_len"])
-            tests.append(rule[f].isNull() | (F.floor(F.col(f) / size) == F.floor(rule[f] / size)))
     for f in RANGES:
         if f"{f}_lo" in names:
             tests += [rule[f"{f}_lo"].isNull() | (F.col(f) >= rule[f"{f}_lo"]), rule[f"{f}_hi"].isNull() | (F.col(f) <= rule[f"{f}_hi"])]
@@ -92,9 +90,33 @@ def _holds(rule: Column, names: set[str]) -> Column:
         tests.append(rule["flags_mask"].isNull() | (F.col("proto") != TCP) | (F.col("flags").bitwiseAND(rule["flags_mask"].cast("int")) == rule["flags_value"].bitwiseAND(rule["flags_mask"])))
     if "proto" in names:
         tests.append(rule["proto"].isNull() | (F.col("proto") == rule["proto"]))
+    # dearest last: a prefix is mostly part of the key already
+    for f, bits in PREFIXES.items():
+        if f in names:
+            size = F.pow(F.lit(2), bits - rule[f"{f}_len"])
+            tests.append(rule[f].isNull() | (F.floor(F.col(f) / size) == F.floor(rule[f] / size)))
     return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
 
 
+def _first(names: set[str]) -> Column:
+    """The better of ``_best`` and the first of ``_rules`` that holds; null where there are no rules.
+
+    ``_rules`` is sorted.  A run is only tried while its first rule is better than what has been found so far, so a packet
+    costs some multiple of the rules before its match, and a step for each doubling of the rest.
+    """
+    rank = lambda r: F.struct(r["priority"].alias("priority"), r["rule_id"].alias("rule_id"))
+
+    def step(best: Column, i: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(RUN), i)
+        at = size - RUN
+        run = F.filter(F.slice("_rules", at + 1, size), lambda r: _holds(r, names))
+        hit = F.get(F.transform(run, lambda r: F.struct(r["priority"].alias("priority"), r["rule_id"].alias("rule_id"), r["action"].alias("action"))), F.lit(0))
+        return F.when(best.isNull() | (rank(F.get("_rules", at)) < rank(best)), F.least(best, hit)).otherwise(best)
+
+    runs = F.ceil(F.log2(F.size("_rules") / RUN + 1)).cast("int")
+    return F.when(F.size("_rules") > 0, F.aggregate(F.sequence(F.lit(0), runs - 1), F.col("_best"), step))
+
+
 def first_match(packets: DataFrame, rules: DataFrame, default: str = "ALLOW") -> DataFrame:
     """``packets`` with rule_id and action of the first rule by (priority, rule_id) that matches, or null and ``default``.
 
@@ -120,10 +142,10 @@ def first_match(packets: DataFrame, rules: DataFrame, default: str = "ALLOW") ->
     if len(shapes) > MOST_SHAPES:
         raise ValueError(f"rules have more than {MOST_SHAPES} shapes")
     own = [F.col(c) for c in packets.columns]
-    # the same for all shapes: the first of a key's rules that holds, as (priority, rule_id, action)
-    hits = F.transform(F.filter("_rules", lambda r: _holds(r, set(rest))), lambda r: F.struct(r["priority"].alias("priority"), r["rule_id"].alias("rule_id"), r["action"].alias("action")))
-    best = F.least("_best", F.get(hits, F.lit(0))).alias("_best")
+    # the same for all shapes
+    best = F.coalesce(_first(set(rest)), "_best").alias("_best")
     out = packets.withColumn("_best", F.lit(None).cast("struct<priority:long,rule_id:long,action:string>"))
+    # least telling first: the many rules that share a key soon give a good match, and runs beyond it are never tried
     for shape in shapes:
         parts = keyed.filter(" AND ".join(f"_{f}_shape = {n}" for f, n in zip(fields, shape, strict=True)) or "true")
         used = [(f, n) for f, n in zip(fields, shape, strict=True) if n]
@@ -131,7 +153,7 @@ def first_match(packets: DataFrame, rules: DataFrame, default: str = "ALLOW") ->
             side = parts.select(*[f"_{f}_key" for f, _ in used], "_rules")
             out = out.join(side, reduce(lambda a, b: a & b, [_key(f, n) == F.col(f"_{f}_key") for f, n in used]), "left")
         else:
-            # rules that set nothing but wide ranges have one key: their array is a constant
-            out = out.withColumn("_rules", F.from_json(F.lit(parts.select(F.to_json("_rules")).first()[0]), parts.schema["_rules"].dataType))
+            # rules that set nothing but wide ranges have one key: their array is one value for all packets
+            out = out.withColumn("_rules", parts.select("_rules").scalar())
         out = out.select(*own, best)
     return out.select(*own, F.col("_best.rule_id").alias("rule_id"), F.coalesce("_best.action", F.lit(default)).alias("action"))

@@ -54,6 +54,22 @@ def test_no_rules_and_wide_rules(spark):
     assert tuple(rules.first_match(p, wide).select("rule_id", "action").first()) == (7, "DROP")
 
 
+def test_many_rules_of_one_key(spark):
+    """Rules share one key, or two; the first that holds stands at every place of the runs that are tried."""
+    n = 100
+    packets = spark.createDataFrame([(i, 6, i % 7, 5, 1, 1, i, 1, 2) for i in range(n + 20)], PACKET)
+    wide = [(1000 + i, i, "DROP", i, None, None) for i in range(n)]
+    own = [(2000 + i, i - (i % 3 == 0), "DENY", i, 6, 3) for i in range(0, n, 2)]
+    table = spark.createDataFrame(wide + own, "rule_id long, priority long, action string, length_lo int, proto int, src long")
+    table = table.withColumn("length_hi", F.col("length_lo"))
+    want = {}
+    for i in range(n + 20):
+        fit = [(r[1], r[0], r[2]) for r in wide + own if r[3] == i and (r[5] is None or r[5] == i % 7)]
+        want[i] = min(fit, default=(None, None, "ALLOW"))[1:]
+    got = {r["event_id"]: (r["rule_id"], r["action"]) for r in rules.first_match(packets, table).collect()}
+    assert got == want and any(a == "DENY" for _, a in got.values())
+
+
 def test_live(spark):
     table = spark.sql("SELECT * FROM VALUES (1, true, NULL), (2, false, NULL), (3, true, timestamp '2024-01-01'), (4, NULL, timestamp '2025-01-01') t(rule_id, enabled, expires_at)")
     assert [r[0] for r in rules.live(table, F.lit("2024-06-01").cast("timestamp")).orderBy("rule_id").collect()] == [1, 4]
