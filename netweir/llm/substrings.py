@@ -23,8 +23,10 @@ WINDOW = 35
 GRAM = 6
 #: Words in one index; a shard's stretches are indexed in turns, each with all stretches of its anchors.
 INDEX_WORDS = 600_000
-#: Anchors with more stretches than this, copies included, are counted window by window instead.
+#: Anchors with more stretches than this, or with more words in them than an index has, copies included, are
+#: counted window by window instead, so many rows at a time.
 STRETCHES = 8_192
+WINDOW_ROWS = 65_536
 #: Anchors more common than this are chosen last, up to so many of the most common.  Any choice that only
 #: depends on a window's words is right; this one keeps what surrounds a common line from meeting at that line.
 COMMON, COMMON_KEPT = 256, 65_536
@@ -227,25 +229,34 @@ def _indexed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """s1, s2, n, begin, w1, w2 (the window's 128-bit hash) for every window of stretches (s1, s2, n, stretch)."""
+    rows: list[int] = []
+    begins: list[int] = []
+    digests: list[bytes] = []
+
+    def out(b: pa.RecordBatch) -> pa.RecordBatch:
+        take = pa.array(rows, pa.int64())
+        w = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+        made = pa.RecordBatch.from_arrays([*[b.column(i).take(take) for i in range(3)], pa.array(begins, pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1])], names=["s1", "s2", "n", "begin", "w1", "w2"])
+        rows.clear(), begins.clear(), digests.clear()
+        return made
+
     for b in batches:
-        rows, begins, w1, w2 = [], [], [], []
-        for row, piece in enumerate(b.column(3).to_pylist()):
-            words = piece.split(b" ")
+        for row in range(len(b)):
+            words = b.column(3)[row].as_py().split(b" ")
             for i in range(len(words) - window + 1):
-                d = hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest()
                 rows.append(row)
                 begins.append(i)
-                w1.append(int.from_bytes(d[:8], "big", signed=True))
-                w2.append(int.from_bytes(d[8:], "big", signed=True))
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([*[b.column(i).take(take) for i in range(3)], pa.array(begins, pa.int32()), pa.array(w1, pa.int64()), pa.array(w2, pa.int64())], names=["s1", "s2", "n", "begin", "w1", "w2"])
+                digests.append(hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest())
+                if len(rows) == WINDOW_ROWS:
+                    yield out(b)
+        yield out(b)
 
 
-def repeated_intervals(texts: DataFrame, scan: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = STRETCHES) -> DataFrame:
+def repeated_intervals(texts: DataFrame, scan: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = STRETCHES, most_words: int = INDEX_WORDS) -> DataFrame:
     """key, intervals (begin, end in words) for texts (id, text, key) with a window that occurs twice or more.
 
     Texts with one key are the same text.  ``scan`` has the same rows before they were shuffled.  Counting happens before and while stretches are shuffled, so copies and
-    common passages do not gather; an anchor with more than ``most`` stretches is not indexed, but the windows of its
+    common passages do not gather; an anchor with more than ``most`` stretches or ``most_words`` words is not indexed, but the windows of its
     distinct stretches are counted one by one, which is exact as well.
     """
     shape = "key long, anchor long, start int, words int, times int"
@@ -253,9 +264,9 @@ def repeated_intervals(texts: DataFrame, scan: DataFrame, window: int = WINDOW,
     common = Common([r[0] for r in first.orderBy(F.desc("count"), "anchor").limit(COMMON_KEPT).select("anchor").collect()])
     marks = durable(texts.mapInArrow(lambda it: _anchored(it, window, gram, common), shape))
     # counts are summed before they are shuffled and joined back, so that a common anchor is no group of rows
-    counts = marks.groupBy("anchor").agg(F.sum("times").alias("total"), F.count("*").alias("pieces")).filter("total > 1").select("anchor", "pieces")
+    counts = marks.groupBy("anchor").agg(F.sum("times").alias("total"), ((F.count("*") > most) | (F.sum("words") > most_words)).alias("hot")).filter("total > 1").select("anchor", "hot")
     twice = marks.join(counts, "anchor")
-    lists = twice.groupBy("key").agg(F.collect_set(F.struct("start", "words", "anchor", (F.col("pieces") > most).alias("hot"))).alias("marks"))
+    lists = twice.groupBy("key").agg(F.collect_set(F.struct("start", "words", "anchor", "hot")).alias("marks"))
     # all columns go through, so that every reader of ``texts`` shares one shuffle of them
     cut = texts.join(lists.hint("shuffle_hash"), "key").select(*texts.columns, "marks").mapInArrow(_cut, "key long, anchor long, hot boolean, start int, stretch binary")
     # hot is an aggregate, so that filters on it stay above the shuffle and both branches read one
@@ -289,7 +300,7 @@ def _kept(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(names))], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], names=[*names, "n_words", "n_removed", "kept"])
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, ident: str = "doc_id", most: int = STRETCHES, keep_text: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, ident: str = "doc_id", most: int = STRETCHES, most_words: int = INDEX_WORDS, keep_text: bool = True) -> DataFrame:
     """``ident``, n_words, n_removed and the kept text (or its SHA-256) of every row of ``docs``.
 
     All windows that occur twice or more anywhere are judged on the input and every word they cover goes, in every
@@ -299,7 +310,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, ident: str = "doc_id"
     base = docs.select(ident, "text", F.xxhash64(ident, "text").alias("key"))
     # both joins read this one shuffle of the texts
     placed = base.repartition("key")
-    spans = repeated_intervals(placed, base, window, most=most)
+    spans = repeated_intervals(placed, base, window, most=most, most_words=most_words)
     joined = placed.join(spans.hint("shuffle_hash"), "key", "left").select(ident, F.col("text").alias("_text"), F.col("intervals").alias("_spans"))
     kind = docs.schema[ident].dataType.simpleString()
     out = joined.mapInArrow(lambda it: _kept(it, [ident]), f"{ident} {kind}, n_words long, n_removed long, kept string")

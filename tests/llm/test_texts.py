@@ -181,12 +181,28 @@ def removed(rows, window=35):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("most", [substrings.STRETCHES, 2])
-def test_substrings(made, most):
-    got = sorted((tuple(r) for r in substrings.without_repeats(made, keep_text=False, most=most).collect()), key=key)
+@pytest.mark.parametrize("bounds", [{}, {"most": 2}, {"most_words": 100}])
+def test_substrings(made, bounds):
+    got = sorted((tuple(r) for r in substrings.without_repeats(made, keep_text=False, **bounds).collect()), key=key)
     assert got == removed(texts(made))
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_windows_of_common_anchors_come_in_slices(monkeypatch, rows):
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "WINDOW_ROWS", rows)
+    pieces = [b"a b c a b c a b", b"x", b"a b c"]
+    kinds = [("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int32()), ("stretch", pa.binary())]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2], k) for _, k in kinds[:3]] + [pa.array(pieces, pa.binary())], names=[n for n, _ in kinds])
+    slices = list(substrings._windows(iter([batch]), 3))
+    assert max(map(len, slices)) <= rows
+    got = pa.Table.from_batches(slices).to_pylist()
+    assert [(r["s1"], r["begin"]) for r in got] == [(0, i) for i in range(6)] + [(2, 0)]
+    same = {(r["w1"], r["w2"]) for r in got if (r["s1"], r["begin"]) in {(0, 0), (0, 3), (2, 0)}}
+    assert len(same) == 1 and len({(r["w1"], r["w2"]) for r in got}) == 3
+
+
 @pytest.mark.parametrize("common", [0, 2])
 def test_substrings_inside_and_between(spark, common, monkeypatch):
     rng = random.Random(9)
