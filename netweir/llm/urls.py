@@ -20,8 +20,8 @@ RULES = (
 )
 #: Trees are fitted on at most this many labelled URLs, drawn by hash.
 TRAINING_ROWS = 20_000
-#: A table of rules of at most this many rows is broadcast; a longer one is joined by shuffle.
-BROADCAST_RULES = 10_000
+#: A table of rules or of suffixes of at most this many rows is broadcast; a longer one is joined by shuffle.
+BROADCAST_ROWS = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,6 +33,11 @@ def parsed(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumns({"host": F.translate(host, UPPER, LOWER), "path": F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)})
 
 
+def beside(small: DataFrame) -> DataFrame:
+    """``small`` as the side of a join: broadcast after a count, never by a guess from the size of files."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small.hint("merge")
+
+
 def rules_table(spark, rules=RULES) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in rules], "rule_host string, rule_path string, rule_verdict string")
 
@@ -46,7 +51,7 @@ def ruled(pages: DataFrame, rules: DataFrame) -> DataFrame:
     places = pages.select("host", "path").distinct()
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    side = F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
+    side = beside(rules)
     tried = places.withColumn("_suffix", F.explode(suffixes)).join(side, (F.col("_suffix") == F.col("rule_host")) & F.col("path").startswith(F.col("rule_path")))
     rule = F.concat("rule_host", "rule_path")
     best = tried.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), rule.alias("rule"), F.col("rule_verdict"))).alias("_best"))
@@ -113,7 +118,7 @@ class UrlModel:
         out = urls.withColumns({**lexical(F.col("url"), F.col("host"), F.col("path")), **suffix_keys(F.col("host")), "_fold": fold("host") if learning else F.lit(-1)})
         for k, t in self.stats.items():
             rate, seen = f"f{k}_rate", f"f{k}_seen"
-            out = out.join(t.withColumnRenamed("fold", "_fold"), [k, "_fold"], "left")
+            out = out.join(beside(t).withColumnRenamed("fold", "_fold"), [k, "_fold"], "left")
             told = F.concat(F.lit("."), k).endswith(F.concat(F.lit("."), "rule_host")) if learning else F.lit(False)
             known = F.col(rate).isNotNull() & ~F.coalesce(told, F.lit(False))
             out = out.withColumns({rate: F.when(known, F.col(rate)).otherwise(self.prior), seen: F.when(known, F.col(seen)).otherwise(0.0)})
@@ -185,7 +190,7 @@ def held_out(labelled: DataFrame) -> tuple[float, float]:
 def labelled_by_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """url, host, path, blocked, rule_host of the rows of ``pages`` that a rule decides."""
     urls = parsed(pages.select("page_id", "url"))
-    return _labels(urls.join(ruled(urls, rules), ["host", "path"]))
+    return _labels(urls.join(ruled(urls, rules).hint("merge"), ["host", "path"]))
 
 
 def _labels(both: DataFrame) -> DataFrame:
@@ -201,7 +206,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """
     urls = durable(parsed(pages.select("page_id", "url")))
     fitted = durable(ruled(urls, rules))
-    both = urls.join(fitted, ["host", "path"], "left")
+    # places grow with the pages: never a broadcast, and a place with many pages is split where they are merged
+    both = urls.join(fitted.hint("merge"), ["host", "path"], "left")
     model = train(durable(_labels(both)))
     scored = model.blocked(both.select("page_id", "url", "host", "path", "rule", "rule_verdict"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))

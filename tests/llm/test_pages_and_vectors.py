@@ -191,6 +191,14 @@ def test_trees_learn(spark):
     assert np.mean([(r["p_block"] >= 0.5) == bool(r["blocked"]) for r in got]) > 0.97
 
 
+def test_sides_are_broadcast_after_a_count(spark, monkeypatch):
+    df = spark.range(20).withColumnRenamed("id", "k")
+    joined = lambda: df.join(urls.beside(df), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joined()
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 19)
+    assert "SortMergeJoin" in joined() and "Broadcast" not in joined()
+
+
 def test_suffixes_do_not_decide(spark):
     """Verdicts of pages without a rule vary within a suffix, and no suffix statistic carries the trees."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
