@@ -1,33 +1,36 @@
 """Rules as data: policies and signatures of masks, prefixes and ranges, matched by tuple-space search.
 
 A rule is filed under its most telling fields, at most KEYED of those it sets; rules filed under the same fields, with
-the same prefix lengths and masks, have one shape.  Packets meet the rules of a shape by one equi-join on exactly
-those fields, cut to those lengths; the rest of a rule (other fields, ranges) is checked on the few rules that share
-the key.  The first rule by priority wins over all shapes.
+the same prefix lengths, widths and masks, have one shape.  A packet has one key for each shape, and all of them meet
+the rules by one equi-join; the whole of a rule is checked on the few rules that share a key.  The first rule by
+priority wins over all shapes.  Rules are tried in bands by priority, each some eight times as large as all before it;
+only packets that no rule of a band matched go on to the next.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweir.sources.lineage import written
 
 #: A rule's fields, most telling first.  Columns that a table lacks match anything, as null does.
 PREFIXES = {"src": 32, "dst": 32}
-PORTS = ("dst_port", "src_port")
-RANGES = (*PORTS, "length", "ttl")
-ORDER = ("src", "dst", *PORTS, "flags", "proto")
+RANGES = ("dst_port", "src_port", "length", "ttl")
+BUCKETED = RANGES[:3]
+ORDER = ("src", "dst", *BUCKETED[:2], "flags", "length", "proto")
 KEYED = 2
-#: Ranges of ports that span at most SPAN buckets of 2^BUCKET ports can be keys.
-BUCKET, SPAN = 8, 4
+#: Ranges are keys by the finest buckets, of 2^level values, of which they span at most SPAN.
+LEVELS, SPAN = (4, 8, 12), 4
 TCP = 6
-#: A key's rules are tried in runs of this many, then twice as many, and so on.
-RUN = 8
-#: Shapes, each of which is a join.
-MOST_SHAPES = 128
+#: About how many rules the first band has, by how much bands grow, and the most parts that rules are cut into by priority.
+BAND, GROWTH, PARTS = 1024, 8, 1024
+#: Rows of a band that every task may hold; larger bands are joined like any table.
+HELD = 100_000
+#: Shapes, for each of which a packet has a key.
+MOST_SHAPES = 512
 
 
 def live(rules: DataFrame, now: Column) -> DataFrame:
@@ -49,7 +52,7 @@ def _bits(rules: DataFrame, field: str) -> Column:
 def _filed(rules: DataFrame) -> dict[str, tuple[Column, Column]]:
     """For each field that can be a key: whether a rule sets it, and the (shape, key) pairs that stand for its condition.
 
-    A shape is 1 for an equality, the number of bits of a prefix, or a mask of flags.
+    A shape is 1 for an equality, the number of bits of a prefix, the level of a range's buckets, or a mask of flags.
     """
     have = set(rules.columns)
     pair = lambda shape, key: F.struct(shape.cast("long").alias("shape"), key.cast("long").alias("key"))
@@ -58,11 +61,13 @@ def _filed(rules: DataFrame) -> dict[str, tuple[Column, Column]]:
         if f in have:
             n = _bits(rules, f)
             out[f] = F.col(f).isNotNull() & (n > 0), F.array(pair(n, F.floor(F.col(f) / F.pow(F.lit(2), bits - n))))
-    for f in PORTS:
+    for f in BUCKETED:
         if f"{f}_lo" in have:
-            lo, hi = (F.shiftright(F.col(f"{f}_{end}"), BUCKET) for end in ("lo", "hi"))
-            narrow = F.coalesce((hi >= lo) & (hi - lo < SPAN), F.lit(False))
-            out[f] = narrow, F.transform(F.sequence(lo, hi), lambda b: pair(F.lit(1), b))
+            lo, hi = (F.col(f"{f}_{end}").cast("long") for end in ("lo", "hi"))
+            spans = lambda n: F.shiftright(hi, n) - F.shiftright(lo, n)
+            level = F.coalesce(*[F.when((hi >= lo) & (spans(n) < SPAN), F.lit(n)) for n in LEVELS])
+            first, last = (F.call_function("shiftright", c, level) for c in (lo, hi))
+            out[f] = level.isNotNull(), F.transform(F.sequence(first, last), lambda b: pair(level, b))  # noqa: B023
     if {"flags_mask", "proto"} <= have:
         # to packets that are not TCP such a rule means the same without flags, so only rules for TCP are filed by them
         out["flags"] = F.coalesce((F.col("flags_mask") != 0) & (F.col("proto") == TCP), F.lit(False)), F.array(pair(F.col("flags_mask"), F.col("flags_value").bitwiseAND(F.col("flags_mask"))))
@@ -71,13 +76,17 @@ def _filed(rules: DataFrame) -> dict[str, tuple[Column, Column]]:
     return {f: out[f] for f in ORDER if f in out}
 
 
-def _key(field: str, shape: int) -> Column:
-    """What a packet has where a rule of this shape has its key."""
-    if field == "flags":
-        return F.when(F.col("proto") == TCP, F.col("flags").bitwiseAND(shape).cast("long"))
-    if field in PORTS:
-        return F.shiftright(F.col(field), BUCKET).cast("long")
-    return F.floor(F.col(field) / 2 ** (PREFIXES[field] - shape)).cast("long") if field in PREFIXES else F.col(field).cast("long")
+def _key(fields: list[str], shape: tuple[int, ...]) -> str:
+    """SQL of what a packet has where rules of this shape have their key: there are many shapes, so all are one expression."""
+    if not fields:
+        return "0L"
+    parts = []
+    for f, n in zip(fields, shape, strict=True):
+        if f == "flags" and n:
+            parts.append(f"CASE WHEN proto = {TCP} THEN CAST(flags AS BIGINT) & {n}L END")
+        elif n:
+            parts.append(f"shiftright(CAST({f} AS BIGINT), {n if f in BUCKETED else PREFIXES[f] - n if f in PREFIXES else 0})")
+    return f"xxhash64({', '.join([f'xxhash64({", ".join(f"{n}L" for n in shape)})', *parts])})"
 
 
 def _holds(rule: Column, names: set[str]) -> Column:
@@ -93,28 +102,18 @@ def _holds(rule: Column, names: set[str]) -> Column:
     # dearest last: a prefix is mostly part of the key already
     for f, bits in PREFIXES.items():
         if f in names:
-            size = F.pow(F.lit(2), bits - rule[f"{f}_len"])
-            tests.append(rule[f].isNull() | (F.floor(F.col(f) / size) == F.floor(rule[f] / size)))
+            cut = lambda c: F.call_function("shiftright", c.cast("long"), (bits - rule[f"{f}_len"]).cast("int"))  # noqa: B023, E731
+            tests.append(rule[f].isNull() | (cut(F.col(f)) == cut(rule[f])))
     return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
 
 
-def _first(names: set[str]) -> Column:
-    """The better of ``_best`` and the first of ``_rules`` that holds; null where there are no rules.
-
-    ``_rules`` is sorted.  A run is only tried while its first rule is better than what has been found so far, so a packet
-    costs some multiple of the rules before its match, and a step for each doubling of the rest.
-    """
-    rank = lambda r: F.struct(r["priority"].alias("priority"), r["rule_id"].alias("rule_id"))
-
-    def step(best: Column, i: Column) -> Column:
-        size = F.call_function("shiftleft", F.lit(RUN), i)
-        at = size - RUN
-        run = F.filter(F.slice("_rules", at + 1, size), lambda r: _holds(r, names))
-        hit = F.get(F.transform(run, lambda r: F.struct(r["priority"].alias("priority"), r["rule_id"].alias("rule_id"), r["action"].alias("action"))), F.lit(0))
-        return F.when(best.isNull() | (rank(F.get("_rules", at)) < rank(best)), F.least(best, hit)).otherwise(best)
-
-    runs = F.ceil(F.log2(F.size("_rules") / RUN + 1)).cast("int")
-    return F.when(F.size("_rules") > 0, F.aggregate(F.sequence(F.lit(0), runs - 1), F.col("_best"), step))
+def _ranked(rules: DataFrame) -> DataFrame:
+    """``rules`` with _rank, their order by (priority, rule_id), and _band, which grows with it; written once."""
+    parts = min(max(-(-rules.count() // BAND), 1), PARTS)
+    dealt = rules.repartitionByRange(parts, "priority", "rule_id").withColumn("_part", F.spark_partition_id())
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("priority", "rule_id", "action"))
+    band = F.when(F.col("_part") > 0, F.floor(F.log(float(GROWTH), "_part")) + 1).otherwise(0).cast("int")
+    return written(written(dealt).withColumns({"_rank": F.col("_part") * F.lit(1 << 32) + nth, "_band": band}).drop("_part"))
 
 
 def first_match(packets: DataFrame, rules: DataFrame, default: str = "ALLOW") -> DataFrame:
@@ -122,38 +121,53 @@ def first_match(packets: DataFrame, rules: DataFrame, default: str = "ALLOW") ->
 
     ``rules`` has rule_id, priority, action and any of: proto; src, dst with src_len, dst_len (prefixes of addresses);
     <field>_lo and <field>_hi of dst_port, src_port, length and ttl; flags_mask and flags_value (for TCP alone).
-    A field that is null matches anything.  While the plan is built the rules by key are written as a table and their
-    shapes listed; Spark holds a shape's rules in every task or joins them like any table, by their size.
+    A field that is null matches anything.  While the plan is built, packets and rules by key are written as tables and
+    bands are tried in turn, until all packets are matched or no band is left.
     """
-    filed = _filed(rules)
+    spark = packets.sparkSession
+    ranked = _ranked(rules.withColumns({"priority": F.col("priority").cast("long"), "rule_id": F.col("rule_id").cast("long"), **{f"{f}_len": _bits(rules, f) for f in PREFIXES if f in rules.columns}}))
+    filed = _filed(ranked)
     fields = list(filed)
     set_before = [reduce(lambda a, b: a + b, [filed[g][0].cast("int") for g in fields[:i]], F.lit(0)) for i in range(len(fields))]
     nothing = F.array(F.struct(F.lit(0).cast("long").alias("shape"), F.lit(0).cast("long").alias("key")))
-    table = rules.withColumns({f"{f}_len": _bits(rules, f) for f in PREFIXES if f in rules.columns})
-    rest = [c for c in [*PREFIXES, *[f"{f}_len" for f in PREFIXES], *[f"{f}_{end}" for f in RANGES for end in ("lo", "hi")], "flags_mask", "flags_value", "proto"] if c in table.columns]
-    rule = F.struct(F.col("priority").cast("long").alias("priority"), F.col("rule_id").cast("long").alias("rule_id"), "action", *[F.col(c).cast("long").alias(c) for c in rest])
-    table = table.select(rule.alias("_rule"), *[F.when(filed[f][0] & (before < KEYED), filed[f][1]).otherwise(nothing).alias(f"_{f}") for f, before in zip(fields, set_before, strict=True)])
+    rest = [c for c in [*PREFIXES, *[f"{f}_len" for f in PREFIXES], *[f"{f}_{end}" for f in RANGES for end in ("lo", "hi")], "flags_mask", "flags_value", "proto"] if c in ranked.columns]
+    rule = F.struct(F.lit(True).alias("is_rule"), *[F.col(c).cast("long").alias(c) for c in rest])
+    # of rules that ask for the same, the first is the only one that can win
+    table = ranked.select("_rank", "_band", rule.alias("_rule"), *[F.when(filed[f][0] & (before < KEYED), filed[f][1]).otherwise(nothing).alias(f"_{f}") for f, before in zip(fields, set_before, strict=True)])
+    table = table.groupBy("_rule", *[f"_{f}" for f in fields]).agg(F.min("_rank").alias("_rank"), F.min("_band").alias("_band"))
     for f in fields:
         table = table.withColumn(f"_{f}", F.explode(f"_{f}"))
-    keyed = table.groupBy(*[F.col(f"_{f}.{part}").alias(f"_{f}_{part}") for f in fields for part in ("shape", "key")]).agg(F.array_sort(F.collect_set("_rule")).alias("_rules"))
-    # read once for each shape
-    keyed = written(keyed)
-    shapes = sorted(tuple(r) for r in keyed.select(*[f"_{f}_shape" for f in fields]).distinct().limit(MOST_SHAPES + 1).collect())
-    if len(shapes) > MOST_SHAPES:
+    # a key is a hash of its parts; who shares one by chance is found out when the whole rule is checked
+    parts = F.filter(F.array(*[F.col(f"_{f}") for f in fields]), lambda x: x["shape"] != 0) if fields else None
+    whole = F.xxhash64(F.xxhash64(*[F.col(f"_{f}.shape") for f in fields]), *[F.get(parts, F.lit(i))["key"] for i in range(KEYED)]) if fields else F.lit(0).cast("long")
+    keyed = written(table.select("_rank", "_band", "_rule", whole.alias("_key"), *[F.col(f"_{f}.shape").alias(f"_{f}_shape") for f in fields]))
+    shapes: dict[int, set[tuple]] = {}
+    rows: dict[int, int] = {}
+    for *shape, band, n in keyed.groupBy(*[f"_{f}_shape" for f in fields], "_band").count().limit(MOST_SHAPES * 32).collect():
+        shapes.setdefault(band, set()).add(tuple(shape))
+        rows[band] = rows.get(band, 0) + n
+    if len(set().union(*shapes.values())) > MOST_SHAPES:
         raise ValueError(f"rules have more than {MOST_SHAPES} shapes")
+
+    # inputs of few files are few tasks
+    all_ = written(packets.repartition(4 * spark.sparkContext.defaultParallelism).withColumn("_at", F.monotonically_increasing_id()))
+    asked = [c for c in (*PREFIXES, *RANGES, "flags", "proto") if c in packets.columns]
+    left = all_.select("_at", *asked)
+    found = []
+    for band in sorted(rows):
+        if found:
+            left = written(left.join(found[-1], "_at", "left_anti"))
+            if left.isEmpty():
+                break
+        side = keyed.filter(F.col("_band") == band).select("_key", "_rule", "_rank")
+        keys = left.withColumn("_key", F.expr(f"explode(array({', '.join(_key(fields, s) for s in sorted(shapes[band]))}))"))
+        met = keys.join(F.broadcast(side) if rows[band] <= HELD else side, "_key").filter(_holds(F.col("_rule"), set(rest)))
+        found.append(written(met.groupBy("_at").agg(F.min("_rank").alias("_rank"))))
     own = [F.col(c) for c in packets.columns]
-    # the same for all shapes
-    best = F.coalesce(_first(set(rest)), "_best").alias("_best")
-    out = packets.withColumn("_best", F.lit(None).cast("struct<priority:long,rule_id:long,action:string>"))
-    # least telling first: the many rules that share a key soon give a good match, and runs beyond it are never tried
-    for shape in shapes:
-        parts = keyed.filter(" AND ".join(f"_{f}_shape = {n}" for f, n in zip(fields, shape, strict=True)) or "true")
-        used = [(f, n) for f, n in zip(fields, shape, strict=True) if n]
-        if used:
-            side = parts.select(*[f"_{f}_key" for f, _ in used], "_rules")
-            out = out.join(side, reduce(lambda a, b: a & b, [_key(f, n) == F.col(f"_{f}_key") for f, n in used]), "left")
-        else:
-            # rules that set nothing but wide ranges have one key: their array is one value for all packets
-            out = out.withColumn("_rules", parts.select("_rules").scalar())
-        out = out.select(*own, best)
-    return out.select(*own, F.col("_best.rule_id").alias("rule_id"), F.coalesce("_best.action", F.lit(default)).alias("action"))
+    if not found:
+        return all_.select(*own, F.lit(None).cast("long").alias("rule_id"), F.lit(default).alias("action"))
+    best = reduce(DataFrame.unionByName, found)
+    # few of many rules win, and some win most packets
+    winners = written(best.select("_rank").distinct().join(ranked.select("_rank", "rule_id", "action"), "_rank"))
+    out = all_.drop("rule_id", "action").join(best.join(winners, "_rank"), "_at", "left")
+    return out.select(*own, "rule_id", F.coalesce("action", F.lit(default)).alias("action"))

@@ -155,3 +155,23 @@ def test_attacks_close_by_timer_and_survive_restarts(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     assert got == sorted(map(tuple, lifecycle.attacks_of(df).collect()))
     assert (77, 30_000, 630_000, 5.0, 1, "stale") in got and {r[-1] for r in got} == {"stale", "ended"}
+
+
+def test_bands(spark, monkeypatch):
+    """No table holds a key's rules in a row, and packets that a band of rules matched are not tried again."""
+    seen, real = [], rules.written
+    monkeypatch.setattr(rules, "written", lambda df: seen.append(real(df)) or seen[-1])
+    monkeypatch.setattr(rules, "BAND", 4, raising=False)
+    monkeypatch.setattr(rules, "HELD", 40, raising=False)
+    rng = random.Random(5)
+    packets = [(i, rng.choice([1, 6, 17]), i % 7, 5, i * 50, i % 90, i, 1, 2) for i in range(1200)]
+    table = []
+    for i in range(300):
+        a, b = rng.randrange(60000), rng.randrange(1200)
+        table.append((i, i // 3, "DROP", rng.choice([None, 6]), None, None, None, None, a, a + rng.choice([3, 900, 9000, 30000]), None, None, *((b, b + 40) if i % 2 else (None, None)), None, None, None, None))
+    out = rules.first_match(spark.createDataFrame(packets, PACKET), spark.createDataFrame(table, RULE)).collect()
+    want = {p[0]: min(((r[1], r[0]) for r in table if fits(r, p)), default=(None, None))[1] for p in packets}
+    assert {r["event_id"]: r["rule_id"] for r in out} == want and None in want.values()
+    assert not any(f.dataType.typeName() == "array" for df in seen for f in df.schema)
+    left = [df.count() for df in seen if "_at" in df.columns and "_rank" not in df.columns]
+    assert left[0] == 1200 and len(left) > 2 and left == sorted(left, reverse=True) and left[-1] < 600
