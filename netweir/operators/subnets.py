@@ -29,11 +29,18 @@ def parted(windows: DataFrame, subnet: str, window: str, attack: str) -> DataFra
 
 
 def _deviation(rows: DataFrame, keys: list[str], values: tuple[str, ...]) -> DataFrame:
-    """z_<value> against the mean and deviation of the key's fit rows, the deviation at least 1; null without any."""
-    fit = lambda c: F.when(F.col("part") == "fit", F.col(c).cast("double"))
-    stats = rows.groupBy(*keys).agg(*[f(fit(c)).alias(f"_{n}_{c}") for c in values for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    z = lambda c: (F.col(c) - F.col(f"_m_{c}")) / F.greatest(F.col(f"_s_{c}"), F.lit(1.0))
-    return rows.join(stats, keys).select(*rows.columns, *[z(c).alias(f"z_{c}") for c in values])
+    """z_<value> (of whole numbers) against the mean and deviation of the key's fit rows, the deviation at least 1; null without any.
+
+    Sums are whole numbers too, so a score that is just at a threshold does not depend on the order of rows.
+    """
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    fit = lambda x: F.sum(F.when(F.col("part") == "fit", x))
+    stats = rows.groupBy(*keys).agg(F.count_if(F.col("part") == "fit").alias("_n"), *[x for c in values for x in (fit(whole(c)).alias(f"_x_{c}"), fit(whole(c) * whole(c)).alias(f"_xx_{c}"))])
+    n = F.col("_n").cast("decimal(10,0)")
+    # n times the deviation; decimals are added up in full
+    spread = lambda c: F.sqrt((n * F.col(f"_xx_{c}") - F.col(f"_x_{c}") * F.col(f"_x_{c}")).cast("double"))
+    z = lambda c: (n * whole(c) - F.col(f"_x_{c}")).cast("double") / F.greatest(spread(c), n.cast("double"))
+    return rows.join(stats, keys).select(*rows.columns, *[F.when(F.col("_n") > 0, z(c)).alias(f"z_{c}") for c in values])
 
 
 def scores(wide: DataFrame, hosts: DataFrame, subnet: str, host: str, window: str) -> DataFrame:

@@ -175,3 +175,17 @@ def test_bands(spark, monkeypatch):
     assert not any(f.dataType.typeName() == "array" for df in seen for f in df.schema)
     left = [df.count() for df in seen if "_at" in df.columns and "_rank" not in df.columns]
     assert left[0] == 1200 and len(left) > 2 and left == sorted(left, reverse=True) and left[-1] < 600
+
+
+def test_scores_at_a_threshold(spark):
+    """A score of exactly 4.5: thirty windows of mean 72 and deviation 24, then one of 180, in whichever order they come."""
+    from netweir.operators import subnets
+
+    rng, rows = random.Random(3), []
+    for subnet in range(60):
+        xs = [60] * 24 + [120] * 6
+        rng.shuffle(xs)
+        rows += [(subnet, subnet, i, n, n * 7, n * 11, "fit") for i, n in enumerate(xs)] + [(subnet, subnet, 99, 180, 180 * 7, 180 * 11, "test")]
+    wide = spark.createDataFrame([*rows, (99, 99, 99, 1, 1, 1, "test")], "subnet long, host long, win long, packets long, bytes long, sources long, part string")
+    got = {r["subnet"]: r["score"] for r in subnets.scores(wide, wide.select("subnet", "host", "win", "packets"), "subnet", "host", "win").filter("part = 'test'").collect()}
+    assert got.pop(99) is None and set(got.values()) == {4.5}
