@@ -1,7 +1,9 @@
-"""Near-duplicate texts by the exact similarity of their shingle sets.
+"""Near-duplicate texts: SimHash finds them, the exact similarity of their shingle sets decides.
 
-Two sets of a similarity of 0.8 share a shingle among the first fifth of each, in any common order, so an index
-of those prefixes loses no pair.  Rare shingles come first; what a sample says is common only decides the order.
+Fingerprints within SimHash's distance are candidates first, and those whose sets are similar are groups.  What is similar
+and further apart is found among the texts of unlike groups: two sets of a similarity of 0.8 share a shingle among the first
+fifth of each, in any common order, so an index of those prefixes loses no pair.  Rare shingles come first; what a sample
+says is common only decides the order.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import durable, small, string_bytes
 from .components import star_components
 from .simhash import shingle_hashes
@@ -33,22 +36,6 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def with_nodes(docs: DataFrame, keep: list[str], text: str = "text", texts: bool = False) -> DataFrame:
-    """``keep``, ``node`` (128 bits of the text's words) and, if asked, the words."""
-    kinds = docs.select(*keep).schema.add("node", "binary")
-    names = [*keep, "node", *(["words"] if texts else [])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small(batches):
-            data, off = string_bytes(b.column(len(keep)))
-            raw = data.tobytes()
-            own = [normal(raw[s:e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            cols = [pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], *cols, *([pa.array(own, pa.binary())] if texts else [])], names=names)
-
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, kinds.add("words", "binary") if texts else kinds)
-
-
 def parities(h: np.ndarray) -> bytes:
     """A bit for each of 2**k buckets of the hashes, k the least with twice as many as there are: whether it holds an odd number.
 
@@ -69,16 +56,43 @@ def surely_apart(x: bytes, y: bytes, a: int, b: int) -> bool:
     return (PART + WHOLE) * int(np.bitwise_count(u ^ v).sum()) > (WHOLE - PART) * (a + b)
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """node, shingles (sorted hashes, 8 bytes each), parities, number of every distinct text, written once as the numbers stand for the texts."""
-    words = with_nodes(docs, [], texts=True).groupBy("node").agg(F.first("words").alias("words"))
+def shingle_sets(docs: DataFrame, k: int, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep``, node (128 bits of the text's words), fingerprint, shingles (sorted hashes, 8 bytes each), parities, number of every row.
+
+    Written once, as the numbers stand for the rows; texts do not travel.
+    """
+    kinds = docs.select(*keep).schema.add("node", "binary").add("fingerprint", "binary").add("shingles", "binary").add("parities", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
-            own = [np.unique(shingle_hashes(x, k)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h in own], pa.binary()), pa.array([parities(h) for h in own], pa.binary())], names=["node", "shingles", "parities"])
+            data, off = string_bytes(b.column(len(keep)))
+            raw = data.tobytes()
+            cols: list[list[bytes]] = [[], [], [], []]
+            for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                words = normal(raw[s:e])
+                h = shingle_hashes(words, k)
+                own = np.unique(h)
+                for col, x in zip(cols, (xxhash.xxh3_128_digest(words), simhash.majority(h).to_bytes(8, "big"), own.tobytes(), parities(own)), strict=True):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], *[pa.array(x, pa.binary()) for x in cols]], names=kinds.names)
+
+    return durable(docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, kinds).withColumn("number", F.monotonically_increasing_id()))
+
 
-    return durable(words.mapInArrow(run, "node binary, shingles binary, parities binary").withColumn("number", F.monotonically_increasing_id()))
+def distinct_texts(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, number, fingerprint of every distinct text, the least of its rows' numbers; number of every other row)."""
+    texts = durable(sets.groupBy("node").agg(F.min("number").alias("number"), F.min("fingerprint").alias("fingerprint")))
+    copies = sets.select("node", "number").join(texts.select("node", F.col("number").alias("_first")), "node").filter("number != _first").select("number")
+    return texts, durable(copies)
+
+
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """a, b: texts (number, fingerprint) with one fingerprint, and first texts of fingerprints that SimHash links."""
+    heads = durable(texts.groupBy("fingerprint").agg(F.min("number").alias("head")))
+    same = texts.join(heads, "fingerprint").filter("number != head").select(F.col("head").alias("a"), F.col("number").alias("b"))
+    for_side = lambda side: heads.withColumnsRenamed({"fingerprint": side, "head": f"_{side}"})
+    linked = simhash.links(texts).join(for_side("a"), "a").join(for_side("b"), "b")
+    return same.unionByName(linked.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
 
 
 def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +110,8 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingle[order], known["count"].to_numpy(np.int64)[order]
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """shingle, number, size, place: the first fifth of every set and one more, rare shingles first."""
+def prefixes(sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """shingle, number, size, place: the first fifth of every set and one more, rare shingles first; none of ``copies``."""
     sent = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +133,9 @@ def prefixes(sets: DataFrame) -> DataFrame:
                 places += range(len(first))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), b.column(2).take(pa.array(np.concatenate(rows))), pa.array(sizes, pa.int32()), pa.array(places, pa.int32())], names=["shingle", "number", "size", "place"])
 
-    return sets.select("node", "shingles", "number").mapInArrow(run, "shingle long, number long, size int, place int")
+    rows = sets.select("node", "shingles", "number").mapInArrow(run, "shingle long, number long, size int, place int")
+    few = copies.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(copies) if few else copies, "number", "left_anti").select("shingle", "number", "size", "place")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,25 +190,33 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _filtered(_beside(maybe, sets, "shingles"), alike)
 
 
-def links(sets: DataFrame) -> DataFrame:
+def _ungrouped(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` of shingles that texts of several groups have, with the ``group`` that the pairs ``found`` put a text in."""
+    roots = star_components(found).withColumnsRenamed({"node": "number", "root": "group"})
+    grouped = rows.join(roots, "number", "left").withColumn("group", F.coalesce("group", "number"))
+    several = grouped.groupBy("shingle").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi")).filter("_lo < _hi").select("shingle")
+    return durable(grouped.join(several, "shingle"))
+
+
+def links(sets: DataFrame, texts: DataFrame, copies: DataFrame) -> DataFrame:
     """a, b: verified pairs that connect exactly what all pairs of the similarity connect.
 
-    A shingle's texts are first compared with one of them for each class of size; then every pair that may be
-    similar and that those links leave unconnected is compared, so a group of n near copies makes few of its n² pairs.
+    SimHash's candidates come first.  Then a shingle's texts are compared with one of them for each class of size; then every
+    pair that may be similar and that those links leave unconnected is compared, so a group of n near copies makes few of its
+    n² pairs.
     """
-    shared = durable(prefixes(sets).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_repeated, "shingle long, number long, size int, place int"))
+    found = durable(verified(fingerprint_pairs(texts), sets))
+    shared = durable(prefixes(sets, copies).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_repeated, "shingle long, number long, size int, place int"))
+    rows = _ungrouped(shared, found)
     level = F.floor(F.log("size") / F.log(F.lit(WHOLE / PART)))
     near = lambda a, b: F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
-    leveled = shared.withColumn("level", level)
-    heads = leveled.groupBy("shingle", "level").agg(F.min(F.struct(F.xxhash64("number").alias("h"), "number", "size")).alias("head"))
-    stars = leveled.join(heads, ["shingle", "level"]).filter((F.col("number") != F.col("head.number")) & near(F.col("size"), F.col("head.size")))
+    leveled = rows.withColumn("level", level)
+    heads = leveled.groupBy("shingle", "level").agg(F.min(F.struct(F.xxhash64("number").alias("h"), "number", "size", "group")).alias("head"))
+    stars = leveled.join(heads, ["shingle", "level"]).filter((F.col("group") != F.col("head.group")) & near(F.col("size"), F.col("head.size")))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    found = durable(verified(stars.select(*pair(F.col("number"), F.col("head.number"))).distinct(), sets))
-    roots = star_components(found).withColumnsRenamed({"node": "number", "root": "group"})
-    grouped = shared.join(roots, "number", "left").withColumn("group", F.coalesce("group", "number"))
-    several = grouped.groupBy("shingle").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi")).filter("_lo < _hi").select("shingle")
-    open_rows = durable(grouped.join(several, "shingle"))
-    return found.unionByName(durable(verified(open_pairs(open_rows, sets).distinct(), sets)))
+    found = found.unionByName(durable(verified(stars.select(*pair(F.col("number"), F.col("head.number"))).distinct(), sets)))
+    rest = _ungrouped(rows.drop("group"), found)
+    return found.unionByName(durable(verified(open_pairs(rest, sets).distinct(), sets)))
 
 
 def open_pairs(rows: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -262,8 +286,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
-def near_nodes(docs: DataFrame, k: int) -> DataFrame:
-    """node, root (a number) for every text that is similar to another."""
-    sets = shingle_sets(docs, k)
-    roots = star_components(links(sets)).withColumnRenamed("node", "number")
-    return sets.select("node", "number").join(roots, "number").select("node", "root")
+def near_nodes(sets: DataFrame) -> DataFrame:
+    """node, root (a number) for every text of ``sets`` that is similar to another."""
+    texts, copies = distinct_texts(sets)
+    roots = star_components(links(sets, texts, copies)).withColumnRenamed("node", "number")
+    return texts.select("node", "number").join(roots, "number").select("node", "root")

@@ -229,15 +229,17 @@ def groups_digest(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, ident: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest id, then the smallest hash.
 
-    Two texts are near duplicates if their sets of shingles of five words have a similarity of at least 0.8, which is
-    computed exactly.  Texts without a word are all alike and leave one row.  A row travels as one value, so columns of
-    any name are kept.
+    Two texts are near duplicates if their sets of shingles of five words have a similarity of at least 0.8: fingerprints
+    that SimHash links are looked at first, an exact check of the sets decides, and the same check finds what lies further
+    apart.  Texts without a word are all alike and leave one row.  A row travels as one value, so columns of any name are kept.
     """
-    from .shingles import near_nodes, with_nodes
+    from .shingles import near_nodes, shingle_sets
 
-    marked = durable(with_nodes(docs.select(ident, "text").withColumn("_row", F.xxhash64(ident, "text")), [ident, "_row"]))
-    named = marked.join(near_nodes(docs, k), "node", "left").withColumn("_alone", F.when(F.col("root").isNull(), F.col("node")))
+    sets = shingle_sets(docs.select(ident, "text").withColumn("_row", F.xxhash64(ident, "text")), k, [ident, "_row"])
+    named = sets.select(ident, "_row", "node").join(near_nodes(sets), "node", "left").withColumn("_alone", F.when(F.col("root").isNull(), F.col("node")))
     chosen = named.groupBy("root", "_alone").agg(F.min(F.struct(F.col(ident).isNull().alias("_null"), F.col(ident).alias("_id"), F.col("_row"))).alias("_best")).select("_best._id", "_best._row")
     keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(ident).alias("_key"), F.xxhash64(ident, "text").alias("_row"))
-    kept = keyed.alias("d").join(chosen.hint("shuffle_hash").alias("c"), (F.col("d._row") == F.col("c._row")) & F.col("d._key").eqNullSafe(F.col("c._id")), "left_semi")
+    # one row key alone deals the rows, so that texts travel once for both steps; ids are compared where row keys are equal
+    alike = (F.col("d._key") >= F.col("c._id")) & (F.col("d._key") <= F.col("c._id")) | F.col("d._key").isNull() & F.col("c._id").isNull()
+    kept = keyed.alias("d").join(chosen.hint("shuffle_hash").alias("c"), (F.col("d._row") == F.col("c._row")) & alike, "left_semi")
     return kept.dropDuplicates(["_key", "_row"]).select("_doc.*")

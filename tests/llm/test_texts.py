@@ -146,6 +146,28 @@ def test_one_of_each_is_exact(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group))
 
 
+def test_one_of_each_by_fingerprints(spark, monkeypatch):
+    """Without the index of shingles, SimHash alone finds texts of close fingerprints; unlike sets stay apart all the same."""
+    from netweir.llm import shingles
+
+    own, asked = shingles.prefixes, []
+    monkeypatch.setattr(shingles, "prefixes", lambda *a: own(*a).limit(0))
+    monkeypatch.setattr(shingles, "fingerprint_pairs", lambda texts, pairs=shingles.fingerprint_pairs: asked.append(p := pairs(texts)) or p)
+    rng = random.Random(17)
+    rows = [" ".join(f"v{rng.randrange(9000)}" for _ in range(300)) for _ in range(12)]
+    rows += [r + " one more" for r in rows[:6]] + rows[6:9] + ["same start " * 60 + " ".join(f"t{i}_{j}" for j in range(6)) for i in range(4)]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    close = {i for i in range(12, 18) if (simhash.majority(simhash.shingle_hashes(rows[i].encode(), 5)) ^ simhash.majority(simhash.shingle_hashes(rows[i - 12].encode(), 5))).bit_count() <= 4}
+    assert len(close) > 2 and asked[0].count() >= len(close)
+    assert kept == set(range(len(rows))) - close - {18, 19, 20}
+
+
+def test_one_of_each_deals_texts_once(made):
+    """The rows that stay are made unique where the join with the chosen ones left them."""
+    plan = simhash.one_of_each(made)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_row" in plan and "hashpartitioning(_key" not in plan
+
+
 def test_parities_exclude_no_similar_pair():
     from netweir.llm import shingles
 
