@@ -33,9 +33,9 @@ FRAMES_SQL = f"""WITH {PACKETS} SELECT CAST(event_id AS DOUBLE) AS ts, event_id
 
 
 def recaptured(spark, sf_dir, form: str):
-    """The packets' frames written to two capture files, read again in ranges of 64 KB."""
+    """The packets' frames written to capture files, as many as there are packets for, read again in ranges of 64 KB or more."""
     rows = frames(spark, sf_dir).select(F.col("event_id").cast("double").alias("ts"), F.col("length").cast("int").alias("length"), F.unhex("frame").alias("frame"))
-    captures.write_captures(rows.repartitionByRange(2, "ts").sortWithinPartitions("ts"), path := folder(spark), form)
+    captures.write_captures(rows.repartitionByRange("ts").sortWithinPartitions("ts"), path := folder(spark), form)
     read, six = captures.captures(spark, path, 1 << 16), F.contains("src", F.lit(":"))
     return read.select("ts", six.alias("six"), "src_port", "dst_port", "proto", "length", "flags", "ttl", "fragment", "icmp_type", F.when(~six, F.col("src")).alias("src"))
 

@@ -22,6 +22,8 @@ from .readers import PACKET, decoded
 
 #: Bytes of a range; bytes read at a time; the longest record; headers that must chain for a place to be a record's.
 RANGE, CHUNK, LONGEST, CHAIN = 64 << 20, 4 << 20, 1 << 18, 4
+#: Ranges smaller than ``RANGE`` that a read is cut into; a task for each has its price, so of a larger read they are larger.
+MOST = 256
 CLASSIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e-6), b"\xa1\xb2\xc3\xd4": (">", 1e-6), b"\x4d\x3c\xb2\xa1": ("<", 1e-9), b"\xa1\xb2\x3c\x4d": (">", 1e-9)}
 #: Block types and the byte-order mark of the next-generation format.
 SECTION, INTERFACE, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 3, 6
@@ -48,15 +50,15 @@ def is_ip(frame: bytes) -> bool:
 class Window:
     """A file's bytes by absolute place, a chunk at a time."""
 
-    def __init__(self, file, size: int):
-        self.file, self.size, self.at, self.held = file, size, 0, b""
+    def __init__(self, file, size: int, chunk: int = CHUNK):
+        self.file, self.size, self.chunk, self.at, self.held = file, size, chunk, 0, b""
 
     def get(self, at: int, n: int) -> bytes:
         """Up to ``n`` bytes at ``at``; fewer at the end of the file."""
         n = max(0, min(n, self.size - at))
         if at < self.at or at + n > self.at + len(self.held):
             self.file.seek(at)
-            self.at, self.held = at, self.file.read(max(n, CHUNK))
+            self.at, self.held = at, self.file.read(max(n, self.chunk))
         return self.held[at - self.at : at - self.at + n]
 
 
@@ -208,7 +210,7 @@ class CaptureReader(DataSourceReader):
         self.paths, self.size = paths, size
 
     def partitions(self) -> list[Range]:
-        out = []
+        found = []
         for path in self.paths:
             fs, inner = opened(path)
             info = fs.get_file_info(inner)
@@ -216,7 +218,9 @@ class CaptureReader(DataSourceReader):
             for f in files:
                 if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")):
                     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
-                    out += [Range(prefix + f.path, b, min(b + self.size, f.size), f.size) for b in range(0, f.size, self.size)]
+                    found.append((prefix + f.path, f.size))
+        step = max(self.size, min(RANGE, sum(size for _, size in found) // MOST))
+        out = [Range(path, b, min(b + step, size), size) for path, size in found for b in range(0, size, step)]
         return out or [Range("", 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[tuple]:
@@ -224,7 +228,7 @@ class CaptureReader(DataSourceReader):
             return
         fs, inner = opened(part.path)
         with fs.open_input_file(inner) as file:
-            for ts, size, frame in records(Window(file, part.size), part.begin, part.end):
+            for ts, size, frame in records(Window(file, part.size, min(CHUNK, part.end - part.begin)), part.begin, part.end):
                 if (packet := decoded(frame)) is not None:
                     yield (ts, *packet[:5], size, *packet[5:])
 
@@ -273,7 +277,7 @@ class CaptureWriter(DataSourceWriter):
 
 
 class CaptureSource(DataSource):
-    """``spark.read.format("capture").load(path)``; option ``rangeBytes`` sets the bytes of a task's range.
+    """``spark.read.format("capture").load(path)``; option ``rangeBytes`` sets the least bytes of a task's range.
 
     ``rows.write.format("capture").mode("append").save(path)`` writes frames; option ``form`` is classic or blocks.
     """
@@ -295,7 +299,7 @@ class CaptureSource(DataSource):
 
 
 def captures(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
-    """Packets of a capture file, or of all those in a folder, in tasks of ``range_bytes``.
+    """Packets of a capture file, or of all those in a folder, in tasks of ``range_bytes``, or of more where that makes too many.
 
     Files of other kinds hold none.  A path is local or a URI of a store that the executors reach by themselves; of
     any other store, ``packets_of`` reads what Spark's binary files give it, a whole file in each row.

@@ -167,6 +167,18 @@ def test_one_capture_in_many_tasks(spark, tmp_path):
         assert sorted(r["ts"] for r in read.collect()) == [float(i) for i in range(500)]
 
 
+def test_ranges_of_a_large_capture(tmp_path):
+    """Ranges grow with the files, so that their tasks do not; a range reads little beyond itself."""
+    for i in range(2):
+        with open(tmp_path / f"{i}.pcapng", "wb") as f:
+            f.truncate(200 << 20)
+    parts = captures.CaptureReader([str(tmp_path)], 1 << 16).partitions()
+    assert len(parts) <= 2 * captures.MOST and sum(p.end - p.begin for p in parts) == 400 << 20
+    raw = __import__("io").BytesIO(bytes(1 << 20))
+    captures.Window(raw, 1 << 20, 4096).get(0, 16)
+    assert raw.tell() == 4096
+
+
 def test_statements_load(spark):
     """What is exported as SQL is what a database holds after loading it."""
     import duckdb
