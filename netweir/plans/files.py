@@ -50,12 +50,25 @@ def capture_block_scan(spark, sf_dir):
     return recaptured(spark, sf_dir, "blocks")
 
 
+def filled(at: dict, width: int):
+    """A line of ``width`` fields, those of ``at`` by position and zeros; zeros in a row are one literal."""
+    pieces, zeros = [], []
+    for k in range(width):
+        if k not in at:
+            zeros.append("0")
+            continue
+        pieces += [F.lit(",".join(zeros))] if zeros else []
+        pieces.append(F.coalesce(at[k].cast("string"), F.lit("")))
+        zeros = []
+    return F.concat_ws(",", *pieces, *([F.lit(",".join(zeros))] if zeros else []))
+
+
 @query(f"WITH {FLOWS} SELECT CAST(ts AS TIMESTAMP) AS ts, '10.0.' || (src % 250) || '.1' AS src, CAST(packets AS BIGINT) AS in_packets, CASE proto WHEN 'A' THEN 6 WHEN 'N' THEN 17 ELSE 1 END AS proto_number, CAST(state = 'O' AS INTEGER) AS is_attack, count(*) AS n FROM flows GROUP BY ALL")
 def flow_scan(spark, sf_dir):
     """Flow records written in the positional format, with a header and short lines, and read again."""
-    f, at = tables.flows(spark, sf_dir), {k: F.lit("0") for k in range(readers.FLOW_WIDTH)}
-    at |= {1: F.year("ts"), 2: F.month("ts"), 3: F.dayofmonth("ts"), 14: F.concat(F.lit("10.0."), (F.col("src") % 250).cast("string"), F.lit(".1")), 15: F.lit("10.1.1.1"), 18: F.when(F.col("proto") == "A", "TCP").when(F.col("proto") == "N", "udp").otherwise("ICMP"), 27: F.col("packets").cast("long"), 84: (F.col("state") == "O").cast("int")}
-    lines = f.select(F.concat_ws(",", *[at[k].cast("string") for k in range(readers.FLOW_WIDTH)]).alias("value"))
+    f = tables.flows(spark, sf_dir)
+    at = {1: F.year("ts"), 2: F.month("ts"), 3: F.dayofmonth("ts"), 14: F.concat(F.lit("10.0."), (F.col("src") % 250).cast("string"), F.lit(".1")), 15: F.lit("10.1.1.1"), 18: F.when(F.col("proto") == "A", "TCP").when(F.col("proto") == "N", "udp").otherwise("ICMP"), 27: F.col("packets").cast("long"), 84: (F.col("state") == "O").cast("int")}
+    lines = f.select(filled(at, readers.FLOW_WIDTH).alias("value"))
     extra = spark.createDataFrame([("id," + ",".join(f"c{i}" for i in range(84)),), ("1,2,3",)], "value string")
     lines.unionByName(extra).write.text(path := folder(spark))
     r = readers.netflow(spark, path)

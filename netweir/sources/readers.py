@@ -52,10 +52,14 @@ def decoded(frame: bytes) -> tuple | None:
 
 def netflow(spark: SparkSession, path: str) -> DataFrame:
     """Flow records of positional CSV files; header lines and rows of fewer columns are dropped."""
-    parts = F.split("value", ",", -1)
+    # fields are a generator's output: every expression below would split the line anew, were they the split itself
+    parts = F.col("parts")
     used = [F.get(parts, F.lit(i)).try_cast(c.split()[1]).alias(c.split()[0]) for i, c in FLOW_COLUMNS.items()]
     stamp = F.concat_ws(" ", F.concat_ws("-", F.get(parts, F.lit(1)), *[F.lpad(F.get(parts, F.lit(i)), 2, "0") for i in (2, 3)]), F.concat_ws(":", *[F.lpad(F.get(parts, F.lit(i)), 2, "0") for i in (4, 5, 6)]))
-    rows = spark.read.text(path).filter(F.size(parts) >= FLOW_WIDTH).select(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), *used)
+    lines = spark.read.text(path).select(F.explode(F.array(F.split("value", ",", -1))).alias("parts")).filter(F.size(parts) >= FLOW_WIDTH)
+    # and so is the time, which the filter and the rows both ask for
+    timed = lines.select(parts, F.explode(F.array(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")))).alias("ts"))
+    rows = timed.select("ts", *used)
     return rows.filter("ts IS NOT NULL").withColumn("proto_number", F.create_map(*[F.lit(x) for kv in PROTOCOLS.items() for x in kv])[F.upper("proto")])
 
 

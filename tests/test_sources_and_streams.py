@@ -179,6 +179,12 @@ def test_ranges_of_a_large_capture(tmp_path):
     assert raw.tell() == 4096
 
 
+def test_flow_lines_are_split_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",".join(["7"] * readers.FLOW_WIDTH) + "\n")
+    plan = readers.netflow(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(value") == 1 and plan.count("try_to_timestamp(") + plan.count("gettimestamp(") == 1
+
+
 def test_statements_load(spark):
     """What is exported as SQL is what a database holds after loading it."""
     import duckdb
