@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweir.functions.traffic import cases
+from netweir.sources.lineage import written
 
 from .recursions import streamed
 
@@ -156,3 +157,33 @@ def histogram_percentile(rows: DataFrame, value: Column, bounds: list[float], sh
     w = Window.orderBy("_b")  # a row per bucket
     run = counts.withColumns({"_run": F.sum("count").over(w), "_all": F.sum("count").over(Window.partitionBy())})
     return run.filter(F.col("_run") >= F.col("_all") * share).agg(F.element_at(F.array(*map(F.lit, bounds)), F.min("_b") + 1).alias("percentile"))
+
+
+#: Ranges of values that a key's distinct values are cut into for exact quantiles.
+PARTS = 64
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``keys`` and, by name, the exact quantiles (interpolated) of ``value`` at ``shares``; for few keys of any number of rows.
+
+    Distinct values are counted, then cut into ranges of about equal numbers of them.  Only the ranges that hold a wanted
+    rank are ordered, each by itself, so no task and no buffer holds a key's values.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = written(counted)
+    edges = counts.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(10 * PARTS)).alias("_edges"))
+    # a row for each key
+    binned = counts.join(F.broadcast(written(edges)), keys).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    w = Window.partitionBy(*keys)
+    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_own")).withColumns({"_upto": F.sum("_own").over(w.orderBy("_bin")), "_all": F.sum("_own").over(w)})
+    at = {name: (F.col("_all") - 1) * F.lit(float(share)) for name, share in shares.items()}
+    ranks = [r(p) for p in at.values() for r in (F.floor, F.ceil)]
+    held = F.lit(False)
+    for r in ranks:
+        held = held | ((F.col("_upto") > r) & (F.col("_upto") - F.col("_own") <= r))
+    wanted = bins.filter(held).select(*keys, "_bin", (F.col("_upto") - F.col("_own")).alias("_before"), "_all")
+    run = binned.join(F.broadcast(wanted), [*keys, "_bin"]).withColumn("_end", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_v")))
+    least = lambda r: F.min(F.when(F.col("_end") > r, F.col("_v")))
+    found = run.groupBy(*keys, "_all").agg(*[least(r(p)).alias(f"_{side}{name}") for name, p in at.items() for side, r in (("lo", F.floor), ("hi", F.ceil))])
+    between = lambda name, p: F.when(F.col(f"_lo{name}") == F.col(f"_hi{name}"), F.col(f"_lo{name}")).otherwise((F.ceil(p) - p) * F.col(f"_lo{name}") + (p - F.floor(p)) * F.col(f"_hi{name}"))
+    return found.select(*keys, *[between(name, p).alias(name) for name, p in at.items()])

@@ -178,8 +178,9 @@ FROM (SELECT *, avg(bytes) OVER (PARTITION BY proto) AS m FROM flows) JOIN (SELE
 def flow_moments(spark, sf_dir):
     f = tables.flows(spark, sf_dir)
     mode = f.groupBy("proto", "packets").count().groupBy("proto").agg(F.min_by("packets", F.struct(-F.col("count"), "packets")).alias("mode_packets"))
-    stats = f.groupBy("proto").agg(F.round(F.percentile("bytes", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("bytes", F.lit(0.95)), 6).alias("p95"), F.round(F.min("bytes"), 6).alias("least"), F.round(F.avg("bytes"), 4).alias("mean"), F.round(F.stddev_pop("bytes"), 4).alias("sd"), F.round(F.skewness("bytes"), 6).alias("skew"))
-    return stats.join(mode, "proto")
+    stats = f.groupBy("proto").agg(F.round(F.min("bytes"), 6).alias("least"), F.round(F.avg("bytes"), 4).alias("mean"), F.round(F.stddev_pop("bytes"), 4).alias("sd"), F.round(F.skewness("bytes"), 6).alias("skew"))
+    ranks = op.quantiles(f, ["proto"], "bytes", {"p50": 0.5, "p95": 0.95}).select("proto", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+    return ranks.join(stats, "proto").join(mode, "proto")
 
 
 @query(f"""

@@ -288,3 +288,22 @@ def test_running_sums_in_parts(spark, parts):
         assert r["upto_n"] == sum(1 for i, v in enumerate(x) if i % 2 == r["k"] and v <= r["v"])
     every = recursions.running(rows.groupBy("v").agg(F.sum("n").alias("n")), [], "v", ["n"], parts)
     assert max(r["upto_n"] for r in every.collect()) == len(x)
+
+
+def test_quantiles(spark):
+    """Exact, whatever the ranges: ties, one value, nulls and a long tail; and no key's values are one buffer."""
+    import numpy as np
+
+    from netweir.operators import traffic
+
+    rng = np.random.default_rng(7)
+    own = {"a": rng.lognormal(0, 4, 5001), "b": rng.integers(0, 3, 800).astype(float), "c": np.array([4.5]), "d": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in own.items() for x in v] + [("a", None)], "k string, x double")
+    shares = {"least": 0.0, "half": 0.5, "high": 0.95, "most": 1.0}
+    out = traffic.quantiles(df, ["k"], "x", shares)
+    got = {r["k"]: r for r in out.collect()}
+    assert set(got) == set(own)
+    for k, v in own.items():
+        for name, share in shares.items():
+            assert abs(got[k][name] - np.quantile(v, share)) <= 1e-9 * max(1, abs(np.quantile(v, share)))
+    assert "percentile(" not in out._jdf.queryExecution().executedPlan().toString()
