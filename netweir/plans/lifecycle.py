@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from netweir.sources import tables
-from netweir.sources.lineage import folder
+from netweir.sources.lineage import folder, written
 from netweir.streaming import lifecycle as op
 
 from .registry import query
@@ -36,7 +36,7 @@ def attack_lifecycles(spark, sf_dir):
 def attack_lifecycle_stream(spark, sf_dir):
     """The windows as a stream of ten-day pieces, closed by calm or by timers, and what it wrote."""
     source, target, marks = folder(spark), folder(spark), folder(spark)
-    rows = windows(spark, sf_dir)
+    rows = written(windows(spark, sf_dir))
     third = F.floor(F.dayofmonth("w") / 11)
     for k in range(3):
         rows.filter(third == k).repartition(1).write.mode("append").parquet(source)

@@ -157,6 +157,23 @@ def test_attacks_close_by_timer_and_survive_restarts(spark, tmp_path):
     assert (77, 30_000, 630_000, 5.0, 1, "stale") in got and {r[-1] for r in got} == {"stale", "ended"}
 
 
+def test_lifecycle_tells_the_store_only_changes():
+    """Rows stream in as they are; a destination without an attack costs one question to the store."""
+    from unittest.mock import MagicMock
+
+    from pyspark.sql import Row
+
+    cycle, store = lifecycle.Lifecycle(), MagicMock()
+    cycle.init(store)
+    state = store.getValueState.return_value
+    state.get.return_value = None
+    calm = [Row(ms=i, value=1.0, hot=False) for i in range(3)]
+    assert list(cycle.handleInputRows((1,), iter(calm), None)) == [] and not state.clear.called and not state.update.called
+    state.get.return_value = (10, 20, 5.0, 2, 0)
+    out = list(cycle.handleInputRows((1,), iter([Row(ms=30 + i, value=1.0, hot=False) for i in (2, 0, 1)]), None))
+    assert [tuple(r) for r in out] == [(1, 10, 32, 5.0, 2, "ended")] and state.clear.call_count == 1 and store.deleteTimer.call_count == 1
+
+
 def test_bands(spark, monkeypatch):
     """No table holds a key's rules in a row, and packets that a band of rules matched are not tried again."""
     seen, real = [], rules.written
