@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a row group of the tables that cut lineage.
 ROW_GROUP = 16 << 20
+#: Whether the shuffle files of an action go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def durable(df: DataFrame, *by: str) -> DataFrame:
     """Cut the lineage with a table of Parquet files in the cluster's shared folder, which takes far less room than a
-    checkpoint of rows.
+    checkpoint of rows.  What was shuffled for the table is no longer needed when it is written, so those files go at once.
 
     The folder is the session's ``spark.checkpoint.dir``, or the one set on its context; only where neither is set, as
     in tests on one machine, a folder in the warehouse is used.
@@ -34,7 +36,12 @@ def durable(df: DataFrame, *by: str) -> DataFrame:
         folder = own.get() if own.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
     # small row groups, so that tasks that write or read wide rows hold little of them
-    df.write.option("parquet.block.size", str(ROW_GROUP)).partitionBy(*by).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("parquet.block.size", str(ROW_GROUP)).partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

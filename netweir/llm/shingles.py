@@ -28,7 +28,7 @@ SAMPLE, COMMON = 16, 200_000
 #: Texts of candidate pairs are picked by a broadcast of their numbers up to so many.
 FEW = 1_000_000
 #: Texts of one shingle that are compared with each other in one cell, and pairs that are compared at a time.
-BLOCK, PAIRS = 2_000, 500_000
+BLOCK, PAIRS = 2_000, 50_000
 
 
 def normal(text: bytes) -> bytes:
@@ -47,6 +47,12 @@ def parities(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
 
 
+def halved(x: bytes) -> bytes:
+    """Parities of half as many buckets, 64 at least: two sets differ in at least as many elements as these differ, too."""
+    u = np.frombuffer(x, np.uint8)
+    return x if len(u) <= 8 else (u[: len(u) // 2] ^ u[len(u) // 2 :]).tobytes()
+
+
 def surely_apart(x: bytes, y: bytes, a: int, b: int) -> bool:
     """Whether the parities of sets of ``a`` and ``b`` elements exclude the similarity: 9 (a + b - 2 shared) <= a + b."""
     u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -222,68 +228,96 @@ def links(sets: DataFrame, texts: DataFrame, copies: DataFrame) -> DataFrame:
 def open_pairs(rows: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """a, b: pairs of ``rows`` (shingle, number, size, place, group) with one shingle, of two groups, that may be similar.
 
-    Pairs are compared within tasks by size, place and parities, so only what may be similar is a row.  A shingle with
-    more than ``block`` texts is cut into blocks, and every pair of blocks is a cell of its own.
+    A shingle with more than ``block`` texts is cut into blocks, and every pair of blocks is a cell of its own.  Only rows
+    that some row of their cell fits by size and place get parities, of half as many buckets, and are compared by them within
+    tasks; so only what may be similar is a row.
     """
+
+    def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(halved, b.column(1).to_pylist()), pa.binary())], names=["number", "parities"])
+
     many = rows.groupBy("shingle").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    wide = rows.join(many, "shingle").join(sets.select("number", "parities"), "number")
     mine = F.pmod(F.xxhash64("number"), F.col("_n")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
-    dealt = wide.select("shingle", F.inline(cells), mine.alias("mine"), "number", "group", "size", "place", "parities")
-    ordered = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    return ordered.mapInArrow(_near, "a long, b long")
+    dealt = rows.join(many, "shingle").select("shingle", F.inline(cells), mine.alias("mine"), "number", "group", "size", "place")
+    by_cell = lambda r: r.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    some = durable(by_cell(dealt).mapInArrow(_with_partner, dealt.schema))
+    wide = some.join(sets.select("number", "parities").mapInArrow(half, "number long, parities binary"), "number")
+    return by_cell(wide.select(*dealt.columns, "parities")).mapInArrow(_near, "a long, b long")
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b of pairs within the cells (shingle, i, j) of rows that arrive cell by cell."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole cells (shingle, i, j), together some ``BLOCK`` rows and more only for one cell, of rows that arrive cell by cell."""
     held: list[pa.RecordBatch] = []
     rows = 0
-
-    def out(t: pa.RecordBatch) -> pa.RecordBatch:
-        col = [np.asarray(t.column(i)) for i in range(8)]
-        cell = np.stack(col[:3], axis=1)
-        mine, number, group, size, place = col[3:]
-        bits = t.column(8).to_pylist()
-        folded = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64)) for x in bits], np.uint64)
-        n = len(t)
-        last = np.append(np.flatnonzero((np.diff(cell, axis=0) != 0).any(axis=1)), n - 1)
-        end = np.repeat(last + 1, np.diff(np.append(-1, last)))
-        partners = end - np.arange(n) - 1
-        done, at, found = np.cumsum(partners), 0, set()
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")))
-            p = partners[at:to]
-            x = np.repeat(np.arange(at, to), p)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(p) - p, p)
-            low, high, both = np.minimum(size[x], size[y]), np.maximum(size[x], size[y]), size[x] + size[y]
-            # the most that both share from their places on, and the least that they differ by
-            left = np.minimum(size[x] - place[x], size[y] - place[y])
-            ok = (group[x] != group[y]) & (low * WHOLE >= high * PART) & (left * (PART + WHOLE) >= both * PART)
-            ok &= ((col[1][x] == col[2][x]) | (mine[x] != mine[y])) & ((PART + WHOLE) * np.bitwise_count(folded[x] ^ folded[y]).astype(np.int64) <= (WHOLE - PART) * both)
-            for u, v in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
-                pair = (min(number[u], number[v]), max(number[u], number[v]))
-                if pair not in found and not surely_apart(bits[u], bits[v], int(size[u]), int(size[v])):
-                    found.add(pair)
-            at = to
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
-
-    for b in batches:
-        if not len(b):
-            continue
+    for b in small(batches, BLOCK):
         held.append(b)
         rows += len(b)
-        if rows >= 20_000:
+        if rows >= BLOCK:
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             key = np.stack([np.asarray(t.column(i)) for i in range(3)], axis=1)
             change = np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1))
-            if len(change):  # the last cell may go on in the next batch
-                to = int(change[-1]) + 1
-                yield out(t.slice(0, to))
-                held, rows = [t.slice(to)], len(t) - to
-            else:
-                held = [t]
+            to = int(change[-1]) + 1 if len(change) else 0  # the last cell may go on in the next batch
+            if to:
+                yield t.slice(0, to)
+            held, rows = [t.slice(to)], len(t) - to
     if held:
-        yield out(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _fitting(t: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row) of one cell, of two groups, whose sizes and places leave the similarity possible; of some ``PAIRS`` at a time."""
+    cell = np.stack([np.asarray(t.column(i)) for i in range(3)], axis=1)
+    mine, _, group, size, place = (np.asarray(t.column(i)) for i in range(3, 8))
+    n = len(t)
+    last = np.append(np.flatnonzero((np.diff(cell, axis=0) != 0).any(axis=1)), n - 1)
+    partners = np.repeat(last + 1, np.diff(np.append(-1, last))) - np.arange(n) - 1
+    done, at = np.cumsum(partners), 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")))
+        p = partners[at:to]
+        x = np.repeat(np.arange(at, to), p)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(p) - p, p)
+        low, high, both = np.minimum(size[x], size[y]), np.maximum(size[x], size[y]), size[x] + size[y]
+        # the most that both share from their places on
+        left = np.minimum(size[x] - place[x], size[y] - place[y])
+        ok = (group[x] != group[y]) & (low * WHOLE >= high * PART) & (left * (PART + WHOLE) >= both * PART)
+        ok &= (cell[x, 1] == cell[x, 2]) | (mine[x] != mine[y])
+        yield x[ok], y[ok]
+        at = to
+
+
+def _with_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that fit another row of their cell."""
+    for t in _cells(batches):
+        keep = np.zeros(len(t), bool)
+        for x, y in _fitting(t):
+            keep[x] = keep[y] = True
+        yield t.filter(pa.array(keep))
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b of fitting pairs that parities do not exclude; a pair may come again."""
+
+    def out(found: set[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    for t in _cells(batches):
+        number, size, bits = np.asarray(t.column(4)), np.asarray(t.column(6)), t.column(8).to_pylist()
+        folded = np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64)) for x in bits], np.uint64)
+        found: set[tuple[int, int]] = set()
+        for x, y in _fitting(t):
+            # the least that both differ by
+            ok = (PART + WHOLE) * np.bitwise_count(folded[x] ^ folded[y]).astype(np.int64) <= (WHOLE - PART) * (size[x] + size[y])
+            for u, v in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                pair = (min(number[u], number[v]), max(number[u], number[v]))
+                if pair not in found and not surely_apart(bits[u], bits[v], int(size[u]), int(size[v])):
+                    found.add(pair)
+            if len(found) >= PAIRS:
+                yield out(found)
+                found = set()
+        yield out(found)
 
 
 def near_nodes(sets: DataFrame) -> DataFrame:

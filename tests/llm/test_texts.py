@@ -183,6 +183,64 @@ def test_parities_exclude_no_similar_pair():
     assert excluded > 150
 
 
+def test_halved_parities_exclude_no_similar_pair():
+    from netweir.llm import shingles
+
+    rng = np.random.default_rng(5)
+    for n in (1, 31, 33, 400, 3000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.concatenate([a[n // 20 :], rng.integers(0, 2**63, n // 20, dtype=np.uint64)])
+        x, y, z = (shingles.halved(shingles.parities(h)) for h in (a, b, rng.integers(0, 2**63, n, dtype=np.uint64)))
+        assert len(x) == max(8, len(shingles.parities(a)) // 2)
+        assert not shingles.surely_apart(x, y, len(a), len(b))
+        assert n < 100 or shingles.surely_apart(x, z, len(a), n)
+
+
+def test_pairs_of_a_large_cell_take_little_memory():
+    """4,000 texts of one cell, all of which fit each other, are compared a few pairs at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from netweir.llm import shingles
+
+    rng = np.random.default_rng(7)
+    n = 4000
+    same = lambda x, kind: pa.array(np.full(n, x, kind))
+    ids = pa.array(np.arange(n, dtype=np.int64))
+    bits = [rng.bytes(512) for _ in range(n - 1)]
+    names = ["shingle", "i", "j", "mine", "number", "group", "size", "place", "parities"]
+    cell = pa.RecordBatch.from_arrays([same(5, np.int64), *[same(0, np.int32)] * 3, ids, ids, same(100, np.int32), same(0, np.int32), pa.array([*bits, bits[0]], pa.binary())], names=names)
+    tracemalloc.start()
+    got = [(a, b) for t in shingles._near(iter([cell.slice(at, 500) for at in range(0, n, 500)])) for a, b in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, n - 1)]
+    assert most < 20e6
+
+
+def test_rows_without_a_partner_get_no_parities():
+    """Of a cell's texts only those that another one fits by size and place are dealt with their parities."""
+    import pyarrow as pa
+
+    from netweir.llm import shingles
+
+    rows = [(1, 10, 100, 0, 10), (1, 11, 90, 3, 11), (1, 12, 100, 18, 12), (1, 13, 400, 0, 13), (1, 14, 100, 0, 10), (2, 15, 50, 0, 15), (2, 16, 50, 0, 15)]
+    made = [{"shingle": s, "i": 0, "j": 0, "mine": 0, "number": n, "group": g, "size": z, "place": p} for s, n, z, p, g in rows]
+    batches = pa.Table.from_pylist(made).to_batches(max_chunksize=2)
+    assert [n for t in shingles._with_partner(iter(batches)) for n in t["number"].to_pylist()] == [10, 11, 14]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from netweir.llm.common import CLEANUP, durable
+
+    files = lambda: {b.name() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if b.isShuffle()}
+    before = files()
+    out = durable(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"))
+    assert not files() - before
+    assert out.count() == 7 and spark.conf.get(CLEANUP) == "false"
+
+
 # ---- substrings
 
 
