@@ -13,6 +13,8 @@ from netweir.sources.lineage import written
 
 #: Pairs up to which the null distribution is counted; beyond, the normal limit with its correction for ties.
 EXACT = 200
+#: Draws that are made from one row.
+RUN = 8192
 
 
 def signed_ranks(pairs: DataFrame, keys: list[str], difference: str) -> DataFrame:
@@ -64,25 +66,30 @@ def drawn_place(of: Column, *named: Column | str) -> Column:
 
 
 def paired_bootstrap(clusters: DataFrame, ident: str, first: str, second: str, n: str, draws: int = 500, seed: int = 7) -> DataFrame:
-    """The percent by which the second arm's rate is under the first's: point, mean, 95 % interval and one-sided p.
+    """The percent by which the second arm's rate is under the first's: point (NaN without hits), mean, 95 % interval and
+    one-sided p.
 
     ``clusters`` has a row for each independent unit with both arms' hits and its size.  A replicate draws as many units as
     there are, with replacement, and both arms share its draws, so the interval is of their difference.  Units are
-    numbered by one task; drawn units are counted by replicate before they are joined.
+    written once, in ranges that are numbered side by side.  Draws are made in runs of ``RUN``, and are dealt by unit to
+    meet it: Spark takes them for the one row they come from, and would send them all to every task.
     """
-    numbered = clusters.select((F.row_number().over(Window.partitionBy().orderBy(ident)) - 1).cast("long").alias("_i"), first, second, n)
-    count = clusters.agg(F.count("*").alias("_m"))
-    every = count.select("_m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep")).repartition(32, "_rep")
-    drawn = every.select("_rep", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_j")).select("_rep", drawn_place(F.col("_m"), F.lit(seed), "_rep", "_j").alias("_i"))
-    times = drawn.groupBy("_rep", "_i").agg(F.count("*").alias("_t"))
-    total = lambda c: F.sum(F.col("_t") * F.col(c)).alias(c)
-    reps = times.join(numbered, "_i").groupBy("_rep").agg(total(first), total(second), total(n)).filter(F.col(n) > 0)
+    units = written(clusters.select(ident, first, second, n).repartitionByRange(F.col(ident).asc_nulls_last()).withColumn("_part", F.spark_partition_id()))
+    parts = units.groupBy("_part").agg(F.count("*").alias("_here")).withColumn("_before", F.sum("_here").over(Window.orderBy("_part")) - F.col("_here"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(ident).asc_nulls_last()))
+    # a row for each range
+    numbered = units.withColumn("_nth", nth).join(F.broadcast(parts), "_part").select((F.col("_before") + F.col("_nth") - 1).alias("_i"), first, second, n)
+    count = units.agg(F.count("*").alias("_m")).filter("_m > 0")
+    runs = count.select("_m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_rep")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(RUN).cast("long"))).alias("_from"))
+    every = runs.repartition(4 * clusters.sparkSession.sparkContext.defaultParallelism)
+    drawn = every.select("_rep", "_m", F.explode(F.sequence("_from", F.least(F.col("_from") + RUN, "_m") - 1)).alias("_j")).select("_rep", drawn_place(F.col("_m"), F.lit(seed), "_rep", "_j").alias("_i"))
+    reps = drawn.join(numbered.hint("shuffle_hash"), "_i").groupBy("_rep").agg(*[F.sum(c).alias(c) for c in (first, second, n)]).filter(F.col(n) > 0)
     # rates of one replicate have one size, so their ratio is that of the hits
-    cut = lambda: F.when(F.col(first) > 0, 100.0 * (F.col(first) - F.col(second)) / F.col(first)).otherwise(0.0)
-    ranked = reps.withColumn("_red", cut()).withColumns({"_at": F.row_number().over(Window.partitionBy().orderBy("_red")) - 1, "_n": F.count("*").over(Window.partitionBy())})
+    cut = F.when(F.col(first) > 0, 100.0 * (F.col(first) - F.col(second)) / F.col(first)).when(F.col(first) == 0, float("nan"))
+    ranked = reps.withColumn("_red", F.coalesce(F.nanvl(cut, F.lit(0.0)), F.lit(0.0))).withColumns({"_at": F.row_number().over(Window.partitionBy().orderBy("_red")) - 1, "_n": F.count("*").over(Window.partitionBy())})
     at = lambda q: F.max(F.when(F.col("_at") == F.floor(F.lit(q) * F.col("_n")), F.col("_red")))
     spread = ranked.agg(F.avg("_red").alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"), F.greatest(F.avg((F.col(second) >= F.col(first)).cast("int")), F.lit(1.0 / draws)).alias("p"))
-    point = clusters.agg(F.sum(first).alias(first), F.sum(second).alias(second)).select(cut().alias("reduction"))
+    point = units.agg(F.sum(first).alias(first), F.sum(second).alias(second)).select(cut.alias("reduction"))
     # two tables of one row
     return point.join(F.broadcast(spread))
 

@@ -3,6 +3,7 @@
 import math
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,18 @@ def test_paired_bootstrap(spark):
     assert (same["low"], same["high"], same["p"]) == (0.0, 0.0, 1.0), "arms that share draws and hits do not differ in any replicate"
 
 
+def test_draws_are_not_broadcast(spark):
+    """The draws, of which there are many for each unit, are dealt by unit, and no task numbers all units."""
+    out = paired.paired_bootstrap(spark.range(20_000).selectExpr("id", "id % 7 AS a", "id % 3 AS b", "9 AS n"), "id", "a", "b", "n", 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [_i" in plan and "BroadcastHashJoin [_i" not in plan
+    # what SQL's draws give over the same units
+    con = duckdb.connect()
+    sums = con.sql("SELECT sum(i % 7), sum(i % 3) FROM (SELECT unnest(range(3)) AS rep), LATERAL (SELECT CAST('0x' || md5('7:' || rep || ':' || j)[1:8] AS BIGINT) % 20000 AS i FROM range(20000) t(j)) GROUP BY rep").fetchall()
+    reds = sorted(100.0 * float(a - b) / float(a) for a, b in sums)
+    assert (out.first()["low"], out.first()["high"]) == pytest.approx((reds[0], reds[2]))
+
+
 def test_synthesized(spark):
     row = spark.createDataFrame([("v", *[2.0] * 9)], "k string, " + ", ".join(f"{f} double" for f in synthesis.FEATURES))
     out = {r["kind"]: r for r in synthesis.synthesized(row).collect()}

@@ -66,3 +66,14 @@ def test_last_half_second_of_a_day(spark, sf_dir, tmp_path, name):
     result = c.sql(plans.ORACLES[name])
     at = [result.columns.index(x) for x in columns]
     assert sorted(repr([norm(r[x]) for x in columns]) for r in df.collect()) == sorted(repr([norm(r[i]) for i in at]) for r in result.fetchall())
+
+
+@pytest.mark.parametrize("where", ["true", "event_type = 'error'", "value < 200"])
+def test_paired_reduction_of_odd_units(spark, sf_dir, tmp_path, where):
+    """A victim without a name comes last, and no victims or no hits at all give one row, as in SQL."""
+    c = duckdb.connect()
+    c.sql(f"copy (select * replace (CASE WHEN user_id > 2 THEN user_id END AS user_id) from '{sf_dir}/events.parquet' where {where}) to '{tmp_path}/events.parquet' (format parquet)")
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    result = c.sql(plans.ORACLES["paired_reduction"])
+    ours = [[norm(r[x]) for x in result.columns] for r in plans.QUERIES["paired_reduction"](spark, str(tmp_path)).collect()]
+    assert ours == [list(map(norm, r)) for r in result.fetchall()]
