@@ -35,7 +35,8 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     w = Window.partitionBy("_o").orderBy("_at", F.col(ip).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("_end").isNotNull(), F.struct("_end", "tag")), ignorenulls=True).over(w)
     found = cut.unionByName(asked).withColumn("_hit", last).filter(F.col(ip).isNotNull()).select(ip, F.when(F.col(ip) <= F.col("_hit._end"), F.col("_hit.tag")).alias("tag"))
-    return rows.join(found, ip, "left")
+    # there may be as many addresses as rows
+    return rows.join(found.hint("merge"), ip, "left")
 
 
 def geo_blocked(country: Column, listed: list[str], mode: str, block_unknown: bool) -> Column:

@@ -156,18 +156,20 @@ def first_match(packets: DataFrame, rules: DataFrame, default: str = "ALLOW") ->
     found = []
     for band in sorted(rows):
         if found:
-            left = written(left.join(found[-1], "_at", "left_anti"))
+            left = written(left.join(found[-1].hint("merge"), "_at", "left_anti"))
             if left.isEmpty():
                 break
         side = keyed.filter(F.col("_band") == band).select("_key", "_rule", "_rank")
         keys = left.withColumn("_key", F.expr(f"explode(array({', '.join(_key(fields, s) for s in sorted(shapes[band]))}))"))
-        met = keys.join(F.broadcast(side) if rows[band] <= HELD else side, "_key").filter(_holds(F.col("_rule"), set(rest)))
+        # keys are many for each packet, which Spark does not count when it looks for a side to broadcast
+        met = keys.join(F.broadcast(side) if rows[band] <= HELD else side.hint("merge"), "_key").filter(_holds(F.col("_rule"), set(rest)))
         found.append(written(met.groupBy("_at").agg(F.min("_rank").alias("_rank"))))
     own = [F.col(c) for c in packets.columns]
     if not found:
         return all_.select(*own, F.lit(None).cast("long").alias("rule_id"), F.lit(default).alias("action"))
     best = reduce(DataFrame.unionByName, found)
     # few of many rules win, and some win most packets
-    winners = written(best.select("_rank").distinct().join(ranked.select("_rank", "rule_id", "action"), "_rank"))
-    out = all_.drop("rule_id", "action").join(best.join(winners, "_rank"), "_at", "left")
+    winners = written(best.select("_rank").distinct().join(ranked.select("_rank", "rule_id", "action").hint("merge"), "_rank"))
+    won = best.join(F.broadcast(winners) if winners.count() <= HELD else winners.hint("merge"), "_rank")
+    out = all_.drop("rule_id", "action").join(won.hint("merge"), "_at", "left")
     return out.select(*own, "rule_id", F.coalesce("action", F.lit(default)).alias("action"))

@@ -206,3 +206,25 @@ def test_scores_at_a_threshold(spark):
     wide = spark.createDataFrame([*rows, (99, 99, 99, 1, 1, 1, "test")], "subnet long, host long, win long, packets long, bytes long, sources long, part string")
     got = {r["subnet"]: r["score"] for r in subnets.scores(wide, wide.select("subnet", "host", "win", "packets"), "subnet", "host", "win").filter("part = 'test'").collect()}
     assert got.pop(99) is None and set(got.values()) == {4.5}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bands_are_joined_by_their_own_size(spark, monkeypatch):
+    """Keys, which are many for each packet, and what bands found are never broadcast; rules are, up to so many."""
+    seen, real = [], rules.written
+    monkeypatch.setattr(rules, "written", lambda df: seen.append(_plan(df)) or real(df))
+    monkeypatch.setattr(rules, "BAND", 4)
+    monkeypatch.setattr(rules, "HELD", 40)
+    packets = [(i, 6, i % 7, 5, i * 60, i % 90, i, 1, 2) for i in range(1200)]
+    table = [(i, i // 3, "DROP", 6 if i % 2 else None, None, None, None, None, i * 200, i * 200 + 300, None, None, None, None, None, None, None, None) for i in range(300)]
+    out = rules.first_match(spark.createDataFrame(packets, PACKET), spark.createDataFrame(table, RULE))
+    want = {p[0]: min(((r[1], r[0]) for r in table if fits(r, p)), default=(None, None))[1] for p in packets}
+    assert {r["event_id"]: r["rule_id"] for r in out.collect()} == want and None in want.values()
+    joins = [line for plan in [*seen, _plan(out)] for line in plan.splitlines() if "Join " in line]
+    held = [line for line in joins if "BroadcastHashJoin" in line]
+    assert held and all("[_key" in line and "BuildRight" in line for line in held)
+    for key in ("_key", "_at", "_rank"):
+        assert any(f"SortMergeJoin [{key}" in line for line in joins)
