@@ -157,5 +157,5 @@ def verdict_cascade(spark, sf_dir):
 @query(f"WITH {PACKETS}, {RULES}, {MATCHES}, {CASCADE} SELECT {CATEGORY} AS category, coalesce(drop_reason, 'none') AS drop_reason, count(*) AS packets, sum(length) AS bytes FROM verdict JOIN packets USING (event_id) GROUP BY ALL")
 def layer_statistics(spark, sf_dir):
     """Packets and bytes by what stopped them, as the first layer counts them."""
-    v = staged(spark, sf_dir).join(tables.packets(spark, sf_dir).select("event_id", "length"), "event_id")
+    v = staged(spark, sf_dir).join(tables.packets(spark, sf_dir).select("event_id", "length").hint("merge"), "event_id")
     return v.groupBy(op.category(F.col("drop_reason")).alias("category"), F.coalesce("drop_reason", F.lit("none")).alias("drop_reason")).agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))

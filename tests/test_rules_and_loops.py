@@ -228,3 +228,16 @@ def test_bands_are_joined_by_their_own_size(spark, monkeypatch):
     assert held and all("[_key" in line and "BuildRight" in line for line in held)
     for key in ("_key", "_at", "_rank"):
         assert any(f"SortMergeJoin [{key}" in line for line in joins)
+
+
+@pytest.mark.parametrize("name", ["verdict_cascade", "layer_statistics"])
+def test_packets_are_not_broadcast(spark, sf_dir, monkeypatch, name):
+    """Tables that have a row for each packet or address meet packets by a merge, whatever their files' size."""
+    from netweir import plans
+
+    seen, real = [], cascade.written
+    monkeypatch.setattr(cascade, "written", lambda df: seen.append(_plan(df)) or real(df))
+    seen.append(_plan(plans.QUERIES[name](spark, sf_dir)))
+    joins = [line for plan in seen for line in plan.splitlines() if "Join " in line]
+    assert any("SortMergeJoin [ip" in line for line in joins)
+    assert not any(f"BroadcastHashJoin [{key}" in line for line in joins for key in ("event_id", "ip", "_at"))
